@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, sharding, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,25 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op9_shard": op9_shard}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op3_substrings": op3_substrings,
+    "op7_simhash": op7_simhash,
+    "op9_shard": op9_shard,
+}
 
 ORACLE_SQL: dict[str, str] = {}
