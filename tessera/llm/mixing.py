@@ -91,7 +91,7 @@ def mix(
     met, so ``taken`` is ``copies`` whole readings but for the last document, which is cut where the
     target ends; with ``whole`` a reading is taken if its middle lies within the target, and none is
     cut. ``position`` is the training time at which the first reading falls under the source's
-    curve, ``positions`` all of them (null, empty: never). ``keep`` names columns to carry along.
+    curve, ``positions`` all of them (null, empty: never). ``keep`` names columns to carry along, as ``kept_<name>``.
 
     The running sum over a source is cut into up to MOST_STEPS hashed steps, so a source with a third
     of all rows is summed by many tasks; only ids and sizes are shuffled unless ``keep`` asks for more.

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding, simhash, substrings
+from tessera.llm import counts, mixing, packing, sharding, simhash, substrings
+
+
+#: Vocabulary files are read where the tokenizer package has them; another path is a parameter of the operators.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +31,14 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=2048)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), limit=2048)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -34,6 +52,8 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_substrings": op3_substrings,
+    "op4_pack": op4_pack,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op9_shard": op9_shard,
 }

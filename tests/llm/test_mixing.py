@@ -29,10 +29,10 @@ def check(docs):
     assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in rows)
     taken = Counter()
     for r in found:
-        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + r.target)
+        assert r.source_size == sizes[r.kept_source] and abs(r.target - want[r.kept_source]) < 1e-6 * (1 + r.target)
         assert 0 <= r.taken <= 3 * r.size and len(r.positions) == r.copies
         assert all(0 <= p <= 1 for p in r.positions) and list(r.positions) == sorted(r.positions)
-        taken[r.source] += r.taken
+        taken[r.kept_source] += r.taken
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(docs, keep=("source",)).collect()))
@@ -53,8 +53,8 @@ def test_positions_follow_the_curve(spark):
     docs = spark.createDataFrame([(i, "w", "b" if i % 2 else "a") for i in range(4000)], "doc_id long, text string, source string")
     found = mixing.mix(docs, weights=(1, 1), curves=((1, 1, 1), (0.5, 1.0, 1.5)), keep=("source",)).collect()
     for t in (0.2, 0.5, 0.9):
-        flat = sum(r.position <= t for r in found if r.source == "a") / 2000
-        rising = sum(r.position <= t for r in found if r.source == "b") / 2000
+        flat = sum(r.position <= t for r in found if r.kept_source == "a") / 2000
+        rising = sum(r.position <= t for r in found if r.kept_source == "b") / 2000
         assert abs(flat - t) < 0.01 and abs(rising - (0.5 * t + t * t / 2)) < 0.01
 
 
