@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, mixing, packing, sharding, simhash, substrings
+from tessera.llm import counts, mixing, packing, quality, rans, sharding, simhash, substrings, vectors
 
 
 #: Vocabulary files are read where the tokenizer package has them; another path is a parameter of the operators.
@@ -27,6 +27,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,6 +39,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=2048)
 
 
+def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.scratch_path(spark)
+    rans.write_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), path, end=0)
+    return rans.read_tokens(spark, path).drop("ids")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), limit=2048)
 
@@ -44,6 +54,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % quality.FOLDS == 0
+    scored = quality.scores(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_inner(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,11 +73,24 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_nearest": op2_nearest,
     "op3_substrings": op3_substrings,
     "op4_pack": op4_pack,
+    "op5_rans": op5_rans,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_shard": op9_shard,
+    "op10_top_inner": op10_top_inner,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Seeded orders, hashes, learned weights and library token ids are beyond SQL; an exact integer search is not.
+ORACLE_SQL: dict[str, str] = {
+    "op10_top_inner": """
+        WITH x AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS score
+              FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+}
