@@ -28,7 +28,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    pairs = zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    pairs = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in pairs), "<u8", len(words) - shingle + 1)
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -115,4 +115,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     found = groups(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
