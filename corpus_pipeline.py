@@ -1,19 +1,63 @@
-"""The corpus pipeline: quality, near duplicates, repeated passages, mixture, packing."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, mixture, packing.
+
+Each stage gets what the one before kept and returns the columns of documents, but for the last, whose rows are packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, packing, quality, queries, simhash, substrings
+from tessera.plans.scratch import written
+
+#: Near duplicates: fingerprints of two-word shingles that differ in five bits at most. Copies whose five-word shingles
+#: agree to 0.8 and more mostly lie within; texts that merely share a passage lie far outside.
+NEAR = {"shingle": 2, "radius": 5, "segments": 3}
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the smallest id."""
+    return simhash.keep_one(docs, **NEAR)
+
 
-STAGES: list = []
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the words of windows that start earlier in the corpus; texts that lose none stay as they are."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = substrings.remove_repeats(docs, with_text=True, keep=rest)
+    kept = kept.withColumnRenamed("kept", "text").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, in training order."""
+    return mixing.training_order(docs, docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids."""
+    return packing.pack(docs, queries.vocabulary(queries.WORD_BPE), capacity=2048)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixture", mixture),
+    ("packing", packed),
+]
 
 #: Learned scores, fingerprints, spans and best-fit rounds are beyond SQL; tests hold the stages to plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.plans.scratch import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
