@@ -8,16 +8,18 @@ whole tokenizer.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units and pieces a worker remembers at most before it starts anew: some 60 MB each.
-REMEMBER = 300_000
+#: Units and pieces a worker remembers at most before it starts anew: some 100 MB each.
+REMEMBER = 500_000
 #: Letters whose normal form, case and class are plain, and the contractions that the patterns name.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -28,6 +30,8 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a file: caches outlive a task."""
     if path not in _ENCODERS:
+        # Millions of short-lived small objects, hardly a cycle among them: collect far less often.
+        gc.set_threshold(200_000, 20, 100)
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -52,7 +56,7 @@ class Encoder:
         self.full.no_padding()
         told = json.load(open(path))
         self.drops_space = (told.get("normalizer") or {}).get("type") == "Sequence"
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in told["added_tokens"]) or r"(?!)")
+        self.special = [t["content"] for t in told["added_tokens"]]
         self.letters = _byte_letters()
         self.model = self.full.model
         if self.drops_space:
@@ -61,8 +65,10 @@ class Encoder:
         else:
             self.plain = re.compile(f"[\n -~{LETTERS}]*")
             self.cut = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\n 0-9{LETTERS}]+|[\n ]+(?![^\n ])|[\n ]+")
+        self.two_spaces = re.compile(r"\s\s")
         self.after_word = re.compile(r"(?<=\S) ")
         self.units: dict[str, bytes] = _Filled(self._unit)
+        self.spaced: dict[str, bytes] = _Filled(lambda unit: self._unit(" " + unit))
         self.pieces: dict[str, bytes] = _Filled(self._piece)
 
     def split(self, text: str) -> list[str]:
@@ -73,19 +79,30 @@ class Encoder:
         return [first, *[" " + x for x in rest]]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.units.__getitem__, self.split(text)))
+        if self.drops_space or self.two_spaces.search(text):
+            return b"".join(map(self.units.__getitem__, self.split(text)))
+        # Single spaces belong to the word behind them, single line ends to nobody.
+        lines, spaced, out = text.split("\n"), self.spaced.__getitem__, []
+        for line in lines:
+            first, *rest = line.split(" ")
+            out.append(self.units[first])
+            out += map(spaced, rest)
+            out.append(self.units["\n"])
+        return b"".join(out[:-1])
 
     def count(self, unit: str) -> int:
         return len(self._unit(unit)) // 4
 
     def _unit(self, unit: str) -> bytes:
-        if not self.plain.fullmatch(unit) or self.special.search(unit):
+        plain = unit.isprintable() if unit.isascii() else self.plain.fullmatch(unit)
+        if not plain and not self.plain.fullmatch(unit) or any(map(unit.__contains__, self.special)):
             return np.array(self.full.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(unit.lower() if self.drops_space else unit)))
 
     def _piece(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Filled(dict):
@@ -95,9 +112,9 @@ class _Filled(dict):
         self.find = find
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
         value = self.find(key)
         if len(key) < 64:
+            if len(self) >= REMEMBER:
+                self.clear()
             self[key] = value
         return value
