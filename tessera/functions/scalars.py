@@ -166,7 +166,7 @@ def ndc11(c: Column) -> Column:
 
 def npi_valid(c: Column) -> Column:
     """Ten digits whose check digit holds under the issuer prefix."""
-    return F.coalesce(c.rlike(r"^\d{10}$") & F.luhn_check(F.concat(F.lit("80840"), c)), F.lit(False))
+    return F.coalesce(c.rlike(r"^\d{10}$") & F.call_function("luhn_check", F.concat(F.lit("80840"), c)), F.lit(False))
 
 
 def first_npi(c: Column) -> Column:
