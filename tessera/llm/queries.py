@@ -87,8 +87,8 @@ QUERIES = {
 #: Seeded orders, hashes, learned weights and library token ids are beyond SQL; an exact integer search is not.
 ORACLE_SQL: dict[str, str] = {
     "op10_top_inner": """
-        WITH x AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS score
+        WITH x AS (SELECT vec_id, [floor(256 * CAST(c AS DOUBLE)) for c in embedding] AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
               FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5

@@ -106,12 +106,12 @@ class Coder:
 
 def _tokenized(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer).encode, np.array([end], "<u4").tobytes()
+        found, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        if found.full.get_vocab_size() > 1 << 16:
+            raise ValueError("ids beyond 16 bits need another tokenizer")
+        encode = found.encode
         for b in batches:
-            ids = [encode(t.as_py() or "") + last for t in b.column("text")]
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            if any(np.frombuffer(x, "<u4").max() >= 1 << 16 for x in ids):
-                raise ValueError("ids beyond 16 bits need another tokenizer")
+            small = [(np.frombuffer(encode(t.as_py() or "") + last, "<u4").astype("<u2")).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(small, pa.binary())], names=["doc_id", "ids"])
 
     return run

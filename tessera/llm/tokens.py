@@ -97,7 +97,10 @@ class Encoder:
         plain = unit.isprintable() if unit.isascii() else self.plain.fullmatch(unit)
         if not plain and not self.plain.fullmatch(unit) or any(map(unit.__contains__, self.special)):
             return np.array(self.full.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.cut.findall(unit.lower() if self.drops_space else unit)))
+        parts = self.cut.findall(unit.lower() if self.drops_space else unit)
+        if len(parts) == 1:  # remembered as a unit
+            return self.pieces.get(parts[0]) or self._piece(parts[0])
+        return b"".join(map(self.pieces.__getitem__, parts))
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
