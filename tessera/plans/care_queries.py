@@ -1 +1,403 @@
-QUERIES = {}
+"""Claims, admissions, identity and metrics over the given tables: orders are claims, line items their lines, events admissions, customers people."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import admissions as A
+from tessera.operators import change as C
+from tessera.operators import claims as K
+from tessera.operators import identity as I
+from tessera.operators import metrics as M
+from tessera.plans.core_queries import table
+from tessera.plans.rule_queries import MONTHS, SPANS, _spans
+
+
+def _claims(spark, d):
+    """Line items as claim versions: the return flag is the adjustment code."""
+    l = table(spark, d, "lineitem")
+    code = F.when(F.col("l_returnflag") == "N", "0").when(F.col("l_returnflag") == "R", "1").otherwise("2")
+    order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return l.select("l_orderkey", "l_linenumber", K.adjustment_type(code).alias("adjustment"), F.col("l_extendedprice").alias("paid"), order.alias("version"), "l_shipdate", "l_partkey")
+
+
+CLAIMS = "claims AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 'ORIGINAL' WHEN 'R' THEN 'CANCELLATION' ELSE 'ADJUSTMENT' END AS adjustment, l_extendedprice AS paid, l_shipdate, l_partkey, l_suppkey, l_quantity FROM lineitem)"
+ORDER = "l_shipdate, l_partkey, l_suppkey, paid, l_quantity"
+
+
+def claims_final(spark, d):
+    """What stands after each cancellation has taken out one claim of its order."""
+    return K.final_action(_claims(spark, d), ["l_orderkey"], "version").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("paid"), 2).alias("paid"))
+
+
+def claims_current(spark, d):
+    """C3."""
+    return K.current_version(_claims(spark, d), ["l_orderkey", "l_linenumber"], "version").select("l_orderkey", "l_linenumber", "l_partkey", "adjustment")
+
+
+def claims_net(spark, d):
+    """C4, C5."""
+    out = K.net_payment(_claims(spark, d), ["l_linenumber"], "paid")
+    return out.select("l_linenumber", F.col("net").cast("double").alias("net"), F.col("gross").cast("double").alias("gross"), "reversals", "reversal_rate")
+
+
+def claims_setting(spark, d):
+    """C6."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    h = o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "111").when(F.col("o_orderkey") % 10 == 1, "211").when(F.col("o_orderkey") % 10 < 5, "131").alias("bill_type"), F.when(F.col("o_orderstatus") == "P", "pharmacy").otherwise("medical").alias("claim_type"))
+    x = l.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") == 7, "0450").otherwise("0300").alias("revenue_code"), F.when(F.col("l_quantity") > 40, "23").when(F.col("l_quantity") < 5, "11").otherwise("22").alias("place_of_service"))
+    return K.care_setting(h, x, "o_orderkey").groupBy("setting").agg(F.count("*").alias("n"))
+
+
+def claims_wide(spark, d):
+    """C7."""
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey"), F.col("l_returnflag").alias("category"), F.col("l_extendedprice").alias("amount"))
+    out = K.amounts_wide(l, "l_suppkey", ["A", "N", "R"])
+    return out.select("l_suppkey", *[F.col(c).cast("double").alias(f"amount_{c.lower()}") for c in "ANR"])
+
+
+def _events(spark, d):
+    """Events as admissions: types by kind, some cancelled."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "A01").when(F.col("event_type") == "purchase", "A03").when(F.col("event_type") == "view", "A02").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "A11").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 1), "A13").otherwise("A08")
+    return e.select("event_id", F.col("user_id").alias("member"), kind.alias("event_type"), "ts", (F.col("event_id") % 4).alias("facility"))
+
+
+EVENTS = "ev AS (SELECT event_id, user_id AS member, CASE WHEN event_type = 'signup' THEN 'A01' WHEN event_type = 'purchase' THEN 'A03' WHEN event_type = 'view' THEN 'A02' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'A11' WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'A13' ELSE 'A08' END AS event_type, ts, event_id % 4 AS facility FROM events)"
+
+
+def adt_duplicates(spark, d):
+    """Exact repeats of an identity, and bursts within an hour."""
+    e = _events(spark, d)
+    exact = A.exact_duplicates(e, ["member", "event_type", "facility"], ["ts", "event_id"]).select("event_id", F.col("is_duplicate").alias("repeat"))
+    return A.tolerance_duplicates(e, ["member"], "ts", 3600, "event_id").join(exact, "event_id").select("event_id", "is_duplicate", "burst", "repeat")
+
+
+def adt_groups(spark, d):
+    """Groups, sequence, current event, conflicts."""
+    e = _events(spark, d).withColumn("admission_ts", F.date_trunc("day", "ts")).withColumn("visit", F.when(F.col("event_id") % 2 == 0, F.col("facility").cast("string")).otherwise(" "))
+    g = A.encounter_group(e)
+    g = A.sequenced(A.exact_duplicates(g, ["group_id", "event_type"], ["ts", "event_id"]), "group_id", "ts", "event_id")
+    return g.join(A.conflicts(g, "group_id"), "group_id").select("event_id", "group_id", "seq", "is_current", "facilities", "conflict", "order_ok")
+
+
+def adt_standing(spark, d):
+    """Events that no cancellation has taken back. A stack of open events for each kind is beyond SQL without recursion."""
+    return A.without_cancelled(_events(spark, d), "member", "ts", "event_id").select("event_id", "event_type")
+
+
+NOW = "2024-02-15 00:00:00"
+
+
+def _stays(spark, d):
+    return A.stays(_events(spark, d), "member", "ts", "event_id", transfer_hours=24, open_days=30, now=F.lit(NOW).cast("timestamp"))
+
+
+STAYS = f"""{EVENTS}, mv AS (SELECT *, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts FROM ev WHERE event_type IN ('A01', 'A03') WINDOW w AS (PARTITION BY member ORDER BY ts, event_id)),
+legs AS (SELECT member, ts AS a, event_id, CASE WHEN nt = 'A03' THEN nts END AS d FROM mv WHERE event_type = 'A01'),
+l2 AS (SELECT *, CASE WHEN epoch(date_trunc('second', a)) - epoch(date_trunc('second', lag(d) OVER (PARTITION BY member ORDER BY a, event_id))) <= 86400 THEN 0 ELSE 1 END AS fresh FROM legs),
+l3 AS (SELECT *, sum(fresh) OVER (PARTITION BY member ORDER BY a, event_id ROWS UNBOUNDED PRECEDING) AS stay FROM l2),
+stays AS (SELECT member, CAST(stay AS INT) AS stay, min(a) AS admit_ts, max_by(d, a) AS discharge_ts, count(*) AS n_legs FROM l3 GROUP BY 1, 2),
+l4 AS (SELECT *, row_number() OVER (PARTITION BY member, stay ORDER BY a DESC, event_id DESC) AS r FROM l3),
+judged AS (SELECT s.member, s.stay, s.admit_ts, l4.d AS discharge_ts, s.n_legs, CASE WHEN l4.d IS NOT NULL THEN 'closed' WHEN date_diff('day', s.admit_ts, TIMESTAMP '{NOW}') > 30 THEN 'stale' ELSE 'open' END AS state FROM stays s JOIN l4 ON s.member = l4.member AND s.stay = l4.stay AND r = 1)"""
+
+
+def adt_stays(spark, d):
+    """U7."""
+    return _stays(spark, d).groupBy("state").agg(F.count("*").alias("n"), F.sum("n_legs").alias("legs"), F.count("discharge_ts").alias("closed"))
+
+
+def _readmissions(spark, d):
+    return A.readmissions(_stays(spark, d).where("state = 'closed'"), "member", end=F.lit(NOW).cast("timestamp"))
+
+
+def adt_readmissions(spark, d):
+    """U8."""
+    return _readmissions(spark, d).select("member", "stay", "days_to_next", "readmit_7", "readmit_15", "readmit_30", "window_complete")
+
+
+READMITS = f"""{STAYS}, c AS (SELECT * FROM judged WHERE state = 'closed'), n AS (SELECT *, date_diff('day', discharge_ts, lead(admit_ts) OVER (PARTITION BY member ORDER BY admit_ts, discharge_ts)) AS g FROM c),
+re AS (SELECT member, stay, admit_ts, discharge_ts, CAST(g AS INT) AS days_to_next, coalesce(g BETWEEN 0 AND 7, false) AS readmit_7, coalesce(g BETWEEN 0 AND 15, false) AS readmit_15, coalesce(g BETWEEN 0 AND 30, false) AS readmit_30, coalesce(g BETWEEN 0 AND 30, false) OR date_diff('day', discharge_ts, TIMESTAMP '{NOW}') >= 30 AS window_complete FROM n)"""
+
+
+def metric_readmission(spark, d):
+    """K5."""
+    return M.readmission_rate(_readmissions(spark, d).withColumn("arm", F.col("member") % 3), ["arm"], excluded=F.col("stay") > 40)
+
+
+def metric_alos(spark, d):
+    """K6."""
+    return M.length_of_stay(_stays(spark, d).where("state = 'closed'").withColumn("arm", F.col("member") % 3), ["arm"])
+
+
+def metric_home(spark, d):
+    """K6: days at home of covered members, orders as coverage and late line items as days away."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    away = l.join(o, l.l_orderkey == o.o_orderkey).where("o_custkey % 3 = 0 and l_quantity > 45").select(F.col("o_custkey").alias("member"), F.to_date("l_shipdate").alias("from_date"), F.date_add(F.to_date("l_shipdate"), 5).alias("to_date"))
+    return M.days_at_home(_spans(spark, d), away)
+
+
+def _months(spark, d):
+    return C.member_months(_spans(spark, d), ["member"]).withColumn("arm", F.col("member") % 4).withColumn("year", F.year("month"))
+
+
+MM = f"{MONTHS}, mm AS (SELECT *, days / day(last_day(month)) AS exact, round(days / day(last_day(month)), 6) AS share, member % 4 AS arm, CAST(year(month) AS INT) AS year FROM months)"
+
+
+def metric_months(spark, d):
+    """K1: with subtotals."""
+    return M.member_month_totals(_months(spark, d), ["arm", "year"], rolled=True)
+
+
+def _costs(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("member"), (F.col("o_custkey") % 4).alias("arm"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("allowed"), F.to_date("o_orderdate").alias("service_date"), "o_orderkey")
+
+
+COSTS = "costs AS (SELECT o_custkey AS member, o_custkey % 4 AS arm, CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS allowed, CAST(o_orderdate AS DATE) AS service_date, o_orderkey FROM orders)"
+
+
+def metric_pmpm(spark, d):
+    """K2."""
+    out = M.pmpm(_costs(spark, d), _months(spark, d), ["arm", "year"])
+    return out.select("arm", "year", F.round("allowed", 2).alias("allowed"), F.round("member_months", 3).alias("member_months"), F.round("pmpm", 2).alias("pmpm"))
+
+
+def metric_parts(spark, d):
+    """K3: the change from 1997 to 1998 by use and price."""
+    c = _costs(spark, d).where("year in (1997, 1998)").withColumn("period", F.col("year") - 1997)
+    m = _months(spark, d).where("year in (1997, 1998)").groupBy("arm", (F.col("year") - 1997).alias("period")).agg(F.sum("share").alias("member_months"))
+    u = c.groupBy("arm", "period").agg(F.count("*").alias("units"), F.sum("allowed").alias("allowed"))
+    out = M.pmpm_parts(u.join(m, ["arm", "period"]), "arm")
+    return out.select("arm", *[F.round(x, 2).alias(x) for x in ("change", "by_use", "by_price")])
+
+
+def metric_thousand(spark, d):
+    """K4."""
+    out = M.per_thousand(_costs(spark, d).where("allowed > 300000"), _months(spark, d), ["arm", "year"])
+    return out.select("arm", "year", "events", F.round("rate", 1).alias("rate"))
+
+
+def metric_total_cost(spark, d):
+    """K7: benchmarks derived from the table itself."""
+    b = _costs(spark, d).groupBy("arm").agg(F.round(F.avg("allowed"), 2).alias("pmpm"))
+    out = M.total_cost(_costs(spark, d), _months(spark, d), b, "arm", 2_000_000.0, F.lit("2001-06-30").cast("date"))
+    return out.select("arm", F.round("pmpm", 2).alias("pmpm"), "benchmark", F.round("ratio", 4).alias("ratio"), "provisional")
+
+
+def _paid(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    j = l.join(o, l.l_orderkey == o.o_orderkey)
+    return j.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("service_month"), F.to_date(F.greatest(F.date_trunc("month", "l_shipdate"), F.date_trunc("month", "o_orderdate"))).alias("paid_month"), F.col("l_extendedprice").alias("amount"))
+
+
+PAID = "paid AS (SELECT date_trunc('month', o_orderdate) AS s, least(3, date_diff('month', date_trunc('month', o_orderdate), greatest(date_trunc('month', l_shipdate), date_trunc('month', o_orderdate)))) AS lag, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey), tri AS (SELECT s, sum(amount) FILTER (lag <= 0) AS a0, sum(amount) FILTER (lag <= 1) AS a1, sum(amount) FILTER (lag <= 2) AS a2, sum(amount) AS a3 FROM paid GROUP BY 1)"
+
+
+def metric_triangle(spark, d):
+    """K8."""
+    t = M.lag_triangle(_paid(spark, d), 3)
+    return t.select(F.col("service_month").cast("string").alias("service_month"), *[F.round(f"lag_{i}", 2).alias(f"lag_{i}") for i in range(4)])
+
+
+def metric_completion(spark, d):
+    """K8: completion factors from months old enough."""
+    t = M.lag_triangle(_paid(spark, d), 3)
+    return M.completion_factors(t, 3, F.lit("2001-01-01").cast("date")).select("lag", F.round("factor", 4).alias("factor"))
+
+
+def metric_loss(spark, d):
+    """K9."""
+    p = table(spark, d, "customer").select((F.col("c_custkey") % 4).alias("arm"), F.abs("c_acctbal").alias("premium"))
+    out = M.loss_ratio(_costs(spark, d), p, ["arm"])
+    return out.select("arm", F.round("costs", 2).alias("costs"), F.round("premium", 2).alias("premium"), F.round("ratio", 4).alias("ratio"))
+
+
+def metric_risk(spark, d):
+    """Codes are part types, conditions brands of suppliers, coefficients from part prices."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    dx = l.join(o, l.l_orderkey == o.o_orderkey).where("l_quantity > 40").select(F.col("o_custkey").alias("member"), (F.col("l_partkey") % 30).alias("code"))
+    parts = table(spark, d, "part").where("p_partkey < 30").select(F.col("p_partkey").alias("code"), (F.col("p_partkey") % 10).alias("hcc"), (F.col("p_size") / 100).alias("c"))
+    coef = parts.groupBy("hcc").agg(F.round(F.sum("c"), 4).alias("coefficient"))
+    up = parts.select("hcc").distinct().where("hcc % 2 = 1").select("hcc", (F.col("hcc") - 1).alias("parent"))
+    return M.risk_scores(dx, parts.select("code", "hcc"), up, coef)
+
+
+def metric_gaps(spark, d):
+    """K11."""
+    l, o, p = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "part")
+    ev = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("member"), F.col("l_partkey").alias("code"))
+    sets = p.where("p_size <= 3").select(F.col("p_type").alias("measure"), F.when(F.col("p_size") == 1, "exclusion").otherwise("numerator").alias("role"), F.col("p_partkey").alias("code"))
+    members = table(spark, d, "customer").select(F.col("c_custkey").alias("member"))
+    return M.gap_closure(members, ev, sets)
+
+
+def metric_attribution(spark, d):
+    """K12."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    v = l.join(o, l.l_orderkey == o.o_orderkey).where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("member"), (F.col("l_suppkey") % 10).alias("provider"), F.when(F.col("l_returnflag") == "A", "primary").when(F.col("l_returnflag") == "N", "specialist").otherwise("other").alias("tier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("allowed"), F.col("l_shipdate").alias("service_date"))
+    own = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("member"), F.lit(99).cast("long").alias("provider"))
+    return M.attributed(v, own, ["primary", "specialist"])
+
+
+def metric_attributed(spark, d):
+    """K13."""
+    o = table(spark, d, "orders")
+    return M.attributed_counts(o.select(F.col("o_orderstatus").alias("programme"), F.year("o_orderdate").alias("version"), F.col("o_custkey").alias("member")))
+
+
+def metric_pdc(spark, d):
+    """K14."""
+    o = table(spark, d, "orders").where("o_custkey % 3 = 0")
+    f = o.select(F.col("o_custkey").alias("member"), F.col("o_orderstatus").alias("drug_class"), F.to_date("o_orderdate").alias("filled_date"), (F.col("o_orderkey") % 60 + 30).cast("int").alias("days_supply"))
+    return M.days_covered(f, F.lit("1997-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
+
+
+def metric_cohort(spark, d):
+    """K15."""
+    a = table(spark, d, "orders").where("o_custkey % 3 = 0 and o_orderstatus = 'F'").select(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("anchor"))
+    return M.cohort(_spans(spark, d), a, 60, 30).groupBy("member").agg(F.count("*").alias("n"))
+
+
+def _rates(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.year("o_orderdate").alias("period"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("numerator"), F.count("*").alias("denominator"))
+
+
+def metric_moves(spark, d):
+    """Moves of a rate."""
+    moves, _ = M.triage(_rates(spark, d), ["status", "priority"])
+    return moves.select("period", *[F.round(c, 3).alias(c) for c in ("rate", "change", "from_numerator", "from_denominator")])
+
+
+def metric_concentration(spark, d):
+    """Where the last move comes from, over all groupings."""
+    _, cells = M.triage(_rates(spark, d), ["status", "priority"])
+    return cells.select("status", "priority", "level", F.round("delta", 2).alias("delta"), F.round("share", 4).alias("share"))
+
+
+def metric_bridge(spark, d):
+    """K17."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"))
+    b = o.where("o_orderkey % 7 <> 0").withColumn("amount", F.when(F.col("o_orderkey") % 5 == 0, F.col("amount") + 1).otherwise(F.col("amount")))
+    return M.bridge(o.where("o_orderkey % 11 <> 0"), b, "o_orderkey")
+
+
+def metric_suppressed(spark, d):
+    """K18."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r = c.where("c_custkey % 2 = 0 or n_regionkey > 0").groupBy("n_regionkey", "n_name").agg(F.count_if(F.col("c_acctbal") > 0).alias("numerator"), F.count("*").alias("denominator"))
+    return M.suppressed(r, "n_name", "n_regionkey", 55)
+
+
+def metric_sources(spark, d):
+    """The same yearly rate by orders and by line items."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    a = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("rate"))
+    b = l.groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.count_if(F.col("l_linestatus") == "F") / F.count("*"), 6).alias("rate"))
+    return M.across_sources({"orders": a, "lines": b}, "year")
+
+
+def _persons(spark, d):
+    """Customers as people of two systems; every sixth of the second has a slip in its name."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    return c.select(
+        k.alias("id"), F.when(k % 13 == 0, "999999999").otherwise((k % 400).cast("string")).alias("mbi"), F.concat(F.lit("First"), k % 40).alias("first"), F.concat(F.element_at(F.split("c_mktsegment", ""), 1), F.lit("ame"), (k % 37).cast("string")).alias("last"),
+        F.date_add(F.lit("1950-01-01").cast("date"), (k % 211).cast("int")).alias("dob"), F.lpad((k % 90).cast("string"), 5, "1").alias("zip"), F.when(k % 3 > 0, F.concat(F.lit("555-"), F.lpad((k % 500).cast("string"), 4, "0"))).alias("phone"),
+    )
+
+
+PERSONS = "p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 400 AS VARCHAR) END AS mbi, upper('First' || (c_custkey % 40)) AS first, upper(c_mktsegment[1] || 'ame' || (c_custkey % 37)) AS last, DATE '1950-01-01' + CAST(c_custkey % 211 AS INT) AS dob, CASE WHEN c_custkey % 3 > 0 THEN '555-' || lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') END AS phone, c_custkey % 2 AS side FROM customer)"
+
+
+def identity_tiers(spark, d):
+    """I1."""
+    p = _persons(spark, d)
+    return I.tiered_match(p.where("id % 2 = 0"), p.where("id % 2 = 1"), [["mbi"], ["last", "dob"], ["first", "last"]])
+
+
+def identity_pairs(spark, d):
+    """Pairs by three blocking passes."""
+    pairs, _ = I.candidate_pairs(_persons(spark, d), most=400)
+    return pairs.groupBy((F.col("a") % 10).alias("digit")).agg(F.count("*").alias("n"))
+
+
+def identity_people(spark, d):
+    """Scored pairs and the people they make. Components are beyond plain SQL; tests hold them to a union-find."""
+    p = _persons(spark, d)
+    pairs, _ = I.candidate_pairs(p, most=400)
+    scored = I.compared(pairs, p, {"first": 2.0, "last": 2.0, "dob": 2.0, "phone": 1.0}, 0.9, 0.75)
+    return I.person_keys(p, scored)
+
+
+def identity_impact(spark, d):
+    """I6."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    before = c.where("id % 9 <> 0").select("id", (F.col("id") % 50).alias("person_key"))
+    after = c.where("id % 50 <> 5").select("id", F.when(F.col("id") % 50 == 1, 2).when(F.col("id") % 100 == 3, F.lit(1003)).otherwise(F.col("id") % 50).alias("person_key"))
+    return I.crosswalk_impact(before, after)
+
+
+IMPACT = """WITH b AS (SELECT c_custkey AS id, c_custkey % 50 AS w FROM customer WHERE c_custkey % 9 <> 0), a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 1 THEN 2 WHEN c_custkey % 100 = 3 THEN 1003 ELSE c_custkey % 50 END AS n FROM customer WHERE c_custkey % 50 <> 5),
+ j AS (SELECT w, n FROM b FULL JOIN a USING (id)), i AS (SELECT DISTINCT w, n FROM j WHERE w IS NOT NULL AND n IS NOT NULL), m AS (SELECT n FROM i GROUP BY 1 HAVING count(*) > 1), s AS (SELECT w FROM i GROUP BY 1 HAVING count(*) > 1),
+ t AS (SELECT 'merged' AS change, count(*) AS n FROM m UNION ALL SELECT 'split', count(*) FROM s UNION ALL SELECT 'new', count(*) FROM (SELECT n FROM j WHERE n IS NOT NULL GROUP BY 1 HAVING count(w) = 0) UNION ALL SELECT 'ended', count(*) FROM (SELECT w FROM j WHERE w IS NOT NULL GROUP BY 1 HAVING count(n) = 0)
+ UNION ALL SELECT 'unchanged', count(*) FROM i WHERE n NOT IN (SELECT n FROM m) AND w NOT IN (SELECT w FROM s)) SELECT * FROM t WHERE n > 0"""
+QUERIES = {
+    "claims_final": (claims_final, f"WITH {CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, adjustment = 'CANCELLATION' ORDER BY {ORDER}) AS n FROM claims) SELECT l_orderkey, count(*) AS n, round(sum(paid), 2) AS paid FROM r WHERE adjustment <> 'CANCELLATION' AND NOT EXISTS (SELECT 1 FROM r x WHERE x.adjustment = 'CANCELLATION' AND x.l_orderkey = r.l_orderkey AND x.n = r.n) GROUP BY 1"),
+    "claims_current": (claims_current, f"WITH {CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, paid DESC, l_quantity DESC) AS n FROM claims) SELECT l_orderkey, l_linenumber, l_partkey, adjustment FROM r WHERE n = 1 AND adjustment <> 'CANCELLATION'"),
+    "claims_net": (claims_net, f"WITH {CLAIMS}, c AS (SELECT *, CAST(paid AS DECIMAL(18,4)) AS v, adjustment = 'CANCELLATION' AS void FROM claims) SELECT l_linenumber, CAST(sum(CASE WHEN void THEN -abs(v) ELSE v END) AS DOUBLE) AS net, CAST(sum(CASE WHEN void THEN 0 ELSE v END) AS DOUBLE) AS gross, count(*) FILTER (void) AS reversals, round(count(*) FILTER (void) / count(*), 6) AS reversal_rate FROM c GROUP BY 1"),
+    "claims_setting": (claims_setting, """WITH l AS (SELECT l_orderkey AS k, bool_or(l_linenumber = 7) AS er, bool_or(l_quantity > 40) AS pos, bool_or(l_quantity < 5) AS office FROM lineitem GROUP BY 1),
+ h AS (SELECT o_orderkey % 10 AS m, o_orderstatus = 'P' AS rx, coalesce(er, false) AS er, coalesce(pos, false) AS pos, coalesce(office, false) AS office FROM orders LEFT JOIN l ON o_orderkey = k)
+ SELECT CASE WHEN m = 0 THEN 'inpatient' WHEN m = 1 THEN 'skilled_nursing' WHEN er OR pos THEN 'emergency' WHEN rx THEN 'pharmacy' WHEN m < 5 THEN 'outpatient' WHEN office THEN 'office' ELSE 'other' END AS setting, count(*) AS n FROM h GROUP BY 1"""),
+    "claims_wide": (claims_wide, "SELECT l_suppkey, " + ", ".join(f"CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) FILTER (l_returnflag = '{c}') AS DOUBLE) AS amount_{c.lower()}" for c in "ANR") + " FROM lineitem GROUP BY 1"),
+    "adt_duplicates": (adt_duplicates, f"""WITH {EVENTS}, g AS (SELECT *, coalesce(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY member ORDER BY ts, event_id))) <= 3600, false) AS dup, row_number() OVER (PARTITION BY member, event_type, facility ORDER BY ts, event_id) > 1 AS repeat FROM ev)
+ SELECT event_id, dup AS is_duplicate, CAST(sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY member ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst, repeat FROM g"""),
+    "adt_groups": (adt_groups, f"""WITH {EVENTS}, g AS (SELECT *, member || '|' || CASE WHEN event_id % 2 = 0 THEN CAST(facility AS VARCHAR) ELSE strftime(ts, '%Y%m%d') END AS group_id FROM ev),
+ s AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY ts, event_id) AS INT) AS seq, row_number() OVER (PARTITION BY group_id, event_type ORDER BY ts, event_id) = 1 AS fresh FROM g), m AS (SELECT *, max(CASE WHEN fresh THEN seq END) OVER (PARTITION BY group_id) AS top FROM s),
+ c AS (SELECT group_id, count(DISTINCT facility) AS facilities, coalesce(max(ts) FILTER (event_type = 'A03') >= min(ts) FILTER (event_type = 'A01'), true) AS order_ok FROM g GROUP BY 1)
+ SELECT event_id, group_id, seq, seq = top AS is_current, facilities, facilities > 1 AS conflict, order_ok FROM m JOIN c USING (group_id)"""),
+    "adt_standing": (adt_standing, None),
+    "adt_stays": (adt_stays, f"WITH {STAYS} SELECT state, count(*) AS n, CAST(sum(n_legs) AS BIGINT) AS legs, count(discharge_ts) AS closed FROM judged GROUP BY 1"),
+    "adt_readmissions": (adt_readmissions, f"WITH {READMITS} SELECT member, stay, days_to_next, readmit_7, readmit_15, readmit_30, window_complete FROM re"),
+    "metric_readmission": (metric_readmission, f"WITH {READMITS} SELECT member % 3 AS arm, count(*) FILTER (window_complete) AS index_stays, count(*) FILTER (window_complete AND readmit_30) AS readmissions, count(*) FILTER (NOT window_complete) AS incomplete, round(count(*) FILTER (window_complete AND readmit_30) / nullif(count(*) FILTER (window_complete), 0), 6) AS rate FROM re WHERE stay <= 40 GROUP BY 1"),
+    "metric_alos": (metric_alos, f"WITH {STAYS} SELECT member % 3 AS arm, count(*) AS stays, CAST(sum(date_diff('day', admit_ts, discharge_ts)) AS BIGINT) AS days, round(avg(date_diff('day', admit_ts, discharge_ts)), 4) AS alos FROM judged WHERE state = 'closed' GROUP BY 1"),
+    "metric_home": (metric_home, f"""WITH {SPANS}, d AS (SELECT DISTINCT member, unnest(generate_series(from_date, to_date, INTERVAL 1 DAY)) AS day FROM spans), g AS (SELECT DISTINCT o_custkey AS member, unnest(generate_series(CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + 5, INTERVAL 1 DAY)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0 AND l_quantity > 45)
+ SELECT member, count(*) AS days, count(g.day) AS days_away, count(*) - count(g.day) AS days_home FROM d LEFT JOIN g USING (member, day) GROUP BY 1"""),
+    "metric_months": (metric_months, f"WITH {MM} SELECT arm, year, count(DISTINCT member) AS members, round(sum(share), 4) AS member_months FROM mm GROUP BY ROLLUP (arm, year)"),
+    "metric_pmpm": (metric_pmpm, f"""WITH {MM}, {COSTS}, b AS (SELECT arm, year, sum(share) AS m FROM mm GROUP BY 1, 2), c AS (SELECT arm, year, sum(allowed) AS a FROM costs WHERE member IN (SELECT member FROM mm) GROUP BY 1, 2)
+ SELECT arm, year, round(coalesce(a, 0), 2) AS allowed, round(m, 3) AS member_months, round(coalesce(a, 0) / m, 2) AS pmpm FROM b LEFT JOIN c USING (arm, year)"""),
+    "metric_parts": (metric_parts, f"""WITH {MM}, {COSTS}, m AS (SELECT arm, year, sum(share) AS m FROM mm GROUP BY 1, 2), u AS (SELECT arm, year, count(*) AS u, sum(allowed) AS a FROM costs GROUP BY 1, 2), j AS (SELECT * FROM m JOIN u USING (arm, year)),
+ ww AS (SELECT x.arm, x.u / x.m AS u0, y.u / y.m AS u1, x.a / x.u AS p0, y.a / y.u AS p1 FROM j x JOIN j y ON x.arm = y.arm AND x.year = 1997 AND y.year = 1998) SELECT arm, round(u1 * p1 - u0 * p0, 2) AS change, round((u1 - u0) * p0, 2) AS by_use, round(u1 * (p1 - p0), 2) AS by_price FROM ww"""),
+    "metric_thousand": (metric_thousand, f"WITH {MM}, {COSTS}, m AS (SELECT arm, year, sum(share) AS m FROM mm GROUP BY 1, 2), e AS (SELECT arm, year, count(*) AS e FROM costs WHERE allowed > 300000 GROUP BY 1, 2) SELECT arm, year, coalesce(e, 0) AS events, round(coalesce(e, 0) * 12000 / m, 1) AS rate FROM m LEFT JOIN e USING (arm, year)"),
+    "metric_total_cost": (metric_total_cost, f"""WITH {MM}, {COSTS}, e AS (SELECT arm, member, least(sum(allowed), 2000000.0) AS a, max(service_date) AS t FROM costs GROUP BY 1, 2), o AS (SELECT arm, sum(a) AS a, max(t) AS t FROM e GROUP BY 1), m AS (SELECT arm, sum(share) AS m FROM mm GROUP BY 1), b AS (SELECT arm, round(avg(allowed), 2) AS b FROM costs GROUP BY 1)
+ SELECT arm, round(a / m, 2) AS pmpm, b AS benchmark, round(a / m / b, 4) AS ratio, t > DATE '2001-06-30' AS provisional FROM o JOIN m USING (arm) JOIN b USING (arm)"""),
+    "metric_triangle": (metric_triangle, f"WITH {PAID} SELECT strftime(s, '%Y-%m-%d') AS service_month, " + ", ".join(f"round(coalesce(a{i}, 0), 2) AS lag_{i}" for i in range(4)) + " FROM tri"),
+    "metric_completion": (metric_completion, f"WITH {PAID}, o AS (SELECT * FROM tri WHERE date_diff('month', s, TIMESTAMP '2001-01-01') >= 3) " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS lag, round(sum(coalesce(a{i}, 0)) / sum(a3), 4) AS factor FROM o" for i in range(4))),
+    "metric_loss": (metric_loss, f"WITH {COSTS}, a AS (SELECT arm, sum(allowed) AS c FROM costs GROUP BY 1), p AS (SELECT c_custkey % 4 AS arm, sum(abs(c_acctbal)) AS p FROM customer GROUP BY 1) SELECT arm, round(c, 2) AS costs, round(p, 2) AS premium, round(c / p, 4) AS ratio FROM a FULL JOIN p USING (arm)"),
+    "metric_risk": (metric_risk, """WITH pt AS (SELECT p_partkey AS code, p_partkey % 10 AS hcc, p_size / 100 AS c FROM part WHERE p_partkey < 30), cf AS (SELECT hcc, round(sum(c), 4) AS k FROM pt GROUP BY 1), h AS (SELECT DISTINCT o_custkey AS member, hcc FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN pt ON l_partkey % 30 = code WHERE l_quantity > 40)
+ SELECT h.member, count(*) AS n_conditions, round(sum(coalesce(k, 0)), 6) AS score FROM h LEFT JOIN cf USING (hcc) WHERE NOT (h.hcc % 2 = 1 AND EXISTS (SELECT 1 FROM h x WHERE x.member = h.member AND x.hcc = h.hcc - 1)) GROUP BY 1"""),
+    "metric_gaps": (metric_gaps, """WITH s AS (SELECT p_type AS measure, p_size = 1 AS ex, p_partkey AS code FROM part WHERE p_size <= 3), f AS (SELECT o_custkey AS member, measure, bool_or(ex) AS ex, bool_or(NOT ex) AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN s ON l_partkey = code GROUP BY 1, 2), m AS (SELECT c_custkey AS member, measure FROM customer, (SELECT DISTINCT measure FROM s)),
+ j AS (SELECT measure, coalesce(ex, false) AS ex, coalesce(hit, false) AS hit FROM m LEFT JOIN f USING (member, measure)) SELECT measure, count(*) AS eligible, count(*) FILTER (ex) AS excluded, count(*) FILTER (hit AND NOT ex) AS compliant, round(count(*) FILTER (hit AND NOT ex) / nullif(count(*) - count(*) FILTER (ex), 0), 6) AS rate FROM j GROUP BY 1"""),
+    "metric_attribution": (metric_attribution, """WITH v AS (SELECT o_custkey AS member, l_suppkey % 10 AS provider, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS t, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, l_shipdate AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0 AND l_returnflag IN ('A', 'N')),
+ g AS (SELECT member, provider, t, sum(a) AS a, count(*) AS n, max(s) AS s FROM v GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY t, a DESC, n DESC, s DESC, provider) AS r FROM g)
+ SELECT member, provider, CASE t WHEN 1 THEN 'primary' ELSE 'specialist' END AS basis FROM r WHERE r = 1 AND member % 50 <> 0 UNION ALL SELECT c_custkey, 99, 'voluntary' FROM customer WHERE c_custkey % 50 = 0"""),
+    "metric_attributed": (metric_attributed, "SELECT o_orderstatus AS programme, CAST(year(o_orderdate) AS INT) AS version, count(DISTINCT o_custkey) AS members FROM orders GROUP BY 1, 2"),
+    "metric_pdc": (metric_pdc, """WITH f AS (SELECT o_custkey AS member, o_orderstatus AS drug_class, greatest(CAST(o_orderdate AS DATE), DATE '1997-01-01') AS a, least(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 + 29 AS INT), DATE '1998-12-31') AS b FROM orders WHERE o_custkey % 3 = 0), d AS (SELECT DISTINCT member, drug_class, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM f WHERE a <= b)
+ SELECT member, drug_class, count(*) AS days, round(count(*) / 730, 6) AS pdc FROM d GROUP BY 1, 2"""),
+    "metric_cohort": (metric_cohort, f"""WITH {SPANS}, w AS (SELECT *, max(to_date) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR from_date - reach > 31 THEN 1 ELSE 0 END) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS UNBOUNDED PRECEDING) AS g FROM w), s AS (SELECT member, g, min(from_date) AS a, max(to_date) AS b FROM i GROUP BY 1, 2),
+ an AS (SELECT DISTINCT o_custkey AS member, CAST(o_orderdate AS DATE) AS anchor FROM orders WHERE o_custkey % 3 = 0 AND o_orderstatus = 'F') SELECT member, count(*) AS n FROM an JOIN s USING (member) WHERE a <= anchor - 60 AND anchor <= b GROUP BY 1"""),
+    "metric_moves": (metric_moves, "WITH w AS (SELECT CAST(year(o_orderdate) AS INT) AS period, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS n, count(*) AS d FROM orders GROUP BY 1), l AS (SELECT *, lag(n) OVER (ORDER BY period) AS n0, lag(d) OVER (ORDER BY period) AS d0 FROM w) SELECT period, round(n / d, 3) AS rate, round(n / d - n0 / d0, 3) AS change, round((n - n0) / d0, 3) AS from_numerator, round(n / d - n / d0, 3) AS from_denominator FROM l"),
+    "metric_concentration": (metric_concentration, """WITH x AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) THEN 1 ELSE -1 END AS v FROM orders WHERE year(o_orderdate) >= (SELECT max(year(o_orderdate)) - 1 FROM orders)),
+ c AS (SELECT status, priority, CAST(grouping(status, priority) AS INT) AS level, sum(v)::DOUBLE AS delta FROM x GROUP BY CUBE (status, priority)) SELECT status, priority, level, round(delta, 2) AS delta, round(delta / (SELECT max(delta) FROM c WHERE level = 3), 4) AS share FROM c"""),
+    "metric_bridge": (metric_bridge, """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS a FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS b FROM orders WHERE o_orderkey % 7 <> 0)
+ SELECT CASE WHEN a IS NULL THEN 'right_only' WHEN b IS NULL THEN 'left_only' WHEN a <> b THEN 'differs' ELSE 'equal' END AS category, count(*) AS n, round(sum(coalesce(b, 0) - coalesce(a, 0)), 2) AS amount FROM a FULL JOIN b USING (k) GROUP BY 1"""),
+    "metric_suppressed": (metric_suppressed, """WITH r AS (SELECT n_regionkey, n_name, count(*) FILTER (c_acctbal > 0) AS n, count(*) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0 OR n_regionkey > 0 GROUP BY 1, 2), p AS (SELECT *, sum(n) OVER (PARTITION BY n_regionkey) AS pn, sum(d) OVER (PARTITION BY n_regionkey) AS pd FROM r)
+ SELECT n_regionkey, n_name, CASE WHEN d >= 55 THEN d END AS denominator, round(CASE WHEN d >= 55 THEN n / d WHEN pd >= 55 THEN pn / pd END, 6) AS rate, CASE WHEN d >= 55 THEN 'own' WHEN pd >= 55 THEN 'parent' ELSE 'suppressed' END AS basis FROM p"""),
+    "metric_sources": (metric_sources, "WITH a AS (SELECT CAST(year(o_orderdate) AS INT) AS year, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS orders FROM orders GROUP BY 1), b AS (SELECT CAST(year(l_shipdate) AS INT) AS year, round(count(*) FILTER (l_linestatus = 'F') / count(*), 6) AS lines FROM lineitem GROUP BY 1) SELECT year, orders, lines FROM a FULL JOIN b USING (year)"),
+    "identity_tiers": (identity_tiers, f"""WITH {PERSONS}, l AS (SELECT * FROM p WHERE side = 0), r AS (SELECT * FROM p WHERE side = 1), t1 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 1 AS tier FROM l JOIN r USING (mbi) GROUP BY 1 HAVING count(DISTINCT r.id) = 1),
+ t2 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 2 AS tier FROM l JOIN r USING (last, dob) WHERE l.id NOT IN (SELECT left_id FROM t1) GROUP BY 1 HAVING count(DISTINCT r.id) = 1), t3 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 3 AS tier FROM l JOIN r USING (first, last) WHERE l.id NOT IN (SELECT left_id FROM t1) AND l.id NOT IN (SELECT left_id FROM t2) GROUP BY 1 HAVING count(DISTINCT r.id) = 1)
+ SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3"""),
+    "identity_pairs": (identity_pairs, None),
+    "identity_people": (identity_people, None),
+    "identity_impact": (identity_impact, IMPACT),
+}

@@ -200,8 +200,8 @@ def change_months(spark, d):
 ISLANDS = """w AS (SELECT *, max(to_date) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR from_date - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS UNBOUNDED PRECEDING) AS island FROM w),
 islands AS (SELECT member, island, min(from_date) AS from_date, max(to_date) AS to_date, count(*) AS n_spans FROM i GROUP BY 1, 2)"""
-MONTHS = f"""{SPANS}, {ISLANDS}, m AS (SELECT member, from_date, to_date, unnest(generate_series(date_trunc('month', from_date), date_trunc('month', to_date), INTERVAL 1 MONTH)) AS month FROM islands),
-months AS (SELECT member, CAST(month AS DATE) AS month, CAST(sum(date_diff('day', greatest(from_date, CAST(month AS DATE)), least(to_date, last_day(month))) + 1) AS INT) AS days FROM m GROUP BY 1, 2)"""
+MONTHS = f"""{SPANS}, {ISLANDS}, mspan AS (SELECT member, from_date, to_date, unnest(generate_series(date_trunc('month', from_date), date_trunc('month', to_date), INTERVAL 1 MONTH)) AS month FROM islands),
+months AS (SELECT member, CAST(month AS DATE) AS month, CAST(sum(date_diff('day', greatest(from_date, CAST(month AS DATE)), least(to_date, last_day(month))) + 1) AS INT) AS days FROM mspan GROUP BY 1, 2)"""
 QUERIES = {
     "dq_verdicts": (dq_verdicts, f"WITH {PEOPLE} SELECT k AS c_custkey, verdict, CAST(CAST(q1 AS INT) + CAST(q2 AS INT) + CAST(q3 AS INT) + CAST(q4 AS INT) + CAST(q5 AS INT) + CAST(q5b AS INT) + CAST(q14 AS INT) + CAST(q16 AS INT) + CAST(q2z AS INT) AS INT) AS n_failures FROM judged"),
     "dq_counts": (dq_counts, f"WITH {PEOPLE}, t AS (SELECT 'Q1' AS rule_id, 'quarantine' AS action, count(*) FILTER (q1) AS n FROM hits UNION ALL SELECT 'Q2', 'warn', count(*) FILTER (q2) FROM hits UNION ALL SELECT 'Q3', 'quarantine', count(*) FILTER (q3) FROM hits UNION ALL SELECT 'Q4', 'warn', count(*) FILTER (q4) FROM hits UNION ALL SELECT 'Q5', 'warn', count(*) FILTER (q5) FROM hits UNION ALL SELECT 'Q5b', 'observe', count(*) FILTER (q5b) FROM hits UNION ALL SELECT 'Q14', 'observe', count(*) FILTER (q14) FROM hits UNION ALL SELECT 'Q16', 'observe', count(*) FILTER (q16) FROM hits UNION ALL SELECT 'Q2z', 'warn', count(*) FILTER (q2z) FROM hits) SELECT * FROM t WHERE n > 0"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,6 +61,18 @@ def sessions(events: DataFrame, ts: str, by: list[str], gap: str, delay: str = "
     return out.select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with several states and timers need, for the streams started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class _OpenStay(StatefulProcessor):
     """One open stay a member: admission opens, discharge closes, a timer marks what stays open too long."""
 
@@ -70,7 +83,7 @@ class _OpenStay(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("since", T.StructType([T.StructField("ms", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
         out, since = [], self.state.get()[0] if self.state.exists() else None
@@ -89,12 +102,12 @@ class _OpenStay(StatefulProcessor):
             self.state.update((since,))
         yield pd.DataFrame(out, columns=["member", "admit_ms", "end_ms", "state"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
         out = []
-        if self.state.exists() and self.state.get()[0] + self.timeout <= expired.getExpiryTimeInMs():
-            out.append((key[0], self.state.get()[0], expired.getExpiryTimeInMs(), "timed_out"))
+        if self.state.exists() and self.state.get()[0] + self.timeout <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append((key[0], self.state.get()[0], expiredTimerInfo.getExpiryTimeInMs(), "timed_out"))
             self.state.clear()
         yield pd.DataFrame(out, columns=["member", "admit_ms", "end_ms", "state"])
 
