@@ -175,56 +175,81 @@ def _partial(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q @ c.T).astype(np.int64) if most < 1 << 53 else q.astype(np.int64) @ c.T.astype(np.int64)
 
 
-def _lists(k: int, phase: int):
-    """Per lane, block and slice: the k best partial scores of each query (phase 1), or all from its cutoff on (phase 2)."""
+def _met(queries: pa.Table, lane: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Each query's id, the lane's ids, the partial scores, and the query's place in its table; different dimensions do not meet."""
+    if not (queries.num_rows and lane.num_rows):
+        return
+    qdim, cdim = (t.column("dim").to_numpy() for t in (queries, lane))
+    for dim in np.intersect1d(qdim, cdim).tolist():
+        qrows = np.flatnonzero(qdim == dim)
+        (qid, qparts), (cid, cparts) = (_matrix(t.filter(pc.equal(t.column("dim"), dim)), "v") for t in (queries, lane))
+        for (qat, q), (at, c) in ((x, y) for x in qparts for y in cparts if x[1].shape[1] == y[1].shape[1]):
+            for i in range(0, len(qat), TILE):
+                for j, scores in enumerate(_partial(q[i : i + TILE], c)):
+                    yield int(qid[qat[i + j]]), cid[at], scores, int(qrows[qat[i + j]])
+
+
+def _lists(depth: int):
+    """Phase 1, per lane, block and slice: the rows of each query's best partial scores."""
 
     def run(key, queries: pa.Table, lane: pa.Table) -> pa.Table:
-        out: list = []
-        if queries.num_rows and lane.num_rows:
-            dims = np.unique(np.concatenate([queries.column("dim").to_numpy(), lane.column("dim").to_numpy()]))
-            for dim in dims.tolist():
-                some = [t.filter(pc.equal(t.column("dim"), dim)) for t in (queries, lane)]
-                if not (some[0].num_rows and some[1].num_rows):
-                    continue
-                (qid, qparts), (cid, cparts) = (_matrix(t, "v") for t in some)
-                cut = some[0].column("cutoff").to_numpy() if phase == 2 else None
-                for qat, q in qparts:
-                    for at, c in cparts:
-                        if q.shape[1] == c.shape[1]:
-                            ids = cid[at]
-                            for i in range(0, len(qat), TILE):
-                                scores = _partial(q[i : i + TILE], c)
-                                for j, s in enumerate(scores):
-                                    me = qid[qat[i + j]]
-                                    if phase == 1:
-                                        kth = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else s.min()
-                                        part = np.flatnonzero(s >= kth)
-                                        best = part[_top(s[part], ids[part], k)]
-                                        out.append((np.full(len(best), me), ids[best], s[best], np.full(len(best), s.min())))
-                                    else:
-                                        best = np.flatnonzero(s >= cut[qat[i + j]])
-                                        out.append((np.full(len(best), me), ids[best], s[best], np.zeros(len(best), np.int64)))
-        columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        n = len(columns[0])
-        return pa.table({"query_id": columns[0], "slice": np.full(n, key[2].as_py(), np.int32), "vec_id": columns[1], "score": columns[2], "least": columns[3]})
+        asked, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for me, ids, scores, _ in _met(queries, lane):
+            best = np.argpartition(-scores, depth)[:depth] if len(scores) > depth else np.arange(len(scores))
+            asked.append(np.full(len(best), me))
+            rows.append(ids[best])
+        return pa.table({"query_id": np.concatenate(asked), "row": np.concatenate(rows)})
 
     return run
 
 
-_LIST = "query_id long, slice int, vec_id long, score long, least long"
+def _entries(key, queries: pa.Table, lane: pa.Table) -> pa.Table:
+    """Phase 2, per lane, block and slice: all entries from the query's cutoff on."""
+    out = [[np.zeros(0, np.int64)] * 3]
+    cut = queries.column("cutoff").to_numpy()
+    for me, ids, scores, at in _met(queries, lane):
+        best = np.flatnonzero(scores >= cut[at])
+        out.append([np.full(len(best), me), ids[best], scores[best]])
+    columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
+    return pa.table(dict(zip(("query_id", "row", "score"), columns, strict=True)))
+
 
+def _exact(k: int | None):
+    """Whole scores of asked pairs, per lane and block: a query's vector with the rows it asks for, against the lane's vectors."""
+
+    def run(key, queries: pa.Table, lane: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 3]
+        if queries.num_rows and lane.num_rows:
+            row, ids = lane.column("row").to_numpy(), lane.column("vec_id").to_numpy()
+            order = np.argsort(row)
+            held = lane.column("v").combine_chunks()
+            flat, size = held.flatten().to_numpy(zero_copy_only=False), held.value_lengths().to_numpy(zero_copy_only=False)
+            base = np.cumsum(size) - size
+            for me, v, want in zip(queries.column("query_id").to_pylist(), queries.column("v"), queries.column("rows"), strict=True):
+                at = order[np.searchsorted(row[order], want.values.to_numpy(zero_copy_only=False))]
+                q = v.values.to_numpy(zero_copy_only=False)
+                at = at[(ids[at] != me) & (size[at] == len(q))]
+                scores = _partial(q[None, :], flat[base[at][:, None] + np.arange(len(q))])[0]
+                if k is not None:
+                    best = _top(scores, ids[at], k)
+                    at, scores = at[best], scores[best]
+                out.append([np.full(len(at), me), ids[at], scores])
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-def top_inner(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, slices: int = 2, lane: int = LANE, block: int = BLOCK) -> DataFrame:
+    return run
+
+
+def top_inner(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, slices: int = 2, depth: int = 16, lane: int = LANE, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, the k largest integer inner products, exactly.
 
-    Components become floor(scale * x). A vector's components are cut into ``slices``, and each slice keeps its own list of partial scores.
+    Components become floor(scale * x). A vector's components are cut into ``slices``, and each slice keeps lists of partial scores.
 
-    1. Every slice gives each query's k best partial scores and a floor under all of them. Adding up what is known, with
-       the floors for what is not, the k-th best sum is a lower bound of the k-th best score.
-    2. What the bound exceeds the sum of floors by, shared evenly, is each slice's cutoff above its floor: a vector below
-       it in every slice cannot reach the bound. The slices give all entries from the cutoff on. The k-th
-       best sum of known and floor parts is a better bound; whoever could not reach it with the cutoffs for its unknown parts goes.
-    3. What remains is scored in full from the vectors.
+    1. Every slice names each query's ``depth`` best partial scores of each lane. Scored in full, the k-th best of them is a lower
+       bound of the k-th best score.
+    2. The bound's even share is the cutoff: whoever stays below it in every slice stays below the bound. The slices give all
+       entries from the cutoff on; those known in every slice that miss the bound go.
+    3. What remains is scored in full.
 
     Cutoffs travel as a column of the query blocks. Null ids, null vectors and vectors that hold null, NaN or infinity take no
     part (empty ones neither; zero vectors do). Different dimensions do not meet. Rows with the query's id are its own; repeated rows
@@ -235,44 +260,30 @@ def top_inner(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     rows = written(rows.select("vec_id", F.monotonically_increasing_id().alias("row"), "v"), "whole")
     asked = written(_asked(rows, every), "queries")
     lanes, blocks = -(-max(1, rows.count()) // lane), -(-max(1, asked.count()) // block)
-    # Within the lists "vec_id" is the row's number; a query knows its own rows by their ids, so they are dropped after.
-    own = asked.select(F.col("vec_id").alias("id")).join(rows.select(F.col("vec_id").alias("id"), "row"), "id")
     held = _dealt(_sliced(rows.select(F.col("row").alias("vec_id"), "v"), slices), _by_row(), "lane", lanes, "block", blocks)
+    group = ("lane", "block", "slice")
+    number = F.col("row") + F.shiftright("row", 33)
+    vectors_ = _dealt(rows, number, "lane", lanes, "block", blocks).groupBy("lane", "block")
+
+    def scored(pairs: DataFrame, most: int | None) -> DataFrame:
+        each = pairs.withColumn("lane", F.pmod(number, F.lit(lanes)).cast("int")).groupBy("query_id", "lane").agg(F.collect_list("row").alias("rows"))
+        each = each.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        return each.groupBy("lane", "block").cogroup(vectors_).applyInArrow(_exact(most), "query_id long, vec_id long, score long")
+
+    # Own rows stand in the lists too: ask for as many more as a query's id has rows.
+    own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     asks = _dealt(_sliced(asked, slices), _by_id(), "block", blocks, "lane", lanes)
-    extra = own.groupBy("id").count().agg(F.max("count")).first()[0] or 0
-    first = asks.groupBy("lane", "block", "slice").cogroup(held.groupBy("lane", "block", "slice")).applyInArrow(_lists(k + extra, 1), _LIST)
-    first = written(first, "phase1")
-    floors = first.groupBy("query_id", "slice").agg(F.min("least").alias("floor"))
-    known = _without_own(first, own)
-    bound = _bounds(known, floors, k)
-    floor_sum = floors.groupBy("query_id").agg(F.sum("floor").alias("floors"))
-    share = bound.join(floor_sum, "query_id").select(F.col("query_id").alias("vec_id"), F.ceil((F.col("bound") - F.col("floors")) / slices).alias("share"))
-    cut = floors.select(F.col("query_id").alias("vec_id"), "slice", "floor").join(share, "vec_id", "left")
-    cut = written(cut.select("vec_id", "slice", (F.col("floor") + F.coalesce("share", F.lit(0))).alias("cutoff")), "cutoffs")
-    again = _dealt(_sliced(asked, slices).join(cut, ["vec_id", "slice"]), _by_id(), "block", blocks, "lane", lanes)
-    second = again.groupBy("lane", "block", "slice").cogroup(held.groupBy("lane", "block", "slice")).applyInArrow(_lists(k, 2), _LIST)
-    second = written(_without_own(second, own), "phase2")
-    better = _bounds(second, floors, k)
-    tops = cut.groupBy(F.col("vec_id").alias("query_id")).agg(F.map_from_entries(F.collect_list(F.struct("slice", "cutoff"))).alias("cutoffs"))
-    sums = second.groupBy("query_id", "vec_id").agg(F.sum("score").alias("sum"), F.collect_set("slice").alias("seen"))
-    most = F.aggregate(F.map_entries("cutoffs"), F.col("sum"), lambda s, e: s + F.when(F.array_contains("seen", e["key"]), 0).otherwise(e["value"]))
-    alive = sums.join(tops, "query_id").join(better, "query_id", "left").where(F.col("bound").isNull() | (most >= F.col("bound"))).select("query_id", "vec_id")
-    full = alive.join(rows.select(F.col("row").alias("vec_id"), F.col("vec_id").alias("id"), F.col("v").alias("c")), "vec_id")
-    full = full.join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    whole = lambda c: F.transform(c, lambda x: x.cast("long"))
-    score = F.aggregate(F.zip_with(whole("v"), whole("c"), lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    return _ranked(full.select("query_id", F.col("id").alias("vec_id"), score.alias("score")), k)
-
-
-def _without_own(lists: DataFrame, own: DataFrame) -> DataFrame:
-    mine = own.select(F.col("id").alias("query_id"), F.col("row").alias("vec_id"))
-    return lists.join(mine, ["query_id", "vec_id"], "left_anti")
-
-
-def _bounds(lists: DataFrame, floors: DataFrame, k: int) -> DataFrame:
-    """``(query_id, bound)``: the k-th best sum, floors standing in for unknown parts; no row where fewer than k are known."""
-    over = lists.join(floors, ["query_id", "slice"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("floor")).alias("over"))
-    order = Window.partitionBy("query_id").orderBy(F.col("over").desc())
-    kth = over.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", "over")
-    total = floors.groupBy("query_id").agg(F.sum("floor").alias("floors"))
-    return kth.join(total, "query_id").select("query_id", (F.col("over") + F.col("floors")).alias("bound"))
+    first = asks.groupBy(*group).cogroup(held.groupBy(*group)).applyInArrow(_lists(depth + own), "query_id long, row long")
+    known = scored(first.distinct(), None)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    bound = known.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", F.col("score").alias("bound"))
+    bound = written(bound, "bounds")
+    # Queries with fewer than k known have few candidates in all, and take every entry.
+    share = F.coalesce(F.ceil(F.col("bound") / slices), F.lit(-(1 << 62))).alias("cutoff")
+    cut = asked.join(bound.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", share)
+    sliced = _sliced(asked, slices).join(cut.select("vec_id", "cutoff"), "vec_id")
+    again = _dealt(sliced, _by_id(), "block", blocks, "lane", lanes)
+    second = again.groupBy(*group).cogroup(held.groupBy(*group)).applyInArrow(_entries, "query_id long, row long, score long")
+    sums = second.groupBy("query_id", "row").agg(F.sum("score").alias("sum"), F.count("*").alias("seen"))
+    alive = sums.join(bound, "query_id", "left").where((F.col("seen") < slices) | F.col("bound").isNull() | (F.col("sum") >= F.col("bound")))
+    return _ranked(scored(alive.select("query_id", "row"), k), k)
