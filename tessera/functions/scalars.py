@@ -22,12 +22,13 @@ CAST_FORMATS = ("yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "M-d-yyyy")
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at either end; values without any are passed through."""
+    return F.when(c.rlike(f"^{SPACE}|{SPACE}$"), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def blank(c: Column) -> Column:
     """Missing, or nothing but white space."""
-    return c.isNull() | (trim(c) == "")
+    return c.isNull() | ~c.rlike(SPACE.replace("[", "[^", 1))
 
 
 def concat(c: Column, with_: str) -> Column:
@@ -67,7 +68,15 @@ def date_pattern(fmt: str) -> str:
 
 def parse_date(c: Column, fmt: str) -> Column:
     """An ISO date (text) by exactly one format, or null."""
-    return F.date_format(F.to_date(F.try_to_timestamp(c, F.lit(date_pattern(fmt)))), "yyyy-MM-dd")
+    pattern = date_pattern(fmt)
+    return F.date_format(F.when(c.rlike(text_shape(pattern)), F.try_to_timestamp(c, F.lit(pattern))), "yyyy-MM-dd")
+
+
+def text_shape(pattern: str) -> str:
+    """What a text must look like before a parser is asked: a failed parse costs a hundred times a failed match."""
+    one = {"yyyy": r"\d{4}", "yy": r"\d\d", "MMMM": r"\p{L}+", "MMM": r"\p{L}+"} | {x: r"\d\d" for x in ("MM", "dd", "HH", "mm", "ss")} | {x: r"\d\d?" for x in "MdHms"}
+    parts = re.findall(r"'[^']*'|yyyy|yy|MMMM|MMM|MM|dd|HH|mm|ss|.", pattern)
+    return "^" + "".join(one.get(p) or re.escape(p.strip("'")) for p in parts) + "$"
 
 
 def cast_int(c: Column) -> Column:
@@ -88,7 +97,8 @@ def cast_bool(c: Column) -> Column:
 def cast_moment(c: Column) -> Column:
     """A timestamp by the first of CAST_FORMATS that fits; slashes read as dashes. ``YYYYMMDD`` is not among them."""
     plain = F.regexp_replace(trim(c), "/", "-")
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in CAST_FORMATS])
+    first, *rest = [F.when(plain.rlike(text_shape(f)), F.try_to_timestamp(plain, F.lit(f))) for f in CAST_FORMATS]
+    return F.coalesce(first, *rest)
 
 
 def cast_date(c: Column) -> Column:

@@ -15,9 +15,8 @@ from tessera.sources.landing import record_hash
 from tessera.plans.scratch import written
 
 ON_NULL, ON_UNMAPPED = ("pass", "reject", "default"), ("pass", "quarantine", "null")
-#: Field outcomes that stop a row, and the rank of each.
+#: Field outcomes that stop a row.
 BLOCKING = ("failure", "quarantined", "rejected")
-RANK = {"ok": 0, "null": 1, "defaulted": 1, "quarantined": 2, "failure": 3, "rejected": 4}
 MEMBER_KEY = "source_system_id"
 
 
@@ -98,47 +97,57 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("a.source", "b.source").alias("source"), change.alias("change"), attributes.alias("attributes")).where("change is not null")
 
 
-def field_outcome(f: Field, raw: Column) -> Column:
-    """One field's outcome: null policy, value map, transform, cast, in this order. Never raises."""
-    text = F.lit(None).cast("string")
-    value = raw
+def _staged(i: int, f: Field) -> list[dict[str, Column]]:
+    """One field's columns, stage by stage: raw value (given), mapped value, moved and cast values, then outcome and what it carries.
+
+    Each stage reads the columns of the one before, so nothing is computed twice and every stage stays generated code.
+    """
+    raw, value, moved, cast = (F.col(f"_{n}{i}") for n in ("raw", "val", "mov", "cast"))
     unmapped = F.lit(False)
+    mapped = raw
     if f.value_map:
         pairs = F.create_map(*[F.lit(x) for kv in f.value_map.items() for x in kv])
-        unmapped = ~F.map_contains_key(pairs, F.coalesce(raw, F.lit("")))
-        value = F.coalesce(F.try_element_at(pairs, F.coalesce(raw, F.lit(""))), raw)
-    stops_unmapped = unmapped if f.on_unmapped in ("quarantine", "null") else F.lit(False)
-    moved = TRANSFORMS[f.op][0](value, **f.args) if f.op else value
-    cast = CASTS[f.cast](moved)
-
-    def told(mapped: Column, outcome: str, reason: Column, rule: str | None) -> Column:
-        parts = [F.lit(f.source), F.lit(f.target), raw, mapped, F.lit(outcome), reason, F.lit(rule).cast("string")]
-        return F.struct(*[p.alias(n) for p, n in zip(parts, ("source", "target", "source_value", "mapped_value", "outcome", "reason", "rule"), strict=True)])
-
-    if f.on_null == "reject":
-        missing = told(text, "rejected", F.lit("source is empty and the field rejects the row"), "on_null")
-    elif f.on_null == "default":
-        missing = told(F.lit(f.default), "defaulted", F.lit(f"source is empty; default '{f.default}' applied"), None)
-    else:
-        missing = told(text, "null", F.lit("source is empty; null allowed through"), None)
+        known = F.try_element_at(pairs, raw)
+        mapped = F.coalesce(known, raw)
+        if f.on_unmapped in ("quarantine", "null"):
+            unmapped = known.isNull()
+    first = {f"_val{i}": mapped, f"_non{i}": blank(raw), f"_odd{i}": unmapped}
+    second = {f"_mov{i}": TRANSFORMS[f.op][0](value, **f.args) if f.op else value}
+    third = {f"_cast{i}": CASTS[f.cast](moved)}
+    missing, odd = F.col(f"_non{i}"), F.col(f"_odd{i}")
+    when_missing = {"reject": ("rejected", "on_null", "source is empty and the field rejects the row"), "default": ("defaulted", None, f"source is empty; default '{f.default}' applied")}.get(f.on_null, ("null", None, "source is empty; null allowed through"))
+    chain = lambda a, b, c, d, e: F.when(missing, a).when(odd, b).when(moved.isNull(), c).when(cast.isNull(), d).otherwise(e)
+    none = F.lit(None).cast("string")
     strange = F.concat(F.lit("'"), raw, F.lit("' is not in the value map"))
-    unknown = told(text, "null" if f.on_unmapped == "null" else "quarantined", strange, "on_unmapped_value")
-    no_move = told(text, "failure", F.concat(F.lit(f"{f.op} cannot read '"), value, F.lit("'")), f.op)
-    no_cast = told(text, "failure", F.concat(F.lit(f"not a {f.cast}: '"), moved, F.lit("'")), "cast")
-    return F.when(blank(raw), missing).when(stops_unmapped, unknown).when(moved.isNull(), no_move).when(cast.isNull(), no_cast).otherwise(told(cast, "ok", text, None))
+    fourth = {
+        f"_out{i}": chain(F.lit(when_missing[0]), F.lit("null" if f.on_unmapped == "null" else "quarantined"), F.lit("failure"), F.lit("failure"), F.lit("ok")),
+        f"_to{i}": F.when(missing, F.lit(f.default).cast("string")).when(odd, none).otherwise(cast),
+        f"_why{i}": chain(F.lit(when_missing[2]), strange, F.concat(F.lit(f"{f.op} cannot read '"), value, F.lit("'")), F.concat(F.lit(f"not a {f.cast}: '"), moved, F.lit("'")), none),
+        f"_rule{i}": chain(F.lit(when_missing[1]).cast("string"), F.lit("on_unmapped_value"), F.lit(f.op).cast("string"), F.lit("cast"), none),
+    }
+    return [first, second, third, fourth]
 
 
 def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row") -> DataFrame:
     """``rows`` with ``fields`` (an outcome for each), ``outcome`` (the worst of them) and ``reasons`` (those that block).
 
-    One narrow projection; the spec's constants fold into it. Defaults and permitted nulls leave a row ok.
+    In order: null policy, value map, transform, cast. Nothing raises. Narrow projections alone; the spec's constants fold into them.
+    Defaults and permitted nulls leave a row ok. Write the result once where several consumers follow.
     """
-    get = lambda s: F.try_element_at(F.col(raw), F.lit(s)) if dict(rows.dtypes)[raw].startswith("map") else F.col(f"{raw}.{s}")
-    out = rows.withColumn("fields", F.array(*[field_outcome(f, get(f.source)) for f in spec.fields]))
-    ranks = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
-    worst = F.array_max(F.transform("fields", lambda x: ranks[x["outcome"]]))
-    out = out.withColumn("outcome", F.when(worst == 4, "rejected").when(worst == 3, "failure").when(worst == 2, "quarantined").otherwise("ok"))
-    return out.withColumn("reasons", F.filter("fields", lambda x: x["outcome"].isin(*BLOCKING)))
+    kind = dict(rows.dtypes)[raw]
+    get = lambda s: F.try_element_at(F.col(raw), F.lit(s)) if kind.startswith("map") else F.col(f"{raw}.{s}")
+    out = rows.withColumns({f"_raw{i}": get(f.source) for i, f in enumerate(spec.fields)})
+    for stage in zip(*[_staged(i, f) for i, f in enumerate(spec.fields)], strict=True):
+        out = out.withColumns({n: c for columns in stage for n, c in columns.items()})
+    told = []
+    for i, f in enumerate(spec.fields):
+        parts = {"source": F.lit(f.source), "target": F.lit(f.target), "source_value": F.col(f"_raw{i}"), "mapped_value": F.col(f"_to{i}"), "outcome": F.col(f"_out{i}"), "reason": F.col(f"_why{i}"), "rule": F.col(f"_rule{i}")}
+        told.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    any_ = lambda o: reduce(lambda a, b: a | b, [F.col(f"_out{i}") == o for i in range(len(spec.fields))], F.lit(False))
+    outcome = F.when(any_("rejected"), "rejected").when(any_("failure"), "failure").when(any_("quarantined"), "quarantined").otherwise("ok")
+    out = out.select(*rows.columns, F.array(*told).alias("fields"), outcome.alias("outcome"))
+    stops = F.filter("fields", lambda x: x["outcome"].isin(*BLOCKING))
+    return out.withColumn("reasons", F.when(F.col("outcome") == "ok", F.slice("fields", 1, 0)).otherwise(stops))
 
 
 def outcome_counts(evaluated: DataFrame) -> DataFrame:
@@ -187,10 +196,10 @@ def entity_rows(evaluated: DataFrame, spec: Spec, table: str) -> DataFrame:
 def expected_rows(evaluated: DataFrame, spec: Spec) -> DataFrame:
     """``(entity, n)``: how many rows each entity should get, counted from the outcomes alone: a second opinion on the fan-out."""
     primary = primary_entity(spec)
-    each = evaluated.where("outcome = 'ok'").select("row_number", F.explode("fields").alias("f")).where("coalesce(f.mapped_value, '') <> ''")
-    table, name = F.split_part("f.target", F.lit("."), F.lit(1)), F.split_part("f.target", F.lit("."), F.lit(2))
-    each = each.select("row_number", table.alias("entity"), name.alias("name")).where((F.col("entity") == primary) | (F.col("name") != MEMBER_KEY))
-    return each.groupBy("entity").agg(F.count_distinct("row_number").alias("n"))
+    part = lambda f, i: F.split_part(f["target"], F.lit("."), F.lit(i))
+    told = F.filter("fields", lambda f: (F.coalesce(f["mapped_value"], F.lit("")) != "") & ((part(f, 1) == primary) | (part(f, 2) != MEMBER_KEY)))
+    each = evaluated.where("outcome = 'ok'").select(F.explode(F.array_distinct(F.transform(told, lambda f: part(f, 1)))).alias("entity"))
+    return each.groupBy("entity").agg(F.count("*").alias("n"))
 
 
 def quarantine(evaluated: DataFrame) -> DataFrame:

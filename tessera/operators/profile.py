@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import text_shape
+
 #: What a column's text looks like.
 INT, DECIMAL, CODE = r"^[+-]?\d+$", r"^[+-]?\d*\.\d+$", r"^[A-Z0-9][A-Z0-9._-]{0,15}$"
 DATE = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{8})$"
@@ -41,7 +43,8 @@ def is_sentinel(v: Column) -> Column:
 
 def iso_date(v: Column) -> Column:
     text = F.when(F.trim(v).rlike(TIMESTAMP), F.left(F.trim(v), F.lit(10))).otherwise(F.trim(v))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy", "yyyyMMdd")])
+    first, *rest = [F.to_date(F.when(text.rlike(text_shape(f)), F.try_to_timestamp(text, F.lit(f)))) for f in ("yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy", "yyyyMMdd")]
+    return F.coalesce(first, *rest)
 
 
 def _has(column: Column, words: tuple[str, ...]) -> Column:
