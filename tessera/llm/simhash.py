@@ -72,20 +72,22 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
 
     Two such fingerprints differ in ``radius // segments`` bits at most within some segment. Every fingerprint
     stands once in each segment's table and asks there for all keys of the small Hamming ball around its own; what it finds
-    is verified over all bits. Copies have been merged before, so a bucket holds different fingerprints alone,
+    is verified over all bits, and made in the first segment that finds it. Copies have been merged before, so a bucket holds different fingerprints alone,
     and no link is lost to a cap.
     """
     near = radius // segments
-    table, probe = [], []
+    table, probe, differ = [], [], F.col("a").bitwiseXOR(F.col("b"))
+    first = F  # the first segment in which a pair is near: each pair is made there alone
     for k, (low, width) in enumerate(_segments(segments)):
         mask = ((1 << width) - 1) << low
+        first = first.when(F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) <= near, k)
         key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         ball = [_signed(sum(1 << low + i for i in flips)) for r in range(near + 1) for flips in combinations(range(width), r)]
         table.append(F.struct(F.lit(k).alias("segment"), key.alias("key")))
         probe.append(_around(k, key, ball))
     held = fps.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("at")).select("b", "at.*")
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probe))).alias("at")).select("a", "at.*")
-    found = asked.join(held, ["segment", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    found = asked.join(held, ["segment", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & (first == F.col("segment")))
     return found.select("a", "b")
 
 
