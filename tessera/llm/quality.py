@@ -25,7 +25,7 @@ _BUCKETS: dict[bytes, int] = {}
 
 
 def _bucket(word: bytes) -> int:
-    if len(_BUCKETS) > 400_000:
+    if len(_BUCKETS) > 200_000:
         _BUCKETS.clear()
     found = _BUCKETS.get(word)
     if found is None:

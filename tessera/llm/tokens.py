@@ -18,8 +18,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units and pieces a worker remembers at most before it starts anew: some 100 MB each.
-REMEMBER = 500_000
+#: Units and pieces a worker remembers at most before it starts anew: some 70 MB each.
+REMEMBER = 350_000
 #: Letters whose normal form, case and class are plain, and the contractions that the patterns name.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
