@@ -105,14 +105,22 @@ class Coder:
 
 
 def _tokenized(tokenizer: str, end: int):
+    """Ids of each document (kind 0), and one row with the counts of all ids of the task (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        found, last, total = encoder(tokenizer), np.array([end], "<u4").tobytes(), np.zeros(1 << 16, "<i8")
         if found.full.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits need another tokenizer")
-        encode = found.encode
+
+        def out(kind: int, docs: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), docs, pa.array(ids, pa.binary())], names=["kind", "doc_id", "ids"])
+
         for b in batches:
-            small = [(np.frombuffer(encode(t.as_py() or "") + last, "<u4").astype("<u2")).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(small, pa.binary())], names=["doc_id", "ids"])
+            small = [np.frombuffer(found.encode(t.as_py() or "") + last, "<u4").astype("<u2") for t in b.column("text")]
+            if small:
+                total += np.bincount(np.concatenate(small), minlength=1 << 16)
+            yield out(0, b.column("doc_id"), [x.tobytes() for x in small])
+        yield out(1, pa.nulls(1, pa.int64()), [total.tobytes()])
 
     return run
 
@@ -120,8 +128,8 @@ def _tokenized(tokenizer: str, end: int):
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for ids in b.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_py(), "<u2"), minlength=1 << 16)
+        for counts in b.column("ids"):
+            total += np.frombuffer(counts.as_py(), "<i8")
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["symbol", "n"])
 
@@ -194,8 +202,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0) -> No
     spark = docs.sparkSession
     tie = F.xxhash64("text")
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    ids = written(ranged.mapInArrow(_tokenized(tokenizer, end), "doc_id long, ids binary").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ids")
-    counts = ids.select("ids").mapInArrow(_counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    ids = written(ranged.mapInArrow(_tokenized(tokenizer, end), "kind int, doc_id long, ids binary").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ids")
+    counts = ids.where("kind = 1").select("ids").mapInArrow(_counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     rows = counts.collect()  # the vocabulary bounds it
     total = np.zeros(max([0, *(r.symbol for r in rows)]) + 1, np.int64)
     for r in rows:
@@ -204,7 +212,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0) -> No
     table = [(int(s), int(freq[s])) for s in np.flatnonzero(freq)]
     spark.createDataFrame(table, "symbol int, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
-    sorted_ids = ids.repartition("part").sortWithinPartitions("part", "row").select("part", "doc_id", "ids")
+    sorted_ids = ids.where("kind = 0").repartition("part").sortWithinPartitions("part", "row").select("part", "doc_id", "ids")
     sorted_ids.mapInArrow(_encoded(shared), _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
