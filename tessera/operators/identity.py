@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
+from tessera.plans.scratch import written
 
 #: Stand-ins that identify nobody.
 PLACEHOLDERS = ("", "0", "000000000", "999999999", "123456789", "UNKNOWN", "TEST", "BABY", "NEWBORN")
@@ -39,12 +40,22 @@ def block_keys() -> Column:
 
 
 def candidate_pairs(people: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` pairs that share a block, once each; and blocks over ``most`` people, which need another key rather than all their pairs."""
-    keyed = people.select("id", F.explode(block_keys()).alias("block"))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("n"))
-    fine = keyed.join(sizes.where(F.col("n").between(2, most)).select("block"), "block")
-    pairs = fine.select("block", F.col("id").alias("a")).join(fine.select("block", F.col("id").alias("b")), "block").where("a < b").select("a", "b").distinct()
-    return pairs, sizes.where(F.col("n") > most)
+    """``(a, b)`` pairs that share a block, once each; and ``(block, n)`` of blocks over ``most`` people, whose pairs are made in tiles.
+
+    A block of n people is dealt by id into ceil(n / most) parts, and each two parts, or a part with itself, meet under a key of their own: all
+    pairs are made, and no key holds much more than ``most`` people a side. Every pair is made in the least block that both have, so none needs a distinct.
+    """
+    blocks = people.where("id is not null").select("id", F.explode(block_keys()).alias("block")).groupBy("id").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    keyed = blocks.select("id", "blocks", F.posexplode("blocks").alias("at", "block")).select("id", "block", F.slice("blocks", F.lit(1), F.col("at")).alias("less"))
+    over = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    parts = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    dealt = keyed.join(over, "block", "left").select("id", "less", "block", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    left = dealt.select("block", F.col("id").alias("x"), F.col("less").alias("xs"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    right = dealt.select("block", F.col("id").alias("y"), F.col("less").alias("ys"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    n = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes make many pairs, which adaptive coalescing would put in one task
+    left, right = (t.repartition(n, "block", "i", "j") for t in (left, right))
+    met = left.join(right, ["block", "i", "j"]).where("(i < j or x < y) and not arrays_overlap(xs, ys)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), over
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -54,20 +65,24 @@ def similarity(x: Column, y: Column) -> Column:
 
 def compared(pairs: DataFrame, people: DataFrame, weights: dict[str, float], auto: float, review: float) -> DataFrame:
     """``(a, b, score, band)``: weighted agreement over what both have. Twins and households, alike but for the first name, are for review at most."""
-    l, r = people.alias("l"), people.alias("r")
+    plain = people.select("id", *[F.upper(F.col(c).cast("string")).alias(c) for c in dict.fromkeys([*weights, "first", "last", "dob"])])
+    l, r = plain.alias("l"), plain.alias("r")
     j = pairs.join(l, F.col("a") == F.col("l.id")).join(r, F.col("b") == F.col("r.id"))
-    same = {c: similarity(F.upper(F.col(f"l.{c}").cast("string")), F.upper(F.col(f"r.{c}").cast("string"))) for c in weights}
-    top = sum((F.coalesce(s * w, F.lit(0.0)) for (c, w), s in zip(weights.items(), same.values(), strict=True)), F.lit(0.0))
-    low = sum((F.when(s.isNotNull(), w).otherwise(0.0) for (c, w), s in zip(weights.items(), same.values(), strict=True)), F.lit(0.0))
-    twin = F.coalesce((F.col("l.dob") == F.col("r.dob")) & (F.upper("l.last") == F.upper("r.last")) & (similarity(F.upper("l.first"), F.upper("r.first")) < 0.8), F.lit(False))
-    out = j.select("a", "b", F.round(F.try_divide(top, low), 6).alias("score"), twin.alias("twin"))
+    # One-row generators: each measure is taken once, as filters on what follows are not pushed through them with copies of it.
+    alike = [similarity(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(f"s_{c}") for c in dict.fromkeys([*weights, "first"])]
+    named = ((F.col("l.dob") == F.col("r.dob")) & (F.col("l.last") == F.col("r.last"))).alias("named")
+    same = j.select("a", "b", F.inline(F.array(F.struct(named, *alike))))
+    top = sum((F.coalesce(F.col(f"s_{c}") * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    low = sum((F.when(F.col(f"s_{c}").isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    twin = F.coalesce(F.col("named") & (F.col("s_first") < 0.8), F.lit(False))
+    out = same.select("a", "b", F.inline(F.array(F.struct(F.round(F.try_divide(top, low), 6).alias("score"), twin.alias("twin")))))
     band = F.when((F.col("score") >= auto) & ~F.col("twin"), "auto").when(F.col("score") >= review, "review").otherwise("none")
     return out.withColumn("band", band)
 
 
 def person_keys(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id, person_key)``: the smallest id that automatic matches lead to."""
-    found = connected_components(pairs.where("band = 'auto'").select("a", "b"))
+    found = connected_components(written(pairs.where("band = 'auto'").select("a", "b"), "matches"))
     return people.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("person_key"))
 
 
