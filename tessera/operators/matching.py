@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Confidence of each rung of the ladder, best first.
 LADDER = {"precedent": 0.95, "glossary": 0.92, "history": 0.85, "leaf": 0.70}
 
+#: The characters of normalised words, rare ones first: keys of rare letters make small groups.
+RARE_FIRST = "0123456789zqxjkvbwpygfumcdlhrsnioate"
+
 
 def normalised(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_")
@@ -68,23 +71,33 @@ def status_counts(matches: DataFrame) -> DataFrame:
 
 
 def lexical_matches(columns: DataFrame, concepts: DataFrame, floor: float = 0.55, k: int = 3) -> DataFrame:
-    """``(feed, column, target, score, rank)``: the k closest concepts by shared words, or by edit distance for one-word names.
+    """``(feed, column, target, score, rank)``: the k closest concepts by shared words, or by edit distance for one-word names; ``floor`` is above 0.
 
-    Pairs are formed by shared three-letter pieces alone, so nothing is compared that shares none.
+    Distinct normalised names are matched once and joined back to their feeds. No pair of the floor is lost: of n words (or of a one-word name's
+    letters, each told apart by its occurrence) at least floor * n are shared, so the first n - ceil(floor * n) + 1 in a fixed order meet the other's.
     """
     split = lambda c: F.array_distinct(F.filter(F.split(normalised(c), "_"), lambda x: x != ""))
     joined = lambda c: F.array_join(split(c), "")
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined(c)) - 2, F.lit(1))), lambda i: F.substring(joined(c), i, F.lit(3))))
-    left = columns.select("feed", "column", F.explode(pieces(F.col("column"))).alias("piece"))
-    right = concepts.select("target", "concept", F.explode(pieces(F.col("concept"))).alias("piece"))
-    pairs = left.join(right, "piece").select("feed", "column", "target", "concept").distinct()
+    ordered = lambda c: F.translate(joined(c), RARE_FIRST, "".join(sorted(RARE_FIRST)))
+    seen = lambda t, i: F.length(F.substring(t, F.lit(1), i)) - F.length(F.replace(F.substring(t, F.lit(1), i), F.substring(t, i, F.lit(1)), F.lit("")))
+    letters = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, i, F.lit(1)), F.lpad(seen(t, i).cast("string"), 4, "0")))
+    needed = lambda n: F.greatest(F.ceil(n * (floor - 1e-6)), F.lit(1)).cast("int")
+    first = lambda x: F.slice(F.array_sort(x), F.lit(1), F.size(x) - needed(F.size(x)) + 1)
+    marked = lambda x, mark: F.transform(first(x), lambda v: F.concat(F.lit(mark), v))
+    keys = lambda c: F.when(F.size(split(c)) == 1, marked(letters(ordered(c)), "l|")).when(F.size(split(c)) > 1, F.array().cast("array<string>"))
+    words = lambda c: F.when(F.size(split(c)) > 0, marked(split(c), "w|"))
+    names = columns.select("feed", "column", normalised(F.col("column")).alias("name")).distinct()
+    left = names.select(F.col("name").alias("column")).distinct().select("column", F.explode(F.concat(words(F.col("column")), keys(F.col("column")))).alias("key"))
+    right = concepts.select("target", "concept", F.explode(F.concat(words(F.col("concept")), keys(F.col("concept")))).alias("key"))
+    pairs = left.join(right, "key").select("column", "target", "concept").distinct()
     a, b = split(F.col("column")), split(F.col("concept"))
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     x, y = joined(F.col("column")), joined(F.col("concept"))
     edit = F.when((F.size(a) == 1) & (F.size(b) == 1), 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(F.greatest(jaccard, edit), 6)).groupBy("feed", "column", "target").agg(F.max("score").alias("score")).where(F.col("score") >= floor)
-    order = Window.partitionBy("feed", "column").orderBy(F.col("score").desc(), "target")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = pairs.withColumn("score", F.round(F.greatest(jaccard, edit), 6)).groupBy("column", "target").agg(F.max("score").alias("score")).where(F.col("score") >= floor)
+    order = Window.partitionBy("column").orderBy(F.col("score").desc(), "target")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("column", "name")
+    return names.join(best, "name").select("feed", "column", "target", "score", "rank")
 
 
 def with_policy(matches: DataFrame, canonical: DataFrame, precedents: DataFrame) -> DataFrame:
