@@ -59,13 +59,18 @@ def match_ladder(spark, d):
     return X.status_counts(found).join(found.groupBy("feed").agg(F.count("*").alias("n_columns"), F.count("target").alias("n_matched")), "feed")
 
 
-def match_lexical(spark, d):
-    """Misspelt columns find the concept they came from."""
-    cols = _columns(spark, d).where("feed = 'Brand#2'").withColumn("column", F.regexp_replace("column", "g$", ""))
+def match_lexical(spark, d, every=False):
+    """Misspelt columns find the concept they came from; one feed, as its SQL has it, or every one."""
+    cols = _columns(spark, d).where("true" if every else "feed = 'Brand#2'").withColumn("column", F.regexp_replace("column", "g$", ""))
     concepts = table(spark, d, "part").select(F.col("p_name").alias("concept"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("target")).distinct()
     return X.lexical_matches(cols, concepts).select("feed", "column", "target", "score", "rank")
 
 
+def match_lexical_all(spark, d):
+    """X4 over the columns of all feeds."""
+    return match_lexical(spark, d, every=True)
+
+
 def match_policy(spark, d):
     """Illegal targets, precedents, and suggested transforms."""
     cols = _columns(spark, d).select("feed", "column", F.concat(F.lit("a."), F.replace(F.lower("column"), F.lit(" "), F.lit("_"))).alias("target"), F.when(F.length("column") % 2 == 0, "lexical").otherwise("leaf").alias("basis"), F.lit("candidate").alias("status"))
@@ -245,3 +250,5 @@ QUERIES = {
     "stream_census": (stream_census, "SELECT user_id, max_by(event_id, ts) AS event_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1"),
     "stream_promotion": (stream_promotion, f"WITH {FEED} SELECT count(*) AS records_in, count(*) FILTER (outcome = 'ok') AS records_out, count(*) FILTER (outcome <> 'ok') AS quarantined, CAST(0 AS BIGINT) AS drops, count(*) FILTER (outcome = 'ok') AS headers FROM done"),
 }
+#: The whole table, where the SQL above keeps a part.
+QUERIES["match_lexical_all"] = (match_lexical_all, QUERIES["match_lexical"][1].replace(" WHERE feed = 'Brand#2'", ""))
