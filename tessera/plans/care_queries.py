@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tessera.operators import admissions as A
@@ -10,7 +13,7 @@ from tessera.operators import claims as K
 from tessera.operators import identity as I
 from tessera.operators import metrics as M
 from tessera.plans.core_queries import table
-from tessera.plans.rule_queries import MONTHS, SPANS, _spans
+from tessera.plans.rule_queries import MONTHS, PART, SPANS, _orders, _spans
 
 
 def _claims(spark, d):
@@ -130,23 +133,23 @@ def metric_alos(spark, d):
     return M.length_of_stay(_stays(spark, d).where("state = 'closed'").withColumn("arm", F.col("member") % 3), ["arm"])
 
 
-def metric_home(spark, d):
+def metric_home(spark, d, every=False):
     """K6: days at home of covered members, orders as coverage and late line items as days away."""
-    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    away = l.join(o, l.l_orderkey == o.o_orderkey).where("o_custkey % 3 = 0 and l_quantity > 45").select(F.col("o_custkey").alias("member"), F.to_date("l_shipdate").alias("from_date"), F.date_add(F.to_date("l_shipdate"), 5).alias("to_date"))
-    return M.days_at_home(_spans(spark, d), away)
+    o, l = _orders(spark, d, 3, every), table(spark, d, "lineitem")
+    away = l.join(o, l.l_orderkey == o.o_orderkey).where("l_quantity > 45").select(F.col("o_custkey").alias("member"), F.to_date("l_shipdate").alias("from_date"), F.date_add(F.to_date("l_shipdate"), 5).alias("to_date"))
+    return M.days_at_home(_spans(spark, d, every), away)
 
 
-def _months(spark, d):
-    return C.member_months(_spans(spark, d), ["member"]).withColumn("arm", F.col("member") % 4).withColumn("year", F.year("month"))
+def _months(spark, d, every=False):
+    return C.member_months(_spans(spark, d, every), ["member"]).withColumn("arm", F.col("member") % 4).withColumn("year", F.year("month"))
 
 
 MM = f"{MONTHS}, mm AS (SELECT *, days / day(last_day(month)) AS exact, round(days / day(last_day(month)), 6) AS share, member % 4 AS arm, CAST(year(month) AS INT) AS year FROM months)"
 
 
-def metric_months(spark, d):
+def metric_months(spark, d, every=False):
     """K1: with subtotals."""
-    return M.member_month_totals(_months(spark, d), ["arm", "year"], rolled=True)
+    return M.member_month_totals(_months(spark, d, every), ["arm", "year"], rolled=True)
 
 
 def _costs(spark, d):
@@ -157,31 +160,31 @@ def _costs(spark, d):
 COSTS = "costs AS (SELECT o_custkey AS member, o_custkey % 4 AS arm, CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS allowed, CAST(o_orderdate AS DATE) AS service_date, o_orderkey FROM orders)"
 
 
-def metric_pmpm(spark, d):
+def metric_pmpm(spark, d, every=False):
     """K2."""
-    out = M.pmpm(_costs(spark, d), _months(spark, d), ["arm", "year"])
+    out = M.pmpm(_costs(spark, d), _months(spark, d, every), ["arm", "year"])
     return out.select("arm", "year", F.round("allowed", 2).alias("allowed"), F.round("member_months", 3).alias("member_months"), F.round("pmpm", 2).alias("pmpm"))
 
 
-def metric_parts(spark, d):
+def metric_parts(spark, d, every=False):
     """K3: the change from 1997 to 1998 by use and price."""
     c = _costs(spark, d).where("year in (1997, 1998)").withColumn("period", F.col("year") - 1997)
-    m = _months(spark, d).where("year in (1997, 1998)").groupBy("arm", (F.col("year") - 1997).alias("period")).agg(F.sum("share").alias("member_months"))
+    m = _months(spark, d, every).where("year in (1997, 1998)").groupBy("arm", (F.col("year") - 1997).alias("period")).agg(F.sum("share").alias("member_months"))
     u = c.groupBy("arm", "period").agg(F.count("*").alias("units"), F.sum("allowed").alias("allowed"))
     out = M.pmpm_parts(u.join(m, ["arm", "period"]), "arm")
     return out.select("arm", *[F.round(x, 2).alias(x) for x in ("change", "by_use", "by_price")])
 
 
-def metric_thousand(spark, d):
+def metric_thousand(spark, d, every=False):
     """K4."""
-    out = M.per_thousand(_costs(spark, d).where("allowed > 300000"), _months(spark, d), ["arm", "year"])
+    out = M.per_thousand(_costs(spark, d).where("allowed > 300000"), _months(spark, d, every), ["arm", "year"])
     return out.select("arm", "year", "events", F.round("rate", 1).alias("rate"))
 
 
-def metric_total_cost(spark, d):
+def metric_total_cost(spark, d, every=False):
     """K7: benchmarks derived from the table itself."""
     b = _costs(spark, d).groupBy("arm").agg(F.round(F.avg("allowed"), 2).alias("pmpm"))
-    out = M.total_cost(_costs(spark, d), _months(spark, d), b, "arm", 2_000_000.0, F.lit("2001-06-30").cast("date"))
+    out = M.total_cost(_costs(spark, d), _months(spark, d, every), b, "arm", 2_000_000.0, F.lit("2001-06-30").cast("date"))
     return out.select("arm", F.round("pmpm", 2).alias("pmpm"), "benchmark", F.round("ratio", 4).alias("ratio"), "provisional")
 
 
@@ -232,10 +235,10 @@ def metric_gaps(spark, d):
     return M.gap_closure(members, ev, sets)
 
 
-def metric_attribution(spark, d):
+def metric_attribution(spark, d, every=False):
     """K12."""
-    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    v = l.join(o, l.l_orderkey == o.o_orderkey).where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("member"), (F.col("l_suppkey") % 10).alias("provider"), F.when(F.col("l_returnflag") == "A", "primary").when(F.col("l_returnflag") == "N", "specialist").otherwise("other").alias("tier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("allowed"), F.col("l_shipdate").alias("service_date"))
+    l, o = table(spark, d, "lineitem"), _orders(spark, d, 5, every)
+    v = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("member"), (F.col("l_suppkey") % 10).alias("provider"), F.when(F.col("l_returnflag") == "A", "primary").when(F.col("l_returnflag") == "N", "specialist").otherwise("other").alias("tier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("allowed"), F.col("l_shipdate").alias("service_date"))
     own = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("member"), F.lit(99).cast("long").alias("provider"))
     return M.attributed(v, own, ["primary", "specialist"])
 
@@ -246,17 +249,17 @@ def metric_attributed(spark, d):
     return M.attributed_counts(o.select(F.col("o_orderstatus").alias("programme"), F.year("o_orderdate").alias("version"), F.col("o_custkey").alias("member")))
 
 
-def metric_pdc(spark, d):
+def metric_pdc(spark, d, every=False):
     """K14."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0")
+    o = _orders(spark, d, 3, every)
     f = o.select(F.col("o_custkey").alias("member"), F.col("o_orderstatus").alias("drug_class"), F.to_date("o_orderdate").alias("filled_date"), (F.col("o_orderkey") % 60 + 30).cast("int").alias("days_supply"))
     return M.days_covered(f, F.lit("1997-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
 
 
-def metric_cohort(spark, d):
+def metric_cohort(spark, d, every=False):
     """K15."""
-    a = table(spark, d, "orders").where("o_custkey % 3 = 0 and o_orderstatus = 'F'").select(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("anchor"))
-    return M.cohort(_spans(spark, d), a, 60, 30).groupBy("member").agg(F.count("*").alias("n"))
+    a = _orders(spark, d, 3, every).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("anchor"))
+    return M.cohort(_spans(spark, d, every), a, 60, 30).groupBy("member").agg(F.count("*").alias("n"))
 
 
 def _rates(spark, d):
@@ -401,3 +404,6 @@ QUERIES = {
     "identity_people": (identity_people, None),
     "identity_impact": (identity_impact, IMPACT),
 }
+#: The whole table, where the SQL above keeps a part; events, costs and months are then of the same members.
+WHOLE = ("metric_months", "metric_pmpm", "metric_parts", "metric_thousand", "metric_total_cost", "metric_home", "metric_cohort", "metric_pdc", "metric_attribution")
+QUERIES |= {f"{n}_all": (partial(QUERIES[n][0], every=True), re.sub(PART, "", QUERIES[n][1])) for n in WHOLE}

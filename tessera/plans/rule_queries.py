@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tessera.operators import change as C
@@ -70,9 +73,15 @@ def dq_orphans(spark, d):
     return R.orphans(table(spark, d, "lineitem"), o, "l_orderkey", "o_orderkey").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-def _spans(spark, d):
+def _orders(spark, d, n, every):
+    """Orders of every nth customer, or of every one."""
+    o = table(spark, d, "orders")
+    return o if every else o.where(f"o_custkey % {n} = 0")
+
+
+def _spans(spark, d, every=False):
     """Coverage spans from orders: a member is covered from each order for some weeks."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0")
+    o = _orders(spark, d, 3, every)
     day = F.to_date("o_orderdate")
     return o.select(F.col("o_custkey").alias("member"), F.col("o_orderstatus").alias("plan"), day.alias("from_date"), F.date_add(day, (F.col("o_orderkey") % 120).cast("int")).alias("to_date"), "o_orderkey")
 
@@ -80,12 +89,12 @@ def _spans(spark, d):
 SPANS = "spans AS (SELECT o_custkey AS member, o_orderstatus AS plan, CAST(o_orderdate AS DATE) AS from_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INT) AS to_date, o_orderkey FROM orders WHERE o_custkey % 3 = 0)"
 
 
-def dq_uncovered(spark, d):
+def dq_uncovered(spark, d, every=False):
     """Q8 as a range join: line items shipped to a member outside any coverage."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_orderkey", F.col("o_custkey").alias("member"))
+    o = _orders(spark, d, 3, every).select("o_orderkey", F.col("o_custkey").alias("member"))
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
     events = l.join(o, l.l_orderkey == o.o_orderkey)
-    return R.uncovered(events, _spans(spark, d), "member", "shipped").groupBy("member").agg(F.count("*").alias("n"))
+    return R.uncovered(events, _spans(spark, d, every), "member", "shipped").groupBy("member").agg(F.count("*").alias("n"))
 
 
 def dq_volumes(spark, d):
@@ -103,9 +112,9 @@ def dq_reconcile(spark, d):
     return R.reconcile(a, b, ["o_orderkey"], "n").groupBy("status").agg(F.count("*").alias("n_orders"), F.sum("delta").alias("delta"))
 
 
-def dq_gaps(spark, d):
+def dq_gaps(spark, d, every=False):
     """Q12, V4: months without an order between a member's first and last."""
-    o = table(spark, d, "orders").where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("member"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period"))
+    o = _orders(spark, d, 5, every).select(F.col("o_custkey").alias("member"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period"))
     return R.missing_periods(o, "member", "period").groupBy("member").agg(F.count("*").alias("missing"))
 
 
@@ -122,9 +131,9 @@ def dq_single(spark, d):
     return R.one_value(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus").groupBy("ok").agg(F.count("*").alias("n"))
 
 
-def dq_overlaps(spark, d):
+def dq_overlaps(spark, d, every=False):
     """Q17."""
-    return R.overlapping(_spans(spark, d), ["member", "plan"]).groupBy("plan").agg(F.count("*").alias("n"))
+    return R.overlapping(_spans(spark, d, every), ["member", "plan"]).groupBy("plan").agg(F.count("*").alias("n"))
 
 
 def dq_hazards(spark, d):
@@ -163,17 +172,17 @@ def change_latest(spark, d):
     return C.latest(l, ["l_orderkey", "l_linenumber"], F.col("l_shipdate").desc(), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "collapsed")
 
 
-def change_spans(spark, d):
+def change_spans(spark, d, every=False):
     """Effective spans, and what was valid on a day as known then."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").groupBy("o_custkey", F.to_date("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("version"))
+    o = _orders(spark, d, 3, every).groupBy("o_custkey", F.to_date("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("version"))
     s = C.effective_spans(o, ["o_custkey"], "valid_from").withColumn("known_from", F.date_add("valid_from", 10)).withColumn("known_to", F.lit(None).cast("date"))
     day = F.lit("1998-06-30").cast("date")
     return C.as_of(s, day, day).select("o_custkey", "version", "is_current")
 
 
-def change_survivors(spark, d):
+def change_survivors(spark, d, every=False):
     """V6: attributes by precedence of their source."""
-    o = table(spark, d, "orders").where("o_custkey % 4 = 0")
+    o = _orders(spark, d, 4, every)
     v = o.groupBy(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("source")).agg(F.max("o_orderpriority").alias("value")).withColumn("attribute", F.lit("priority"))
     place = table(spark, d, "orders").select(F.col("o_orderstatus").alias("source")).distinct().where("source <> 'P'").select(F.lit("priority").alias("attribute"), "source", F.when(F.col("source") == "O", 1).otherwise(2).alias("place"))
     return C.survivors(v, place).select("key", "value", "source", F.array_join("others", ";").alias("others"))
@@ -185,15 +194,15 @@ def change_deliveries(spark, d):
     return C.deliveries(o, ["member"], ["status"])
 
 
-def change_islands(spark, d):
+def change_islands(spark, d, every=False):
     """Merged coverage with gaps."""
-    out = C.merged_spans(_spans(spark, d), ["member"], 1)
+    out = C.merged_spans(_spans(spark, d, every), ["member"], 1)
     return out.select("member", "island", F.col("from_date").cast("string").alias("from_date"), F.col("to_date").cast("string").alias("to_date"), "n_spans", "gap_before")
 
 
-def change_months(spark, d):
+def change_months(spark, d, every=False):
     """Member months, prorated."""
-    out = C.member_months(_spans(spark, d), ["member"])
+    out = C.member_months(_spans(spark, d, every), ["member"])
     return out.select("member", F.col("month").cast("string").alias("month"), "days", "share")
 
 
@@ -237,3 +246,8 @@ QUERIES = {
     "change_islands": (change_islands, f"WITH {SPANS}, {ISLANDS} SELECT member, CAST(island AS INT) AS island, CAST(from_date AS VARCHAR) AS from_date, CAST(to_date AS VARCHAR) AS to_date, n_spans, CAST(from_date - lag(to_date) OVER (PARTITION BY member ORDER BY island) - 1 AS INT) AS gap_before FROM islands"),
     "change_months": (change_months, f"WITH {MONTHS} SELECT member, CAST(month AS VARCHAR) AS month, days, round(days / day(last_day(month)), 6) AS share FROM months"),
 }
+
+#: The whole table, where the SQL above keeps a part: the same queries and SQL over all members.
+PART = r"(?<=WHERE )(o\.)?o_custkey % [345] = 0 AND | WHERE o_custkey % [345] = 0(?! AND)"
+WHOLE = ("dq_uncovered", "dq_overlaps", "change_islands", "change_months", "change_spans", "change_survivors", "dq_gaps")
+QUERIES |= {f"{n}_all": (partial(QUERIES[n][0], every=True), re.sub(PART, "", QUERIES[n][1])) for n in WHOLE}
