@@ -201,14 +201,14 @@ def landing_numbers(spark, d):
 
 
 def landing_csv(spark, d):
-    """Customers written as a piped file, landed again, appended as Bronze, and paged."""
+    """Customers written as a folder of piped files, landed again, appended as Bronze, and paged."""
     from tessera.plans.scratch import shared_dir
 
     import uuid
 
     base = f"{shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
     c = table(spark, d, "customer")
-    c.select(F.concat(F.lit(" "), F.col("c_name")).alias(" name "), F.col("c_custkey").alias("id"), F.lit("").alias("blank"), F.col("c_mktsegment").alias("name")).coalesce(1).write.csv(f"{base}/in", sep="|", header=True)
+    c.select(F.concat(F.lit(" "), F.col("c_name")).alias(" name "), F.col("c_custkey").alias("id"), F.lit("").alias("blank"), F.col("c_mktsegment").alias("name")).write.csv(f"{base}/in", sep="|", header=True)
     rows = L.numbered(L.read_delimited(spark, f"{base}/in"))
     n = L.append(L.bronze(rows, "roster", "b1", "sys"), f"{base}/bronze")
     back = spark.read.parquet(f"{base}/bronze").where("batch_id = 'b1'")
