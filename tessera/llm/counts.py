@@ -14,6 +14,8 @@ from tessera.plans.scratch import written
 
 #: Most frequent pre-tokens whose counts every worker holds; all others are joined.
 HEAD = 100_000
+#: Bytes of the frequent pre-tokens of 64 and more characters that every worker holds besides.
+LONG_HEAD = 4_000_000
 #: Different pre-tokens a task counts before it hands them on.
 FLUSH = 200_000
 
@@ -68,6 +70,16 @@ def _documents(tokenizer: str, head):
     return run
 
 
+def _least(classes: list[tuple[int, int]], bound: int) -> int:
+    """The lowest class, from the highest on, down to which the sizes stay within the bound."""
+    least, held = 64, 0
+    for p, n in classes:
+        if held + n > bound:
+            break
+        least, held = p, held + n
+    return least
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of every whole text.
 
@@ -84,13 +96,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     units = written(found.mapInArrow(_pieces(tokenizer), "unit string, n long, pieces long"), "units")
     # The head is the largest set of whole frequency classes (powers of two) that stays within HEAD.
     power = F.floor(F.log2("n")).cast("int")
-    classes = sorted(((r.p, r["count"]) for r in units.groupBy(power.alias("p")).count().collect()), reverse=True)
-    least, held = 64, 0
-    for p, n in classes:
-        if held + n > HEAD:
-            break
-        least, held = p, held + n
-    rows = units.where((power >= least) & (F.length("unit") < 64)).select("unit", "pieces").collect()
+    # Those of 64 and more characters have a bound of bytes of their own.
+    short = F.length("unit") < 64
+    classes = units.groupBy(power.alias("p")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(~short, F.octet_length("unit"))), F.lit(0)).alias("size"))
+    classes = classes.orderBy(F.desc("p")).collect()
+    least = _least([(r.p, r.n) for r in classes], HEAD)
+    least_long = _least([(r.p, r["size"]) for r in classes], LONG_HEAD)
+    rows = units.where((short & (power >= least)) | (~short & (power >= F.greatest(F.lit(least), F.lit(least_long))))).select("unit", "pieces").collect()
     head = spark.sparkContext.broadcast({r.unit: r.pieces for r in rows})
     kind = f"doc_id {types['doc_id']}, n_bytes long, n_head long, rest array<struct<unit: string, f: long>>"
     each = docs.select("doc_id", "text").mapInArrow(_documents(tokenizer, head), kind)
