@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def _frequencies(tokenizer: str):
     """Pre-tokens of a task's documents with how often they came, added up before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = encoder(tokenizer).split, Counter()
+        found, seen = encoder(tokenizer), Counter()
 
         def out() -> pa.RecordBatch:
             of = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
@@ -32,8 +34,12 @@ def _frequencies(tokenizer: str):
             return of
 
         for b in batches:
-            for text in b.column("text"):
-                seen.update(split(text.as_py() or ""))
+            for units, where, _ in found.chunks(b.column("text")):
+                n = np.bincount(where, minlength=len(units))
+                once = n == 1
+                # What came once in a chunk goes on as it is: adding it up here would seldom spare a row.
+                yield pa.RecordBatch.from_arrays([units.filter(pa.array(once)), pa.array(n[once])], names=["unit", "n"])
+                seen.update(dict(zip(units.filter(pa.array(~once)).to_numpy(zero_copy_only=False), n[~once].tolist(), strict=True)))
                 if len(seen) >= FLUSH:
                     yield out()
         yield out()
@@ -43,9 +49,9 @@ def _frequencies(tokenizer: str):
 
 def _pieces(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(tokenizer).count
+        found = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array([count(u.as_py()) for u in b.column("unit")], pa.int64())], names=["unit", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array(found.flat(b.column("unit"))[1].astype(np.int64))], names=["unit", "n", "pieces"])
 
     return run
 
@@ -54,18 +60,24 @@ def _documents(tokenizer: str, head):
     """Per document: what its frequent pre-tokens add up to, and the others with their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = encoder(tokenizer).split, head.value
+        found, known = encoder(tokenizer), head.value
+        kind = pa.list_(pa.struct([("unit", pa.string()), ("f", pa.int64())]))
         for b in batches:
-            size, total, rest = [], [], []
-            for text in b.column("text"):
-                text = text.as_py() or ""
-                size.append(len(text.encode()))
-                of = Counter(split(text))
-                rare = [(u, n) for u, n in of.items() if u not in known]
-                total.append(sum(known[u] * n for u, n in of.items() if u in known))
-                rest.append([{"unit": u, "f": n} for u, n in rare])
-            kind = pa.list_(pa.struct([("unit", pa.string()), ("f", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(rest, kind)], names=["doc_id", "n_bytes", "n_head", "rest"])
+            at = 0
+            for units, where, ends in found.chunks(b.column("text")):
+                n = len(ends) - 1
+                pieces = np.fromiter((known.get(u, -1) for u in units.to_numpy(zero_copy_only=False)), np.int64, len(units))
+                of = pieces[where]
+                heads = np.concatenate(([0], np.cumsum(np.maximum(of, 0))))[ends]
+                # The rare ones: one number for each pair of document and unit, so equal pairs are counted by sorting.
+                rare = np.flatnonzero(of < 0)
+                pairs, f = np.unique((np.searchsorted(ends, rare, "right") - 1) * len(units) + where[rare], return_counts=True)
+                doc, unit = np.divmod(pairs, max(1, len(units)))
+                offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([units.take(pa.array(unit)), pa.array(f.astype(np.int64))], fields=list(kind.value_type)))
+                size = pc.fill_null(pc.binary_length(b.column("text").slice(at, n)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), size, pa.array(np.diff(heads)), rest], names=["doc_id", "n_bytes", "n_head", "rest"])
+                at += n
 
     return run
 

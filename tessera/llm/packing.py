@@ -26,11 +26,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer).encode, np.array([end], "<u4").tobytes()
+        found, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column("text")):
-                raw = encode(text.as_py() or "") + last
+            for i, raw in enumerate(found.encode_all(b.column("text"))):
+                raw += last
                 for k in range(0, len(raw), 4 * capacity):
                     part = raw[k : k + 4 * capacity]
                     at.append(i)

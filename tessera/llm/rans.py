@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import encoder
-from tessera.plans.scratch import shared_dir, written
+from tessera.plans.scratch import dropped, shared_dir, written
 
 #: Frequencies add up to 2 ** PRECISION; LANES states are coded side by side.
 PRECISION, LANES = 20, 2048
@@ -26,7 +26,7 @@ BLOCK, CHECKPOINT = 1_000_000, 128
 VERSION = 1
 LOW = np.uint64(1 << 31)
 
-_BLOCK = "part int, block int, version int, n_ids long, docs binary, lengths binary, crcs binary, states binary, marks binary, codes binary, crc long"
+_BLOCK = "part int, block long, version int, n_ids long, docs binary, lengths binary, crcs binary, states binary, marks binary, codes binary, crc long"
 
 
 def normalised(counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:
@@ -116,7 +116,7 @@ def _tokenized(tokenizer: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), docs, pa.array(ids, pa.binary())], names=["kind", "doc_id", "ids"])
 
         for b in batches:
-            small = [np.frombuffer(found.encode(t.as_py() or "") + last, "<u4").astype("<u2") for t in b.column("text")]
+            small = [np.frombuffer(x + last, "<u4").astype("<u2") for x in found.encode_all(b.column("text"))]
             if small:
                 total += np.bincount(np.concatenate(small), minlength=1 << 16)
             yield out(0, b.column("doc_id"), [x.tobytes() for x in small])
@@ -135,31 +135,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoded(freq):
+    """Blocks from rows as they were written: each part's in rising order, a block named by its first row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number, held, size = Coder(freq.value), -1, 0, [], 0
+        coder, part, first, last, held, size = Coder(freq.value), -1, 0, -1, [], 0
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate([x for _, x in held])
             codes, states, marks = coder.encode(ids)
+            codes, named = codes.astype("<u4").tobytes(), [d is not None for d, _ in held]
             row = {
-                "part": part, "block": number, "version": VERSION, "n_ids": len(ids),
-                "docs": pa.array([d for d, _ in held], pa.int64()), "lengths": np.array([len(x) for _, x in held], "<i4").tobytes(),
+                "part": part, "block": first, "version": VERSION, "n_ids": len(ids),
+                "docs": np.packbits(named).tobytes() + np.array([d or 0 for d, _ in held], "<i8").tobytes(), "lengths": np.array([len(x) for _, x in held], "<i4").tobytes(),
                 "crcs": np.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in held], "<u4").tobytes(),
-                "states": states.astype("<u8").tobytes(), "marks": marks.astype("<i8").tobytes(), "codes": codes.astype("<u4").tobytes(),
+                "states": states.astype("<u8").tobytes(), "marks": marks.astype("<i8").tobytes(), "codes": codes, "crc": zlib.crc32(codes),
             }
-            named = [d is not None for d, _ in held]
-            row["docs"] = np.packbits(named).tobytes() + np.array([d or 0 for d, _ in held], "<i8").tobytes()
-            row["crc"] = zlib.crc32(row["codes"])
-            types = [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 6 + [pa.int64()]
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 6 + [pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for b in batches:
-            for p, doc, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            for p, row, doc, ids in zip(b.column("part").to_pylist(), b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                if p == part and row <= last:
+                    raise ValueError(f"rows of part {p} are out of order")
                 if held and (size >= BLOCK or p != part):
                     yield block()
-                    number, held, size = (number + 1 if p == part else 0), [], 0
-                part = p
-                held.append((doc, np.frombuffer(ids.as_py(), "<u2")))
+                    held, size = [], 0
+                if not held:
+                    first = row
+                part, last = p, row
+                held.append((doc, np.frombuffer(ids.as_buffer(), "<u2")))
                 size += len(held[-1][1])
         if held:
             yield block()
@@ -185,7 +189,7 @@ def _decoded(freq):
                 crcs = np.array([zlib.crc32(x) for x in parts], np.int64)
                 if (crcs != np.frombuffer(r["crcs"], "<u4")).any():
                     raise ValueError(f"ids of block {r['block']} of part {r['part']} do not match their checksums")
-                whole = [np.full(n, r["part"], np.int32), np.full(n, r["block"], np.int32)]
+                whole = [np.full(n, r["part"], np.int32), np.full(n, r["block"], np.int64)]
                 columns = [*map(pa.array, whole), pa.array(docs, pa.int64(), mask=~named), pa.array(ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crcs), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_id", "ahead", "n_tokens", "ids_crc32", "ids"])
 
@@ -212,8 +216,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0) -> No
     table = [(int(s), int(freq[s])) for s in np.flatnonzero(freq)]
     spark.createDataFrame(table, "symbol int, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
-    sorted_ids = ids.where("kind = 0").repartition("part").sortWithinPartitions("part", "row").select("part", "doc_id", "ids")
+    # A part is a file of its own and is read in the order in which it was written: no second exchange.
+    sorted_ids = ids.where("kind = 0").select("part", "row", "doc_id", "ids")
     sorted_ids.mapInArrow(_encoded(shared), _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    dropped(ids)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +238,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
     starts = sizes.withColumn("before_block", inside).join(parts, "part").select("part", "block", (F.col("before_part") + F.col("before_block")).alias("before"))
-    kind = "part int, block int, doc_id long, ahead long, n_tokens long, ids_crc32 long, ids binary"
+    kind = "part int, block long, doc_id long, ahead long, n_tokens long, ids_crc32 long, ids binary"
     each = blocks.mapInArrow(_decoded(spark.sparkContext.broadcast(freq)), kind)
     return each.join(starts, ["part", "block"]).select("doc_id", (F.col("before") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
