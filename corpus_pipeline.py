@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, queries, simhash, substrings
+from tessera.llm import mixing, packing, quality, queries, similar, substrings
 from tessera.plans.scratch import written
 
-#: Near duplicates: fingerprints of two-word shingles that differ in five bits at most. Copies whose five-word shingles
-#: agree to 0.8 and more mostly lie within; texts that merely share a passage lie far outside.
-NEAR = {"shingle": 2, "radius": 5, "segments": 3}
+#: Near duplicates: texts whose sets of five-word shingles agree to 0.8 and more.
+NEAR = {"shingle": 5, "similarity": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id."""
-    return simhash.keep_one(docs, **NEAR)
+    return similar.keep_one(docs, **NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the words of windows that start earlier in the corpus; texts that lose none stay as they are."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = substrings.remove_repeats(docs, with_text=True, keep=rest)
-    kept = kept.withColumnRenamed("kept", "text").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    found = substrings.remove_repeats(docs, with_text=True, keep=rest)
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("of_n_chars"))
+    given = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": size}
+    return found.select(*[given.get(c, F.col(f"of_{c}")).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

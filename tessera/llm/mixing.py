@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import written
+
 #: A word is a maximal run of anything but space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Times of the schedule's knots, and the multiplier of each weight class at each of them.
@@ -105,9 +107,13 @@ def mix(
     turn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = docs.select("doc_id", *[F.col(c).alias(f"kept_{c}") for c in keep], F.col("source").alias("src"), size.alias("size"))
     rows = rows.withColumn("turn", turn).withColumn("key", source_key(F.col("src"))).withColumn("step", F.pmod("turn", F.lit(steps)))
-    narrow = docs.select("doc_id", F.col("source").alias("src"), size.alias("size")).withColumn("key", source_key(F.col("src")))
-    narrow = narrow.withColumn("step", F.pmod(turn, F.lit(steps)))
-    sums = narrow.groupBy("key", "step").agg(F.sum("size").alias("sum"), F.first("src").alias("src"))
+    if not keep:
+        rows = written(rows, "sizes")  # words are counted once
+        sums = rows.groupBy("key", "step").agg(F.sum("size").alias("sum"), F.first("src").alias("src"))
+    else:
+        narrow = docs.select("doc_id", F.col("source").alias("src"), size.alias("size")).withColumn("key", source_key(F.col("src")))
+        sums = narrow.withColumn("step", F.pmod(turn, F.lit(steps))).groupBy("key", "step").agg(F.sum("size").alias("sum"), F.first("src").alias("src"))
+    sums = written(sums, "sums")
     of = sums.groupBy("key").agg(F.sum("sum").alias("source_size"), F.first("src").alias("source"))
     starts = sums.select("key", "step", (F.sum("sum").over(Window.partitionBy("key").orderBy("step")) - F.col("sum")).alias("start"))
     placed = starts.join(F.broadcast(targets(of, weights, cap)) if _few(of) else targets(of, weights, cap), "key")
@@ -149,6 +155,6 @@ def training_order(docs: DataFrame, columns: Sequence[str], **how) -> DataFrame:
     empty texts and repeats as in ``mix``.
     """
     rows = mix(docs, whole=True, keep=columns, **how)
-    out = rows.select(F.explode("positions").alias("position"), *[F.col(f"kept_{c}").alias(c) for c in columns])
-    tie = F.xxhash64("doc_id")
-    return out.repartitionByRange(out.position, tie).sortWithinPartitions("position", tie).select(*columns)
+    out = rows.select(F.explode("positions").alias("position"), *[f"kept_{c}" for c in columns], F.xxhash64("doc_id").alias("tie"))
+    out = out.repartitionByRange(out.position, out.tie).sortWithinPartitions("position", "tie")
+    return out.select(*[F.col(f"kept_{c}").alias(c) for c in columns])

@@ -7,6 +7,7 @@ of that minimiser, where sorting the windows counts them exactly.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import written
+from tessera.llm.words import FACTOR, grams, mixed, words
+from tessera.plans.scratch import dropped, written
 
 WINDOW, MMER = 20, 4
-#: Bytes of text that a worker cuts at a time, and buckets to a shuffle partition.
-CHUNK, BUCKETS_A_PARTITION = 6_000_000, 8
+#: Bytes of text whose strings a worker packs together, and that it cuts at a time.
+CHUNK, PIECE = 6_000_000, 1_000_000
+#: Bytes of strings that a bucket and a partition should hold (strings take some three times their text), and buckets to a partition at least.
+BUCKET, PARTITION, BUCKETS_A_PARTITION = 4_000_000, 64_000_000, 16
 #: One document in so many is read to find the minimisers that need several buckets.
 SAMPLED = 16
 NULL_ID = -(1 << 63)
@@ -27,26 +31,6 @@ _PACKED = "bucket int, kind int, n int, docs binary, ties binary, los binary, hi
 _SPANS = "kind int, doc long, tie long, lo int, hi int, digest binary"
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Documents as (doc, tie, text) in rising order, some megabytes at a time."""
     rows, held = [], 0
@@ -60,56 +44,60 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
     yield sorted(rows)
 
 
+def _pieces(rows: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Rows in the same order, so many that their texts are PIECE bytes or one text."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[2]) > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[2])
+    if held:
+        yield held
+
+
 class _Cut:
     """Super-k-mers of a chunk: first and last window (flat word positions), minimiser, owner, and their bytes."""
 
     def __init__(self, rows: list[tuple[int, int, bytes]], window: int, mmer: int):
-        words, counts, self.docs, self.ties = [], [], [], []
-        before = None
+        texts, docs, ties, before = [], [], [], None
         for doc, tie, text in rows:
             if (doc, tie) == before and tie:  # the same row again
                 continue
             before = (doc, tie)
-            of = text.split()
-            if len(of) >= window:
-                words += of
-                counts.append(len(of))
-                self.docs.append(doc)
-                self.ties.append(tie)
-        counts = np.array(counts, np.int64)
+            texts.append(text)
+            docs.append(doc)
+            ties.append(tie)
+        self.of = words(texts)
+        self.docs, self.ties, counts = np.array(docs, np.int64), np.array(ties, np.int64), self.of.counts
         self.base = np.cumsum(counts) - counts
-        n = len(words)
-        if not n:
-            self.first = self.last = self.owner = np.zeros(0, np.int64)
-            self.least = np.zeros(0, np.uint64)
+        n = int(counts.sum())
+        self.first = self.last = self.owner = np.zeros(0, np.int64)
+        self.least = np.zeros(0, np.uint64)
+        if n < window:
             return
-        h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-        grams = np.zeros(n - mmer + 1, np.uint64)
-        for i in range(mmer):
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : n - mmer + 1 + i]
-        grams = _mixed(grams)
-        span, width, low = window - mmer + 1, 1, grams
+        h = self.of.hashes()
+        span, width, low = window - mmer + 1, 1, grams(h, mmer)
         while 2 * width <= span:
             low = np.minimum(low[: len(low) - width], low[width:])
             width *= 2
         if span > width:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        owner = np.repeat(np.arange(len(counts)), counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         at = np.flatnonzero(np.repeat(self.base + counts, counts) - np.arange(n) >= window)
+        if not len(at):
+            return
         least, owner = low[at], owner[at]
         new = np.ones(len(at), bool)
         new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(new)
         self.first, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1]
         self.least, self.owner = least[begin], owner[begin]
-        self.joined = b" ".join(words)
-        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        self.starts = np.concatenate(([0], self.ends[:-1] + 1))
-        self.docs, self.ties = np.array(self.docs, np.int64), np.array(self.ties, np.int64)
 
     def strings(self, window: int) -> list[bytes]:
-        joined = self.joined if len(self.first) else b""
-        return [joined[a:b] for a, b in zip(self.starts[self.first].tolist(), self.ends[self.last + window - 1].tolist(), strict=True)] if len(self.first) else []
+        joined, starts, ends = self.of.flat.tobytes(), self.of.starts, self.of.ends
+        return [joined[a:b] for a, b in zip(starts[self.first].tolist(), ends[self.last + window - 1].tolist(), strict=True)] if len(self.first) else []
 
 
 def _pack(window: int, mmer: int, buckets: int, salts: dict[int, int]):
@@ -122,33 +110,45 @@ def _pack(window: int, mmer: int, buckets: int, salts: dict[int, int]):
         hot = np.array(sorted(salts), np.uint64)
         ways = np.array([salts[x] for x in sorted(salts)], np.uint64)
         for rows in _chunks(batches):
-            cut = _Cut(rows, window, mmer)
-            strings = cut.strings(window)
-            if not strings:
-                continue
-            seen: dict[bytes, int] = {}
-            fresh = np.fromiter((seen.setdefault(s, i) == i for i, s in enumerate(strings)), bool, len(strings))
-            lo, hi = cut.first - cut.base[cut.owner], cut.last + window - cut.base[cut.owner]
-            doc, tie = cut.docs[cut.owner], cut.ties[cut.owner]
-            kind = np.zeros(len(strings), np.int32)
-            place = _mixed(cut.least + np.uint64(1))
-            if len(hot):
-                where = np.minimum(np.searchsorted(hot, cut.least), len(hot) - 1)
-                is_hot = hot[where] == cut.least
-                kind[is_hot] = 1
-                salt = _mixed(doc.view(np.uint64) + np.uint64(7)) % ways[where]
-                place = np.where(is_hot, _mixed(place + salt), place)
-            bucket = (place % np.uint64(buckets)).astype(np.int64) * 4 + kind
-            bucket[~fresh] = (_mixed(doc[~fresh].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) * 4 + 2
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order])) + 1
+            # A bucket's parts gather over the chunk; texts are cut a piece at a time.
+            held: dict[int, list] = defaultdict(list)
+            seen: set[bytes] = set()
+            for piece in _pieces(rows):
+                cut = _Cut(piece, window, mmer)
+                strings = cut.strings(window)
+                if not strings:
+                    continue
+                fresh = np.zeros(len(strings), bool)
+                for i, x in enumerate(strings):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                lo, hi = cut.first - cut.base[cut.owner], cut.last + window - cut.base[cut.owner]
+                doc, tie = cut.docs[cut.owner], cut.ties[cut.owner]
+                kind = np.zeros(len(strings), np.int32)
+                place = mixed(cut.least + np.uint64(1))
+                if len(hot):
+                    where = np.minimum(np.searchsorted(hot, cut.least), len(hot) - 1)
+                    is_hot = hot[where] == cut.least
+                    kind[is_hot] = 1
+                    salt = mixed(doc.view(np.uint64) + np.uint64(7)) % ways[where]
+                    place = np.where(is_hot, mixed(place + salt), place)
+                bucket = (place % np.uint64(buckets)).astype(np.int64) * 4 + kind
+                bucket[~fresh] = (mixed(doc[~fresh].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) * 4 + 2
+                order = np.argsort(bucket, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    k = int(bucket[part[0]])
+                    text = b"" if k % 4 == 2 else b"\n".join([strings[i] for i in part.tolist()])
+                    held[k].append((len(part), *[x[part].astype(t).tobytes() for x, t in ((doc, "<i8"), (tie, "<i8"), (lo, "<i4"), (hi, "<i4"))], text))
+            seen.clear()
             out = []
-            for part in np.split(order, edges):
-                k = int(bucket[part[0]])
-                text = b"" if k % 4 == 2 else b"\n".join([strings[i] for i in part.tolist()])
-                packed = [x[part].astype(t).tobytes() for x, t in ((doc, "<i8"), (tie, "<i8"), (lo, "<i4"), (hi, "<i4"))]
-                out.append((k // 4, k % 4, len(part), *[zip_(x) for x in packed], zip_(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "kind", "n", "docs", "ties", "los", "his", "text"])
+            for k in sorted(held):
+                n, *packed = zip(*held.pop(k), strict=True)
+                text = packed.pop()
+                out.append((k // 4, k % 4, sum(n), *[zip_(b"".join(x)) for x in packed], zip_(b"" if k % 4 == 2 else b"\n".join(text))))
+                if len(out) >= 256 or not held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "kind", "n", "docs", "ties", "los", "his", "text"])
+                    out = []
 
     return run
 
@@ -166,15 +166,13 @@ def _runs(mask: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
 
 def _settle(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, window: int, hot: bool) -> list:
     """Spans of repeated windows in one bucket, as columns; of a hot bucket also the windows that came first in it."""
-    flat = b" ".join(strings).split(b" ")
-    counts = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+    flat = words(strings)
+    counts, ids = flat.counts, flat.numbers()
     base = np.cumsum(counts) - counts
-    at = np.flatnonzero(np.repeat(base + counts, counts) - np.arange(len(flat)) >= window)
-    owner = np.repeat(np.arange(len(strings)), counts)[at]
-    mixed, step, done, h = _mixed(np.arange(1, len(number) + 1, dtype=np.uint64))[ids], np.uint64(0x9E3779B97F4A7C15), 0, None
-    power, factor, width = mixed, step, 1
+    at = np.flatnonzero(np.repeat(base + counts, counts) - np.arange(len(ids)) >= window)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), counts)[at]
+    done, h, width = 0, None, 1
+    power, factor = mixed((ids + 1).astype(np.uint64)), np.full(1, FACTOR)
     for bit in range(window.bit_length()):
         if window >> bit & 1:
             h = power[at] if h is None else h * factor + power[at + done]
@@ -211,7 +209,8 @@ def _settle(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, lo: np.ndarr
         from xxhash import xxh3_128_digest
 
         i = np.flatnonzero(~covered)
-        digest = [xxh3_128_digest(b" ".join(flat[p : p + window])) for p in at[i].tolist()]
+        joined = flat.flat.tobytes()
+        digest = [xxh3_128_digest(joined[a:b]) for a, b in zip(flat.starts[at[i]].tolist(), flat.ends[at[i] + window - 1].tolist(), strict=True)]
         out.append((1, doc[owner[i]], tie[owner[i]], start[i], start[i] + window, digest))
     return out
 
@@ -254,32 +253,45 @@ def _count(window: int):
     return run
 
 
-def _hot(rows: DataFrame, window: int, mmer: int, parts: int) -> dict[int, int]:
+def _sampled(rows: DataFrame, window: int, mmer: int) -> DataFrame:
+    """``(least, n, size)`` of one document in SAMPLED: how many different strings each minimiser has, and their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            for piece in _pieces(chunk):
+                cut = _Cut(piece, window, mmer)
+                least = dict(zip(cut.strings(window), cut.least.tolist(), strict=True))
+                value, at, n = np.unique(np.fromiter(least.values(), np.uint64, len(least)), return_inverse=True, return_counts=True)
+                size = np.bincount(at, np.fromiter(map(len, least), np.float64, len(least)), len(value)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(size)], names=["least", "n", "size"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(SAMPLED)) == 0).mapInArrow(run, "least long, n long, size long")
+    return some.groupBy("least").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+
+def _hot(some: DataFrame, total: int, parts: int) -> dict[int, int]:
     """Minimisers whose different strings would fill a partition's share, and how many buckets each needs.
 
     Found from one document in SAMPLED; this only decides where strings travel, never what is found.
     There are fewer than 4 * SAMPLED * ``parts`` of them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            cut = _Cut(chunk, window, mmer)
-            least = {s: m for s, m in zip(cut.strings(window), cut.least.tolist(), strict=True)}
-            value, n = np.unique(np.fromiter(least.values(), np.uint64, len(least)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["least", "n"])
-
-    some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(SAMPLED)) == 0).mapInArrow(run, "least long, n long")
-    some = written(some.groupBy("least").agg(F.sum("n").alias("n")), "minimisers")
-    most = max(16, (some.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    most = max(16, total // (4 * parts))
     return {r["least"] % (1 << 64): -(-r["n"] // most) + 1 for r in some.where(F.col("n") > most).collect()}
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """``(doc, tie, lo, hi)``: spans of words of ``rows`` (doc, tie, text) that repeat earlier windows. Spans may overlap."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = _hot(rows, window, mmer, parts)
-    packed = rows.mapInArrow(_pack(window, mmer, parts * BUCKETS_A_PARTITION, salts), _PACKED)
-    met = packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    """``(doc, tie, lo, hi)``: spans of words of ``rows`` (doc, tie, text) that repeat earlier windows. Spans may overlap.
+
+    Partitions and buckets follow the bytes of the strings, as one document in SAMPLED foretells them.
+    """
+    some = written(_sampled(rows, window, mmer), "minimisers")
+    n, size = some.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(usual, -(-size * SAMPLED // PARTITION))
+    salts = _hot(some, n, parts)
+    dropped(some)
+    packed = rows.mapInArrow(_pack(window, mmer, max(parts * BUCKETS_A_PARTITION, -(-size * SAMPLED // BUCKET)), salts), _PACKED)
+    met = (packed.repartition(parts, "bucket") if parts > usual else packed.repartition("bucket")).sortWithinPartitions("bucket", "kind")
     found = written(met.mapInArrow(_count(window), _SPANS), "spans")
     spans = found.where("kind = 0").select("doc", "tie", "lo", "hi")
     if salts:
@@ -320,7 +332,7 @@ def _keep(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ``doc_id, n_words, n_removed, kept_sha256, kept`` and the columns named in ``keep``.
+    """Per row: ``doc_id, n_words, n_removed, kept_sha256, kept`` and the columns named in ``keep``, as ``of_<name>``.
 
     A word goes if some window of ``window`` words over it also starts earlier: at a smaller doc_id, or earlier in
     its document. Windows are judged on the input. ``kept`` (``with_text``) is the text itself where nothing went, else the kept words
@@ -332,7 +344,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, with
     """
     ids = F.coalesce("doc_id", F.lit(NULL_ID))
     again = docs.select(ids.alias("doc")).groupBy("doc").count().where("count > 1").select("doc")
-    rows = docs.select(ids.alias("doc"), "doc_id", "text", *[F.col(c).alias(f"kept_{c}") for c in keep])
+    rows = docs.select(ids.alias("doc"), "doc_id", "text", *[F.col(c).alias(f"of_{c}") for c in keep])
     if again.limit(1).count():
         marked = again.withColumn("again", F.lit(True))
         rows = rows.join(marked, "doc", "left").withColumn("tie", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0))).drop("again")
@@ -340,8 +352,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, with
         rows = rows.withColumn("tie", F.lit(0).cast("long"))
     spans = repeated_spans(rows.select("doc", "tie", "text"), window, mmer)
     of = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = rows.join(of, ["doc", "tie"], "left").select("doc_id", *[f"kept_{c}" for c in keep], "text", "spans")
+    joined = rows.join(of, ["doc", "tie"], "left").select("doc_id", *[f"of_{c}" for c in keep], "text", "spans")
     types = dict(docs.dtypes)
-    kept = "".join(f"`kept_{c}` {types[c]}, " for c in keep)
+    kept = "".join(f"`of_{c}` {types[c]}, " for c in keep)
     out = joined.mapInArrow(_keep(with_text), f"doc_id {types['doc_id']}, {kept}n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *[f"of_{c}" for c in keep])

@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, simhash
+from tessera.llm import mixing, quality
 from tessera.plans.scratch import written
+from tests.llm.test_similar import plain_groups
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -25,17 +27,7 @@ def test_stages(spark, sf):
     first = {r.doc_id: r.text for r in kept["quality"].collect()}
     assert set(first) == good and len(good) > 0.7 * whole.count()
 
-    fps = {d: simhash.fingerprint(t.encode(), 2) for d, t in first.items()}
-    todo, left = set(fps), set()
-    while todo:
-        group, edge = set(), [min(todo)]
-        while edge:
-            d = edge.pop()
-            if d in todo:
-                todo.discard(d)
-                group.add(d)
-                edge += [e for e in todo if (fps[d] ^ fps[e]).bit_count() <= 5]
-        left.add(min(group))
+    left = {min(g) for g in plain_groups(first)}
     second = {r.doc_id: r.text for r in kept["near_duplicates"].collect()}
     assert second == {d: first[d] for d in left}
 
@@ -74,3 +66,12 @@ def test_run_takes_odd_tables(spark, odd, tmp_path):
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def test_columns_with_clashing_names(spark, odd):
+    names = ["position", "kept", "n_words", "n_removed", "sha256", "of_text", "c", "group", "tie", "turn", "spans", "at", "_row"]
+    docs = odd.withColumns({n: F.lit(n) for n in names})
+    for stage in (pipeline.near_duplicates, pipeline.repeated_passages, pipeline.mixture):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(names).collect()} == {tuple(names)}

@@ -60,9 +60,3 @@ def test_links_are_all_found(spark):
         found = simhash.links(spark.createDataFrame([(signed(x),) for x in near], "fp long"), radius, segments).distinct().collect()
         want = {(a, b) for a in map(signed, near) for b in map(signed, near) if a < b and (a % 2**64 ^ b % 2**64).bit_count() <= radius}
         assert {tuple(r) for r in found} == want
-
-
-def test_keep_one(odd):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "9", "None", "None", "None"]

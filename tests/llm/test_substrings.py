@@ -1,6 +1,9 @@
 import hashlib
 
+import pytest
+
 from tessera.llm import substrings
+from tessera.llm.words import words
 
 
 def plain(rows, window=20):
@@ -46,13 +49,14 @@ def test_small_window_and_hot_minimisers(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     same(docs, window=6, mmer=2)
     parts = docs.selectExpr("doc_id as doc", "0L as tie", "text")
-    assert substrings._hot(parts, 6, 2, 8)
+    some = substrings._sampled(parts, 6, 2)
+    assert substrings._hot(some, some.groupBy().sum("n").first()[0], 8)
 
 
 def test_colliding_hashes_are_told_apart(monkeypatch, spark):
     import numpy as np
 
-    monkeypatch.setattr(substrings, "_mixed", lambda x: x * np.uint64(0))
+    monkeypatch.setattr(substrings, "mixed", lambda x: x * np.uint64(0))
     doc = np.arange(3)
     strings = [b"a b c", b"a b d", b"a b c"]
     spans = substrings._settle(strings, doc, doc * 0, doc * 0, 3, False)
@@ -61,11 +65,25 @@ def test_colliding_hashes_are_told_apart(monkeypatch, spark):
 
 def test_odd_rows(odd, spark):
     same(odd.where("doc_id < 6 or doc_id = 9"))
-    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.remove_repeats(odd, with_text=True).collect()}
-    assert got[None, 60] == 50 and got[5, 60] == 60 and got[6, 60] == 60 and got[1, 0] == 0 and got[6, 60] == 60
+    found = substrings.remove_repeats(odd, with_text=True, keep=("text",)).collect()
+    got = {(r.doc_id, (r.of_text or "")[:3]): r.n_removed for r in found}
+    # The first copy repeats itself from its second ten words on; of "six again six again ..." two windows are new.
+    assert got[None, "one"] == 50 and got[5, "one"] == 60 and got[6, "one"] == 60 and got[6, "six"] == 58 and got[1, ""] == 0
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
 
 def test_text_without_repeats_stays_as_it_is(odd):
     kept = {r.doc_id: r.kept for r in substrings.remove_repeats(odd, with_text=True, keep=("lang",)).where("doc_id in (1, 3, 9)").collect()}
     assert kept == {r.doc_id: r.text for r in odd.where("doc_id in (1, 3, 9)").collect()}
+
+
+@pytest.mark.parametrize("texts", [[], [b""], [b"  a  b\t", b"", b"\n", b"b A a" * 3, b"x" * 3_000_000 + b" y"]])
+def test_words_are_the_words(texts):
+    of, lower = words(texts), words(texts, lower=True)
+    want = [t.split() for t in texts]
+    raw = of.flat.tobytes()
+    assert [raw[a:b] for a, b in zip(of.starts, of.ends, strict=True)] == [w for t in want for w in t]
+    assert of.counts.tolist() == list(map(len, want))
+    number = of.numbers()
+    assert len(set(number.tolist())) == len({w for t in want for w in t}) == len(set(of.hashes().tolist()))
+    assert lower.flat.tobytes() == raw.lower()
