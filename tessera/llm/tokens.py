@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces of a generation that a worker remembers (two generations at most, some 60 MB each), bytes of text
 #: that are split at a time, and units that are cut at a time.
-REMEMBER, CHUNK, TOGETHER = 300_000, 24_000_000, 20_000
+REMEMBER, CHUNK, TOGETHER = 300_000, 8_000_000, 20_000
 #: Letters whose normal form, case and class are plain, and the contractions that the patterns name.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
