@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalars import CASTS, TRANSFORMS, blank
-from tessera.sources.landing import record_hash
-from tessera.plans.scratch import written
+from tessera.plans.scratch import dropped, written
+from tessera.sources.landing import AUDIT, contract, record_hash, refuse_bronze, typed
 
 ON_NULL, ON_UNMAPPED = ("pass", "reject", "default"), ("pass", "quarantine", "null")
 #: Field outcomes that stop a row.
@@ -102,7 +105,7 @@ def _staged(i: int, f: Field) -> list[dict[str, Column]]:
 
     Each stage reads the columns of the one before, so nothing is computed twice and every stage stays generated code.
     """
-    raw, value, moved, cast = (F.col(f"_{n}{i}") for n in ("raw", "val", "mov", "cast"))
+    raw, value, moved, cast = F.get("_raw", F.lit(i)), *(F.col(f"_{n}{i}") for n in ("val", "mov", "cast"))
     unmapped = F.lit(False)
     mapped = raw
     if f.value_map:
@@ -133,15 +136,20 @@ def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row") -> DataFrame:
 
     In order: null policy, value map, transform, cast. Nothing raises. Narrow projections alone; the spec's constants fold into them.
     Defaults and permitted nulls leave a row ok. Write the result once where several consumers follow.
+
+    Every stage hands the raw values on through a lambda, which keeps its projection out of whole-stage code: fused, all
+    fields of a spec are one method too large for the JVM to compile, while a projection's own code is split into small ones.
     """
     kind = dict(rows.dtypes)[raw]
     get = lambda s: F.try_element_at(F.col(raw), F.lit(s)) if kind.startswith("map") else F.col(f"{raw}.{s}")
-    out = rows.withColumns({f"_raw{i}": get(f.source) for i, f in enumerate(spec.fields)})
+    apart = F.transform("_raw", lambda x: x).alias("_raw")
+    out = rows.select(*rows.columns, F.array(*[get(f.source) for f in spec.fields]).cast("array<string>").alias("_raw"))
     for stage in zip(*[_staged(i, f) for i, f in enumerate(spec.fields)], strict=True):
-        out = out.withColumns({n: c for columns in stage for n, c in columns.items()})
+        held = [c for c in out.columns if c != "_raw"]
+        out = out.select(*held, apart, *[c.alias(n) for columns in stage for n, c in columns.items()])
     told = []
     for i, f in enumerate(spec.fields):
-        parts = {"source": F.lit(f.source), "target": F.lit(f.target), "source_value": F.col(f"_raw{i}"), "mapped_value": F.col(f"_to{i}"), "outcome": F.col(f"_out{i}"), "reason": F.col(f"_why{i}"), "rule": F.col(f"_rule{i}")}
+        parts = {"source": F.lit(f.source), "target": F.lit(f.target), "source_value": F.get("_raw", F.lit(i)), "mapped_value": F.col(f"_to{i}"), "outcome": F.col(f"_out{i}"), "reason": F.col(f"_why{i}"), "rule": F.col(f"_rule{i}")}
         told.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
     any_ = lambda o: reduce(lambda a, b: a | b, [F.col(f"_out{i}") == o for i in range(len(spec.fields))], F.lit(False))
     outcome = F.when(any_("rejected"), "rejected").when(any_("failure"), "failure").when(any_("quarantined"), "quarantined").otherwise("ok")
@@ -215,29 +223,73 @@ def balance(evaluated: DataFrame, spec: Spec) -> DataFrame:
     return out.withColumn("balanced", F.expr("records_in = records_out + quarantined + drops"))
 
 
-def promote(bronze_rows: DataFrame, spec: Spec, path: str, batch_id: str) -> dict:
-    """Write a batch to one table an entity and a quarantine, below ``path``; nothing is published unless everything balances.
+def _expected(spec: Spec) -> dict[str, Column]:
+    """For each entity, how many rows it should get, from the outcomes alone; beside them the balance. One pass over evaluated rows."""
+    primary, ok = primary_entity(spec), F.col("outcome") == "ok"
+    filled = lambda t: F.exists("fields", lambda f: (F.coalesce(f["mapped_value"], F.lit("")) != "") & f["target"].startswith(f"{t}.") & (F.lit(t == primary) | (f["target"] != f"{t}.{MEMBER_KEY}")))
+    holds = reduce(lambda a, b: a | b, [filled(t) for t in entities(spec)])
+    told = {"records_in": F.count("*"), "records_out": F.count_if(ok & holds), "quarantined": F.count_if(~ok), "drops": F.count_if(ok & ~holds)}
+    return told | {f"to_{t}": F.count_if(ok & filled(t)) for t in entities(spec)}
 
-    The evaluated batch is written once and feeds every sink. Sinks go to a staging folder; counts read back must equal
-    the expectation from the outcomes, and the balance must hold, before partitions are replaced.
-    """
-    from tessera.sources.landing import replace_batch
 
-    done = written(evaluate(bronze_rows, spec), "evaluated")
-    total = balance(done, spec).first()
-    expected = {r.entity: r.n for r in expected_rows(done, spec).collect()}
-    staged, counts = {}, {}
-    for table in entities(spec):
-        staged[table] = written(entity_rows(done, spec, table).withColumn("batch_id", F.lit(batch_id)), f"stage-{table}")
-        counts[table] = staged[table].count()
-        if counts[table] != expected.get(table, 0):
-            raise RuntimeError(f"{table}: {counts[table]} rows staged, {expected.get(table, 0)} expected; nothing is published")
-    if not total.balanced:
+def entity_contract(spec: Spec, table: str, canonical: dict[str, str] | None = None) -> T.StructType:
+    """An entity's schema: the row's number, its fields by canonical type (else by their cast), the member key, audit columns."""
+    words = {"int": "int64", "timestamp": "timestamp_utc"}
+    kinds = {f.target: (canonical or {}).get(f.target, words.get(f.cast, f.cast)) for f in spec.fields}
+    names = entities(spec)[table]
+    fields = [("row_number", "int64", False, ""), *((n, kinds[f"{table}.{n}"], True, f"{table}.{n}") for n in names)]
+    if MEMBER_KEY not in names:
+        fields.append((MEMBER_KEY, "string", True, "handed down"))
+    audit = {"ingestion_ts": "timestamp_utc", "created_ts": "timestamp_utc", "updated_ts": "timestamp_utc"}
+    return contract([*fields, *((n, audit.get(n, "string"), True, "audit") for n in AUDIT)])
+
+
+def promote(bronze_rows: DataFrame, spec: Spec, path: str, batch_id: str, canonical: dict[str, str] | None = None, source_system: str = "") -> dict:
+    """Write a batch to one typed table an entity and a quarantine, below ``path``; nothing is published unless everything balances.
+
+    The evaluated batch is written once, is balanced while it is written, and feeds every sink. Each sink is written once, to a
+    folder of this promotion alone; counts read back must equal the expectation from the outcomes. Then one row in the table
+    ``commits`` publishes all of them together: readers (``published``) see the last committed version of a batch, so a
+    crash before the commit leaves what was there. Columns are cast to the contract without raising. Bronze is refused.
+    """
+    spark, version = bronze_rows.sparkSession, uuid.uuid4().hex
+    refuse_bronze(spark, path)
+    seen = Observation()
+    told = [c.alias(n) for n, c in _expected(spec).items()]
+    done = written(evaluate(bronze_rows, spec).observe(seen, *told), "evaluated")
+    total = {k: seen.get[k] for k in ("records_in", "records_out", "quarantined", "drops")}
+    total["balanced"] = total["records_in"] == total["records_out"] + total["quarantined"] + total["drops"]
+    if not total["balanced"]:
         raise RuntimeError(f"the batch does not balance: {total}; nothing is published")
-    for table, rows in staged.items():
-        replace_batch(rows, f"{path}/{table}", batch_id)
-    replace_batch(quarantine(done).withColumn("batch_id", F.lit(batch_id)).drop("fields"), f"{path}/quarantine", batch_id)
-    return {"balance": total.asDict(), "entities": counts, "fingerprint": fingerprint(spec)}
+    counts, now = {}, F.current_timestamp()
+    audit = {"source_system": F.lit(source_system), "ingestion_ts": now, "batch_id": F.lit(batch_id), "created_ts": now, "updated_ts": now}
+    for table in entities(spec):
+        rows = typed(entity_rows(done, spec, table).withColumns(audit), entity_contract(spec, table, canonical))
+        rows.write.parquet(f"{path}/{table}/{version}")
+        counts[table] = spark.read.parquet(f"{path}/{table}/{version}").count()
+        if counts[table] != seen.get[f"to_{table}"]:
+            raise RuntimeError(f"{table}: {counts[table]} rows staged, {seen.get[f'to_{table}']} expected; nothing is published")
+    quarantine(done).withColumn("batch_id", F.lit(batch_id)).drop("fields").write.parquet(f"{path}/quarantine/{version}")
+    dropped(done)
+    commit = spark.createDataFrame([(batch_id, version, fingerprint(spec), time.time_ns())], _COMMIT)
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return {"balance": total, "entities": counts, "fingerprint": fingerprint(spec)}
+
+
+_COMMIT = "batch_id string, version string, fingerprint string, at long"
+
+
+def published(spark, path: str, table: str) -> DataFrame:
+    """A promoted table: the last committed version of each batch. Commits are one row a promotion; the driver reads them alone."""
+    commits = spark.read.schema(_COMMIT).parquet(f"{path}/commits")
+    live = commits.groupBy("batch_id").agg(F.max_by("version", F.struct("at", "version")).alias("version")).collect()
+    return spark.read.parquet(*sorted(f"{path}/{table}/{r.version}" for r in live))
+
+
+def summary(quarantined: DataFrame) -> DataFrame:
+    """``(batch_id, outcome, source, rule, n_rows)``: what a quarantine holds, by outcome and by the rules that stopped its rows."""
+    each = quarantined.select("batch_id", "outcome", "row_number", F.explode_outer("reasons").alias("r"))
+    return each.groupBy("batch_id", "outcome", F.col("r.source").alias("source"), F.col("r.rule").alias("rule")).agg(F.count("*").alias("n_rows"))
 
 
 def masked(evaluated: DataFrame, sources: set[str], targets: set[str]) -> DataFrame:

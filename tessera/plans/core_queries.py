@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import scalars as S
 from tessera.operators import mapping as M
@@ -29,7 +30,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def feed(spark: SparkSession, d: str) -> DataFrame:
     """Orders as an all-string claims feed with gaps and bad values, as Bronze rows."""
-    o = table(spark, d, "orders")
+    o = L.spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     raw = {
         "claim_id": F.when(k % 17 == 0, "").otherwise(k.cast("string")), "member_id": F.col("o_custkey").cast("string"), "status": F.col("o_orderstatus"),
@@ -103,7 +104,7 @@ def promotion_written(spark, d):
     M.promote(rows, SPEC, path, "b1")
     out = None
     for t in (*M.entities(SPEC), "quarantine"):
-        part = spark.read.parquet(f"{path}/{t}").agg(F.count("*").alias("n_rows"), F.count_distinct("row_number").alias("n_sources")).withColumn("entity", F.lit(t))
+        part = M.published(spark, path, t).agg(F.count("*").alias("n_rows"), F.count_distinct("row_number").alias("n_sources")).withColumn("entity", F.lit(t))
         out = part if out is None else out.unionByName(part)
     return out.select("entity", "n_rows", "n_sources")
 
@@ -225,17 +226,37 @@ def landing_paths(spark, d):
     return new.select("p.source_system", "p.business_date", "p.file", L.file_tokens(F.col("p.file"), r"_(\d{8})\.", "yyyyMMdd").cast("string").alias("token"))
 
 
+def landing_files(spark, d):
+    """Of a folder of files, those whose content the manifest does not have, whatever they are called."""
+    from tessera.plans.scratch import shared_dir
+
+    import uuid
+
+    base = f"{shared_dir(spark)}/tessera/files-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select("c_mktsegment", F.concat_ws("|", "c_custkey", "c_name").alias("line"))
+    c.repartition("c_mktsegment").sortWithinPartitions("line").write.partitionBy("c_mktsegment").text(f"{base}/first")
+    segment = F.regexp_extract("path", "c_mktsegment=([^/]+)", 1).alias("segment")
+    none = spark.createDataFrame([], "fingerprint string")
+    known = L.new_files(spark, f"{base}/first/*/*.txt", none).select(segment, "fingerprint").where("segment < 'C'")
+    return L.new_files(spark, f"{base}/first/*/*.txt", written(known, "manifest")).select(segment).distinct()
+
+
 def ndjson(spark, d):
-    """JSON properties of events read with a schema; what does not parse is kept apart."""
-    e = table(spark, d, "events")
+    """JSON properties of events as lines of a landed file, read with a schema; what does not parse is kept apart."""
+    from tessera.plans.scratch import shared_dir
+
+    import uuid
+
+    path = f"{shared_dir(spark)}/tessera/lines-{uuid.uuid4().hex}"
     text = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
-    got = F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), "k int")
-    return e.groupBy(got.isNull().alias("corrupt")).agg(F.count("*").alias("n"), F.sum(got["k"]).alias("total"))
+    table(spark, d, "events").select(text.alias("value")).write.text(path)
+    got = written(L.read_ndjson(spark, path, T.StructType([T.StructField("k", T.IntegerType())])), "ndjson")
+    return got.groupBy(F.col("_corrupt_record").isNotNull().alias("corrupt")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
 def _wide(spark, d) -> DataFrame:
     """Orders as a wide all-string table with gaps and placeholders."""
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    o, k = L.spread(table(spark, d, "orders")), F.col("o_orderkey")
     return o.select(
         k.cast("long").alias("row_number"), k.cast("string").alias("claim_id"), F.col("o_custkey").cast("string").alias("member_id"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"),
         F.when(k % 10 == 0, "9999-12-31").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("service_date"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("allowed"),
@@ -254,7 +275,7 @@ ROLES_SQL = "CASE \"column\" WHEN 'claim_id' THEN 'identifier' WHEN 'member_id'
 
 def _facts(spark, d) -> DataFrame:
     rows = _wide(spark, d)
-    facts = P.column_facts(rows)
+    facts = written(P.column_facts(rows), "facts")  # one row a column, read again for keys and roles
     return P.with_roles(facts, P.candidate_keys(rows, facts))
 
 
@@ -286,7 +307,7 @@ def profile_keys(spark, d):
     """pair keys where no single column is one, and duplicate rows."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").withColumn("row_number", F.monotonically_increasing_id())
     text = l.select("row_number", *[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_returnflag")])
-    keys = P.candidate_keys(text, P.column_facts(text))
+    keys = P.candidate_keys(text, written(P.column_facts(text), "facts"))
     return P.duplicate_rows(text).withColumn("n_keys", F.lit(len(keys)).cast("long"))
 
 
@@ -343,6 +364,7 @@ QUERIES = {
     "normalisations": (normalisations, NORMALISATIONS_SQL),
     "regions": (regions, "SELECT r_name, CASE WHEN c_acctbal < 0 THEN 'none' WHEN c_acctbal < 5000 THEN 'basic' ELSE 'plus' END AS tier, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "repeated_blocks": (repeated_blocks, "SELECT c_custkey, 'mailing' AS address_type, c_name || ' box' AS line FROM customer UNION ALL SELECT c_custkey, 'physical', c_mktsegment FROM customer WHERE c_custkey % 3 > 0"),
+    "landing_files": (landing_files, "SELECT DISTINCT c_mktsegment AS segment FROM customer WHERE c_mktsegment >= 'C'"),
     "landing_numbers": (landing_numbers, "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, CAST(o_orderkey AS VARCHAR) AS claim, left(sha256('claim=' || o_orderkey || chr(31) || 'member=' || o_custkey || chr(31) || 'o_orderstatus=' || o_orderstatus), 32) AS record_hash FROM orders"),
     "landing_csv": (landing_csv, "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, '' AS blank, true AS all_written FROM customer"),
     "landing_paths": (landing_paths, "SELECT DISTINCT 'sys' || (user_id % 3) AS source_system, strftime(ts, '%Y%m%d') AS business_date, 'ADT_' || strftime(ts, '%Y%m%d') || '.csv' AS file, strftime(ts, '%Y-%m-%d') AS token FROM events WHERE user_id % 3 <> 0"),

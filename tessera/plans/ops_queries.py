@@ -59,18 +59,13 @@ def match_ladder(spark, d):
     return X.status_counts(found).join(found.groupBy("feed").agg(F.count("*").alias("n_columns"), F.count("target").alias("n_matched")), "feed")
 
 
-def match_lexical(spark, d, every=False):
-    """Misspelt columns find the concept they came from; one feed, as its SQL has it, or every one."""
-    cols = _columns(spark, d).where("true" if every else "feed = 'Brand#2'").withColumn("column", F.regexp_replace("column", "g$", ""))
+def match_lexical(spark, d):
+    """Misspelt columns find the concept they came from."""
+    cols = _columns(spark, d).withColumn("column", F.regexp_replace("column", "g$", ""))
     concepts = table(spark, d, "part").select(F.col("p_name").alias("concept"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("target")).distinct()
     return X.lexical_matches(cols, concepts).select("feed", "column", "target", "score", "rank")
 
 
-def match_lexical_all(spark, d):
-    """X4 over the columns of all feeds."""
-    return match_lexical(spark, d, every=True)
-
-
 def match_policy(spark, d):
     """Illegal targets, precedents, and suggested transforms."""
     cols = _columns(spark, d).select("feed", "column", F.concat(F.lit("a."), F.replace(F.lower("column"), F.lit(" "), F.lit("_"))).alias("target"), F.when(F.length("column") % 2 == 0, "lexical").otherwise("leaf").alias("basis"), F.lit("candidate").alias("status"))
@@ -168,8 +163,11 @@ def stream_ingest(spark, d):
 
 
 def stream_dedup(spark, d):
-    """One event for each user and kind within the delay; the table is in order of time."""
-    s = T.deduplicated(_stream(spark, d), ["event_id"], "ts", "1 day")
+    """Deliveries of which every third is repeated within the delay, each event once."""
+    s = _stream(spark, d)
+    again = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(40), F.lit(300))).otherwise(F.array(F.lit(0)))
+    s = s.select("*", F.explode(again).alias("later")).withColumn("ts", F.col("ts") + F.make_interval(mins="later"))
+    s = T.deduplicated(s, ["event_id"], "ts", "1 day")
     return T.drained(s, "dedup").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -210,7 +208,7 @@ def stream_promotion(spark, d):
     s = T.file_stream(spark, f"{base}/in", rows.schema, files_per_batch=2)
     T.drained(s, "promotion", each=T.promoting(SPEC, f"{base}/out", "live", results))
     told = spark.createDataFrame([tuple(r["balance"][k] for k in ("records_in", "records_out", "quarantined", "drops")) for r in results], "records_in long, records_out long, quarantined long, drops long")
-    written = spark.read.parquet(f"{base}/out/claim_header").agg(F.count("*").alias("headers")).withColumn("all", F.lit(1))
+    written = M.published(spark, f"{base}/out", "claim_header").agg(F.count("*").alias("headers")).withColumn("all", F.lit(1))
     return told.agg(*[F.sum(c).alias(c) for c in told.columns]).withColumn("all", F.lit(1)).join(written, "all").drop("all")
 
 
@@ -223,7 +221,7 @@ QUERIES = {
  b AS (SELECT feed, "column", coalesce(gl.target, cn.target) AS target, CASE WHEN gl.target IS NOT NULL THEN 1 ELSE cn.n END AS n FROM cols LEFT JOIN gl USING (raw) LEFT JOIN cn USING (raw)),
  s AS (SELECT *, CASE WHEN target IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'candidate' END AS status FROM b), f AS (SELECT feed, count(*) AS n_columns, count(target) AS n_matched FROM s GROUP BY 1)
  SELECT feed, status, count(*) AS n, any_value(n_columns) AS n_columns, any_value(n_matched) AS n_matched FROM s JOIN f USING (feed) GROUP BY 1, 2"""),
-    "match_lexical": (match_lexical, f"""WITH {COLUMNS}, c AS (SELECT DISTINCT feed, regexp_replace("column", 'g$', '') AS "column" FROM cols WHERE feed = 'Brand#2'), k AS (SELECT DISTINCT p_name AS concept FROM part),
+    "match_lexical": (match_lexical, f"""WITH {COLUMNS}, c AS (SELECT DISTINCT feed, regexp_replace("column", 'g$', '') AS "column" FROM cols), k AS (SELECT DISTINCT p_name AS concept FROM part),
  p AS (SELECT feed, "column", replace(concept, ' ', '_') AS target, list_distinct(string_split(lower("column"), ' ')) AS a, list_distinct(string_split(concept, ' ')) AS b FROM c, k), s AS (SELECT feed, "column", target, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score FROM p),
  r AS (SELECT *, row_number() OVER (PARTITION BY feed, "column" ORDER BY score DESC, target) AS rank FROM s WHERE score >= 0.55) SELECT feed, "column", target, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"""),
     "match_policy": (match_policy, f"""WITH {COLUMNS}, t AS (SELECT *, length("column") AS n, CASE WHEN raw LIKE 'red%' THEN 'red_bolt' ELSE replace(raw, ' ', '_') END AS target, raw LIKE 'red%' AS ruled FROM cols), legal AS (SELECT DISTINCT replace(raw, ' ', '_') AS target FROM cols WHERE raw LIKE '%ring%' OR raw LIKE '%bolt%'),
@@ -251,4 +249,3 @@ QUERIES = {
     "stream_promotion": (stream_promotion, f"WITH {FEED} SELECT count(*) AS records_in, count(*) FILTER (outcome = 'ok') AS records_out, count(*) FILTER (outcome <> 'ok') AS quarantined, CAST(0 AS BIGINT) AS drops, count(*) FILTER (outcome = 'ok') AS headers FROM done"),
 }
 #: The whole table, where the SQL above keeps a part.
-QUERIES["match_lexical_all"] = (match_lexical_all, QUERIES["match_lexical"][1].replace(" WHERE feed = 'Brand#2'", ""))

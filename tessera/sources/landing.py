@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,9 +64,10 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def numbered(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """``row_number`` from 1 without a gap: in the order of the files, or by ``order``.
+    """``row_number`` from 1 without a gap: by ``order``, else in the order in which a scan lists ``rows``.
 
-    Places within partitions need no shuffle, and partition totals are few, so no task sees all rows.
+    Several files come in no promised order: read them with ``in_file_order`` first. Places within partitions need no shuffle, and
+    partition totals are few, so no task sees all rows.
     """
     if order is not None:
         rows = rows.orderBy(order)
@@ -76,6 +78,19 @@ def numbered(rows: DataFrame, order: Column | None = None) -> DataFrame:
     return marked.join(F.broadcast(starts), "_part").withColumn("row_number", (F.col("_start") + low + 1).cast("long")).drop("_part", "_at", "_start")
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows of a scan numbered by file name and place in the file: blocks are ranked, rows keep their place within their block.
+
+    Only the blocks' counts meet in one place; a block is what one task reads of a file, so its rows come in the file's order.
+    """
+    marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    marked = written(marked, "file-order")
+    blocks = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = blocks.withColumn("_start", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")
+    joined = marked.join(F.broadcast(starts), ["_file", "_block"])
+    return joined.withColumn("row_number", (F.col("_start") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_file", "_block", "_at", "_start", "_first")
+
+
 def record_hash(columns: list[str]) -> Column:
     """32 hex digits of the columns' names and values, whatever their order; null and ``""`` are one."""
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in sorted(columns)]
@@ -96,16 +111,36 @@ def bronze(rows: DataFrame, feed_id: str, batch_id: str, source_system: str) ->
 
 def append(rows: DataFrame, path: str) -> int:
     """Append a batch; earlier batches are never touched. Returns the rows written, counted by the write itself."""
-    from pyspark.sql import Observation
-
     seen = Observation()
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("batch_id").parquet(path)
     return seen.get["n"]
 
 
+def batch_state(table: DataFrame) -> DataFrame:
+    """``(batch_id, n_rows, state)``: a content address of each batch, the same whatever the order of its rows and files."""
+    each = F.xxhash64("row_number", "record_hash", "bronze_id").cast("decimal(38,0)")
+    return table.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.sum(each).cast("string").alias("state"))
+
+
+def append_checked(rows: DataFrame, path: str) -> int:
+    """``append``, then a second look: raises RuntimeError if any earlier batch is not what it was before."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    before = written(batch_state(spark.read.parquet(path)), "batches") if there else None
+    n = append(rows, path)
+    if before is not None:
+        after = batch_state(spark.read.parquet(path))
+        changed = before.join(after, ["batch_id", "n_rows", "state"], "left_anti").select("batch_id").limit(5).collect()
+        if changed:
+            raise RuntimeError(f"earlier batches changed: {[r.batch_id for r in changed]}")
+    return n
+
+
 def replace_batch(rows: DataFrame, path: str, batch_id: str) -> None:
-    """Rewrite one batch's partition alone; an empty rewrite clears it."""
+    """Rewrite one batch's partition alone; an empty rewrite clears it. Bronze is refused."""
     spark = rows.sparkSession
+    refuse_bronze(spark, path)
     if rows.limit(1).count():
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     else:
@@ -113,6 +148,26 @@ def replace_batch(rows: DataFrame, path: str, batch_id: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan over as many partitions as there are cores: a small file of one row group would otherwise be one task."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
+def refuse_bronze(spark: SparkSession, path: str) -> None:
+    """Bronze only grows: raises ValueError where ``path`` is a Bronze table or lies in a folder named bronze."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if any(part.lower().startswith("bronze") for part in path.rstrip("/").split("/")):
+        raise ValueError(f"{path} is Bronze; its batches are never rewritten")
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        try:
+            names = spark.read.parquet(path).columns
+        except AnalysisException:  # a folder without a table
+            return
+        if "bronze_id" in names:
+            raise ValueError(f"{path} holds Bronze rows; they are never rewritten")
+
+
 def contract(columns: list[tuple[str, str, bool, str]]) -> T.StructType:
     """The schema of ``(name, type word, nullable, comment)``; unknown types are text. Names must be plain."""
     return T.StructType([T.StructField(table_name(n), TYPES.get(t, T.StringType()), null, {"comment": c}) for n, t, null, c in columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import mapping as M
+from tessera.sources import landing as L
 
 ROSTER = [
     ("M001", "DANIELLE", "1997-11-04", "F", "d@example.org", "ALBANY", "5550100"),
@@ -35,12 +36,12 @@ def test_roster(spark, rows, tmp_path):
     assert found["balance"] == {"records_in": 5, "records_out": 2, "quarantined": 3, "drops": 0, "balanced": True}
     assert found["entities"] == {"members": 2, "members_emails": 1, "members_addresses": 1, "members_phones": 1}
     for child in ("members_emails", "members_addresses", "members_phones"):
-        assert spark.read.parquet(f"{tmp_path}/{child}").first().source_system_id == "M001"
-    q = {r.row_number: (r.outcome, [x.rule for x in r.reasons]) for r in spark.read.parquet(f"{tmp_path}/quarantine").collect()}
+        assert M.published(spark, str(tmp_path), child).first().source_system_id == "M001"
+    q = {r.row_number: (r.outcome, [x.rule for x in r.reasons]) for r in M.published(spark, str(tmp_path), "quarantine").collect()}
     assert q == {2: ("failure", ["parse_date"]), 3: ("rejected", ["on_null"]), 4: ("quarantined", ["on_unmapped_value"])}
-    hashes = {r.record_hash for r in spark.read.parquet(f"{tmp_path}/members").collect()}
+    hashes = {r.record_hash for r in M.published(spark, str(tmp_path), "members").collect()}
     assert M.promote(rows, SPEC, str(tmp_path), "b1") == found
-    assert {r.record_hash for r in spark.read.parquet(f"{tmp_path}/members").collect()} == hashes and len(hashes) == 2
+    assert {r.record_hash for r in M.published(spark, str(tmp_path), "members").collect()} == hashes and len(hashes) == 2
 
 
 def test_nothing_is_published_unless_it_balances(rows, tmp_path, monkeypatch):
@@ -48,7 +49,43 @@ def test_nothing_is_published_unless_it_balances(rows, tmp_path, monkeypatch):
     monkeypatch.setattr(M, "entity_rows", lambda e, s, t: real(e, s, t).limit(1) if t == "members" else real(e, s, t))
     with pytest.raises(RuntimeError, match="nothing is published"):
         M.promote(rows, SPEC, str(tmp_path / "x"), "b1")
-    assert not (tmp_path / "x").exists()
+    assert not (tmp_path / "x" / "commits").exists()
+
+
+def test_a_failed_replay_leaves_what_was_published(spark, rows, tmp_path, monkeypatch):
+    M.promote(rows, SPEC, str(tmp_path), "b1")
+    before = sorted(map(str, M.published(spark, str(tmp_path), "members").collect()))
+    real = M.entity_rows
+    monkeypatch.setattr(M, "entity_rows", lambda e, s, t: real(e, s, t).limit(0) if t == "members_phones" else real(e, s, t))
+    with pytest.raises(RuntimeError, match="nothing is published"):
+        M.promote(rows, SPEC, str(tmp_path), "b1")
+    assert sorted(map(str, M.published(spark, str(tmp_path), "members").collect())) == before
+    assert M.published(spark, str(tmp_path), "members_phones").count() == 1
+
+
+def test_entities_are_typed_and_audited(spark, rows, tmp_path):
+    M.promote(rows, SPEC, str(tmp_path), "b1", canonical={"members.date_of_birth": "date"}, source_system="clinic")
+    one = M.published(spark, str(tmp_path), "members").where("row_number = 1").first()
+    assert one.date_of_birth == dt.date(1997, 11, 4) and one.source_system == "clinic" and one.batch_id == "b1" and one.created_ts == one.updated_ts
+    assert dict(M.published(spark, str(tmp_path), "members").dtypes)["row_number"] == "bigint"
+    found = {(r.outcome, r.source, r.rule): r.n_rows for r in M.summary(M.published(spark, str(tmp_path), "quarantine")).collect()}
+    assert found == {("failure", "member_dob", "parse_date"): 1, ("rejected", "member_id", "on_null"): 1, ("quarantined", "member_sex", "on_unmapped_value"): 1}
+
+
+def test_bronze_is_refused(spark, rows, tmp_path):
+    with pytest.raises(ValueError, match="Bronze"):
+        M.promote(rows, SPEC, str(tmp_path / "bronze" / "roster"), "b1")
+    spark.createDataFrame([("x", 1)], "bronze_id string, row_number long").write.parquet(str(tmp_path / "landed"))
+    with pytest.raises(ValueError, match="Bronze"):
+        L.replace_batch(rows.withColumn("batch_id", F.lit("b1")), str(tmp_path / "landed"), "b1")
+
+
+def test_append_sees_that_earlier_batches_stay(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    batch = lambda b: L.bronze(spark.createDataFrame([(1, "a"), (2, "b")], "row_number long, v string"), "roster", b, "sys")
+    assert L.append_checked(batch("b1"), path) == 2 and L.append_checked(batch("b2"), path) == 2
+    state = {r.batch_id: (r.n_rows, r.state) for r in L.batch_state(spark.read.parquet(path)).collect()}
+    assert state["b1"][0] == 2 and state["b1"] != state["b2"]
 
 
 def test_tallies(rows):
