@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from tessera.operators import claims as K
 from tessera.operators import identity as I
 from tessera.operators import metrics as M
 from tessera.plans.core_queries import table
-from tessera.plans.rule_queries import MONTHS, PART, SPANS, _orders, _spans
+from tessera.plans.rule_queries import MONTHS, SPANS, _spans
 
 
 def _claims(spark, d):
@@ -85,7 +83,7 @@ def adt_groups(spark, d):
 
 
 def adt_standing(spark, d):
-    """Events that no cancellation has taken back. A stack of open events for each kind is beyond SQL without recursion."""
+    """Events that no cancellation has taken back."""
     return A.without_cancelled(_events(spark, d), "member", "ts", "event_id").select("event_id", "event_type")
 
 
@@ -133,23 +131,23 @@ def metric_alos(spark, d):
     return M.length_of_stay(_stays(spark, d).where("state = 'closed'").withColumn("arm", F.col("member") % 3), ["arm"])
 
 
-def metric_home(spark, d, every=False):
+def metric_home(spark, d):
     """K6: days at home of covered members, orders as coverage and late line items as days away."""
-    o, l = _orders(spark, d, 3, every), table(spark, d, "lineitem")
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
     away = l.join(o, l.l_orderkey == o.o_orderkey).where("l_quantity > 45").select(F.col("o_custkey").alias("member"), F.to_date("l_shipdate").alias("from_date"), F.date_add(F.to_date("l_shipdate"), 5).alias("to_date"))
-    return M.days_at_home(_spans(spark, d, every), away)
+    return M.days_at_home(_spans(spark, d), away)
 
 
-def _months(spark, d, every=False):
-    return C.member_months(_spans(spark, d, every), ["member"]).withColumn("arm", F.col("member") % 4).withColumn("year", F.year("month"))
+def _months(spark, d):
+    return C.member_months(_spans(spark, d), ["member"]).withColumn("arm", F.col("member") % 4).withColumn("year", F.year("month"))
 
 
 MM = f"{MONTHS}, mm AS (SELECT *, days / day(last_day(month)) AS exact, round(days / day(last_day(month)), 6) AS share, member % 4 AS arm, CAST(year(month) AS INT) AS year FROM months)"
 
 
-def metric_months(spark, d, every=False):
+def metric_months(spark, d):
     """K1: with subtotals."""
-    return M.member_month_totals(_months(spark, d, every), ["arm", "year"], rolled=True)
+    return M.member_month_totals(_months(spark, d), ["arm", "year"], rolled=True)
 
 
 def _costs(spark, d):
@@ -160,31 +158,31 @@ def _costs(spark, d):
 COSTS = "costs AS (SELECT o_custkey AS member, o_custkey % 4 AS arm, CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS allowed, CAST(o_orderdate AS DATE) AS service_date, o_orderkey FROM orders)"
 
 
-def metric_pmpm(spark, d, every=False):
+def metric_pmpm(spark, d):
     """K2."""
-    out = M.pmpm(_costs(spark, d), _months(spark, d, every), ["arm", "year"])
+    out = M.pmpm(_costs(spark, d), _months(spark, d), ["arm", "year"])
     return out.select("arm", "year", F.round("allowed", 2).alias("allowed"), F.round("member_months", 3).alias("member_months"), F.round("pmpm", 2).alias("pmpm"))
 
 
-def metric_parts(spark, d, every=False):
+def metric_parts(spark, d):
     """K3: the change from 1997 to 1998 by use and price."""
     c = _costs(spark, d).where("year in (1997, 1998)").withColumn("period", F.col("year") - 1997)
-    m = _months(spark, d, every).where("year in (1997, 1998)").groupBy("arm", (F.col("year") - 1997).alias("period")).agg(F.sum("share").alias("member_months"))
+    m = _months(spark, d).where("year in (1997, 1998)").groupBy("arm", (F.col("year") - 1997).alias("period")).agg(F.sum("share").alias("member_months"))
     u = c.groupBy("arm", "period").agg(F.count("*").alias("units"), F.sum("allowed").alias("allowed"))
     out = M.pmpm_parts(u.join(m, ["arm", "period"]), "arm")
     return out.select("arm", *[F.round(x, 2).alias(x) for x in ("change", "by_use", "by_price")])
 
 
-def metric_thousand(spark, d, every=False):
+def metric_thousand(spark, d):
     """K4."""
-    out = M.per_thousand(_costs(spark, d).where("allowed > 300000"), _months(spark, d, every), ["arm", "year"])
+    out = M.per_thousand(_costs(spark, d).where("allowed > 300000"), _months(spark, d), ["arm", "year"])
     return out.select("arm", "year", "events", F.round("rate", 1).alias("rate"))
 
 
-def metric_total_cost(spark, d, every=False):
+def metric_total_cost(spark, d):
     """K7: benchmarks derived from the table itself."""
     b = _costs(spark, d).groupBy("arm").agg(F.round(F.avg("allowed"), 2).alias("pmpm"))
-    out = M.total_cost(_costs(spark, d), _months(spark, d, every), b, "arm", 2_000_000.0, F.lit("2001-06-30").cast("date"))
+    out = M.total_cost(_costs(spark, d), _months(spark, d), b, "arm", 2_000_000.0, F.lit("2001-06-30").cast("date"))
     return out.select("arm", F.round("pmpm", 2).alias("pmpm"), "benchmark", F.round("ratio", 4).alias("ratio"), "provisional")
 
 
@@ -235,9 +233,9 @@ def metric_gaps(spark, d):
     return M.gap_closure(members, ev, sets)
 
 
-def metric_attribution(spark, d, every=False):
+def metric_attribution(spark, d):
     """K12."""
-    l, o = table(spark, d, "lineitem"), _orders(spark, d, 5, every)
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     v = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("member"), (F.col("l_suppkey") % 10).alias("provider"), F.when(F.col("l_returnflag") == "A", "primary").when(F.col("l_returnflag") == "N", "specialist").otherwise("other").alias("tier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("allowed"), F.col("l_shipdate").alias("service_date"))
     own = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("member"), F.lit(99).cast("long").alias("provider"))
     return M.attributed(v, own, ["primary", "specialist"])
@@ -249,17 +247,17 @@ def metric_attributed(spark, d):
     return M.attributed_counts(o.select(F.col("o_orderstatus").alias("programme"), F.year("o_orderdate").alias("version"), F.col("o_custkey").alias("member")))
 
 
-def metric_pdc(spark, d, every=False):
+def metric_pdc(spark, d):
     """K14."""
-    o = _orders(spark, d, 3, every)
+    o = table(spark, d, "orders")
     f = o.select(F.col("o_custkey").alias("member"), F.col("o_orderstatus").alias("drug_class"), F.to_date("o_orderdate").alias("filled_date"), (F.col("o_orderkey") % 60 + 30).cast("int").alias("days_supply"))
     return M.days_covered(f, F.lit("1997-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
 
 
-def metric_cohort(spark, d, every=False):
+def metric_cohort(spark, d):
     """K15."""
-    a = _orders(spark, d, 3, every).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("anchor"))
-    return M.cohort(_spans(spark, d, every), a, 60, 30).groupBy("member").agg(F.count("*").alias("n"))
+    a = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("anchor"))
+    return M.cohort(_spans(spark, d), a, 60, 30).groupBy("member").agg(F.count("*").alias("n"))
 
 
 def _rates(spark, d):
@@ -359,12 +357,14 @@ QUERIES = {
  s AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY ts, event_id) AS INT) AS seq, row_number() OVER (PARTITION BY group_id, event_type ORDER BY ts, event_id) = 1 AS fresh FROM g), m AS (SELECT *, max(CASE WHEN fresh THEN seq END) OVER (PARTITION BY group_id) AS top FROM s),
  c AS (SELECT group_id, count(DISTINCT facility) AS facilities, coalesce(max(ts) FILTER (event_type = 'A03') >= min(ts) FILTER (event_type = 'A01'), true) AS order_ok FROM g GROUP BY 1)
  SELECT event_id, group_id, seq, seq = top AS is_current, facilities, facilities > 1 AS conflict, order_ok FROM m JOIN c USING (group_id)"""),
-    "adt_standing": (adt_standing, None),
+    "adt_standing": (adt_standing, f"""WITH {EVENTS}, k AS (SELECT *, event_type IN ('A11', 'A12', 'A13') AS undo, CASE event_type WHEN 'A11' THEN 'A01' WHEN 'A12' THEN 'A02' WHEN 'A13' THEN 'A03' ELSE event_type END AS kind FROM ev),
+ l AS (SELECT *, sum(CASE WHEN undo THEN -1 ELSE 1 END) OVER (PARTITION BY member, kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + CASE WHEN undo THEN 1 ELSE 0 END AS level FROM k),
+ n AS (SELECT *, lead(undo) OVER (PARTITION BY member, kind, level ORDER BY ts, event_id) AS next_undo FROM l) SELECT event_id, event_type FROM n WHERE NOT undo AND NOT coalesce(next_undo, false)"""),
     "adt_stays": (adt_stays, f"WITH {STAYS} SELECT state, count(*) AS n, CAST(sum(n_legs) AS BIGINT) AS legs, count(discharge_ts) AS closed FROM judged GROUP BY 1"),
     "adt_readmissions": (adt_readmissions, f"WITH {READMITS} SELECT member, stay, days_to_next, readmit_7, readmit_15, readmit_30, window_complete FROM re"),
     "metric_readmission": (metric_readmission, f"WITH {READMITS} SELECT member % 3 AS arm, count(*) FILTER (window_complete) AS index_stays, count(*) FILTER (window_complete AND readmit_30) AS readmissions, count(*) FILTER (NOT window_complete) AS incomplete, round(count(*) FILTER (window_complete AND readmit_30) / nullif(count(*) FILTER (window_complete), 0), 6) AS rate FROM re WHERE stay <= 40 GROUP BY 1"),
     "metric_alos": (metric_alos, f"WITH {STAYS} SELECT member % 3 AS arm, count(*) AS stays, CAST(sum(date_diff('day', admit_ts, discharge_ts)) AS BIGINT) AS days, round(avg(date_diff('day', admit_ts, discharge_ts)), 4) AS alos FROM judged WHERE state = 'closed' GROUP BY 1"),
-    "metric_home": (metric_home, f"""WITH {SPANS}, d AS (SELECT DISTINCT member, unnest(generate_series(from_date, to_date, INTERVAL 1 DAY)) AS day FROM spans), g AS (SELECT DISTINCT o_custkey AS member, unnest(generate_series(CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + 5, INTERVAL 1 DAY)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0 AND l_quantity > 45)
+    "metric_home": (metric_home, f"""WITH {SPANS}, d AS (SELECT DISTINCT member, unnest(generate_series(from_date, to_date, INTERVAL 1 DAY)) AS day FROM spans), g AS (SELECT DISTINCT o_custkey AS member, unnest(generate_series(CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + 5, INTERVAL 1 DAY)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45)
  SELECT member, count(*) AS days, count(g.day) AS days_away, count(*) - count(g.day) AS days_home FROM d LEFT JOIN g USING (member, day) GROUP BY 1"""),
     "metric_months": (metric_months, f"WITH {MM} SELECT arm, year, count(DISTINCT member) AS members, round(sum(share), 4) AS member_months FROM mm GROUP BY ROLLUP (arm, year)"),
     "metric_pmpm": (metric_pmpm, f"""WITH {MM}, {COSTS}, b AS (SELECT arm, year, sum(share) AS m FROM mm GROUP BY 1, 2), c AS (SELECT arm, year, sum(allowed) AS a FROM costs WHERE member IN (SELECT member FROM mm) GROUP BY 1, 2)
@@ -381,14 +381,14 @@ QUERIES = {
  SELECT h.member, count(*) AS n_conditions, round(sum(coalesce(k, 0)), 6) AS score FROM h LEFT JOIN cf USING (hcc) WHERE NOT (h.hcc % 2 = 1 AND EXISTS (SELECT 1 FROM h x WHERE x.member = h.member AND x.hcc = h.hcc - 1)) GROUP BY 1"""),
     "metric_gaps": (metric_gaps, """WITH s AS (SELECT p_type AS measure, p_size = 1 AS ex, p_partkey AS code FROM part WHERE p_size <= 3), f AS (SELECT o_custkey AS member, measure, bool_or(ex) AS ex, bool_or(NOT ex) AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN s ON l_partkey = code GROUP BY 1, 2), m AS (SELECT c_custkey AS member, measure FROM customer, (SELECT DISTINCT measure FROM s)),
  j AS (SELECT measure, coalesce(ex, false) AS ex, coalesce(hit, false) AS hit FROM m LEFT JOIN f USING (member, measure)) SELECT measure, count(*) AS eligible, count(*) FILTER (ex) AS excluded, count(*) FILTER (hit AND NOT ex) AS compliant, round(count(*) FILTER (hit AND NOT ex) / nullif(count(*) - count(*) FILTER (ex), 0), 6) AS rate FROM j GROUP BY 1"""),
-    "metric_attribution": (metric_attribution, """WITH v AS (SELECT o_custkey AS member, l_suppkey % 10 AS provider, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS t, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, l_shipdate AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0 AND l_returnflag IN ('A', 'N')),
+    "metric_attribution": (metric_attribution, """WITH v AS (SELECT o_custkey AS member, l_suppkey % 10 AS provider, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS t, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, l_shipdate AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'N')),
  g AS (SELECT member, provider, t, sum(a) AS a, count(*) AS n, max(s) AS s FROM v GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY t, a DESC, n DESC, s DESC, provider) AS r FROM g)
  SELECT member, provider, CASE t WHEN 1 THEN 'primary' ELSE 'specialist' END AS basis FROM r WHERE r = 1 AND member % 50 <> 0 UNION ALL SELECT c_custkey, 99, 'voluntary' FROM customer WHERE c_custkey % 50 = 0"""),
     "metric_attributed": (metric_attributed, "SELECT o_orderstatus AS programme, CAST(year(o_orderdate) AS INT) AS version, count(DISTINCT o_custkey) AS members FROM orders GROUP BY 1, 2"),
-    "metric_pdc": (metric_pdc, """WITH f AS (SELECT o_custkey AS member, o_orderstatus AS drug_class, greatest(CAST(o_orderdate AS DATE), DATE '1997-01-01') AS a, least(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 + 29 AS INT), DATE '1998-12-31') AS b FROM orders WHERE o_custkey % 3 = 0), d AS (SELECT DISTINCT member, drug_class, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM f WHERE a <= b)
+    "metric_pdc": (metric_pdc, """WITH f AS (SELECT o_custkey AS member, o_orderstatus AS drug_class, greatest(CAST(o_orderdate AS DATE), DATE '1997-01-01') AS a, least(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 + 29 AS INT), DATE '1998-12-31') AS b FROM orders), d AS (SELECT DISTINCT member, drug_class, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM f WHERE a <= b)
  SELECT member, drug_class, count(*) AS days, round(count(*) / 730, 6) AS pdc FROM d GROUP BY 1, 2"""),
     "metric_cohort": (metric_cohort, f"""WITH {SPANS}, w AS (SELECT *, max(to_date) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR from_date - reach > 31 THEN 1 ELSE 0 END) OVER (PARTITION BY member ORDER BY from_date, to_date ROWS UNBOUNDED PRECEDING) AS g FROM w), s AS (SELECT member, g, min(from_date) AS a, max(to_date) AS b FROM i GROUP BY 1, 2),
- an AS (SELECT DISTINCT o_custkey AS member, CAST(o_orderdate AS DATE) AS anchor FROM orders WHERE o_custkey % 3 = 0 AND o_orderstatus = 'F') SELECT member, count(*) AS n FROM an JOIN s USING (member) WHERE a <= anchor - 60 AND anchor <= b GROUP BY 1"""),
+ an AS (SELECT DISTINCT o_custkey AS member, CAST(o_orderdate AS DATE) AS anchor FROM orders WHERE o_orderstatus = 'F') SELECT member, count(*) AS n FROM an JOIN s USING (member) WHERE a <= anchor - 60 AND anchor <= b GROUP BY 1"""),
     "metric_moves": (metric_moves, "WITH w AS (SELECT CAST(year(o_orderdate) AS INT) AS period, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS n, count(*) AS d FROM orders GROUP BY 1), l AS (SELECT *, lag(n) OVER (ORDER BY period) AS n0, lag(d) OVER (ORDER BY period) AS d0 FROM w) SELECT period, round(n / d, 3) AS rate, round(n / d - n0 / d0, 3) AS change, round((n - n0) / d0, 3) AS from_numerator, round(n / d - n / d0, 3) AS from_denominator FROM l"),
     "metric_concentration": (metric_concentration, """WITH x AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) THEN 1 ELSE -1 END AS v FROM orders WHERE year(o_orderdate) >= (SELECT max(year(o_orderdate)) - 1 FROM orders)),
  c AS (SELECT status, priority, CAST(grouping(status, priority) AS INT) AS level, sum(v)::DOUBLE AS delta FROM x GROUP BY CUBE (status, priority)) SELECT status, priority, level, round(delta, 2) AS delta, round(delta / (SELECT max(delta) FROM c WHERE level = 3), 4) AS share FROM c"""),
@@ -404,6 +404,3 @@ QUERIES = {
     "identity_people": (identity_people, None),
     "identity_impact": (identity_impact, IMPACT),
 }
-#: The whole table, where the SQL above keeps a part; events, costs and months are then of the same members.
-WHOLE = ("metric_months", "metric_pmpm", "metric_parts", "metric_thousand", "metric_total_cost", "metric_home", "metric_cohort", "metric_pdc", "metric_attribution")
-QUERIES |= {f"{n}_all": (partial(QUERIES[n][0], every=True), re.sub(PART, "", QUERIES[n][1])) for n in WHOLE}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -73,28 +71,22 @@ def dq_orphans(spark, d):
     return R.orphans(table(spark, d, "lineitem"), o, "l_orderkey", "o_orderkey").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-def _orders(spark, d, n, every):
-    """Orders of every nth customer, or of every one."""
-    o = table(spark, d, "orders")
-    return o if every else o.where(f"o_custkey % {n} = 0")
-
-
-def _spans(spark, d, every=False):
+def _spans(spark, d):
     """Coverage spans from orders: a member is covered from each order for some weeks."""
-    o = _orders(spark, d, 3, every)
+    o = table(spark, d, "orders")
     day = F.to_date("o_orderdate")
     return o.select(F.col("o_custkey").alias("member"), F.col("o_orderstatus").alias("plan"), day.alias("from_date"), F.date_add(day, (F.col("o_orderkey") % 120).cast("int")).alias("to_date"), "o_orderkey")
 
 
-SPANS = "spans AS (SELECT o_custkey AS member, o_orderstatus AS plan, CAST(o_orderdate AS DATE) AS from_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INT) AS to_date, o_orderkey FROM orders WHERE o_custkey % 3 = 0)"
+SPANS = "spans AS (SELECT o_custkey AS member, o_orderstatus AS plan, CAST(o_orderdate AS DATE) AS from_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INT) AS to_date, o_orderkey FROM orders)"
 
 
-def dq_uncovered(spark, d, every=False):
+def dq_uncovered(spark, d):
     """Q8 as a range join: line items shipped to a member outside any coverage."""
-    o = _orders(spark, d, 3, every).select("o_orderkey", F.col("o_custkey").alias("member"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("member"))
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
     events = l.join(o, l.l_orderkey == o.o_orderkey)
-    return R.uncovered(events, _spans(spark, d, every), "member", "shipped").groupBy("member").agg(F.count("*").alias("n"))
+    return R.uncovered(events, _spans(spark, d), "member", "shipped").groupBy("member").agg(F.count("*").alias("n"))
 
 
 def dq_volumes(spark, d):
@@ -112,9 +104,9 @@ def dq_reconcile(spark, d):
     return R.reconcile(a, b, ["o_orderkey"], "n").groupBy("status").agg(F.count("*").alias("n_orders"), F.sum("delta").alias("delta"))
 
 
-def dq_gaps(spark, d, every=False):
+def dq_gaps(spark, d):
     """Q12, V4: months without an order between a member's first and last."""
-    o = _orders(spark, d, 5, every).select(F.col("o_custkey").alias("member"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("member"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period"))
     return R.missing_periods(o, "member", "period").groupBy("member").agg(F.count("*").alias("missing"))
 
 
@@ -131,9 +123,9 @@ def dq_single(spark, d):
     return R.one_value(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus").groupBy("ok").agg(F.count("*").alias("n"))
 
 
-def dq_overlaps(spark, d, every=False):
+def dq_overlaps(spark, d):
     """Q17."""
-    return R.overlapping(_spans(spark, d, every), ["member", "plan"]).groupBy("plan").agg(F.count("*").alias("n"))
+    return R.overlapping(_spans(spark, d), ["member", "plan"]).groupBy("plan").agg(F.count("*").alias("n"))
 
 
 def dq_hazards(spark, d):
@@ -172,17 +164,17 @@ def change_latest(spark, d):
     return C.latest(l, ["l_orderkey", "l_linenumber"], F.col("l_shipdate").desc(), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "collapsed")
 
 
-def change_spans(spark, d, every=False):
+def change_spans(spark, d):
     """Effective spans, and what was valid on a day as known then."""
-    o = _orders(spark, d, 3, every).groupBy("o_custkey", F.to_date("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("version"))
+    o = table(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("version"))
     s = C.effective_spans(o, ["o_custkey"], "valid_from").withColumn("known_from", F.date_add("valid_from", 10)).withColumn("known_to", F.lit(None).cast("date"))
     day = F.lit("1998-06-30").cast("date")
     return C.as_of(s, day, day).select("o_custkey", "version", "is_current")
 
 
-def change_survivors(spark, d, every=False):
+def change_survivors(spark, d):
     """V6: attributes by precedence of their source."""
-    o = _orders(spark, d, 4, every)
+    o = table(spark, d, "orders")
     v = o.groupBy(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("source")).agg(F.max("o_orderpriority").alias("value")).withColumn("attribute", F.lit("priority"))
     place = table(spark, d, "orders").select(F.col("o_orderstatus").alias("source")).distinct().where("source <> 'P'").select(F.lit("priority").alias("attribute"), "source", F.when(F.col("source") == "O", 1).otherwise(2).alias("place"))
     return C.survivors(v, place).select("key", "value", "source", F.array_join("others", ";").alias("others"))
@@ -194,15 +186,15 @@ def change_deliveries(spark, d):
     return C.deliveries(o, ["member"], ["status"])
 
 
-def change_islands(spark, d, every=False):
+def change_islands(spark, d):
     """Merged coverage with gaps."""
-    out = C.merged_spans(_spans(spark, d, every), ["member"], 1)
+    out = C.merged_spans(_spans(spark, d), ["member"], 1)
     return out.select("member", "island", F.col("from_date").cast("string").alias("from_date"), F.col("to_date").cast("string").alias("to_date"), "n_spans", "gap_before")
 
 
-def change_months(spark, d, every=False):
+def change_months(spark, d):
     """Member months, prorated."""
-    out = C.member_months(_spans(spark, d, every), ["member"])
+    out = C.member_months(_spans(spark, d), ["member"])
     return out.select("member", F.col("month").cast("string").alias("month"), "days", "share")
 
 
@@ -219,13 +211,13 @@ QUERIES = {
     "dq_repeats": (dq_repeats, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
     "dq_census": (dq_census, "SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS distinct_rows, CAST(sum(n - 1) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)"),
     "dq_orphans": (dq_orphans, "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1997) GROUP BY 1"),
-    "dq_uncovered": (dq_uncovered, f"WITH {SPANS} SELECT o.o_custkey AS member, count(*) AS n FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey WHERE o.o_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.member = o.o_custkey AND CAST(l_shipdate AS DATE) BETWEEN s.from_date AND s.to_date) GROUP BY 1"),
+    "dq_uncovered": (dq_uncovered, f"WITH {SPANS} SELECT o.o_custkey AS member, count(*) AS n FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.member = o.o_custkey AND CAST(l_shipdate AS DATE) BETWEEN s.from_date AND s.to_date) GROUP BY 1"),
     "dq_volumes": (dq_volumes, """WITH v AS (SELECT o_orderstatus AS feed, date_trunc('month', o_orderdate) AS period, count(*) AS n FROM orders GROUP BY 1, 2),
  w AS (SELECT *, avg(n) OVER p AS mean, stddev_samp(n) OVER p AS spread, count(n) OVER p AS seen FROM v WINDOW p AS (PARTITION BY feed ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
  SELECT feed, strftime(period, '%Y-%m-%d') AS period, n, round(mean, 6) AS mean, round(spread, 6) AS spread, CASE WHEN seen < 3 THEN 'observe' WHEN abs(n - mean) > 1.5 * greatest(spread, 1) THEN 'out_of_band' ELSE 'in_band' END AS verdict FROM w"""),
     "dq_reconcile": (dq_reconcile, """WITH a AS (SELECT o_orderkey, CAST(1 AS BIGINT) AS n FROM orders), b AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT a.n AS x, b.n AS y FROM a FULL JOIN b USING (o_orderkey))
  SELECT CASE WHEN x IS NULL THEN 'right_only' WHEN y IS NULL THEN 'left_only' WHEN x <> y THEN 'differs' ELSE 'agrees' END AS status, count(*) AS n_orders, CAST(sum(coalesce(x, 0) - coalesce(y, 0)) AS BIGINT) AS delta FROM j GROUP BY 1"""),
-    "dq_gaps": (dq_gaps, """WITH o AS (SELECT DISTINCT o_custkey AS member, date_trunc('month', o_orderdate) AS period FROM orders WHERE o_custkey % 5 = 0), s AS (SELECT member, count(*) AS have, date_diff('month', min(period), max(period)) + 1 AS span FROM o GROUP BY 1)
+    "dq_gaps": (dq_gaps, """WITH o AS (SELECT DISTINCT o_custkey AS member, date_trunc('month', o_orderdate) AS period FROM orders), s AS (SELECT member, count(*) AS have, date_diff('month', min(period), max(period)) + 1 AS span FROM o GROUP BY 1)
  SELECT member, CAST(span - have AS BIGINT) AS missing FROM s WHERE span > have"""),
     "dq_manifest": (dq_manifest, "SELECT count(*) FILTER (event_type = 'error') AS unknown_name, count(*) FILTER (ts > date_trunc('day', ts) + INTERVAL 720 MINUTE) AS late, count(*) FILTER (event_id % 50 = 0) AS mismatch FROM events"),
     "dq_single": (dq_single, "SELECT n = 1 AS ok, count(*) AS n FROM (SELECT l_orderkey, count(DISTINCT l_linestatus) AS n FROM lineitem GROUP BY 1) GROUP BY 1"),
@@ -236,9 +228,9 @@ QUERIES = {
  SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'new' WHEN b.c_custkey IS NULL THEN 'ended' WHEN a.c_acctbal <> b.c_acctbal THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.c_custkey = b.c_custkey"""),
     "change_versions": (change_versions, "SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN -1.0 ELSE c_acctbal END AS c_acctbal, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM customer WHERE c_custkey % 2 <> 0 OR (c_custkey % 4 = 0 AND c_acctbal <> -1.0)"),
     "change_latest": (change_latest, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n - 1 AS collapsed FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1"),
-    "change_spans": (change_spans, """WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS f, max(o_orderkey) AS version FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2), s AS (SELECT *, lead(f) OVER (PARTITION BY o_custkey ORDER BY f) AS t FROM o)
+    "change_spans": (change_spans, """WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS f, max(o_orderkey) AS version FROM orders GROUP BY 1, 2), s AS (SELECT *, lead(f) OVER (PARTITION BY o_custkey ORDER BY f) AS t FROM o)
  SELECT o_custkey, version, t IS NULL AS is_current FROM s WHERE f <= DATE '1998-06-30' AND (t IS NULL OR t > DATE '1998-06-30') AND f + 10 <= DATE '1998-06-30'"""),
-    "change_survivors": (change_survivors, """WITH v AS (SELECT o_custkey AS key, o_orderstatus AS source, max(o_orderpriority) AS value, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS p FROM orders WHERE o_custkey % 4 = 0 GROUP BY 1, 2),
+    "change_survivors": (change_survivors, """WITH v AS (SELECT o_custkey AS key, o_orderstatus AS source, max(o_orderpriority) AS value, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS p FROM orders GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p) AS r FROM v) SELECT key, max(value) FILTER (r = 1) AS value, max(source) FILTER (r = 1) AS source, coalesce(string_agg(source || '=' || value, ';' ORDER BY source) FILTER (r > 1), '') AS others FROM r GROUP BY 1"""),
     "change_deliveries": (change_deliveries, """WITH o AS (SELECT o_custkey AS member, CAST(year(o_orderdate) AS INT) AS delivery, max(o_orderstatus) AS status FROM orders GROUP BY 1, 2), n AS (SELECT delivery, count(*) AS n FROM o GROUP BY 1),
  j AS (SELECT a.delivery, count(*) AS n, count(b.member) AS kept, count(*) FILTER (b.status <> a.status) AS changed FROM o a LEFT JOIN o b ON b.delivery = a.delivery - 1 AND a.member = b.member GROUP BY 1)
@@ -246,8 +238,3 @@ QUERIES = {
     "change_islands": (change_islands, f"WITH {SPANS}, {ISLANDS} SELECT member, CAST(island AS INT) AS island, CAST(from_date AS VARCHAR) AS from_date, CAST(to_date AS VARCHAR) AS to_date, n_spans, CAST(from_date - lag(to_date) OVER (PARTITION BY member ORDER BY island) - 1 AS INT) AS gap_before FROM islands"),
     "change_months": (change_months, f"WITH {MONTHS} SELECT member, CAST(month AS VARCHAR) AS month, days, round(days / day(last_day(month)), 6) AS share FROM months"),
 }
-
-#: The whole table, where the SQL above keeps a part: the same queries and SQL over all members.
-PART = r"(?<=WHERE )(o\.)?o_custkey % [345] = 0 AND | WHERE o_custkey % [345] = 0(?! AND)"
-WHOLE = ("dq_uncovered", "dq_overlaps", "change_islands", "change_months", "change_spans", "change_survivors", "dq_gaps")
-QUERIES |= {f"{n}_all": (partial(QUERIES[n][0], every=True), re.sub(PART, "", QUERIES[n][1])) for n in WHOLE}
