@@ -323,6 +323,12 @@ def identity_pairs(spark, d):
     return pairs.groupBy((F.col("a") % 10).alias("digit")).agg(F.count("*").alias("n"))
 
 
+#: The last names are a letter, "ame" and digits: their sound is the letter and 500.
+IDENTITY_PAIRS_SQL = """WITH p AS (SELECT c_custkey AS id, c_mktsegment[1] || '500' AS sound, DATE '1950-01-01' + CAST(c_custkey % 211 AS INT) AS dob, lpad(CAST(c_custkey % 90 AS VARCHAR), 5, '1') AS zip, CASE WHEN c_custkey % 3 > 0 THEN '555' || lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') END AS phone FROM customer),
+ k AS (SELECT id, 's' || sound || year(dob) AS block FROM p UNION ALL SELECT id, 'd' || dob || 'F' || left(zip, 3) FROM p UNION ALL SELECT id, 'p' || phone FROM p WHERE phone IS NOT NULL),
+ m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.block = y.block AND x.id < y.id) SELECT a % 10 AS digit, count(*) AS n FROM m GROUP BY 1"""
+
+
 def identity_people(spark, d):
     """Scored pairs and the people they make. Components are beyond plain SQL; tests hold them to a union-find."""
     p = _persons(spark, d)
@@ -400,7 +406,7 @@ QUERIES = {
     "identity_tiers": (identity_tiers, f"""WITH {PERSONS}, l AS (SELECT * FROM p WHERE side = 0), r AS (SELECT * FROM p WHERE side = 1), t1 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 1 AS tier FROM l JOIN r USING (mbi) GROUP BY 1 HAVING count(DISTINCT r.id) = 1),
  t2 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 2 AS tier FROM l JOIN r USING (last, dob) WHERE l.id NOT IN (SELECT left_id FROM t1) GROUP BY 1 HAVING count(DISTINCT r.id) = 1), t3 AS (SELECT l.id AS left_id, min(r.id) AS right_id, 3 AS tier FROM l JOIN r USING (first, last) WHERE l.id NOT IN (SELECT left_id FROM t1) AND l.id NOT IN (SELECT left_id FROM t2) GROUP BY 1 HAVING count(DISTINCT r.id) = 1)
  SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3"""),
-    "identity_pairs": (identity_pairs, None),
+    "identity_pairs": (identity_pairs, IDENTITY_PAIRS_SQL),
     "identity_people": (identity_people, None),
     "identity_impact": (identity_impact, IMPACT),
 }
