@@ -106,7 +106,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [features(t.as_py() or b"", n) for t, n in zip(b.column("text").cast(pa.binary()), b.column("n_chars").to_pylist(), strict=True)]
         ids = pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary())
         vals = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), ids, vals], names=["doc_id", "label", "ids", "vals"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("tie"), ids, vals], names=["doc_id", "label", "tie", "ids", "vals"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
@@ -121,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # The ids are chosen before any text is read, so texts of other documents do not travel.
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(taught), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(sample)
-    seen = rows.select("doc_id", "label", "text", "n_chars").mapInArrow(_sampled, "doc_id long, label int, ids binary, vals binary")
+    # Texts become features where they are read: what meets in one task are hashed features, however long the texts.
+    seen = rows.select("doc_id", "label", F.xxhash64("text").alias("tie"), "text", "n_chars").mapInArrow(_sampled, "doc_id long, label int, tie long, ids binary, vals binary")
+    seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "tie").limit(sample).drop("tie")
     model = seen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_learn, "feature int, w double, v array<double>").collect()
     weights, factors = np.zeros(SIZE), np.zeros((SIZE, RANK))
     for r in model:

@@ -9,32 +9,33 @@ from pyspark.sql import functions as F
 
 from tessera.plans.scratch import written
 
-#: Factorials below this are looked up; from here on four terms of Stirling's series are exact to 1e-14.
-TABLE = 32
 #: Standard deviations around the mode that a draw weighs; what lies beyond is below double precision.
 WIDTH = 9
 #: Rows that one step of the second permutation should see.
 ROWS_A_STEP = 64
 
 
-def _log_factorial(x: str) -> str:
-    known = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(TABLE))
-    series = f"(({x}) + 0.5D) * ln({x}) - ({x}) + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12D * ({x})) - 1D / (360D * pow({x}, 3)) + 1D / (1260D * pow({x}, 5)) - 1D / (1680D * pow({x}, 7))"
-    return f"if(({x}) < {TABLE}, element_at(array({known}), cast({x} as int) + 1), {series})"
-
-
 def _draw(total: str, good: str, picked: str, u: str) -> str:
     """SQL for one hypergeometric variate: of ``total`` rows ``good`` are of the shard, ``picked`` go left; ``u`` is uniform.
 
-    Inversion over the weights around the mode, each relative to the mode's own.
+    Inversion over the weights around the mode: upward from it, then downward. Each weight follows from its neighbour by their
+    exact ratio, relative to the mode's own, so it is right to rounding at any size, and none is kept.
     """
-    lp = lambda k: "-(" + " + ".join(_log_factorial(x) for x in (k, f"(z.g - {k})", f"(z.p - {k})", f"(z.t - z.g - z.p + {k})")) + ")"
     mode = f"cast(floor((({picked}) + 1D) * (({good}) + 1D) / (({total}) + 2D)) as bigint)"
     spread = f"cast(ceil({WIDTH} * sqrt(greatest(0D, cast({picked} as double) * ({good}) / greatest(1, {total}) * (({total}) - ({good})) / greatest(1, {total}) * (({total}) - ({picked})) / greatest(1, ({total}) - 1)))) as bigint) + {WIDTH}"
     one = f"transform(array(named_struct('t', {total}, 'g', {good}, 'p', {picked}, 'm', {mode}, 's', {spread}, 'u', {u})), y -> named_struct('t', y.t, 'g', y.g, 'p', y.p, 'm', y.m, 'u', y.u, 'lo', greatest(0L, y.p + y.g - y.t, y.m - y.s), 'hi', least(y.g, y.p, y.m + y.s)))"
-    weighed = f"transform({one}, z -> named_struct('lo', z.lo, 'u', z.u, 'top', {lp('z.m')}, 'w', transform(sequence(z.lo, z.hi), k -> exp({lp('k')} - ({lp('z.m')})))))"
-    pick = "transform({w}, q -> q.lo + aggregate(q.w, named_struct('left', q.u * aggregate(q.w, 0D, (s, w) -> s + w), 'n', 0L), (a, w) -> named_struct('left', a.left - w, 'n', a.n + if(a.left - w > 0D, 1L, 0L)), a -> least(a.n, size(q.w) - 1L)))"
-    return f"element_at({pick.format(w=weighed)}, 1)"
+    up = "cast(z.g - k as double) * (z.p - k) / ((k + 1D) * (z.t - z.g - z.p + k + 1D))"
+    down = "cast(k as double) * (z.t - z.g - z.p + k) / ((z.g - k + 1D) * (z.p - k + 1D))"
+    total_of = lambda upto, ratio: f"aggregate(sequence(z.m, z.{upto}), named_struct('w', 1D, 's', 0D), (a, k) -> named_struct('w', a.w * ({ratio}), 's', a.s + a.w), a -> a.s)"
+    summed = f"transform({one}, z -> named_struct('z', z, 'left', z.u * ({total_of('hi', up)} + {total_of('lo', down)} - 1D)))"
+    seek = lambda start, upto, ratio: (
+        f"aggregate(sequence(z.m, z.{upto}), {start}, (a, k) -> if(a.k is not null, a, if(a.left < a.w, named_struct('w', a.w, 'left', a.left, 'k', k), named_struct('w', a.w * ({ratio}), 'left', a.left - a.w, 'k', cast(null as bigint)))))"
+    )
+    start = "named_struct('w', 1D, 'left', {left}, 'k', cast(null as bigint))"
+    first = f"transform({summed}, x -> element_at(transform(array(x.z), z -> named_struct('z', z, 'a', {seek(start.format(left='x.left'), 'hi', up)})), 1))"
+    # The way down passes the mode again: its weight has been taken off already, so it is given back.
+    second = f"transform({first}, y -> element_at(transform(array(y.z), z -> coalesce(y.a.k, {seek(start.format(left='y.a.left + 1D'), 'lo', down)}.k, z.m)), 1))"
+    return f"element_at({second}, 1)"
 
 
 def matrix(blocks: DataFrame, n_blocks: int, shards: int, seed: int) -> DataFrame:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from collections import Counter, defaultdict
 
 import re
@@ -101,3 +102,14 @@ def test_matrix_margins_and_law(spark):
     got = Counter(r.k for r in spark.range(8000).selectExpr(f"{draw} as k").collect())
     assert all(abs(got[k] / 8000 - comb(6, k) ** 2 / comb(12, 6)) < 0.02 for k in range(7))
     assert sum(r.counts[0] for r in sharding.matrix(two, 2, 2, 1).collect()) == 6
+
+
+def test_draws_follow_the_law_at_any_size(spark):
+    import math
+
+    draw = lambda t, g, p, n: [r[0] for r in spark.range(n).selectExpr(f"(id + 0.5D) / {n} as u", f"{t}L as t", f"{g}L as g", f"{p}L as p").select(F.expr(sharding._draw("t", "g", "p", "u"))).collect()]
+    got = draw(20, 8, 5, 4000)
+    assert all(abs(got.count(k) / 4000 - math.comb(8, k) * math.comb(12, 5 - k) / math.comb(20, 5)) < 0.001 for k in range(6))
+    big = draw(20_000_000_000, 1_250_000_000, 10_000_000_000, 60)
+    spread = math.sqrt(1e10 * 0.0625 * 0.9375 * 0.5)
+    assert abs(sum(big) / 60 - 625_000_000) < spread / 50 and max(big) - min(big) > 4 * spread
