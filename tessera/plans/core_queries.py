@@ -213,7 +213,7 @@ def landing_csv(spark, d):
     rows = L.numbered(L.read_delimited(spark, f"{base}/in"))
     n = L.append(L.bronze(rows, "roster", "b1", "sys"), f"{base}/bronze")
     back = spark.read.parquet(f"{base}/bronze").where("batch_id = 'b1'")
-    return back.select(F.col("raw_row")["id"].cast("long").alias("id"), F.col("raw_row")["name"].alias("name"), F.col("raw_row")["name_2"].alias("segment"), F.col("raw_row")["blank"].alias("blank"), (F.lit(n) == F.lit(c.count())).alias("all_written"))
+    return back.select(F.col("raw_row")["id"].cast("long").alias("id"), F.col("raw_row")["name"].alias("name"), F.col("raw_row")["name_1"].alias("segment"), F.col("raw_row")["blank"].alias("blank"), (F.lit(n) == F.lit(c.count())).alias("all_written"))
 
 
 def landing_paths(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.errors import AnalysisException
@@ -20,20 +21,26 @@ AUDIT = ("source_system", "ingestion_ts", "batch_id", "record_hash", "created_ts
 
 
 def clean_header(cells: list[str]) -> list[str]:
-    """Stripped names; blanks become ``column_<i>``, repeats ``<name>_<n>``."""
-    names, seen = [], {}
+    """Stripped names; blanks become ``column_<i>``, the n-th repeat of a name ``<name>_<n>``."""
+    names, repeats = [], {}
     for i, cell in enumerate(cells, 1):
         name = cell.strip() or f"column_{i}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        repeats[name] = repeats.get(name, -1) + 1
+        names.append(f"{name}_{repeats[name]}" if repeats[name] else name)
     return names
 
 
 def sniff(head: str) -> str:
-    """The delimiter most frequent in the first line outside quotes, else a comma."""
-    line = re.sub(r'"[^"]*"', "", head[:8192].splitlines()[0] if head.strip() else "")
-    best = max(DELIMITERS, key=line.count)
-    return best if line.count(best) else ","
+    """The delimiter that the lines of the first 8192 characters agree on, outside quotes: the one that most of them hold equally
+    often, more often before less often; else a comma."""
+    lines = [x for x in re.sub(r'"[^"]*"', "", head[:8192]).splitlines() if x.strip()]
+    best, held = ",", (0, 0)
+    for d in DELIMITERS:
+        n = lines[0].count(d) if lines else 0
+        like = (sum(x.count(d) == n for x in lines), n) if n else (0, 0)
+        if like > held:
+            best, held = d, like
+    return best
 
 
 def table_name(name: str) -> str:
@@ -42,20 +49,45 @@ def table_name(name: str) -> str:
     return name
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All-string columns of one delimited delivery, stripped, ``""`` for missing; rows of blanks only are dropped.
+def _first_lines(lines: DataFrame) -> list:
+    """One row a file, by name: its first line, whether its text is no UTF-8, and whether some quote is left open at a line's end."""
+    value = F.coalesce("value", F.lit(""))
+    marks = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    each = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), value.alias("value"), value.contains("\ufffd").alias("bad"), (marks % 2 == 1).alias("broken"))
+    return each.groupBy("file").agg(F.min_by("value", "place").alias("head"), F.max("bad").alias("bad"), F.max("broken").alias("broken")).orderBy("file").collect()
 
-    Only the first line is looked at on the driver. Short rows are padded, extra cells ignored.
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """All-string columns of a delivery, stripped, ``""`` for missing; rows of blanks only are dropped.
+
+    The driver looks at the first lines alone. Files of other headers in the same folder are read by their own names, missing columns are ``""``. Short rows are padded, extra cells ignored. Unless told, one pass over the lines finds
+    whether they are UTF-8 (else Latin-1) and whether quoted cells hold line breaks, in which case a file is not split.
     """
-    first = spark.read.text(path).limit(1).collect()
-    head = first[0][0].lstrip("﻿") if first else ""
-    sep = sep or sniff(head)
-    cells = next(iter(__import__("csv").reader([head], delimiter=sep)), []) if head else []
-    names = clean_header(cells) or ["column_1"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding, multiLine=False, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE")
-    out = raw.select(*[F.coalesce(trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
-    return out.where(" or ".join(f"`{n}` <> ''" for n in names))
+    lines = lambda charset: spark.read.csv(path, schema="value string", sep="\x01", quote="", encoding=charset)
+    told = _first_lines(lines(encoding or "UTF-8"))
+    if encoding is None and any(r.bad for r in told):
+        encoding = "ISO-8859-1"
+        told = _first_lines(lines(encoding))
+    encoding, multiline = encoding or "UTF-8", any(r.broken for r in told) if multiline is None else multiline
+    if not sep and told:
+        sep = sniff("\n".join(r[0] or "" for r in lines(encoding).limit(200).collect()))
+    # A header is a file's first line.
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in told:
+        cells = next(csv.reader([(r.head or "").lstrip("\ufeff")], delimiter=sep), [])
+        if any(c.strip() for c in cells):
+            groups.setdefault(tuple(clean_header(cells)), []).append(r.file)
+    out = None
+    for names, some in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.csv(some, schema=schema, sep=sep, header=True, encoding=encoding, multiLine=multiline, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE")
+        part = raw.select(*[F.coalesce(trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
+        part = part.where(" or ".join(f"`{n}` <> ''" for n in names))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("column_1", T.StringType())]))
+    return out.fillna("") if len(groups) > 1 else out
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -57,7 +57,7 @@ def test_top_values(spark):
 
 
 def test_headers_and_files(spark, tmp_path):
-    assert landing.clean_header([" a ", "", "a", "a"]) == ["a", "column_2", "a_2", "a_3"]
+    assert landing.clean_header([" a ", "", "a", "a"]) == ["a", "column_2", "a_1", "a_2"]
     assert [landing.sniff(x) for x in ("a|b|c", "a;b", '"x,y";z', "abc", "a\tb")] == ["|", ";", ";", ",", "\t"]
     (tmp_path / "f.csv").write_text("id|name|\n1| Ann |x|extra\n\n|| \n2|Bo\n", encoding="utf-8")
     got = landing.numbered(landing.read_delimited(spark, str(tmp_path / "f.csv"))).orderBy("row_number").collect()
@@ -70,6 +70,25 @@ def test_headers_and_files(spark, tmp_path):
     assert landing.new_files(spark, str(tmp_path / "f.csv"), files.select("fingerprint")).count() == 0
 
 
+def test_deliveries_as_they_come(spark, tmp_path):
+    """Line breaks in quotes, Latin-1, and files of one folder with other headers, numbered in the order of the files."""
+    (tmp_path / "q.csv").write_text('id;note\n1;"two\nlines; one cell"\n2;plain\n', encoding="utf-8-sig")
+    assert [(r.id, r.note) for r in landing.read_delimited(spark, str(tmp_path / "q.csv")).orderBy("id").collect()] == [("1", "two\nlines; one cell"), ("2", "plain")]
+    (tmp_path / "l.csv").write_bytes("id,name\n1,Zoë\n".encode("latin-1"))
+    assert landing.read_delimited(spark, str(tmp_path / "l.csv")).first().name == "Zoë"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(3)))
+    (folder / "b.csv").write_text("id,city\n" + "".join(f"{i},c{i}\n" for i in range(3, 203)))
+    got = landing.read_delimited(spark, str(folder))
+    assert got.columns == ["id", "name", "city"] and got.where("city = ''").count() == 3
+    (tmp_path / "none.csv").write_text("")
+    assert landing.read_delimited(spark, str(tmp_path / "none.csv")).count() == 0
+    lines = spark.read.schema("v string").option("maxRecordsPerFile", 0).csv(str(folder))
+    numbers = [r.v for r in landing.in_file_order(lines).orderBy("row_number").collect()]
+    assert numbers == ["id", "0", "1", "2", "id", *map(str, range(3, 203))]
+
+
 def test_hash_ignores_order_and_null(spark):
     a = spark.createDataFrame([("1", None)], "x string, y string").select(landing.record_hash(["x", "y"])).first()[0]
     b = spark.createDataFrame([("", "1")], "y string, x string").select(landing.record_hash(["y", "x"])).first()[0]
