@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     node alone; edges with a null end are ignored; repeated edges count once. Raises RuntimeError if
     ``rounds`` do not suffice.
     """
+    # Both directions from one evaluation of the edges, which may be a long plan.
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = written(one.union(one.select("b", "a")).distinct(), "edges")
+    both = written(one.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(rounds):
         # Smallest label of the neighbourhood, for the node and for the root it hangs from.
@@ -34,5 +35,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         dropped(labels, low)
         labels = fresh
         if not changed:
+            dropped(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components have not settled after {rounds} rounds")
