@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph, by min-label hooking with pointer jumping."""
+"""Connected components of an undirected graph, by contraction: hook to the smallest neighbour, jump to the root, relabel edges."""
 
 from __future__ import annotations
 
@@ -11,30 +11,39 @@ from tessera.plans.scratch import dropped, written
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """One row ``(node, component)`` for each node of ``edges``; component is the smallest node reachable.
 
-    Each round takes, for every node, the smallest label among its neighbours (a map-side-combined
-    minimum), hooks the node's root to it, and then jumps pointers twice, so chains shorten by a
-    factor every round and stars settle at once. Every round ends in a written table. Self loops give a
-    node alone; edges with a null end are ignored; repeated edges count once. Raises RuntimeError if
-    ``rounds`` do not suffice.
+    Each round hooks every node that still has edges to its smallest neighbour (a map-side-combined minimum), follows the
+    hooks to their roots by pointer jumping, and relabels the edges by the roots. Edges within a tree are gone then, so
+    rounds get smaller fast, and a group of very many edges costs its size once. Every step ends in a written table. Self loops give a
+    node alone; edges with a null end are ignored; repeated edges count once. Raises RuntimeError if ``rounds`` do not suffice.
     """
-    # Both directions from one evaluation of the edges, which may be a long plan.
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = written(one.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    pairs = written(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    found = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    live = pairs.where("a <> b")
     for _ in range(rounds):
-        # Smallest label of the neighbourhood, for the node and for the root it hangs from.
-        seen = both.join(labels, both.b == labels.node).groupBy(both.a.alias("node")).agg(F.min("label").alias("near"))
-        now = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("near"))
-        hooks = now.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
-        low = now.select("node", "near").join(hooks, "node", "left").select("node", F.least("near", "hook").alias("label"))
-        low = written(low, "labels")
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = low.join(jump, "label", "left").select("node", F.least("label", "up").alias("label"))
-        fresh = written(jumped, "labels")
-        changed = fresh.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        dropped(labels, low)
-        labels = fresh
-        if not changed:
-            dropped(both)
-            return labels.select("node", F.col("label").alias("component"))
+        ends = live.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+        up = _rooted(written(ends.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("label")), "hooks"), rounds)
+        left, right = up.toDF("a", "x"), up.toDF("b", "y")
+        fresh = live.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        before, last = live, found
+        live = written(fresh, "edges")
+        root = up.toDF("component", "root")
+        found = written(last.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        dropped(before, last, up)
+        if not live.limit(1).count():
+            dropped(pairs, live)
+            return found
     raise RuntimeError(f"components have not settled after {rounds} rounds")
+
+
+def _rooted(hooks: DataFrame, rounds: int) -> DataFrame:
+    """``(node, label)`` with every node's label its root: chains of hooks shrink to half at each jump."""
+    for _ in range(rounds):
+        up = hooks.toDF("label", "above")
+        jumped = written(hooks.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved")), "hooks")
+        dropped(hooks)
+        hooks = jumped.select("node", "label")
+        hooks._tessera_path = jumped._tessera_path
+        if not jumped.where("moved").limit(1).count():
+            return hooks
+    raise RuntimeError(f"hooks have not settled after {rounds} jumps")
