@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import text_shape
+from tessera.plans.scratch import written
 
 #: What a column's text looks like.
 INT, DECIMAL, CODE = r"^[+-]?\d+$", r"^[+-]?\d*\.\d+$", r"^[A-Z0-9][A-Z0-9._-]{0,15}$"
@@ -17,6 +18,7 @@ BOOL = ("true", "false", "t", "f", "yes", "no", "y", "n", "0", "1")
 #: Names that hint at protected data and at roles, and placeholders for an unknown date or number.
 PHI = ("name", "dob", "birth", "ssn", "mrn", "member_id", "memberid", "patient", "address", "addr", "street", "city", "zip", "postal", "phone", "email", "gender", "sex", "race", "ethnicity", "subscriber", "death", "deceased")
 IDENTIFIER = ("id", "npi", "tin", "mrn", "ssn", "key", "identifier")
+#: Names that hint at technical columns, labels and periods; the roles; how many values, keys and pairs are told.
 TECHNICAL = ("created", "updated", "modified", "batch", "lsdeleted", "etl", "ingested", "loaded")
 TECHNICAL_PHRASES = ("record_hash", "row_number", "source_system", "secure_id", "record_creation", "load_date", "load_ts")
 LABEL = ("zip", "postal", "phone", "mobile", "fax", "number", "code", "flag", "status", "type", "indicator", "segtype")
@@ -173,6 +175,29 @@ def contract_drift(observed: DataFrame, registered: DataFrame) -> DataFrame:
     return missing.union(observed.select("column").join(registered.select("column"), "column", "left_anti").withColumn("change", F.lit("extra")))
 
 
+def schema_verdicts(observed: DataFrame, registered: DataFrame) -> DataFrame:
+    """``(rule_id, column, action)`` of two profiles: a new column is observed; a column that is gone, or is all null now and was not
+    before, blocks."""
+    filled = lambda t, name: t.select("column", (F.col("null_count") < F.col("row_count")).alias(name))
+    j = filled(observed, "now").join(filled(registered, "was"), "column", "full_outer")
+    rule = F.when(F.col("was").isNull(), "B-02").when(F.col("now").isNull() | (F.col("was") & ~F.col("now")), "B-03")
+    return j.select(rule.alias("rule_id"), "column", F.when(rule == "B-02", "observe").otherwise("block").alias("action")).where("rule_id is not null")
+
+
+def batch_profile(bronze: DataFrame, column_order: list[str], sample_rows: int = 5000) -> DataFrame:
+    """``column_facts`` of a Bronze batch's first ``sample_rows`` rows by number, with ``rows_in_batch``, ``rows_profiled`` and ``is_sample``.
+
+    The window is the feature: a bounded look, marked as such. Known columns stand in the order given, drifted ones behind them by name.
+    """
+    total = bronze.count()
+    some = written(bronze.orderBy("row_number").limit(sample_rows), "window")
+    present = {r[0] for r in some.select(F.explode(F.map_keys("raw_row"))).distinct().collect()}  # names of columns
+    names = [c for c in column_order if c in present] + sorted(present - set(column_order))
+    rows = some.select("row_number", *[F.coalesce(F.try_element_at("raw_row", F.lit(c)), F.lit("")).alias(c) for c in names])
+    seen = min(total, sample_rows)
+    return column_facts(rows).withColumns({"rows_in_batch": F.lit(total).cast("long"), "rows_profiled": F.lit(seen).cast("long"), "is_sample": F.lit(seen < total)})
+
+
 def anomalies(facts: DataFrame, null_rate: float = 0.5, sentinel_rate: float = 0.05) -> DataFrame:
     """``(column, signal, share)``: empty, null-rate, constant, and sentinel-heavy columns."""
     filled = F.col("row_count") - F.col("null_count")

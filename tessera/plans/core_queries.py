@@ -329,6 +329,20 @@ def profile_drift(spark, d):
     return a.unionByName(P.contract_drift(now, then.select("column")).withColumn("kind", F.lit("contract")))
 
 
+def profile_batch(spark, d):
+    """F16: the first 5,000 rows of a Bronze batch, columns as the file had them, a drifted one last."""
+    order = ["status", "claim_id", "service_date", "member_id", "allowed", "priority", "gone"]
+    out = P.batch_profile(feed(spark, d), order)
+    return out.select("position", "column", "row_count", "null_count", "distinct_count", "rows_in_batch", "rows_profiled", "is_sample")
+
+
+def dq_schema(spark, d):
+    """Q11, B-02, B-03: a delivery with a new column, one gone and one emptied, against the one before."""
+    rows = _wide(spark, d)
+    now = rows.withColumn("status", F.lit("")).withColumn("extra", F.col("priority")).drop("urgent_flag")
+    return P.schema_verdicts(P.column_facts(now), P.column_facts(rows))
+
+
 def profile_anomalies(spark, d):
     """F19."""
     return P.anomalies(_facts(spark, d), null_rate=0.3)
@@ -375,6 +389,13 @@ QUERIES = {
     "profile_keys": (profile_keys, "SELECT count(*) AS row_count, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS n_keys FROM lineitem"),
     "profile_files": (profile_files, f"""SELECT * FROM (VALUES ('role identifier', 'claim_id,member_id'), ('role date', 'service_date,claim_month'), ('role measure', 'allowed'), ('role dimension', 'status,priority,channel,urgent_flag'), ('role unclassified', 'spare')) t(fact, value), (SELECT true AS stable)
  UNION ALL SELECT 'coverage', strftime(min(o_orderdate), '%Y-%m-%d') || ' ' || strftime(max(o_orderdate), '%Y-%m-%d'), true FROM orders WHERE o_orderkey % 10 <> 0"""),
+    "profile_batch": (profile_batch, f"""WITH {FEED}, w AS (SELECT * FROM feed ORDER BY row_number LIMIT 5000), n AS (SELECT (SELECT count(*) FROM feed) AS rows_in_batch, (SELECT count(*) FROM w) AS rows_profiled),
+ c AS (UNPIVOT (SELECT status, claim_id, service_date, member_id, allowed, priority, channel FROM w) ON status, claim_id, service_date, member_id, allowed, priority, channel INTO NAME "column" VALUE v)
+ SELECT CAST(list_position(['status', 'claim_id', 'service_date', 'member_id', 'allowed', 'priority', 'channel'], "column") - 1 AS INT) AS position, "column", count(*) AS row_count, count(*) FILTER (v = '') AS null_count, count(DISTINCT v) FILTER (v <> '') AS distinct_count,
+ any_value(rows_in_batch) AS rows_in_batch, any_value(rows_profiled) AS rows_profiled, any_value(rows_profiled < rows_in_batch) AS is_sample FROM c, n GROUP BY "column" """),
+    "dq_schema": (dq_schema, f"""WITH {WIDE}, now AS (SELECT "column", row_count, CASE WHEN "column" = 'status' THEN row_count ELSE null_count END AS null_count FROM facts WHERE "column" <> 'urgent_flag' UNION ALL SELECT 'extra', row_count, null_count FROM facts WHERE "column" = 'priority')
+ SELECT CASE WHEN f."column" IS NULL THEN 'B-02' ELSE 'B-03' END AS rule_id, coalesce(n."column", f."column") AS "column", CASE WHEN f."column" IS NULL THEN 'observe' ELSE 'block' END AS action FROM now n FULL JOIN facts f ON n."column" = f."column"
+ WHERE f."column" IS NULL OR n."column" IS NULL OR (f.null_count < f.row_count AND n.null_count = n.row_count)"""),
     "profile_drift": (profile_drift, "SELECT * FROM (VALUES ('claim_id', 'retyped', 'drift'), ('extra', 'added', 'drift'), ('spare', 'removed', 'drift'), ('spare', 'missing', 'contract'), ('extra', 'extra', 'contract')) t(\"column\", change, kind) WHERE EXISTS (SELECT 1 FROM orders)"),
     "profile_anomalies": (profile_anomalies, f"""WITH {WIDE} SELECT 'spare' AS "column", 'empty' AS signal, 1.0::DOUBLE AS share UNION ALL SELECT 'channel', 'constant', 1.0 UNION ALL SELECT 'status', 'null_rate', round(null_count / row_count, 4) FROM facts WHERE "column" = 'status'
  UNION ALL SELECT 'service_date', 'sentinel_heavy', round(count(*) FILTER (v = '9999-12-31') / count(*), 4) FROM cells WHERE "column" = 'service_date'"""),
