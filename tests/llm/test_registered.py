@@ -20,10 +20,32 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
 
 
-def test_results_have_their_columns(spark):
-    want = {
-        "op1_mix": {"doc_id", "size", "source_size", "target", "taken"}, "op2_nearest": {"query_id", "rank", "vec_id", "score"},
-        "op4_pack": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, "op9_shard": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
-    }
-    for name, columns in want.items():
-        assert columns <= set(queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns)
+LONG, INT, TEXT, DOUBLE = "bigint", "int", "string", "double"
+COLUMNS = {
+    "op1_mix": {"doc_id": LONG, "size": LONG, "source_size": LONG, "target": DOUBLE, "taken": LONG},
+    "op2_nearest": {"query_id": LONG, "rank": INT, "vec_id": LONG, "score": DOUBLE},
+    "op3_substrings": {"doc_id": LONG, "n_words": LONG, "n_removed": LONG, "kept_sha256": TEXT},
+    "op4_pack": {"doc_id": LONG, "piece": INT, "start": LONG, "length": LONG, "ids_crc32": LONG, "sequence_id": LONG, "offset": LONG},
+    "op5_rans": {"doc_id": LONG, "start": LONG, "n_tokens": LONG, "ids_crc32": LONG},
+    "op6_token_counts": {"doc_id": LONG, "n_bytes": LONG, "n_tokens": LONG, "over_limit": "boolean"},
+    "op7_simhash": {"doc_id": LONG, "fingerprint": TEXT, "component_id": LONG},
+    "op8_quality": {"doc_id": LONG, "held_out": "boolean", "score": DOUBLE, "predicted": INT},
+    "op9_shard": {"doc_id": LONG, "size": LONG, "text_crc32": LONG, "law": TEXT, "shard": INT, "slot": LONG, "grown_shard": INT},
+    "op10_top_inner": {"query_id": LONG, "rank": INT, "vec_id": LONG, "score": LONG},
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_results_have_their_columns(spark, name):
+    got = dict(queries.QUERIES[name](spark, "/root/testdata/sf0.001").dtypes)
+    assert {c: got.get(c) for c in COLUMNS[name]} == COLUMNS[name]
+
+
+def test_token_counts_equal_the_library(spark):
+    """op6 and op5 against the library itself, on whole texts."""
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    full = Tokenizer.from_file(queries.vocabulary(queries.WORD_BPE))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in queries.op6_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (len((t or "").encode()), len(full.encode(t or "", add_special_tokens=False).ids)) for d, t in texts.items()}
