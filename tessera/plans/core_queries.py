@@ -109,6 +109,64 @@ def promotion_written(spark, d):
     return out.select("entity", "n_rows", "n_sources")
 
 
+def _promoted(spark, d, spec=None, rows=None) -> str:
+    """A batch promoted once; where to."""
+    from tessera.plans.scratch import shared_dir
+
+    import uuid
+
+    path = f"{shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
+    M.promote(feed(spark, d) if rows is None else rows, spec or SPEC, path, "b1", source_system="orders")
+    return path
+
+
+def promotion_typed(spark, d):
+    """The primary entity as its contract has it: dates are dates, audit columns are there."""
+    header = M.published(spark, _promoted(spark, d), "claim_header")
+    return header.select("row_number", "claim_number", "status", F.date_add("service_date", 1).cast("string").alias("next_day"), "batch_id", "source_system", (F.col("created_ts") == F.col("updated_ts")).alias("fresh"))
+
+
+def quarantine_summary(spark, d):
+    """What a batch's quarantine holds, by outcome and rule."""
+    return M.summary(M.published(spark, _promoted(spark, d), "quarantine"))
+
+
+def quarantine_page(spark, d):
+    """One page of a batch's quarantine, in the order of its rows."""
+    return L.page(M.published(spark, _promoted(spark, d), "quarantine"), limit=50, offset=20).select("row_number", "outcome")
+
+
+WIDE_FIELDS = 45
+WIDE_SPEC = M.Spec("silver_raw.entity0", tuple(M.Field(f"c{i:02}", f"entity{i % 5}.f{i:02}", cast="int" if i % 3 == 0 else "string", op="trim" if i % 4 == 0 else None, on_null="default" if i % 9 == 8 else "pass", default="none" if i % 9 == 8 else None) for i in range(WIDE_FIELDS)))
+
+
+def promotion_wide(spark, d):
+    """M1 to M19 over a feed of 45 columns and five entities."""
+    o = L.spread(table(spark, d, "orders"))
+    k = F.col("o_orderkey")
+    cells = [x for i in range(WIDE_FIELDS) for x in (F.lit(f"c{i:02}"), F.when((k + i) % 50 == 0, "").otherwise((k * (i + 1)).cast("string")))]
+    rows = o.select(k.cast("long").alias("row_number"), F.create_map(*cells).alias("raw_row"))
+    path, out = _promoted(spark, d, WIDE_SPEC, rows), None
+    for t in M.entities(WIDE_SPEC):
+        first = min(M.entities(WIDE_SPEC)[t])
+        part = M.published(spark, path, t).agg(F.count("*").alias("n_rows"), F.count(first).alias("filled"), F.sum(F.col(first).cast("long")).alias("total")).withColumn("entity", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def landing_append(spark, d):
+    """Batches appended to Bronze one after another, the earlier ones unchanged."""
+    from tessera.plans.scratch import shared_dir
+
+    import uuid
+
+    path = f"{shared_dir(spark)}/tessera/bronze-{uuid.uuid4().hex}"
+    rows = L.numbered(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")), F.col("name"))
+    written_ = {b: L.append_checked(L.bronze(rows.where(f"region {c}"), "nations", b, "sys"), path) for b, c in (("b1", "< 2"), ("b2", "= 2"), ("b3", "> 2"))}
+    told = spark.createDataFrame(list(written_.items()), "batch_id string, n_written long")
+    return L.batch_state(spark.read.parquet(path)).join(told, "batch_id").select("batch_id", "n_rows", "n_written")
+
+
 def promotion_preview(spark, d):
     """A reproducible spread sample, evaluated and masked."""
     rows = feed(spark, d)
@@ -362,6 +420,12 @@ def profile_class(spark, d):
 OUTCOMES_SQL = f"WITH {FEED} SELECT outcome, count(*) AS n_rows FROM done GROUP BY 1"
 QUERIES = {
     "promotion_balance": (promotion_balance, f"WITH {FEED} SELECT count(*) AS records_in, count(*) FILTER (outcome = 'ok') AS records_out, count(*) FILTER (outcome <> 'ok') AS quarantined, CAST(0 AS BIGINT) AS drops, true AS balanced FROM done"),
+    "promotion_typed": (promotion_typed, f"WITH {FEED} SELECT row_number, claim_id AS claim_number, CASE status WHEN 'F' THEN 'final' ELSE 'open' END AS status, CAST(CAST(service_date AS DATE) + 1 AS VARCHAR) AS next_day, 'b1' AS batch_id, 'orders' AS source_system, true AS fresh FROM done WHERE outcome = 'ok'"),
+    "quarantine_summary": (quarantine_summary, f"""WITH {FEED}, r AS (SELECT outcome, 'claim_id' AS source, 'on_null' AS rule FROM done WHERE rejected UNION ALL SELECT outcome, 'service_date', 'parse_date' FROM done WHERE failed UNION ALL SELECT outcome, 'status', 'on_unmapped_value' FROM done WHERE strange)
+ SELECT 'b1' AS batch_id, outcome, source, rule, count(*) AS n_rows FROM r GROUP BY ALL"""),
+    "quarantine_page": (quarantine_page, f"WITH {FEED} SELECT row_number, outcome FROM done WHERE outcome <> 'ok' ORDER BY row_number LIMIT 50 OFFSET 20"),
+    "promotion_wide": (promotion_wide, "SELECT 'entity' || e AS entity, count(*) AS n_rows, count(*) FILTER ((o_orderkey + e) % 50 <> 0) AS filled, CAST(sum(o_orderkey * (e + 1)) FILTER ((o_orderkey + e) % 50 <> 0) AS BIGINT) AS total FROM orders, range(5) t(e) GROUP BY e"),
+    "landing_append": (landing_append, "SELECT CASE WHEN n_regionkey < 2 THEN 'b1' WHEN n_regionkey = 2 THEN 'b2' ELSE 'b3' END AS batch_id, count(*) AS n_rows, count(*) AS n_written FROM nation GROUP BY 1"),
     "promotion_outcomes": (promotion_outcomes, OUTCOMES_SQL),
     "promotion_tallies": (promotion_tallies, f"""WITH {FEED}, t AS (SELECT 'failure' AS tally, 'claim_id:on_null' AS name, count(*) FILTER (rejected) AS n FROM done UNION ALL SELECT 'failure', 'service_date:parse_date', count(*) FILTER (failed) FROM done
  UNION ALL SELECT 'failure', 'status:on_unmapped_value', count(*) FILTER (strange) FROM done UNION ALL SELECT 'affected', 'claim_id', count(*) FILTER (rejected) FROM done UNION ALL SELECT 'affected', 'service_date', count(*) FILTER (failed) FROM done
