@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, mixing, packing, quality, rans, sharding, simhash, substrings, vectors
+from tessera.llm import counts, dialogue, middle, mixing, packing, quality, rans, sharding, simhash, substrings, vectors
 
 
 #: Vocabulary files are read where the tokenizer package has them; another path is a parameter of the operators.
@@ -71,6 +71,17 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.audits(dialogue.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_nearest": op2_nearest,
@@ -82,6 +93,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shard": op9_shard,
     "op10_top_inner": op10_top_inner,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_dialogue_repair": op13_dialogue_repair,
 }
 
 #: Seeded orders, hashes, learned weights and library token ids are beyond SQL; an exact integer search is not.
@@ -93,4 +106,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
     """,
+    "op12_fill_in_middle": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                          sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT) for k in [0, 1, 2, 3]] AS h4 FROM t),
+        c AS (SELECT *, least(h4[1] % (n + 1), h4[2] % (n + 1)) AS a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h4[3] % 100 >= 90 THEN 'plain'
+                          WHEN h4[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
