@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, dialogue, middle, mixing, packing, quality, rans, sharding, simhash, substrings, vectors
+from tessera.llm import counts, dialogue, lexical, middle, mixing, packing, quality, rans, sharding, simhash, substrings, vectors
 
 
 #: Vocabulary files are read where the tokenizer package has them; another path is a parameter of the operators.
@@ -71,6 +71,10 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_retrieval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=2048)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256")]
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shard": op9_shard,
     "op10_top_inner": op10_top_inner,
+    "op11_retrieval_pack": op11_retrieval_pack,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_dialogue_repair": op13_dialogue_repair,
 }

@@ -32,6 +32,7 @@ COLUMNS = {
     "op8_quality": {"doc_id": LONG, "held_out": "boolean", "score": DOUBLE, "predicted": INT},
     "op9_shard": {"doc_id": LONG, "size": LONG, "text_crc32": LONG, "law": TEXT, "shard": INT, "slot": LONG, "grown_shard": INT},
     "op10_top_inner": {"query_id": LONG, "rank": INT, "vec_id": LONG, "score": LONG},
+    "op11_retrieval_pack": dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], LONG),
     "op12_fill_in_middle": {"doc_id": LONG, "n": LONG, "form": TEXT, "prefix_chars": LONG, "middle_chars": LONG, "output_sha256": TEXT, "restored_sha256": TEXT},
     "op13_dialogue_repair": {"conv_id": LONG, **dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], LONG), "audit": TEXT, "repaired_sha256": TEXT},
 }
