@@ -47,15 +47,123 @@ def candidate_pairs(people: DataFrame, most: int = 200) -> tuple[DataFrame, Data
     """
     blocks = people.where("id is not null").select("id", F.explode(block_keys()).alias("block")).groupBy("id").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
     keyed = blocks.select("id", "blocks", F.posexplode("blocks").alias("at", "block")).select("id", "block", F.slice("blocks", F.lit(1), F.col("at")).alias("less"))
+    met, over = _in_tiles(keyed, most)
+    return met.where("not arrays_overlap(xs, ys)").select("a", "b"), over
+
+
+def _in_tiles(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Every two of ``keyed`` (id, block, less) that share a block, and the blocks over ``most``, which are dealt into parts that meet in tiles."""
     over = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most)
     parts = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     dealt = keyed.join(over, "block", "left").select("id", "less", "block", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     left = dealt.select("block", F.col("id").alias("x"), F.col("less").alias("xs"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
     right = dealt.select("block", F.col("id").alias("y"), F.col("less").alias("ys"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
-    n = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes make many pairs, which adaptive coalescing would put in one task
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes make many pairs, which adaptive coalescing would put in one task
     left, right = (t.repartition(n, "block", "i", "j") for t in (left, right))
-    met = left.join(right, ["block", "i", "j"]).where("(i < j or x < y) and not arrays_overlap(xs, ys)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), over
+    met = left.join(right, ["block", "i", "j"]).where("i < j or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "xs", "ys"), over
+
+
+#: Attributes that make a pair's keys, and edits up to which a word gives its deletions as keys.
+KEY_PARTS, MOST_EDITS = 3, 2
+
+
+def _shortened(word: Column, edits: Column) -> Column:
+    """The word and all that is left of it when up to ``edits`` letters, MOST_EDITS at most, are taken out: words within as many edits share one."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    none = F.array().cast("array<string>")
+    one = F.when((edits >= 1) & (F.length(word) > 0), less(word)).otherwise(none)
+    two = F.when((edits >= 2) & (F.length(word) > 1), F.flatten(F.transform(less(word), less))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
+def _word_keys(word: Column, loss: Column, longest: Column) -> Column:
+    """Keys of which two words of at most ``longest`` letters share one wherever their similarity is 1 - ``loss`` or more.
+
+    The longer word has at most loss * length edits, so a word of n letters at most loss * n / (1 - loss). Where that is over MOST_EDITS, or may be for a
+    partner that is so much longer, one key stands for all such words.
+    """
+    edits = lambda n: F.floor(loss * F.least(n / F.greatest(1 - loss, F.lit(1e-6)), longest) + 1e-6).cast("int")
+    mine = edits(F.length(word))
+    none = F.array().cast("array<string>")
+    some = F.when(mine <= MOST_EDITS, F.transform(_shortened(word, mine), lambda w: F.concat(F.lit("="), w))).otherwise(none)
+    return F.concat(some, F.when(edits(F.length(word) + mine) > MOST_EDITS, F.array(F.lit("*"))).otherwise(none))
+
+
+def _bounds(weights: dict[str, float], at_least: float, masks: list[int]) -> tuple[dict, dict]:
+    """How far apart the attributes of a pair may be that scores ``at_least``: by the pair's heaviest KEY_PARTS shared attributes, ``{attribute: (tight, loose)}``, and by mask the parts that its records may share.
+
+    Of what both have, the weighted losses add up to at most (1 - at_least) * weight. Of the parts, the smallest loss is then at most its share of that, and the
+    next one at most that over one part fewer.
+    """
+    names, bounds, of = list(weights), {}, {m: set() for m in masks}
+    for mine in masks:
+        for other in masks:
+            shared = [c for i, c in enumerate(names) if mine >> i & other >> i & 1]
+            if shared:
+                lost = (1 - at_least + 1e-6) * sum(weights[c] for c in shared)
+                parts = tuple(sorted(shared, key=lambda c: (-weights[c], names.index(c)))[:KEY_PARTS])
+                of[mine].add(parts)
+                now = bounds.setdefault(parts, dict.fromkeys(parts, (0.0, 0.0)))
+                for c in parts:
+                    now[c] = max(now[c][0], lost / len(parts) / weights[c]), max(now[c][1], lost / max(len(parts) - 1, 1) / weights[c])
+    return bounds, of
+
+
+def _near_keys(groups: DataFrame, weights: dict[str, float], at_least: float, most: int) -> DataFrame:
+    """``(id, block, less)``: any two of ``groups`` (a, blocks, attributes) that share a block and score ``at_least`` share a key in it.
+
+    A key is the word of the attribute that two records may have nearest to each other; keys that over ``most`` share are split by the words of
+    the one that they may have second nearest.
+    """
+    spark, names = groups.sparkSession, list(weights)
+    masks = sorted(r[0] for r in groups.select(_mask(names)).distinct().collect())
+    longest = groups.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in names]).first()
+    bounds, of = _bounds(weights, at_least, masks)
+    # What a record of a mask is keyed by, and what splits such a key: some rows for each combination of attributes.
+    first = [(m, ",".join(p), c, bounds[p][c][0], float(longest[c])) for m in masks for p in of[m] for c in p]
+    second = [(",".join(p), c, o, bounds[p][o][1], float(longest[o])) for p in bounds for c in p for o in p if o != c]
+    first = F.broadcast(spark.createDataFrame(first, "mask int, parts string, part string, loss double, longest double"))
+    second = F.broadcast(spark.createDataFrame(second, "parts string, part string, other string, loss double, longest double"))
+    words = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))
+    told = groups.where(F.size("blocks") > 0).select(F.col("a").alias("id"), "blocks", _mask(names).alias("mask"), words.alias("words"))
+    keys = _word_keys(F.col("words")[F.col("part")], F.col("loss"), F.col("longest"))
+    keyed = told.join(first, "mask").select("id", "blocks", "parts", "part", F.explode(keys).alias("key")).select("id", F.explode("blocks").alias("one"), "parts", "part", "key")
+    keyed = keyed.withColumn("block", F.xxhash64("one", "parts", "part", "key"))
+    over = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block")
+    hot = keyed.join(over, "block", "left_semi").join(told.select("id", "words"), "id").join(second, ["parts", "part"], "left")
+    then = F.when(F.col("other").isNotNull(), _word_keys(F.col("words")[F.col("other")], F.col("loss"), F.col("longest"))).otherwise(F.array(F.lit("")))
+    split = hot.select("id", "block", "other", F.explode(then).alias("then")).select("id", F.xxhash64("block", "other", "then").alias("block"))
+    return keyed.join(over, "block", "left_anti").select("id", "block").unionByName(split).withColumn("less", F.lit(None).cast("string"))
+
+
+def _mask(names: list[str]) -> Column:
+    """Which attributes a record has, as bits."""
+    return sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)), F.lit(0))
+
+
+def threshold_links(people: DataFrame, weights: dict[str, float], auto: float, review: float | None = None, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, score, band)`` of all pairs of different records that share a block and score ``review`` (``auto`` if not given) or more, and ``(id, a, n)`` of every record.
+
+    ``people`` (id, first, last, dob, zip, phone); records that are alike in all but the id are one, named by its smallest id ``a``, ``n`` of them in all.
+    Candidates come from keys that no pair of the score can miss, within blocks, so they grow with what is alike and not with the square of a block; each is then
+    compared exactly. Pairs of what is alike in all are not listed: membership says it, where ``linked`` tells that such records share a block.
+    Null ids take no part; a record without any block or weighted attribute has no link.
+    """
+    text = lambda c: F.upper(F.col(c).cast("string"))
+    base = list(dict.fromkeys([*weights, "first", "last", "dob"]))
+    given = people.where("id is not null").select("id", block_keys().alias("blocks"), *[text(c).alias(c) for c in base])
+    alike = ["blocks", *base]
+    groups = written(given.groupBy(*alike).agg(F.min("id").alias("a"), F.count("*").alias("n")), "records")
+    keyed = _near_keys(groups, weights, auto if review is None else review, most)
+    met, _ = _in_tiles(keyed, most)
+    pairs = met.select("a", "b").distinct()
+    scored = compared(pairs, groups.select(F.col("a").alias("id"), "blocks", *base), weights, auto, auto if review is None else review, blocks=True)
+    found = scored.where(F.col("band") != "none") if review is not None else scored.where(F.col("band") == "auto")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}")) for c in alike]
+    linked = (F.size("p.blocks") > 0) & (_mask([f"p.{c}" for c in weights]) > 0)
+    members = given.alias("p").join(groups.alias("g"), same).select("p.id", "g.a", "g.n", linked.alias("linked"))
+    return found, members
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -63,11 +171,16 @@ def similarity(x: Column, y: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
-def compared(pairs: DataFrame, people: DataFrame, weights: dict[str, float], auto: float, review: float) -> DataFrame:
-    """``(a, b, score, band)``: weighted agreement over what both have. Twins and households, alike but for the first name, are for review at most."""
-    plain = people.select("id", *[F.upper(F.col(c).cast("string")).alias(c) for c in dict.fromkeys([*weights, "first", "last", "dob"])])
+def compared(pairs: DataFrame, people: DataFrame, weights: dict[str, float], auto: float, review: float, blocks: bool = False) -> DataFrame:
+    """``(a, b, score, band)``: weighted agreement over what both have. Twins and households, alike but for the first name, are for review at most.
+
+    With ``blocks``, only pairs whose ``blocks`` overlap.
+    """
+    plain = people.select("id", *["blocks"] * blocks, *[F.upper(F.col(c).cast("string")).alias(c) for c in dict.fromkeys([*weights, "first", "last", "dob"])])
     l, r = plain.alias("l"), plain.alias("r")
     j = pairs.join(l, F.col("a") == F.col("l.id")).join(r, F.col("b") == F.col("r.id"))
+    if blocks:
+        j = j.where(F.arrays_overlap("l.blocks", "r.blocks"))
     # One-row generators: each measure is taken once, as filters on what follows are not pushed through them with copies of it.
     alike = [similarity(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(f"s_{c}") for c in dict.fromkeys([*weights, "first"])]
     named = ((F.col("l.dob") == F.col("r.dob")) & (F.col("l.last") == F.col("r.last"))).alias("named")
@@ -80,6 +193,13 @@ def compared(pairs: DataFrame, people: DataFrame, weights: dict[str, float], aut
     return out.withColumn("band", band)
 
 
+def person_keys_of(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, person_key)`` of ``threshold_links``: the smallest id that automatic matches and records alike in all lead to."""
+    found = connected_components(written(links.where("band = 'auto'").select("a", "b"), "matches"))
+    named = members.join(found.withColumnRenamed("node", "a"), "a", "left").select("id", "a", "linked", F.coalesce("component", "a").alias("key"))
+    return named.select("id", F.when(F.col("linked"), F.col("key")).otherwise(F.col("id")).alias("person_key"))
+
+
 def person_keys(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id, person_key)``: the smallest id that automatic matches lead to."""
     found = connected_components(written(pairs.where("band = 'auto'").select("a", "b"), "matches"))

@@ -331,10 +331,42 @@ IDENTITY_PAIRS_SQL = """WITH p AS (SELECT c_custkey AS id, c_mktsegment[1] || '5
 
 def identity_people(spark, d):
     """Scored pairs and the people they make. Components are beyond plain SQL; tests hold them to a union-find."""
-    p = _persons(spark, d)
-    pairs, _ = I.candidate_pairs(p, most=400)
-    scored = I.compared(pairs, p, {"first": 2.0, "last": 2.0, "dob": 2.0, "phone": 1.0}, 0.9, 0.75)
-    return I.person_keys(p, scored)
+    return I.person_keys_of(*I.threshold_links(_persons(spark, d), {"first": 2.0, "last": 2.0, "dob": 2.0, "phone": 1.0}, 0.9))
+
+
+def _patients(spark, d):
+    """Customers, two by two one person, of whom every third record has a slip, a lost phone or a birth date of its own; names are of 16 letters in no order."""
+    k, one = F.col("c_custkey"), (F.floor(F.col("c_custkey") / 2)).cast("string")
+    letters = lambda mark, n: F.upper(F.translate(F.left(F.md5(F.concat(F.lit(mark), one).cast("binary")), F.lit(n)), "0123456789", "gijklmnopq"))
+    number = lambda mark, n: F.conv(F.left(F.md5(F.concat(F.lit(mark), one).cast("binary")), F.lit(6)), 16, 10).cast("long") % n
+    slip = lambda c, at: F.concat(F.left(c, F.lit(at)), F.substring(c, at + 2, 40))
+    first, last = letters("f", 8), letters("l", 9)
+    return table(spark, d, "customer").select(
+        k.alias("id"), F.when(k % 3 == 0, slip(first, 4)).when(k % 41 == 0, F.lit("JOE")).otherwise(first).alias("first"), F.when(k % 7 == 0, slip(last, 5)).otherwise(last).alias("last"),
+        F.date_add(F.lit("1940-01-01").cast("date"), (number("d", 20000) + F.when(k % 10 == 0, 30).otherwise(0)).cast("int")).alias("dob"),
+        F.lpad(number("z", 90000).cast("string"), 5, "1").alias("zip"), F.when(k % 5 > 0, F.concat(F.lit("555-"), F.lpad(number("p", 9000).cast("string"), 4, "0"))).alias("phone"),
+    )
+
+
+PATIENTS = """h AS (SELECT c_custkey AS k, CAST(c_custkey // 2 AS VARCHAR) AS o FROM customer),
+ n AS (SELECT k, upper(translate(md5('f' || o)[1:8], '0123456789', 'gijklmnopq')) AS f, upper(translate(md5('l' || o)[1:9], '0123456789', 'gijklmnopq')) AS l, CAST('0x' || md5('d' || o)[1:6] AS BIGINT) % 20000 AS dd, CAST('0x' || md5('z' || o)[1:6] AS BIGINT) % 90000 AS z, CAST('0x' || md5('p' || o)[1:6] AS BIGINT) % 9000 AS p FROM h),
+ p AS (SELECT k AS id, CASE WHEN k % 3 = 0 THEN f[1:4] || f[6:] WHEN k % 41 = 0 THEN 'JOE' ELSE f END AS first, CASE WHEN k % 7 = 0 THEN l[1:5] || l[7:] ELSE l END AS last, DATE '1940-01-01' + CAST(dd + CASE WHEN k % 10 = 0 THEN 30 ELSE 0 END AS INT) AS dob, lpad(CAST(z AS VARCHAR), 5, '1') AS zip, CASE WHEN k % 5 > 0 THEN '555-' || lpad(CAST(p AS VARCHAR), 4, '0') END AS phone FROM n)"""
+#: What a letter of these names sounds like; runs of one sound are one, and 0 is silent.
+SOUND = "translate(last, 'ABCDEFGIJKLMNOPQ', '0123012022455012')"
+for _i in "12345":
+    SOUND = f"regexp_replace({SOUND}, '{_i}+', '{_i}', 'g')"
+LINKS_SQL = f"""WITH {PATIENTS}, q AS (SELECT min(id) AS a, count(*) AS n, first, last, CAST(dob AS VARCHAR) AS dob, left(zip, 3) AS z3, phone, last[1] || rpad(replace(({SOUND})[2:], '0', '')[1:3], 3, '0') || year(dob) AS sound FROM p GROUP BY ALL),
+ j AS (SELECT x.a, y.a AS b, x.n AS n_a, y.n AS n_b, x.dob = y.dob AND x.last = y.last AS named, 1 - levenshtein(x.first, y.first) / greatest(length(x.first), length(y.first)) AS f, 1 - levenshtein(x.last, y.last) / greatest(length(x.last), length(y.last)) AS l, 1 - levenshtein(x.dob, y.dob) / 10 AS d, CASE WHEN x.phone IS NOT NULL AND y.phone IS NOT NULL THEN 1 - levenshtein(x.phone, y.phone) / 8 END AS p
+  FROM q x JOIN q y ON x.a < y.a WHERE x.sound = y.sound OR (x.dob = y.dob AND x.first[1] = y.first[1] AND x.z3 = y.z3) OR x.phone = y.phone),
+ s AS (SELECT *, round((2 * f + 2 * l + 2 * d + coalesce(p, 0)) / CASE WHEN p IS NULL THEN 6 ELSE 7 END, 6) AS score, coalesce(named AND f < 0.8, false) AS twin FROM j)
+ SELECT a, b, n_a, n_b, score, CASE WHEN score >= 0.9 AND NOT twin THEN 'auto' ELSE 'review' END AS band FROM s WHERE score >= 0.8"""
+
+
+def identity_links(spark, d):
+    """Links of a threshold join, with how many records each side stands for."""
+    links, members = I.threshold_links(_patients(spark, d), {"first": 2.0, "last": 2.0, "dob": 2.0, "phone": 1.0}, 0.9, 0.8)
+    times = members.where("id = a").select("a", "n")
+    return links.join(times.withColumnRenamed("n", "n_a"), "a").join(times.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b", "score", "band")
 
 
 def identity_impact(spark, d):
@@ -408,5 +440,6 @@ QUERIES = {
  SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3"""),
     "identity_pairs": (identity_pairs, IDENTITY_PAIRS_SQL),
     "identity_people": (identity_people, None),
+    "identity_links": (identity_links, LINKS_SQL),
     "identity_impact": (identity_impact, IMPACT),
 }
