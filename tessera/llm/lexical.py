@@ -88,28 +88,39 @@ def _sorted_by(idf: np.ndarray, mean: float, wide: str):
 
 
 class Index:
-    """An inverted index of a shard: for each term the documents that hold it, with their weights."""
+    """An inverted index of a shard: for each term the documents that hold it, with their weights. It shrinks as documents are used."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.of = [_weights(idf, d, mean) for d in docs]
-        sizes = np.fromiter((len(t) for t, _ in self.of), np.int64, len(docs))
-        terms = np.concatenate([t for t, _ in self.of])
-        order = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)[order]
-        self.weight = np.concatenate([w for _, w in self.of])[order]
-        #: Terms of the shard, and where the documents of each begin; a term of one document finds none but that.
-        self.terms, self.starts, self.counts = np.unique(terms[order], return_index=True, return_counts=True)
-        self.n = len(docs)
+        self.n = self.held = len(docs)
+        of = [_weights(idf, d, mean) for d in docs]
+        sizes = np.fromiter((len(t) for t, _ in of), np.int64, len(docs))
+        every = np.concatenate([t for t, _ in of])
+        order = np.argsort(every, kind="stable")
+        self.docs = np.repeat(np.arange(len(docs)), sizes)[order]
+        self.weight = np.concatenate([w for _, w in of])[order].astype(np.float64)
+        terms, place = np.unique(every, return_inverse=True)
+        self.ends = np.cumsum(np.bincount(place, minlength=len(terms)))
+        #: Each document's terms, as places among the shard's.
+        self.of = np.split(place, np.cumsum(sizes)[:-1])
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Forget used documents once they are a third of those held."""
+        left = int(np.count_nonzero(unused))
+        if 3 * left > 2 * self.held:
+            return
+        stays = unused[self.docs]
+        self.ends = np.concatenate(([0], np.cumsum(stays)))[self.ends]
+        self.docs, self.weight, self.held = self.docs[stays], self.weight[stays], left
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document for the terms of document ``i``."""
-        at = np.searchsorted(self.terms, self.of[i][0])
-        at = at[self.counts[at] > 1]
-        n = self.counts[at]
-        if not len(n):
+        """BM25 of every document held for the terms of document ``i``."""
+        at = self.of[i]
+        ends = self.ends[at]
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        runs = [slice(a, z) for a, z in zip(starts.tolist(), ends.tolist(), strict=True) if z > a]
+        if not runs:
             return np.zeros(self.n)
-        places = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.docs[places], self.weight[places], self.n)
+        return np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
 
 
 def filled(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int, room: int) -> tuple[list[list[tuple[int, int, int]]], int]:
@@ -138,6 +149,7 @@ def filled(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int,
             continue
         asked, seed, start = seed, None, 0
         if room and unused.any():
+            index.shrink(unused)
             score = index.scores(asked)
             left = np.flatnonzero(unused)
             near = left[np.argsort(-score[left], kind="stable")]

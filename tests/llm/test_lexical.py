@@ -79,7 +79,7 @@ def plainly(docs, idf, mean, capacity, room):
 
     def score(q, d):
         norm = 1.2 * (1 - 0.75 + 0.75 * len(docs[d]) / mean)
-        return sum(np.float64(np.float32(idf[t] * bags[d][t] * 2.2 / (bags[d][t] + norm))) for t in sorted(bags[q]) if t in bags[d] and sum(t in b for b in bags) > 1)
+        return sum(np.float64(np.float32(idf[t] * bags[d][t] * 2.2 / (bags[d][t] + norm))) for t in sorted(bags[q]) if t in bags[d])
 
     unused, windows, queue = set(range(len(docs))), [[]], []
     while unused or queue:
