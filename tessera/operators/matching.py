@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Confidence of each rung of the ladder, best first.
 LADDER = {"precedent": 0.95, "glossary": 0.92, "history": 0.85, "leaf": 0.70}
@@ -70,31 +74,48 @@ def status_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("feed", "status").agg(F.count("*").alias("n"))
 
 
+def block_ratio(column: Column, concept: Column) -> Column:
+    """Ratcliff and Obershelp's ratio of two names: twice the letters in their longest common block, and in those to its left and right, over all letters."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())(column, concept)
+
+
 def lexical_matches(columns: DataFrame, concepts: DataFrame, floor: float = 0.55, k: int = 3) -> DataFrame:
-    """``(feed, column, target, score, rank)``: the k closest concepts by shared words, or by edit distance for one-word names; ``floor`` is above 0.
+    """``(feed, column, target, score, rank)``: the k closest concepts by shared words or, for a column of one word, by the blocks of letters that it shares with the
+    concept written as one word; ``floor`` is above 0.
 
-    Distinct normalised names are matched once and joined back to their feeds. No pair of the floor is lost: of n words (or of a one-word name's
-    letters, each told apart by its occurrence) at least floor * n are shared, so the first n - ceil(floor * n) + 1 in a fixed order meet the other's.
+    Distinct normalised names are matched once and joined back to their feeds. No pair of the floor is lost. Of n words at least floor * n are shared. A ratio is at
+    most that of the letters that two names have in common, each told apart by its occurrence, so of n letters at least floor / (2 - floor) * n are shared. The
+    first of a fixed order, as many as must hold one of these, meet the other's; pairs whose letters could reach the floor are then compared.
     """
     split = lambda c: F.array_distinct(F.filter(F.split(normalised(c), "_"), lambda x: x != ""))
-    joined = lambda c: F.array_join(split(c), "")
-    ordered = lambda c: F.translate(joined(c), RARE_FIRST, "".join(sorted(RARE_FIRST)))
+    squashed = lambda c: F.replace(normalised(c), F.lit("_"), F.lit(""))
+    ordered = lambda c: F.translate(squashed(c), RARE_FIRST, "".join(sorted(RARE_FIRST)))
     seen = lambda t, i: F.length(F.substring(t, F.lit(1), i)) - F.length(F.replace(F.substring(t, F.lit(1), i), F.substring(t, i, F.lit(1)), F.lit("")))
     letters = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, i, F.lit(1)), F.lpad(seen(t, i).cast("string"), 4, "0")))
-    needed = lambda n: F.greatest(F.ceil(n * (floor - 1e-6)), F.lit(1)).cast("int")
-    first = lambda x: F.slice(F.array_sort(x), F.lit(1), F.size(x) - needed(F.size(x)) + 1)
-    marked = lambda x, mark: F.transform(first(x), lambda v: F.concat(F.lit(mark), v))
-    keys = lambda c: F.when(F.size(split(c)) == 1, marked(letters(ordered(c)), "l|")).when(F.size(split(c)) > 1, F.array().cast("array<string>"))
-    words = lambda c: F.when(F.size(split(c)) > 0, marked(split(c), "w|"))
+    needed = lambda n, least: F.greatest(F.ceil(n * (least - 1e-6)), F.lit(1)).cast("int")
+    first = lambda x, least: F.slice(F.array_sort(x), F.lit(1), F.size(x) - needed(F.size(x), least) + 1)
+    marked = lambda x, mark, least: F.transform(first(x, least), lambda v: F.concat(F.lit(mark), v))
+    none = F.array().cast("array<string>")
+    words = lambda c: F.when(F.size(split(c)) > 0, marked(split(c), "w|", floor)).otherwise(none)
+    by_letter = lambda c: F.when(F.length(squashed(c)) > 0, marked(letters(ordered(c)), "l|", floor / (2 - floor))).otherwise(none)
     names = columns.select("feed", "column", normalised(F.col("column")).alias("name")).distinct()
-    left = names.select(F.col("name").alias("column")).distinct().select("column", F.explode(F.concat(words(F.col("column")), keys(F.col("column")))).alias("key"))
-    right = concepts.select("target", "concept", F.explode(F.concat(words(F.col("concept")), keys(F.col("concept")))).alias("key"))
+    one = F.size(split(F.col("column"))) == 1
+    left = names.select(F.col("name").alias("column")).distinct().select("column", F.explode(F.concat(words(F.col("column")), F.when(one, by_letter(F.col("column"))).otherwise(none))).alias("key"))
+    right = concepts.select("target", "concept", F.explode(F.concat(words(F.col("concept")), by_letter(F.col("concept")))).alias("key"))
     pairs = left.join(right, "key").select("column", "target", "concept").distinct()
     a, b = split(F.col("column")), split(F.col("concept"))
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    x, y = joined(F.col("column")), joined(F.col("concept"))
-    edit = F.when((F.size(a) == 1) & (F.size(b) == 1), 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(F.greatest(jaccard, edit), 6)).groupBy("column", "target").agg(F.max("score").alias("score")).where(F.col("score") >= floor)
+    x, y = squashed(F.col("column")), squashed(F.col("concept"))
+    common = F.size(F.array_intersect(letters(ordered(F.col("column"))), letters(ordered(F.col("concept")))))
+    able = one & (2 * common >= (floor - 1e-6) * (F.length(x) + F.length(y)))
+    told = pairs.select("column", "target", jaccard.alias("jaccard"), F.when(able, x).alias("x"), F.when(able, y).alias("y"))
+    alike = told.where("x is not null").select("x", "y").distinct().withColumn("ratio", block_ratio(F.col("x"), F.col("y")))
+    told = told.join(alike, ["x", "y"], "left").withColumn("score", F.round(F.greatest("jaccard", F.coalesce("ratio", F.lit(0.0))), 6))
+    scored = told.groupBy("column", "target").agg(F.max("score").alias("score")).where(F.col("score") >= floor)
     order = Window.partitionBy("column").orderBy(F.col("score").desc(), "target")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("column", "name")
     return names.join(best, "name").select("feed", "column", "target", "score", "rank")

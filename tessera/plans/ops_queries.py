@@ -66,6 +66,25 @@ def match_lexical(spark, d):
     return X.lexical_matches(cols, concepts).select("feed", "column", "target", "score", "rank")
 
 
+def match_compound(spark, d):
+    """Columns spelt as one word, and shortened ones, find the concept of several words."""
+    p = table(spark, d, "part")
+    cols = p.select(F.col("p_brand").alias("feed"), F.regexp_replace(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), "(.)e(.)", "$1$2").alias("column")).distinct()
+    concepts = p.select(F.col("p_name").alias("concept"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("target")).distinct()
+    return X.lexical_matches(cols, concepts).select("feed", "column", "target", "score", "rank")
+
+
+#: The longest common block, the first of its length; then what lies on both sides of it, again.
+COMPOUND_SQL = """WITH RECURSIVE cols AS (SELECT DISTINCT p_brand AS feed, array_to_string([upper(w[1]) || w[2:] for w in string_split(p_name, ' ')], '') AS raw FROM part),
+ c AS (SELECT DISTINCT feed, regexp_replace(raw, '(.)e(.)', '\\1\\2', 'g') AS "column" FROM cols), k AS (SELECT DISTINCT p_name AS concept FROM part),
+ p AS (SELECT DISTINCT lower("column") AS x, replace(concept, ' ', '') AS y FROM c, k),
+ t AS (SELECT x, y, x AS a, y AS b, 0 AS n FROM p
+  UNION ALL SELECT x, y, unnest([a[:-m.i - 1], a[m.l - m.i:]]), unnest([b[:-m.j - 1], b[m.l - m.j:]]), unnest([m.l, 0]) FROM (SELECT *, list_max(flatten([[CASE WHEN strpos(b, a[i:i + l - 1]) > 0 THEN {'l': l, 'i': -i, 'j': -strpos(b, a[i:i + l - 1])} END for l in range(1, len(a) - i + 2)] for i in range(1, len(a) + 1)])) AS m FROM t WHERE a <> '' AND b <> '') WHERE m IS NOT NULL),
+ s AS (SELECT x, y, round(2 * sum(n) / (length(x) + length(y)), 6) AS score FROM t GROUP BY 1, 2),
+ f AS (SELECT feed, "column", replace(concept, ' ', '_') AS target, score FROM c, k, s WHERE x = lower("column") AND y = replace(concept, ' ', '') AND score >= 0.55),
+ r AS (SELECT *, row_number() OVER (PARTITION BY feed, "column" ORDER BY score DESC, target) AS rank FROM f) SELECT feed, "column", target, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"""
+
+
 def match_policy(spark, d):
     """Illegal targets, precedents, and suggested transforms."""
     cols = _columns(spark, d).select("feed", "column", F.concat(F.lit("a."), F.replace(F.lower("column"), F.lit(" "), F.lit("_"))).alias("target"), F.when(F.length("column") % 2 == 0, "lexical").otherwise("leaf").alias("basis"), F.lit("candidate").alias("status"))
@@ -224,6 +243,7 @@ QUERIES = {
     "match_lexical": (match_lexical, f"""WITH {COLUMNS}, c AS (SELECT DISTINCT feed, regexp_replace("column", 'g$', '') AS "column" FROM cols), k AS (SELECT DISTINCT p_name AS concept FROM part),
  p AS (SELECT feed, "column", replace(concept, ' ', '_') AS target, list_distinct(string_split(lower("column"), ' ')) AS a, list_distinct(string_split(concept, ' ')) AS b FROM c, k), s AS (SELECT feed, "column", target, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score FROM p),
  r AS (SELECT *, row_number() OVER (PARTITION BY feed, "column" ORDER BY score DESC, target) AS rank FROM s WHERE score >= 0.55) SELECT feed, "column", target, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"""),
+    "match_compound": (match_compound, COMPOUND_SQL),
     "match_policy": (match_policy, f"""WITH {COLUMNS}, t AS (SELECT *, length("column") AS n, CASE WHEN raw LIKE 'red%' THEN 'red_bolt' ELSE replace(raw, ' ', '_') END AS target, raw LIKE 'red%' AS ruled FROM cols), legal AS (SELECT DISTINCT replace(raw, ' ', '_') AS target FROM cols WHERE raw LIKE '%ring%' OR raw LIKE '%bolt%'),
  s AS (SELECT n, CASE WHEN ruled AND l.target IS NOT NULL THEN 'candidate' WHEN l.target IS NULL THEN 'unknown' WHEN n % 2 = 0 THEN 'ambiguous' ELSE 'candidate' END AS status FROM t LEFT JOIN legal l USING (target))
  SELECT status, CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 'parse_date' WHEN n % 2 <> 0 THEN 'cast bool' END AS transform, count(*) AS n FROM s GROUP BY 1, 2"""),
