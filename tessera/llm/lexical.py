@@ -88,39 +88,68 @@ def _sorted_by(idf: np.ndarray, mean: float, wide: str):
 
 
 class Index:
-    """An inverted index of a shard: for each term the documents that hold it, with their weights. It shrinks as documents are used."""
+    """An inverted index of a shard: for each term the documents that hold it, with their weights; rows for terms that a quarter of them hold. It shrinks as documents are used."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = self.held = len(docs)
+        self.n = len(docs)
         of = [_weights(idf, d, mean) for d in docs]
         sizes = np.fromiter((len(t) for t, _ in of), np.int64, len(docs))
         every = np.concatenate([t for t, _ in of])
-        order = np.argsort(every, kind="stable")
-        self.docs = np.repeat(np.arange(len(docs)), sizes)[order]
-        self.weight = np.concatenate([w for _, w in of])[order].astype(np.float64)
         terms, place = np.unique(every, return_inverse=True)
-        self.ends = np.cumsum(np.bincount(place, minlength=len(terms)))
         #: Each document's terms, as places among the shard's.
         self.of = np.split(place, np.cumsum(sizes)[:-1])
+        order = np.argsort(place, kind="stable")
+        counts = np.bincount(place, minlength=len(terms))
+        often = 4 * counts > self.n
+        # Documents by their places among those held.
+        self.held = np.arange(self.n)
+        doc, weight, term = np.repeat(np.arange(self.n), sizes)[order], np.concatenate([w for _, w in of])[order].astype(np.float64), place[order]
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        common = often[term]
+        self.rows = np.zeros((int(often.sum()), self.n))
+        self.rows[self.row[term[common]], doc[common]] = weight[common]
+        self.docs, self.weight = doc[~common], weight[~common]
+        self.ends = np.cumsum(np.where(often, 0, counts))
 
     def shrink(self, unused: np.ndarray) -> None:
         """Forget used documents once they are a third of those held."""
-        left = int(np.count_nonzero(unused))
-        if 3 * left > 2 * self.held:
+        stays = unused[self.held]
+        if 3 * int(np.count_nonzero(stays)) > 2 * len(stays):
             return
-        stays = unused[self.docs]
-        self.ends = np.concatenate(([0], np.cumsum(stays)))[self.ends]
-        self.docs, self.weight, self.held = self.docs[stays], self.weight[stays], left
+        kept = stays[self.docs]
+        self.ends = np.concatenate(([0], np.cumsum(kept)))[self.ends]
+        self.docs, self.weight = (np.cumsum(stays) - 1)[self.docs[kept]], self.weight[kept]
+        self.rows, self.held = np.ascontiguousarray(self.rows[:, stays]), self.held[stays]
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document held for the terms of document ``i``."""
+        """BM25 of every document held for the terms of document ``i``, others 0."""
         at = self.of[i]
+        row = self.row[at]
         ends = self.ends[at]
         starts = np.where(at > 0, self.ends[at - 1], 0)
-        runs = [slice(a, z) for a, z in zip(starts.tolist(), ends.tolist(), strict=True) if z > a]
-        if not runs:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
+        some = ends > starts
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        if some.any():
+            runs = list(map(slice, starts[some].tolist(), ends[some].tolist()))
+            score += np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), len(self.held))
+        out = np.zeros(self.n)
+        out[self.held] = score
+        return out
+
+
+def _nearest(left: np.ndarray, score: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents from the highest score on, ties in their order, at least as many as exceed ``room`` (all, if none do), and their sizes added up."""
+    most = 64
+    while True:
+        if most < len(left):
+            some = np.flatnonzero(score >= np.partition(score, len(score) - most)[len(score) - most])
+            near = left[some[np.argsort(-score[some], kind="stable")]]
+        else:
+            near = left[np.argsort(-score, kind="stable")]
+        upto = np.cumsum(sizes[near])
+        if upto[-1] > room or len(near) == len(left):
+            return near, upto
+        most *= 8
 
 
 def filled(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int, room: int) -> tuple[list[list[tuple[int, int, int]]], int]:
@@ -152,8 +181,7 @@ def filled(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int,
             index.shrink(unused)
             score = index.scores(asked)
             left = np.flatnonzero(unused)
-            near = left[np.argsort(-score[left], kind="stable")]
-            upto = np.cumsum(sizes[near])
+            near, upto = _nearest(left, score[left], sizes, room)
             whole = int(np.searchsorted(upto, room, "right"))
             windows[-1] += [(int(d), 0, int(sizes[d])) for d in near[:whole]]
             unused[near[:whole]] = False
@@ -270,7 +298,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     mean = tokens / max(n, 1)
     whole = pieces.where("ids is null").withColumn("sequence_id", -2 - 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids").withColumn("uid", F.monotonically_increasing_id())
-    keyed = rest.mapInArrow(_sorted_by(idf, mean, wide), f"doc_id {type_of}, start long, doc_tokens long, ids binary, uid long, heavy array<int>")
+    # Written, as a range sort asks for its keys twice.
+    keyed = written(rest.mapInArrow(_sorted_by(idf, mean, wide), f"doc_id {type_of}, start long, doc_tokens long, ids binary, uid long, heavy array<int>"), "lexical")
     order = [*[F.try_element_at("heavy", F.lit(k + 1)) for k in range(TERMS)], F.col("uid")]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("heavy", "uid")
     packed = written(placed.mapInArrow(_packed(idf, mean, capacity, wide, alias), f"{', '.join(f'{c} {type_of if c == 'doc_id' else 'long'}' for c in OUT)}, ids binary, part long"), "lexical")
