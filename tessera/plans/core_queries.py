@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalars as S
 from tessera.operators import mapping as M
 from tessera.operators import profile as P
-from tessera.plans.scratch import written
+from tessera.plans.scratch import shared_dir, written
 from tessera.sources import landing as L
 
 CANONICAL = {"claim_header.source_system_id": "string", "claim_header.claim_number": "string", "claim_header.status": "string", "claim_header.service_date": "date", "claim_adjudication.allowed": "decimal", "claim_line.priority": "string", "claim_line.channel": "string"}
@@ -94,10 +96,6 @@ def promotion_adjudication(spark, d):
 
 def promotion_written(spark, d):
     """A batch promoted twice through staging, read back."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     path = f"{shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
     rows = feed(spark, d)
     M.promote(rows, SPEC, path, "b1")
@@ -111,10 +109,6 @@ def promotion_written(spark, d):
 
 def _promoted(spark, d, spec=None, rows=None) -> str:
     """A batch promoted once; where to."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     path = f"{shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
     M.promote(feed(spark, d) if rows is None else rows, spec or SPEC, path, "b1", source_system="orders")
     return path
@@ -156,10 +150,6 @@ def promotion_wide(spark, d):
 
 def landing_append(spark, d):
     """Batches appended to Bronze one after another, the earlier ones unchanged."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     path = f"{shared_dir(spark)}/tessera/bronze-{uuid.uuid4().hex}"
     rows = L.numbered(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")), F.col("name"))
     written_ = {b: L.append_checked(L.bronze(rows.where(f"region {c}"), "nations", b, "sys"), path) for b, c in (("b1", "< 2"), ("b2", "= 2"), ("b3", "> 2"))}
@@ -261,10 +251,6 @@ def landing_numbers(spark, d):
 
 def landing_csv(spark, d):
     """Customers written as a folder of piped files, landed again, appended as Bronze, and paged."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     base = f"{shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
     c = table(spark, d, "customer")
     c.select(F.concat(F.lit(" "), F.col("c_name")).alias(" name "), F.col("c_custkey").alias("id"), F.lit("").alias("blank"), F.col("c_mktsegment").alias("name")).write.csv(f"{base}/in", sep="|", header=True)
@@ -274,6 +260,22 @@ def landing_csv(spark, d):
     return back.select(F.col("raw_row")["id"].cast("long").alias("id"), F.col("raw_row")["name"].alias("name"), F.col("raw_row")["name_1"].alias("segment"), F.col("raw_row")["blank"].alias("blank"), (F.lit(n) == F.lit(c.count())).alias("all_written"))
 
 
+def landing_mixed(spark, d):
+    """One delivery of UTF-8 and Latin-1 files, with commas, pipes and semicolons, and with line breaks in quoted cells; numbered within each kind."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    base = f"{shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
+    kinds = {
+        "a": ({"sep": ","}, F.concat(F.lit("José "), F.col("c_name"))), "b": ({"sep": ",", "encoding": "ISO-8859-1"}, F.concat(F.lit("Zoë "), F.col("c_name"))),
+        "c": ({"sep": "|"}, F.concat(F.lit("a,b "), F.col("c_name"))), "d": ({"sep": ";", "quoteAll": True}, F.concat(F.col("c_name"), F.lit("\n\nsays \"no\";"), F.col("c_mktsegment"))),
+    }
+    for i, (kind, (options, name)) in enumerate(kinds.items()):
+        c.where(k % 4 == i).select(k.cast("string").alias("id"), name.alias("name"), F.col("c_mktsegment").alias("segment")).write.csv(f"{base}/in/{kind}", header=True, escape='"', **options)
+    rows = L.read_delimited(spark, f"{base}/in/*", placed=True)
+    numbered = L.in_file_order(rows.withColumn("kind", F.regexp_extract("_file", "/in/([a-d])/", 1)))
+    first = Window.partitionBy("kind").orderBy("row_number")
+    return numbered.select(F.col("id").cast("long").alias("id"), "name", "segment", "kind", F.row_number().over(first).cast("long").alias("place"))
+
+
 def landing_paths(spark, d):
     """Path parts, business dates from names, and content already landed left out."""
     e = table(spark, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("day"))
@@ -286,10 +288,6 @@ def landing_paths(spark, d):
 
 def landing_files(spark, d):
     """Of a folder of files, those whose content the manifest does not have, whatever they are called."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     base = f"{shared_dir(spark)}/tessera/files-{uuid.uuid4().hex}"
     c = table(spark, d, "customer").select("c_mktsegment", F.concat_ws("|", "c_custkey", "c_name").alias("line"))
     c.repartition("c_mktsegment").sortWithinPartitions("line").write.partitionBy("c_mktsegment").text(f"{base}/first")
@@ -301,10 +299,6 @@ def landing_files(spark, d):
 
 def ndjson(spark, d):
     """JSON properties of events as lines of a landed file, read with a schema; what does not parse is kept apart."""
-    from tessera.plans.scratch import shared_dir
-
-    import uuid
-
     path = f"{shared_dir(spark)}/tessera/lines-{uuid.uuid4().hex}"
     text = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
     table(spark, d, "events").select(text.alias("value")).write.text(path)
@@ -445,6 +439,8 @@ QUERIES = {
     "landing_files": (landing_files, "SELECT DISTINCT c_mktsegment AS segment FROM customer WHERE c_mktsegment >= 'C'"),
     "landing_numbers": (landing_numbers, "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, CAST(o_orderkey AS VARCHAR) AS claim, left(sha256('claim=' || o_orderkey || chr(31) || 'member=' || o_custkey || chr(31) || 'o_orderstatus=' || o_orderstatus), 32) AS record_hash FROM orders"),
     "landing_csv": (landing_csv, "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, '' AS blank, true AS all_written FROM customer"),
+    "landing_mixed": (landing_mixed, """WITH c AS (SELECT c_custkey AS id, c_name AS n, c_mktsegment AS segment, ['a', 'b', 'c', 'd'][c_custkey % 4 + 1] AS kind FROM customer)
+ SELECT id, CASE kind WHEN 'a' THEN 'José ' || n WHEN 'b' THEN 'Zoë ' || n WHEN 'c' THEN 'a,b ' || n ELSE n || chr(10) || chr(10) || 'says "no";' || segment END AS name, segment, kind, row_number() OVER (PARTITION BY kind ORDER BY id) AS place FROM c"""),
     "landing_paths": (landing_paths, "SELECT DISTINCT 'sys' || (user_id % 3) AS source_system, strftime(ts, '%Y%m%d') AS business_date, 'ADT_' || strftime(ts, '%Y%m%d') || '.csv' AS file, strftime(ts, '%Y-%m-%d') AS token FROM events WHERE user_id % 3 <> 0"),
     "ndjson": (ndjson, "SELECT event_id % 10 = 0 AS corrupt, count(*) AS n, CAST(sum(CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END) AS BIGINT) AS total FROM events GROUP BY 1"),
     "profile_columns": (profile_columns, PROFILE_SQL),

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.scalars import trim
 from tessera.plans.scratch import written
+from tessera.sources import quoted
 
 DELIMITERS = ",;|\t"
 #: Contract types and the Spark types that hold them; unknown words are text.
@@ -49,41 +53,81 @@ def table_name(name: str) -> str:
     return name
 
 
-def _first_lines(lines: DataFrame) -> list:
-    """One row a file, by name: its first line, whether its text is no UTF-8, and whether some quote is left open at a line's end."""
-    value = F.coalesce("value", F.lit(""))
-    marks = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    each = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), value.alias("value"), value.contains("\ufffd").alias("bad"), (marks % 2 == 1).alias("broken"))
-    return each.groupBy("file").agg(F.min_by("value", "place").alias("head"), F.max("bad").alias("bad"), F.max("broken").alias("broken")).orderBy("file").collect()
+#: Lines of a file that its delimiter is told from.
+HEAD = 200
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, block, at, value)``: lines as they lie there, without their ends, in order within the task that reads them."""
+    raw = spark.read.text(path, lineSep="\n")
+    bare = F.when(F.col("value").endswith("\r"), F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"), bare.alias("value"))
+
+
+def _decoded(encoding: Column | str, raw: str = "raw", value: str = "value") -> Column:
+    """Text of other files than UTF-8 ones, from their bytes."""
+    named = F.lit(encoding) if isinstance(encoding, str) else encoding
+    other = F.rtrim(F.decode(F.col(raw).cast("binary"), encoding if isinstance(encoding, str) else "ISO-8859-1"), F.lit("\r"))
+    return F.when(F.upper(named) == "UTF-8", F.col(value)).otherwise(other)
+
+
+def _files(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> list:
+    """One row a file, by name: its charset (UTF-8, else Latin-1), delimiter, header, and whether some quote is left open at a line's end."""
+    lines = _lines(spark, path)
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    each = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("raw")).alias("bad"), F.max(marks % 2 == 1).alias("broken"))
+    # The first lines of each file; a task keeps no more of them.
+    top = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))).where(F.col("nth") <= HEAD)
+    heads = top.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("raw").cast("binary").alias("raw")))).alias("lines"))
+    rows = each.join(heads, "file").select("file", "bad", "broken", F.transform("lines", lambda x: x["raw"]).alias("lines"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for file, bad, broken, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                charset = encoding or ("ISO-8859-1" if bad else "UTF-8")
+                text = b"\n".join(first).decode(charset, "replace").lstrip("\ufeff")
+                given = sep or sniff(text)
+                header = next(csv.reader(io.StringIO(text, newline=""), delimiter=given), [])
+                out.append({"file": file, "charset": charset, "sep": given, "broken": broken, "header": header})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("charset", pa.string()), ("sep", pa.string()), ("broken", pa.bool_()), ("header", pa.list_(pa.string()))]))
+
+    return rows.mapInArrow(told, "file string, charset string, sep string, broken boolean, header array<string>").orderBy("file").collect()
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool | None = None, placed: bool = False) -> DataFrame:
     """All-string columns of a delivery, stripped, ``""`` for missing; rows of blanks only are dropped.
 
-    The driver looks at the first lines alone. Files of other headers in the same folder are read by their own names, missing columns are ``""``. Short rows are padded, extra cells ignored. Unless told, one pass over the lines finds
-    whether they are UTF-8 (else Latin-1) and whether quoted cells hold line breaks, in which case a file is not split.
+    Each file is read by its own charset, delimiter and header, unless told: one pass over the lines finds whether they are UTF-8 (else Latin-1) and whether quoted
+    cells hold line breaks; the driver gets one row a file. Columns that a file lacks are ``""``. Short rows are padded, extra cells
+    ignored. Files with line breaks in cells are split too (``quoted``). Lines end in a line feed, with or without a carriage return before it. ``placed`` adds ``_file``, ``_block`` and ``_at``, for
+    ``in_file_order``.
     """
-    lines = lambda charset: spark.read.csv(path, schema="value string", sep="\x01", quote="", encoding=charset)
-    told = _first_lines(lines(encoding or "UTF-8"))
-    if encoding is None and any(r.bad for r in told):
-        encoding = "ISO-8859-1"
-        told = _first_lines(lines(encoding))
-    encoding, multiline = encoding or "UTF-8", any(r.broken for r in told) if multiline is None else multiline
-    if not sep and told:
-        sep = sniff("\n".join(r[0] or "" for r in lines(encoding).limit(200).collect()))
-    # A header is a file's first line.
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for r in told:
-        cells = next(csv.reader([(r.head or "").lstrip("\ufeff")], delimiter=sep), [])
-        if any(c.strip() for c in cells):
-            groups.setdefault(tuple(clean_header(cells)), []).append(r.file)
-    out = None
-    for names, some in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.csv(some, schema=schema, sep=sep, header=True, encoding=encoding, multiLine=multiline, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE")
-        part = raw.select(*[F.coalesce(trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
+    groups: dict[tuple, list[str]] = {}
+    for r in _files(spark, path, sep, encoding):
+        if any(c.strip() for c in r.header):
+            groups.setdefault((tuple(clean_header(r.header)), r.charset, r.sep, r.broken if multiline is None else multiline), []).append(r.file)
+    out, place = None, ["_file", "_block", "_at"] if placed else []
+    for (names, charset, given, broken), some in groups.items():
+        if broken:
+            lines = _lines(spark, some).select("file", "block", "at", F.lit(given).alias("sep"), _decoded(charset).alias("value"))
+            found = quoted.records(lines)
+            # A header is a file's first record.
+            first = Window.partitionBy("file").orderBy("block", "at")
+            heads = found.where("block = 0").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("file", "block", "at")
+            body = found.join(heads, ["file", "block", "at"], "left_anti")
+            raw = body.select(quoted.cells(F.col("value"), given).alias("cells"), F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("at").alias("_at"))
+            raw = raw.select(*[F.try_element_at("cells", F.lit(i)).alias(n) for i, n in enumerate(names, 1)], *place)
+        else:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            raw = spark.read.csv(some, schema=schema, sep=given, header=True, encoding=charset, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE")
+            if placed:
+                raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.lit(None).cast("long").alias("_at"))
+        part = raw.select(*[F.coalesce(trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names], *place)
         part = part.where(" or ".join(f"`{n}` <> ''" for n in names))
+        if placed:
+            # Places without a gap within a block, whatever was dropped.
+            part = part.withColumn("_at", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")).cast("long") if broken else F.monotonically_increasing_id())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], T.StructType([T.StructField("column_1", T.StringType())]))
@@ -115,7 +159,9 @@ def in_file_order(rows: DataFrame) -> DataFrame:
 
     Only the blocks' counts meet in one place; a block is what one task reads of a file, so its rows come in the file's order.
     """
-    marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    marked = rows
+    if "_at" not in rows.columns:
+        marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     marked = written(marked, "file-order")
     blocks = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     starts = blocks.withColumn("_start", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")
