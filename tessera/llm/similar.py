@@ -2,8 +2,9 @@
 
 Fingerprints are wide and made from pairs of words, so that texts whose five-word shingles agree to 0.8 differ in some
 tenth of the bits. Each segment of a fingerprint is looked up under all keys of a small Hamming ball: the one spanned by the
-bits that the text decides least clearly, which are those that its near duplicates are likely to flip. Texts that meet
-and whose check words are near make up neighbourhoods. Within these, and only there, all sets of shingles are
+bits that the text decides least clearly, which are those that its near duplicates are likely to flip. At 0.8 a tail that was appended turns some
+seventh of the bits, more than any affordable ball; so texts also stand under bands of smallest hashes of their shingles, which agree as often as the sets do. Texts that meet
+under a segment and whose check words are near, and texts that meet under a band, make up neighbourhoods. Within these, and only there, all sets of shingles are
 compared, by tiles of bounded size. Nothing is ever emitted for all pairs: buckets and tiles give spanning forests.
 """
 
@@ -21,7 +22,9 @@ from tessera.operators.components import connected_components
 from tessera.plans.scratch import dropped, written
 
 #: Words of a shingle that a fingerprint is made from; segments, their bits, and the bits of each that span its ball.
-PAIR, SEGMENTS, WIDTH, BALL = 2, 9, 35, 3
+PAIR, SEGMENTS, WIDTH, BALL = 2, 9, 35, 2
+#: Bands of smallest hashes, and hashes of a band: sets that agree to 0.8 share a band but for one pair in a hundred.
+BANDS, ROWS = 16, 6
 #: Bits of the fingerprint: the segments', and those of a check word in which near texts differ by CHECK bits at most.
 BITS, CHECK = 384, 15
 #: Texts of a block of a neighbourhood, and bytes of their shingles; two blocks make a tile.
@@ -61,30 +64,51 @@ def keys(total: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     return value[:, None] ^ flips, int(np.packbits(bits[BITS - 64 :], bitorder="little").view("<i8")[0])
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row the packed keys and the check word; null without words."""
-    for b in batches:
-        out = []
-        for text in b.column("text").cast(pa.binary()):
-            h = words([text.as_py() or b""], lower=True).hashes()
-            if not len(h):
-                out.append(None)
-                continue
-            h = grams(h, min(PAIR, len(h)))
-            of, check = keys(totals(h), len(h))
-            out.append(of.astype("<i8").tobytes() + np.int64(check).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h1"), b.column("h2"), pa.array(out, pa.binary())], names=["key", "h1", "h2", "print"])
+_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A negative key for each band of a set of hashes, made of the smallest under ROWS orders of them."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1 << 12):
+        part = h[at : at + (1 << 12)]
+        # An odd factor permutes all hashes, its upper bits depend on all of theirs.
+        np.minimum(least, (part * _SEEDS[:, None]).min(axis=1), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    key = mixed(key + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1 << 63)
+    return key.view(np.int64)
+
+
+def _prints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row the packed keys, of segments and of bands, and the check word; null without words."""
+        for b in batches:
+            out = []
+            for text in b.column("text").cast(pa.binary()):
+                one = words([text.as_py() or b""], lower=True).hashes()
+                if not len(one):
+                    out.append(None)
+                    continue
+                h = grams(one, min(PAIR, len(one)))
+                of, check = keys(totals(h), len(h))
+                band = bands(grams(one, min(shingle, len(one))))
+                out.append(of.astype("<i8").tobytes() + band.astype("<i8").tobytes() + np.int64(check).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h1"), b.column("h2"), pa.array(out, pa.binary())], names=["key", "h1", "h2", "print"])
+
+    return run
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of the segments' tables for each key of each text."""
-    ball = SEGMENTS << BALL
+    """A row of the tables for each key of each text."""
+    each = (SEGMENTS << BALL) + BANDS
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             some = b.slice(at, 4096)
-            of = np.frombuffer(b"".join(some.column("print").to_pylist()), "<i8").reshape(-1, ball + 1)
-            c = np.repeat(some.column("c").to_numpy(), ball)
-            yield pa.RecordBatch.from_arrays([pa.array(of[:, :ball].ravel()), pa.array(c), pa.array(np.repeat(of[:, ball], ball))], names=["key", "c", "word"])
+            of = np.frombuffer(b"".join(some.column("print").to_pylist()), "<i8").reshape(-1, each + 1)
+            c = np.repeat(some.column("c").to_numpy(), each)
+            yield pa.RecordBatch.from_arrays([pa.array(of[:, :each].ravel()), pa.array(c), pa.array(np.repeat(of[:, each], each))], names=["key", "c", "word"])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -138,7 +162,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(ends - starts > 1).tolist() if len(key) else []:
             of, first = np.unique(c[starts[i] : ends[i]], return_index=True)
             word = check[starts[i] : ends[i]][first].view(np.uint64)
-            if len(of) == 2:
+            if key[starts[i]] < 0:
+                # All of a band are likely alike: each hangs on the first.
+                out += [(int(of[0]), int(x)) for x in of[1:]]
+            elif len(of) == 2:
                 if int(word[0] ^ word[1]).bit_count() <= CHECK:
                     out.append((int(of[0]), int(of[1])))
             elif len(of) > 2:
@@ -250,7 +277,7 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
     null = F.col("doc_id").isNull()
     key = F.struct(null.alias("null"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"))
     rows = docs.select(key.alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
-    prints = rows.select(F.col("key.id").alias("key"), "h1", "h2", "text").mapInArrow(_prints, "key long, h1 long, h2 long, print binary")
+    prints = rows.select(F.col("key.id").alias("key"), "h1", "h2", "text").mapInArrow(_prints(shingle), "key long, h1 long, h2 long, print binary")
     # Copies of a text are one from here on.
     each = prints.groupBy("h1", "h2").agg(F.min("print").alias("print"))
     each = written(each.withColumn("c", F.monotonically_increasing_id()), "prints")
@@ -260,7 +287,7 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
     members = written(hoods.select(F.col("node").alias("c"), F.col("component").alias("hood")), "hoods")
     # One text for each class that has a neighbour: copies are merged where they are read.
     named = each.select("c", "h1", "h2").join(members.select("c"), "c")
-    texts = rows.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(named, ["h1", "h2"]).select("c", "text")
+    texts = rows.select("h1", "h2", "text").join(named, ["h1", "h2"]).groupBy("c").agg(F.first("text").alias("text"))
     links = _verified(members, texts, shingle, similarity)
     found = connected_components(links).withColumnRenamed("node", "c")
     group = F.when(F.col("print").isNull(), F.lit(-1)).otherwise(F.coalesce("component", "c"))

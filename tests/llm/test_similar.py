@@ -70,6 +70,41 @@ def test_recall_and_no_false_group(spark):
     assert all(e in of[d] for d in texts for e in texts if group[d] == group[e])
 
 
+def isolated(rng, n, low):
+    """Pairs of texts of their own words, alike to ``low`` and more: a tail appended, a block replaced, words substituted."""
+    out = []
+    while len(out) < n:
+        kind = ("tail", "block", "words")[len(out) % 3]
+        size, mark = rng.randrange(60, 500), len(out)
+        base = [f"t{mark}x{rng.randrange(1 << 30)}" for _ in range(size)]
+        fresh = lambda k: [f"u{mark}y{rng.randrange(1 << 30)}" for _ in range(k)]  # noqa: B023, E731
+        if kind == "tail":
+            other = base + fresh(int(size * rng.uniform(0.1, 0.25)))
+        elif kind == "block":
+            k = int(size * rng.uniform(0.04, 0.11))
+            at = rng.randrange(size - k)
+            other = base[:at] + fresh(k) + base[at + k :]
+        else:
+            other = [fresh(1)[0] if rng.random() < 0.022 else w for w in base]
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        alike = len(a & b) / len(a | b)
+        if low <= alike < low + 0.05:
+            out.append((kind, " ".join(base), " ".join(other)))
+    return out
+
+
+def test_recall_of_isolated_pairs_by_band_and_kind(spark):
+    rng = random.Random(8)
+    for low in (0.8, 0.85, 0.9):
+        pairs = isolated(rng, 240, low)
+        docs = spark.createDataFrame([(2 * i + j, t[1 + j]) for i, t in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+        group = {r.id: r.group for r in similar.classes(docs)[1].select("key.id", "group").collect()}
+        for kind in ("tail", "block", "words"):
+            of = [group[2 * i] == group[2 * i + 1] for i, t in enumerate(pairs) if t[0] == kind]
+            assert sum(of) >= 0.95 * len(of) > 70, (low, kind, sum(of), len(of))
+        assert len(set(group.values())) >= len(pairs)
+
+
 def test_one_of_each_group_stays(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
