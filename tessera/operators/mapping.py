@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.scalars import CASTS, TRANSFORMS, blank
+from tessera.functions.scalars import CASTS, FALSE_WORDS, TRANSFORMS, TRUE_WORDS, blank
 from tessera.plans.scratch import dropped, written
-from tessera.sources.landing import AUDIT, contract, record_hash, refuse_bronze, typed
+from tessera.sources.landing import AUDIT, TYPES, contract, record_hash, refuse_bronze, typed
 
 ON_NULL, ON_UNMAPPED = ("pass", "reject", "default"), ("pass", "quarantine", "null")
 #: Field outcomes that stop a row.
@@ -23,6 +25,19 @@ BLOCKING = ("failure", "quarantined", "rejected")
 MEMBER_KEY = "source_system_id"
 
 
+#: Which casts give a canonical type, the usual one first. Other types (uuid, json) take any.
+CASTS_FOR = {
+    "string": ("string",),
+    "int64": ("int",),
+    "int": ("int",),
+    "decimal": ("decimal", "int"),
+    "date": ("date",),
+    "timestamp": ("timestamp", "date"),
+    "timestamp_utc": ("timestamp", "date"),
+    "bool": ("bool",),
+}
+
+
 @dataclass(frozen=True)
 class Field:
     source: str
@@ -60,8 +75,8 @@ def errors(spec: Spec, canonical: dict[str, str]) -> list[tuple[int, str, str]]:
             out.append((i, "target", f"{f.target} is no canonical field"))
         if f.cast not in CASTS:
             out.append((i, "cast", f"{f.cast} is no cast"))
-        elif kind and kind != "string" and f.cast not in ("string", kind):
-            out.append((i, "cast", f"{f.cast} does not give {kind}"))
+        elif kind in CASTS_FOR and f.cast not in CASTS_FOR[kind]:
+            out.append((i, "cast", f"{f.cast} does not give {kind}; use {' or '.join(CASTS_FOR[kind])}"))
         if f.op is not None:
             if f.op not in TRANSFORMS:
                 out.append((i, "transform", f"{f.op} is no transform"))
@@ -73,11 +88,46 @@ def errors(spec: Spec, canonical: dict[str, str]) -> list[tuple[int, str, str]]:
             out.append((i, "on_null", f"{f.on_null} is no policy"))
         if (f.on_null == "default") != (f.default is not None):
             out.append((i, "default", "a default and on_null 'default' come together"))
+        elif f.default is not None and not _castable(f.default, f.cast):
+            out.append((i, "default", f"'{f.default}' is no {f.cast}"))
         if f.on_unmapped not in ON_UNMAPPED or (f.on_unmapped != "pass" and not f.value_map):
             out.append((i, "on_unmapped", "needs a value map and a known policy"))
     return out
 
 
+def _castable(text: str, cast: str) -> bool:
+    """Whether a spec's constant is what its cast accepts. Dates are ISO ones."""
+    word = text.strip()
+    if cast in ("int", "int64"):
+        return bool(re.fullmatch(r"[+-]?\d+", word)) and -(1 << 63) <= int(word) < 1 << 63
+    if cast == "decimal":
+        return bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", word))
+    if cast == "bool":
+        return word.lower() in (*TRUE_WORDS, *FALSE_WORDS)
+    if cast in ("date", "timestamp"):
+        try:
+            datetime.fromisoformat(word)
+        except ValueError:
+            return False
+    return True
+
+
+def kinds(spec: Spec, canonical: dict[str, str] | None = None) -> dict[str, str]:
+    """The type word of each target: the canonical one, else what its cast gives."""
+    words = {"int": "int64", "timestamp": "timestamp_utc"}
+    return {f.target: words.get(k, k) for f in spec.fields for k in [(canonical or {}).get(f.target, f.cast)]}
+
+
+def _fits(value: Column, kind: str) -> Column:
+    """Whether a mapped value survives the contract's type as it is: not null, not cut, not rounded."""
+    held = TYPES.get(kind, T.StringType())
+    if isinstance(held, T.StringType):
+        return F.lit(True)
+    if isinstance(held, T.DecimalType):
+        return F.coalesce(value.try_cast(held) == value.try_cast(T.DecimalType(38, 14)), F.lit(False))
+    return value.try_cast(held).isNotNull()
+
+
 def fingerprint(spec: Spec) -> str:
     """32 hex digits over what executes; notes do not."""
     told = [{k: v for k, v in asdict(f).items() if k != "note"} for f in spec.fields]
@@ -100,8 +150,8 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("a.source", "b.source").alias("source"), change.alias("change"), attributes.alias("attributes")).where("change is not null")
 
 
-def _staged(i: int, f: Field) -> list[dict[str, Column]]:
-    """One field's columns, stage by stage: raw value (given), mapped value, moved and cast values, then outcome and what it carries.
+def _staged(i: int, f: Field, kind: str) -> list[dict[str, Column]]:
+    """One field's columns, stage by stage: raw value (given), mapped value, moved and cast values, what the contract's type makes of it, then outcome and what it carries.
 
     Each stage reads the columns of the one before, so nothing is computed twice and every stage stays generated code.
     """
@@ -119,22 +169,24 @@ def _staged(i: int, f: Field) -> list[dict[str, Column]]:
     third = {f"_cast{i}": CASTS[f.cast](moved)}
     missing, odd = F.col(f"_non{i}"), F.col(f"_odd{i}")
     when_missing = {"reject": ("rejected", "on_null", "source is empty and the field rejects the row"), "default": ("defaulted", None, f"source is empty; default '{f.default}' applied")}.get(f.on_null, ("null", None, "source is empty; null allowed through"))
-    chain = lambda a, b, c, d, e: F.when(missing, a).when(odd, b).when(moved.isNull(), c).when(cast.isNull(), d).otherwise(e)
-    none = F.lit(None).cast("string")
+    none, final, strict = F.lit(None).cast("string"), F.col(f"_fin{i}"), F.col(f"_bad{i}")
+    chain = lambda a, b, c, d, e, unfit: F.when(strict, unfit).when(missing, a).when(odd, b).when(moved.isNull(), c).when(cast.isNull(), d).otherwise(e)
+    given = F.when(missing, F.lit(f.default).cast("string")).when(odd, none).otherwise(cast)
+    between = {f"_fin{i}": given, f"_bad{i}": given.isNotNull() & ~_fits(given, kind)}
     strange = F.concat(F.lit("'"), raw, F.lit("' is not in the value map"))
     fourth = {
-        f"_out{i}": chain(F.lit(when_missing[0]), F.lit("null" if f.on_unmapped == "null" else "quarantined"), F.lit("failure"), F.lit("failure"), F.lit("ok")),
-        f"_to{i}": F.when(missing, F.lit(f.default).cast("string")).when(odd, none).otherwise(cast),
-        f"_why{i}": chain(F.lit(when_missing[2]), strange, F.concat(F.lit(f"{f.op} cannot read '"), value, F.lit("'")), F.concat(F.lit(f"not a {f.cast}: '"), moved, F.lit("'")), none),
-        f"_rule{i}": chain(F.lit(when_missing[1]).cast("string"), F.lit("on_unmapped_value"), F.lit(f.op).cast("string"), F.lit("cast"), none),
+        f"_out{i}": chain(F.lit(when_missing[0]), F.lit("null" if f.on_unmapped == "null" else "quarantined"), F.lit("failure"), F.lit("failure"), F.lit("ok"), F.lit("failure")),
+        f"_to{i}": F.when(~strict, final),
+        f"_why{i}": chain(F.lit(when_missing[2]), strange, F.concat(F.lit(f"{f.op} cannot read '"), value, F.lit("'")), F.concat(F.lit(f"not a {f.cast}: '"), moved, F.lit("'")), none, F.concat(F.lit("'"), final, F.lit(f"' does not fit {kind}"))),
+        f"_rule{i}": chain(F.lit(when_missing[1]).cast("string"), F.lit("on_unmapped_value"), F.lit(f.op).cast("string"), F.lit("cast"), none, F.lit("type")),
     }
-    return [first, second, third, fourth]
+    return [first, second, third, between, fourth]
 
 
-def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row") -> DataFrame:
+def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row", types: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with ``fields`` (an outcome for each), ``outcome`` (the worst of them) and ``reasons`` (those that block).
 
-    In order: null policy, value map, transform, cast. Nothing raises. Narrow projections alone; the spec's constants fold into them.
+    In order: null policy, value map, transform, cast, and, with ``types`` (word by target), whether the value or default fits its type unchanged. Nothing raises. Narrow projections alone; the spec's constants fold into them.
     Defaults and permitted nulls leave a row ok. Write the result once where several consumers follow.
 
     Every stage hands the raw values on through a lambda, which keeps its projection out of whole-stage code: fused, all
@@ -144,7 +196,7 @@ def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row") -> DataFrame:
     get = lambda s: F.try_element_at(F.col(raw), F.lit(s)) if kind.startswith("map") else F.col(f"{raw}.{s}")
     apart = F.transform("_raw", lambda x: x).alias("_raw")
     out = rows.select(*rows.columns, F.array(*[get(f.source) for f in spec.fields]).cast("array<string>").alias("_raw"))
-    for stage in zip(*[_staged(i, f) for i, f in enumerate(spec.fields)], strict=True):
+    for stage in zip(*[_staged(i, f, (types or {}).get(f.target, "string")) for i, f in enumerate(spec.fields)], strict=True):
         held = [c for c in out.columns if c != "_raw"]
         out = out.select(*held, apart, *[c.alias(n) for columns in stage for n, c in columns.items()])
     told = []
@@ -234,10 +286,9 @@ def _expected(spec: Spec) -> dict[str, Column]:
 
 def entity_contract(spec: Spec, table: str, canonical: dict[str, str] | None = None) -> T.StructType:
     """An entity's schema: the row's number, its fields by canonical type (else by their cast), the member key, audit columns."""
-    words = {"int": "int64", "timestamp": "timestamp_utc"}
-    kinds = {f.target: (canonical or {}).get(f.target, words.get(f.cast, f.cast)) for f in spec.fields}
+    told = kinds(spec, canonical)
     names = entities(spec)[table]
-    fields = [("row_number", "int64", False, ""), *((n, kinds[f"{table}.{n}"], True, f"{table}.{n}") for n in names)]
+    fields = [("row_number", "int64", False, ""), *((n, told[f"{table}.{n}"], True, f"{table}.{n}") for n in names)]
     if MEMBER_KEY not in names:
         fields.append((MEMBER_KEY, "string", True, "handed down"))
     audit = {"ingestion_ts": "timestamp_utc", "created_ts": "timestamp_utc", "updated_ts": "timestamp_utc"}
@@ -250,13 +301,14 @@ def promote(bronze_rows: DataFrame, spec: Spec, path: str, batch_id: str, canoni
     The evaluated batch is written once, is balanced while it is written, and feeds every sink. Each sink is written once, to a
     folder of this promotion alone; counts read back must equal the expectation from the outcomes. Then one row in the table
     ``commits`` publishes all of them together: readers (``published``) see the last committed version of a batch, so a
-    crash before the commit leaves what was there. Columns are cast to the contract without raising. Bronze is refused.
+    crash before the commit leaves what was there. A value that its contract's type would make null, cut or round is a failure of its row, so casts at
+    the sink lose nothing. Bronze is refused.
     """
     spark, version = bronze_rows.sparkSession, uuid.uuid4().hex
     refuse_bronze(spark, path)
     seen = Observation()
     told = [c.alias(n) for n, c in _expected(spec).items()]
-    done = written(evaluate(bronze_rows, spec).observe(seen, *told), "evaluated")
+    done = written(evaluate(bronze_rows, spec, types=kinds(spec, canonical)).observe(seen, *told), "evaluated")
     total = {k: seen.get[k] for k in ("records_in", "records_out", "quarantined", "drops")}
     total["balanced"] = total["records_in"] == total["records_out"] + total["quarantined"] + total["drops"]
     if not total["balanced"]:
@@ -316,7 +368,8 @@ def seeded(candidates: DataFrame, canonical: DataFrame) -> DataFrame:
     one = candidates.where("status = 'candidate'").join(canonical, "target")
     contested = F.count("*").over(Window.partitionBy("target"))
     one = one.withColumn("claims", contested).where("claims = 1")
-    kind = F.when(F.col("type").isin("string", "uuid", "json"), "string").when(F.col("type") == "int64", "int").when(F.col("type") == "timestamp_utc", "timestamp").otherwise(F.col("type"))
+    usual = F.create_map(*[F.lit(x) for k, v in CASTS_FOR.items() for x in (k, v[0])])
+    kind = F.coalesce(F.try_element_at(usual, F.col("type")), F.lit("string"))
     one = one.select("column", "target", kind.alias("cast"), F.split_part("target", F.lit("."), F.lit(1)).alias("entity"))
     best = one.groupBy("entity").agg(F.count("*").alias("n")).agg(F.min_by("entity", F.struct(-F.col("n"), F.col("entity"))).alias("primary"))
     return one.withColumn("all", F.lit(1)).join(F.broadcast(best.withColumn("all", F.lit(1))), "all").select("column", "target", "cast", "primary")

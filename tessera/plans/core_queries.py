@@ -178,6 +178,48 @@ def spec_catalog(spark, d):
     return out.select("state", "source", "change", "attributes", "n_errors")
 
 
+STRICT_TYPES = {"members.source_system_id": "string", "members.balance": "decimal", "members.rank": "int64", "members.level": "int64", "members.seen": "timestamp_utc"}
+STRICT_SPEC = M.Spec("silver_raw.members", (
+    M.Field("id", "members.source_system_id", on_null="reject"),
+    M.Field("balance", "members.balance", cast="decimal"),
+    M.Field("rank", "members.rank"),
+    M.Field("level", "members.level", cast="int", on_null="default", default="none"),
+    M.Field("seen", "members.seen", cast="date"),
+))
+
+
+def promotion_strict(spark, d):
+    """Values that their contract's type cannot hold as they are, and defaults that it cannot hold at all, are failures and in quarantine; all others arrive as they were."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    balance = F.when(k % 5 == 0, "123456789012345678.5").when(k % 7 == 0, "1.23456").otherwise(F.concat(k.cast("string"), F.lit(".2500")))
+    cells = {"id": k.cast("string"), "balance": balance, "rank": F.when(k % 11 == 0, "abc").otherwise((k % 90).cast("string")), "level": F.when(k % 13 == 0, "").otherwise("7"), "seen": F.lit("2024/01/05")}
+    raw = c.select(k.alias("row_number"), F.create_map(*[x for n, v in cells.items() for x in (F.lit(n), v)]).alias("raw_row"), F.sha2(k.cast("string"), 256).alias("record_hash"))
+    path = f"{shared_dir(spark)}/tessera/strict-{uuid.uuid4().hex}"
+    M.promote(raw, STRICT_SPEC, path, "b1", STRICT_TYPES)
+    kept = M.published(spark, path, "members").select(F.col("source_system_id").alias("id"), F.lit("").alias("why"), F.col("balance").cast("string").alias("balance"), "rank", "level")
+    held = M.published(spark, path, "quarantine").select(F.col("raw_row")["id"].alias("id"), F.array_join(F.array_sort(F.transform("reasons", lambda r: F.concat_ws(":", r["source"], r["outcome"], r["rule"]))), ",").alias("why"))
+    return kept.unionByName(held, allowMissingColumns=True)
+
+
+#: Specs that are wrong in one way each, by attribute, with what is wrong.
+WRONG = {
+    "cast int64": (M.Field("a", "t.n", cast="string"), "cast"), "cast date": (M.Field("a", "t.d", cast="timestamp"), "cast"), "cast text": (M.Field("a", "t.s", cast="int"), "cast"), "no cast": (M.Field("a", "t.s", cast="money"), "cast"),
+    "target": (M.Field("a", "t.x"), "target"), "no source": (M.Field(" ", "t.s"), "source"), "op": (M.Field("a", "t.s", op="shout"), "transform"), "argument": (M.Field("a", "t.s", op="substring"), "transform"),
+    "default": (M.Field("a", "t.n", cast="int", on_null="default", default="none"), "default"), "lone default": (M.Field("a", "t.s", default="x"), "default"), "policy": (M.Field("a", "t.s", on_null="guess"), "on_null"), "no map": (M.Field("a", "t.s", on_unmapped="null"), "on_unmapped"),
+}
+FINE = [M.Field("a", "t.n", cast="int"), M.Field("a", "t.m", cast="int"), M.Field("a", "t.m", cast="decimal"), M.Field("a", "t.w", cast="date"), M.Field("a", "t.w", cast="timestamp"), M.Field("a", "t.u", cast="string"), M.Field("a", "t.n", cast="int", on_null="default", default=" 7 ")]
+
+
+def spec_errors(spark, d):
+    """What is wrong with specs, a field of each kind for every region; sound ones have no row."""
+    types = {"t.s": "string", "t.n": "int64", "t.m": "decimal", "t.d": "date", "t.w": "timestamp_utc", "t.u": "uuid"}
+    found = []
+    for (r,) in table(spark, d, "region").select("r_name").collect():
+        for label, f in [*((k, v[0]) for k, v in WRONG.items()), *(("fine", f) for f in FINE)]:
+            found += [(r, label, attribute) for _, attribute, _ in M.errors(M.Spec("silver_raw.t", (f,)), types)]
+    return spark.createDataFrame(found, "region string, spec string, attribute string")
+
+
 def transforms(spark, d):
     """P1 to P10 over customers."""
     c = table(spark, d, "customer")
@@ -432,6 +474,10 @@ QUERIES = {
     "promotion_preview": (promotion_preview, f"""WITH {FEED}, k AS (SELECT CASE WHEN count(*) > 200 THEN count(*) // 200 ELSE 1 END AS k FROM orders), s AS (SELECT done.* FROM done, k WHERE (row_number - 1) % k.k = 0 AND row_number > 0 ORDER BY row_number LIMIT 200)
  SELECT row_number, outcome, '•••' AS member, CASE WHEN allowed <> '' THEN '•••' END AS allowed, CAST(CAST(rejected AS INT) + CAST(failed AS INT) + CAST(strange AS INT) AS INT) AS n_reasons FROM s"""),
     "spec_catalog": (spec_catalog, "WITH s AS (SELECT DISTINCT o_orderstatus AS state FROM orders) SELECT state, 'status' AS source, 'changed' AS change, 'value_map,on_unmapped' AS attributes, CAST(0 AS INT) AS n_errors FROM s UNION ALL SELECT state, 'channel', 'removed', '', CAST(0 AS INT) FROM s"),
+    "spec_errors": (spec_errors, "SELECT r_name AS region, spec, attribute FROM region, (VALUES " + ", ".join(f"('{k}', '{a}')" for k, (_, a) in WRONG.items()) + ") AS v(spec, attribute)"),
+    "promotion_strict": (promotion_strict, """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 = 0 AS big, c_custkey % 7 = 0 AS fine, c_custkey % 11 = 0 AS text, c_custkey % 13 = 0 AS none FROM customer)
+ SELECT CAST(k AS VARCHAR) AS id, concat_ws(',', CASE WHEN big OR fine THEN 'balance:failure:type' END, CASE WHEN none THEN 'level:failure:type' END, CASE WHEN text THEN 'rank:failure:type' END) AS why,
+  CASE WHEN NOT (big OR fine OR text OR none) THEN k || '.2500' END AS balance, CASE WHEN NOT (big OR fine OR text OR none) THEN k % 90 END AS rank, CASE WHEN NOT (big OR fine OR text OR none) THEN CAST(7 AS BIGINT) END AS level FROM c"""),
     "transforms": (transforms, TRANSFORMS_SQL),
     "normalisations": (normalisations, NORMALISATIONS_SQL),
     "regions": (regions, "SELECT r_name, CASE WHEN c_acctbal < 0 THEN 'none' WHEN c_acctbal < 5000 THEN 'basic' ELSE 'plus' END AS tier, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
