@@ -53,14 +53,8 @@ def _has(column: Column, words: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.split(F.lower(column), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in words]))
 
 
-def column_facts(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column. ``rows`` has ``row_number``; missing is ``""``.
-
-    Cells are first counted by (column, value), which combines before the shuffle and spreads a wide column over
-    all tasks; facts are then sums over distinct values. Ties of top values go to the first seen.
-    """
-    values = unpivoted(rows, columns).groupBy("position", "column", "value").agg(F.count("*").alias("n"), F.min("row_number").alias("first"))
-    v, n = F.col("value"), F.col("n")
+def measures(v: Column, n: Column) -> list[Column]:
+    """What is known of a column from values ``v`` that occur ``n`` times: sums and extremes, which parts of a column add up to."""
     some = v != ""
     total = lambda c: F.sum(F.when(some & c, n).otherwise(0))
     numeric = v.rlike(INT) | v.rlike(DECIMAL)
@@ -68,13 +62,28 @@ def column_facts(rows: DataFrame, columns: list[str] | None = None) -> DataFrame
     number = F.when(real & numeric, v.try_cast("double"))
     by = F.struct(number.alias("x"), v.alias("v"))
     date = F.when(real, iso_date(v))
-    facts = values.groupBy("position", "column").agg(
-        F.sum("n").alias("row_count"), F.sum(F.when(~some, n).otherwise(0)).alias("null_count"), F.count_if(some).alias("distinct_count"),
+    return [
+        F.sum(n).alias("row_count"), F.sum(F.when(~some, n).otherwise(0)).alias("null_count"),
         total(v.rlike(INT)).alias("ints"), total(v.rlike(DECIMAL)).alias("decimals"), total(v.rlike(DATE)).alias("dates"),
         total(v.rlike(TIMESTAMP)).alias("timestamps"), total(F.lower(v).isin(*BOOL)).alias("bools"), total(v.rlike(CODE)).alias("codes"),
         total(is_sentinel(v)).alias("sentinel_count"), F.min(F.when(number.isNotNull(), by)).alias("low"), F.max(F.when(number.isNotNull(), by)).alias("high"),
         F.min(date).alias("from"), F.max(date).alias("to"),
-    )
+    ]
+
+
+def column_facts(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row a column. ``rows`` has ``row_number``; missing is ``""``.
+
+    Cells are first counted by (column, value), which combines before the shuffle and spreads a wide column over
+    all tasks; facts are then sums over distinct values. Ties of top values go to the first seen.
+    """
+    values = unpivoted(rows, columns).groupBy("position", "column", "value").agg(F.count("*").alias("n"), F.min("row_number").alias("first"))
+    v = F.col("value")
+    return finished(values.groupBy("position", "column").agg(*measures(v, F.col("n")), F.count_if(v != "").alias("distinct_count")))
+
+
+def finished(facts: DataFrame) -> DataFrame:
+    """``measures`` and ``distinct_count`` of columns to their facts."""
     filled = F.col("row_count") - F.col("null_count")
     share = lambda c: F.try_divide(F.col(c), filled)
     numbers = F.try_divide(F.col("ints") + F.col("decimals"), filled)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tessera.functions import scalars as S
 from tessera.operators import mapping as M
 from tessera.operators import profile as P
+from tessera.operators import sketches as K
 from tessera.plans.scratch import shared_dir, written
 from tessera.sources import landing as L
 
@@ -362,9 +363,16 @@ WIDE = """wide AS (SELECT CAST(o_orderkey AS BIGINT) AS row_number, CAST(o_order
  CASE WHEN o_orderkey % 10 = 0 THEN '9999-12-31' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS service_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS allowed, o_orderpriority AS priority, '' AS spare, 'EDI' AS channel,
  strftime(o_orderdate, '%Y%m') AS claim_month, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END AS urgent_flag FROM orders),
 cells AS (UNPIVOT wide ON claim_id, member_id, status, service_date, allowed, priority, spare, channel, claim_month, urgent_flag INTO NAME "column" VALUE v),
-facts AS (SELECT "column", count(*) AS row_count, count(*) FILTER (v = '') AS null_count, count(DISTINCT v) FILTER (v <> '') AS distinct_count FROM cells GROUP BY 1)"""
-TYPES_SQL = "CASE \"column\" WHEN 'claim_id' THEN 'int' WHEN 'member_id' THEN 'int' WHEN 'status' THEN 'code' WHEN 'service_date' THEN 'date' WHEN 'allowed' THEN 'decimal' WHEN 'priority' THEN 'string' WHEN 'spare' THEN 'string' WHEN 'channel' THEN 'code' WHEN 'claim_month' THEN 'int' ELSE 'bool' END"
-ROLES_SQL = "CASE \"column\" WHEN 'claim_id' THEN 'identifier' WHEN 'member_id' THEN 'identifier' WHEN 'service_date' THEN 'date' WHEN 'claim_month' THEN 'date' WHEN 'allowed' THEN 'measure' WHEN 'spare' THEN 'unclassified' ELSE 'dimension' END"
+facts AS (SELECT "column", count(*) AS row_count, count(*) FILTER (v = '') AS null_count, count(DISTINCT v) FILTER (v <> '') AS distinct_count, count(*) FILTER (v <> '') AS filled, count(*) FILTER (regexp_full_match(v, '[+-]?\\d+')) AS ints, count(*) FILTER (regexp_full_match(v, '[+-]?\\d*\\.\\d+')) AS decimals,
+ count(*) FILTER (regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}|\\d{1,2}/\\d{1,2}/\\d{4}|\\d{1,2}-\\d{1,2}-\\d{4}|\\d{8}')) AS dates, count(*) FILTER (regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}[ T]\\d{1,2}:\\d{2}')) AS stamps,
+ count(*) FILTER (lower(v) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', '0', '1')) AS bools, count(*) FILTER (regexp_full_match(v, '[A-Z0-9][A-Z0-9._-]{0,15}')) AS codes FROM cells GROUP BY 1)"""
+#: Types and roles as the rules say, from what the columns hold and are called.
+TYPES_SQL = """CASE WHEN filled = 0 THEN 'string' WHEN stamps / filled >= 0.95 THEN 'timestamp' WHEN dates / filled >= 0.95 THEN 'date' WHEN bools / filled >= 0.95 AND ints / filled < 0.95 THEN 'bool'
+ WHEN decimals / filled >= 0.5 AND (ints + decimals) / filled >= 0.95 THEN 'decimal' WHEN ints / filled >= 0.95 THEN 'int' WHEN codes / filled >= 0.95 THEN 'code' ELSE 'string' END"""
+WORDS_SQL = "list_has_any(string_split(\"column\", '_'), [{}])"
+ROLES_SQL = f"""CASE WHEN {WORDS_SQL.format("'created', 'updated', 'modified', 'batch', 'etl', 'loaded'")} THEN 'technical' WHEN distinct_count = 0 THEN 'unclassified' WHEN inferred_type IN ('date', 'timestamp') OR (inferred_type = 'int' AND {WORDS_SQL.format("'month', 'year', 'period', 'quarter'")}) THEN 'date'
+ WHEN {WORDS_SQL.format("'id', 'key', 'npi', 'tin'")} OR ((row_count = distinct_count) AND NOT {WORDS_SQL.format("'flag', 'status', 'type', 'code', 'number'")}) THEN 'identifier' WHEN inferred_type IN ('int', 'decimal') AND NOT {WORDS_SQL.format("'flag', 'status', 'type', 'code', 'number'")} THEN 'measure'
+ WHEN inferred_type <> 'decimal' AND (distinct_count <= 50 OR distinct_count / row_count < 0.05) THEN 'dimension' ELSE 'unclassified' END"""
 
 
 def _facts(spark, d) -> DataFrame:
@@ -384,7 +392,21 @@ PROFILE_SQL = f"""WITH {WIDE} SELECT "column", row_count, null_count, round(null
   WHEN 'service_date' THEN (SELECT min(v) FROM cells c WHERE c."column" = 'service_date' AND v <> '9999-12-31') WHEN 'claim_month' THEN (SELECT min(v) FROM cells c WHERE c."column" = 'claim_month') END AS min_value,
  CASE "column" WHEN 'claim_id' THEN (SELECT max_by(v, CAST(v AS DOUBLE)) FROM cells c WHERE c."column" = 'claim_id' AND NOT regexp_full_match(v, '0{{4,}}|9{{4,}}')) WHEN 'allowed' THEN (SELECT max_by(v, CAST(v AS DOUBLE)) FROM cells c WHERE c."column" = 'allowed')
   WHEN 'service_date' THEN (SELECT max(v) FROM cells c WHERE c."column" = 'service_date' AND v <> '9999-12-31') WHEN 'claim_month' THEN (SELECT max(v) FROM cells c WHERE c."column" = 'claim_month') END AS max_value,
- {ROLES_SQL} AS role, CASE WHEN "column" = 'claim_id' THEN 'high' WHEN "column" = 'spare' THEN 'low' ELSE 'medium' END AS importance FROM facts f"""
+ {ROLES_SQL} AS role, CASE WHEN {ROLES_SQL} IN ('technical', 'unclassified') THEN 'low' WHEN row_count = distinct_count THEN 'high' ELSE 'medium' END AS importance FROM facts f"""
+
+
+def profile_merged(spark, d):
+    """F1 to F7 by batches: each is read once, for its state; the feed's profile is made of states, one of which was replaced."""
+    rows, path = _wide(spark, d), f"{shared_dir(spark)}/tessera/states-{uuid.uuid4().hex}"
+    parts = {f"b{i}": rows.where(F.pmod("row_number", F.lit(3)) == i) for i in range(3)}
+    for batch, some in [("b1", rows.limit(0).union(parts["b2"])), *parts.items()]:
+        K.recorded(some, path, batch)
+    states = spark.read.parquet(path)
+    facts = K.told(K.merged(states))
+    exact = P.unpivoted(rows).where("value <> ''").groupBy("column").agg(F.count_distinct("value").alias("exact"))
+    close = F.abs(F.col("distinct_count") - F.coalesce("exact", F.lit(0))) <= F.col("error") * F.coalesce("exact", F.lit(0))
+    out = facts.join(exact, "column", "left").crossJoin(F.broadcast(states.agg(F.count_distinct("batch_id").alias("batches"))))
+    return out.select("column", "row_count", "null_count", "inferred_type", "sentinel_count", "min_value", "max_value", close.alias("distinct_close"), F.when(F.col("column").isin("channel", "urgent_flag"), F.array_max(F.transform("top", lambda x: x["n"]))).alias("top_n"), "batches")
 
 
 def profile_top(spark, d):
@@ -490,6 +512,8 @@ QUERIES = {
     "landing_paths": (landing_paths, "SELECT DISTINCT 'sys' || (user_id % 3) AS source_system, strftime(ts, '%Y%m%d') AS business_date, 'ADT_' || strftime(ts, '%Y%m%d') || '.csv' AS file, strftime(ts, '%Y-%m-%d') AS token FROM events WHERE user_id % 3 <> 0"),
     "ndjson": (ndjson, "SELECT event_id % 10 = 0 AS corrupt, count(*) AS n, CAST(sum(CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END) AS BIGINT) AS total FROM events GROUP BY 1"),
     "profile_columns": (profile_columns, PROFILE_SQL),
+    "profile_merged": (profile_merged, f"""WITH p AS ({PROFILE_SQL}), n AS (SELECT "column", max(n) AS top_n FROM (SELECT "column", v, count(*) AS n FROM cells WHERE "column" IN ('channel', 'urgent_flag') GROUP BY 1, 2) GROUP BY 1)
+ SELECT "column", row_count, null_count, inferred_type, sentinel_count, min_value, max_value, true AS distinct_close, top_n, CAST(3 AS BIGINT) AS batches FROM p LEFT JOIN n USING ("column")""".replace(f"WITH p AS (WITH {WIDE} ", f"WITH {WIDE}, p AS (")),
     "profile_top": (profile_top, f"""WITH {WIDE}, n AS (SELECT "column", v AS value, count(*) AS n, min(row_number) AS f FROM cells WHERE v <> '' AND "column" <> 'member_id' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, f) AS rank FROM n) SELECT "column", CAST(rank AS INT) AS rank, value, n FROM r WHERE rank <= 10"""),
     "profile_samples": (profile_samples, f"""WITH {WIDE}, n AS (SELECT DISTINCT "column", v FROM cells WHERE v <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY v) AS r FROM n) SELECT "column", string_agg(v, '|' ORDER BY v) AS sample FROM r WHERE r <= 5 GROUP BY 1"""),
     "profile_keys": (profile_keys, "SELECT count(*) AS row_count, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS n_keys FROM lineitem"),
