@@ -87,6 +87,30 @@ def completion_factors(triangle: DataFrame, lags: int, as_of: Column) -> DataFra
     return cells.groupBy("lag").agg(F.round(F.sum("paid"), 2).alias("paid"), F.round(F.sum("ultimate"), 2).alias("ultimate")).withColumn("factor", F.round(F.try_divide("paid", "ultimate"), 6))
 
 
+def chain_ladder(paid: DataFrame, lags: int, as_of: Column) -> DataFrame:
+    """``(service_month, age, paid, to_ultimate, ultimate, estimate)``: what months of every age cost in the end, the estimate kept apart from what was paid.
+
+    ``paid`` (service_month, paid_month, amount); nothing paid after ``as_of`` is looked at. From each lag to the next, the link ratio is what the months old enough for
+    both had paid at the later one over the earlier; a month's factor is the product of the ratios it has not seen yet. Where no month shows a ratio, or
+    nothing was paid, the factor is null, and so is what follows from it.
+    """
+    months = lambda a, b: F.floor(F.months_between(a, b)).cast("int")
+    known = paid.where((F.col("paid_month") <= as_of) & (F.col("service_month") <= as_of))
+    cells = known.groupBy("service_month", F.least(months("paid_month", "service_month"), F.lit(lags)).alias("lag")).agg(F.sum("amount").alias("amount"))
+    age = F.least(months(as_of, F.col("service_month")), F.lit(lags))
+    each = cells.groupBy("service_month").agg(F.map_from_entries(F.collect_list(F.struct("lag", "amount"))).alias("by_lag")).withColumn("age", age)
+    upto = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at("by_lag", x), F.lit(0.0)))
+    # A month of age a shows the links from 0 to a - 1.
+    seen = each.where("age > 0").select(F.explode(F.sequence(F.lit(0), F.col("age") - 1)).alias("lag"), "by_lag")
+    links = seen.groupBy("lag").agg(F.try_divide(F.sum(upto(F.col("lag") + 1)), F.sum(upto(F.col("lag")))).alias("link"))
+    # One row of as many entries as there are lags.
+    table = links.agg(F.map_from_entries(F.collect_list(F.struct("lag", "link"))).alias("links"))
+    rest = F.filter(F.sequence(F.lit(0), F.lit(lags)), lambda x: (x >= F.col("age")) & (x < lags))
+    factor = F.aggregate(rest, F.lit(1.0), lambda a, x: a * F.try_element_at("links", x))
+    out = each.crossJoin(F.broadcast(table)).select("service_month", "age", upto(F.col("age")).alias("paid"), factor.alias("to_ultimate"))
+    return out.withColumn("ultimate", F.col("paid") * F.col("to_ultimate")).withColumn("estimate", F.col("ultimate") - F.col("paid"))
+
+
 def loss_ratio(costs: DataFrame, premiums: DataFrame, by: list[str]) -> DataFrame:
     a, b = costs.groupBy(*by).agg(F.sum("allowed").alias("costs")), premiums.groupBy(*by).agg(F.sum("premium").alias("premium"))
     return a.join(b, by, "full_outer").withColumn("ratio", F.round(F.try_divide("costs", "premium"), 6))

@@ -184,6 +184,15 @@ def contract_drift(observed: DataFrame, registered: DataFrame) -> DataFrame:
     return missing.union(observed.select("column").join(registered.select("column"), "column", "left_anti").withColumn("change", F.lit("extra")))
 
 
+def order_verdicts(observed: list[str], registered: DataFrame) -> DataFrame:
+    """``(rule_id, column, expected, found, action)``: B-01 warns of each registered column ``(column, place)`` that does not stand where it should among those that are there."""
+    spark = registered.sparkSession
+    there = spark.createDataFrame([(c, i) for i, c in enumerate(observed)], "column string, at int")
+    # Places among the common columns alone: what is new or gone is B-02's and B-03's. Columns of one table fit one window.
+    both = registered.join(there, "column").withColumn("expected", F.row_number().over(Window.orderBy("place"))).withColumn("found", F.row_number().over(Window.orderBy("at")))
+    return both.where("expected <> found").select(F.lit("B-01").alias("rule_id"), "column", "expected", "found", F.lit("warn").alias("action"))
+
+
 def schema_verdicts(observed: DataFrame, registered: DataFrame) -> DataFrame:
     """``(rule_id, column, action)`` of two profiles: a new column is observed; a column that is gone, or is all null now and was not
     before, blocks."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import NULL_TOKENS, npi_valid, null_tokens
+from tessera.functions.scalars import NULL_TOKENS, code_list, npi_valid, null_tokens
 
 ACTIONS = ("block", "quarantine", "warn", "observe")
 #: Older severity words.
@@ -119,6 +119,22 @@ def volume_bands(volumes: DataFrame, width: float = 3.0, back: int = 3) -> DataF
     return out.withColumn("verdict", F.when(F.col("seen") < back, "observe").when(off, "out_of_band").otherwise("in_band")).drop("seen")
 
 
+def seasonal_bands(volumes: DataFrame, season: Column, width: float = 3.0, back: int = 3) -> DataFrame:
+    """``volume_bands`` against the same ``season`` (a month of the year, say) of up to ``back`` rounds before; fewer than two observe only."""
+    w = Window.partitionBy("feed", "season").orderBy("period").rowsBetween(-back, -1)
+    out = volumes.withColumn("season", season).withColumn("mean", F.avg("n").over(w)).withColumn("spread", F.stddev_samp("n").over(w)).withColumn("seen", F.count("n").over(w))
+    off = F.abs(F.col("n") - F.col("mean")) > width * F.greatest(F.col("spread"), F.lit(1.0))
+    return out.withColumn("verdict", F.when(F.col("seen") < 2, "observe").when(off, "out_of_band").otherwise("in_band")).drop("seen")
+
+
+def derivable_tokens(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``primary_code`` (the first token of a list that is kept as it came), ``tokens``, and A-16's ``verdict``: a list that says something, but no code, is observed."""
+    codes = code_list(F.col(column))
+    out = rows.withColumn("primary_code", F.get(codes, F.lit(0))).withColumn("tokens", F.coalesce(F.size(codes), F.lit(0)))
+    told = F.coalesce(F.trim(F.col(column)), F.lit("")) != ""
+    return out.withColumn("verdict", F.when(told & F.col("primary_code").isNull(), "observe").otherwise("pass"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measure: str, tolerance: float = 0.0) -> DataFrame:
     """``(keys, left_value, right_value, delta, status)`` of two aggregates of the same measure."""
     j = left.select(*keys, F.col(measure).alias("left_value")).join(right.select(*keys, F.col(measure).alias("right_value")), keys, "full_outer")

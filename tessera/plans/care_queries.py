@@ -207,6 +207,20 @@ def metric_completion(spark, d):
     return M.completion_factors(t, 3, F.lit("2001-01-01").cast("date")).select("lag", F.round("factor", 4).alias("factor"))
 
 
+def metric_ladder(spark, d):
+    """K8: ultimates of months of every age by link ratios; estimates beside what was paid."""
+    out = M.chain_ladder(_paid(spark, d), 3, F.lit("2001-07-01").cast("date"))
+    return out.select(F.col("service_month").cast("string").alias("service_month"), "age", F.round("paid", 2).alias("paid"), F.round("to_ultimate", 6).alias("to_ultimate"), F.round(F.col("ultimate") / 1000, 2).alias("ultimate_thousands"), F.round("estimate", 1).alias("estimate"))
+
+
+LADDER_SQL = """WITH m AS (SELECT date_trunc('month', o_orderdate) AS s, greatest(date_trunc('month', l_shipdate), date_trunc('month', o_orderdate)) AS p, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ k AS (SELECT s, least(3, date_diff('month', s, p)) AS lag, amount, least(3, date_diff('month', s, TIMESTAMP '2001-07-01')) AS age FROM m WHERE p <= TIMESTAMP '2001-07-01' AND s <= TIMESTAMP '2001-07-01'),
+ t AS (SELECT s, any_value(age) AS age, coalesce(sum(amount) FILTER (lag <= 0), 0) AS a0, coalesce(sum(amount) FILTER (lag <= 1), 0) AS a1, coalesce(sum(amount) FILTER (lag <= 2), 0) AS a2, sum(amount) AS a3 FROM k GROUP BY 1),
+ f AS (SELECT sum(a1) FILTER (age >= 1) / sum(a0) FILTER (age >= 1) AS f0, sum(a2) FILTER (age >= 2) / sum(a1) FILTER (age >= 2) AS f1, sum(a3) FILTER (age >= 3) / sum(a2) FILTER (age >= 3) AS f2 FROM t),
+ u AS (SELECT s, age, a3 AS paid, CASE age WHEN 0 THEN f0 * f1 * f2 WHEN 1 THEN f1 * f2 WHEN 2 THEN f2 ELSE 1.0 END AS x FROM t, f)
+ SELECT strftime(s, '%Y-%m-%d') AS service_month, CAST(age AS INT) AS age, round(paid, 2) AS paid, round(x, 6) AS to_ultimate, round(paid * x / 1000, 2) AS ultimate_thousands, round(paid * x - paid, 1) AS estimate FROM u"""
+
+
 def metric_loss(spark, d):
     """K9."""
     p = table(spark, d, "customer").select((F.col("c_custkey") % 4).alias("arm"), F.abs("c_acctbal").alias("premium"))
@@ -414,6 +428,7 @@ QUERIES = {
  SELECT arm, round(a / m, 2) AS pmpm, b AS benchmark, round(a / m / b, 4) AS ratio, t > DATE '2001-06-30' AS provisional FROM o JOIN m USING (arm) JOIN b USING (arm)"""),
     "metric_triangle": (metric_triangle, f"WITH {PAID} SELECT strftime(s, '%Y-%m-%d') AS service_month, " + ", ".join(f"round(coalesce(a{i}, 0), 2) AS lag_{i}" for i in range(4)) + " FROM tri"),
     "metric_completion": (metric_completion, f"WITH {PAID}, o AS (SELECT * FROM tri WHERE date_diff('month', s, TIMESTAMP '2001-01-01') >= 3) " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS lag, round(sum(coalesce(a{i}, 0)) / sum(a3), 4) AS factor FROM o" for i in range(4))),
+    "metric_ladder": (metric_ladder, LADDER_SQL),
     "metric_loss": (metric_loss, f"WITH {COSTS}, a AS (SELECT arm, sum(allowed) AS c FROM costs GROUP BY 1), p AS (SELECT c_custkey % 4 AS arm, sum(abs(c_acctbal)) AS p FROM customer GROUP BY 1) SELECT arm, round(c, 2) AS costs, round(p, 2) AS premium, round(c / p, 4) AS ratio FROM a FULL JOIN p USING (arm)"),
     "metric_risk": (metric_risk, """WITH pt AS (SELECT p_partkey AS code, p_partkey % 10 AS hcc, p_size / 100 AS c FROM part WHERE p_partkey < 30), cf AS (SELECT hcc, round(sum(c), 4) AS k FROM pt GROUP BY 1), h AS (SELECT DISTINCT o_custkey AS member, hcc FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN pt ON l_partkey % 30 = code WHERE l_quantity > 40)
  SELECT h.member, count(*) AS n_conditions, round(sum(coalesce(k, 0)), 6) AS score FROM h LEFT JOIN cf USING (hcc) WHERE NOT (h.hcc % 2 = 1 AND EXISTS (SELECT 1 FROM h x WHERE x.member = h.member AND x.hcc = h.hcc - 1)) GROUP BY 1"""),

@@ -303,6 +303,15 @@ def landing_csv(spark, d):
     return back.select(F.col("raw_row")["id"].cast("long").alias("id"), F.col("raw_row")["name"].alias("name"), F.col("raw_row")["name_1"].alias("segment"), F.col("raw_row")["blank"].alias("blank"), (F.lit(n) == F.lit(c.count())).alias("all_written"))
 
 
+def landed_text(spark, rows: DataFrame, header: str) -> str:
+    """Folders of text files, one for each ``file`` of ``rows`` (file, line), each beginning with ``header``; the folder they are in."""
+    path = f"{shared_dir(spark)}/tessera/text-{uuid.uuid4().hex}"
+    heads = rows.select("file").distinct().select("file", F.lit(header).alias("line"), F.lit(0).alias("nth"))
+    every = heads.unionByName(rows.withColumn("nth", F.lit(1)))
+    every.repartition("file").sortWithinPartitions("file", "nth", "line").select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
 def landing_mixed(spark, d):
     """One delivery of UTF-8 and Latin-1 files, with commas, pipes and semicolons, and with line breaks in quoted cells; numbered within each kind."""
     c, k = table(spark, d, "customer"), F.col("c_custkey")

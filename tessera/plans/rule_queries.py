@@ -96,6 +96,38 @@ def dq_volumes(spark, d):
     return out.select("feed", F.col("period").cast("string").alias("period"), "n", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"), "verdict")
 
 
+def dq_seasonal(spark, d):
+    """Q9, L-07: each month's orders against the same month of the years before."""
+    v = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("feed"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period")).agg(F.count("*").alias("n"))
+    out = R.seasonal_bands(v, F.month("period"), width=1.5)
+    return out.select("feed", F.col("period").cast("string").alias("period"), "n", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"), "verdict")
+
+
+def dq_tokens(spark, d):
+    """Q20, A-16: lists of codes kept as they came, their first code, and lists without one."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    listed = F.when(k % 5 == 0, F.concat(F.lit(" a0"), k % 7, F.lit(".1, B99 ;"))).when(k % 5 == 1, " ,; ").when(k % 5 == 2, "").when(k % 5 == 3, F.concat(F.lit(";E11."), k % 9, F.lit("|z00")))
+    return R.derivable_tokens(e.select("event_id", listed.alias("list")), "list")
+
+
+def dq_layout(spark, d):
+    """Q11, B-01, B-10: regions' files with a row too long, with a quoted delimiter, with a row too short; and columns out of their order."""
+    from tessera.plans.core_queries import landed_text
+    from tessera.sources import landing as L
+
+    n = table(spark, d, "nation")
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    line = F.when(key == "3", F.concat_ws("|", key, name, F.lit("x"))).when(key == "4", F.concat(key, F.lit('|"a|b"'))).when(key == "5", key).otherwise(F.concat_ws("|", key, name))
+    path = landed_text(spark, n.select(F.concat(F.lit("file"), F.col("n_regionkey")).alias("file"), line.alias("line")), "key|name")
+    cells = L.cell_verdicts(spark, f"{path}/*").select("rule_id", F.regexp_extract("file", r"/file=(\w+)/", 1).alias("subject"), "cells", "expected", "n_rows", "action")
+    places = table(spark, d, "region").select(F.col("r_name").alias("column"), F.col("r_regionkey").alias("place"))
+    order = [r[0] for r in table(spark, d, "region").orderBy(F.col("r_name").desc()).select("r_name").collect()]
+    from tessera.operators import profile as P
+
+    moved = P.order_verdicts(order, places).select("rule_id", F.col("column").alias("subject"), F.col("found").alias("cells"), "expected", F.lit(1).cast("long").alias("n_rows"), "action")
+    return cells.unionByName(moved)
+
+
 def dq_reconcile(spark, d):
     """Q10: order totals against line totals, by order status."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -215,6 +247,15 @@ QUERIES = {
     "dq_volumes": (dq_volumes, """WITH v AS (SELECT o_orderstatus AS feed, date_trunc('month', o_orderdate) AS period, count(*) AS n FROM orders GROUP BY 1, 2),
  w AS (SELECT *, avg(n) OVER p AS mean, stddev_samp(n) OVER p AS spread, count(n) OVER p AS seen FROM v WINDOW p AS (PARTITION BY feed ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
  SELECT feed, strftime(period, '%Y-%m-%d') AS period, n, round(mean, 6) AS mean, round(spread, 6) AS spread, CASE WHEN seen < 3 THEN 'observe' WHEN abs(n - mean) > 1.5 * greatest(spread, 1) THEN 'out_of_band' ELSE 'in_band' END AS verdict FROM w"""),
+    "dq_seasonal": (dq_seasonal, """WITH v AS (SELECT o_orderstatus AS feed, date_trunc('month', o_orderdate) AS period, count(*) AS n FROM orders GROUP BY 1, 2),
+ w AS (SELECT *, avg(n) OVER p AS mean, stddev_samp(n) OVER p AS spread, count(n) OVER p AS seen FROM v WINDOW p AS (PARTITION BY feed, month(period) ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+ SELECT feed, strftime(period, '%Y-%m-%d') AS period, n, round(mean, 6) AS mean, round(spread, 6) AS spread, CASE WHEN seen < 2 THEN 'observe' WHEN abs(n - mean) > 1.5 * greatest(spread, 1) THEN 'out_of_band' ELSE 'in_band' END AS verdict FROM w"""),
+    "dq_tokens": (dq_tokens, """WITH l AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' a0' || event_id % 7 || '.1, B99 ;' WHEN 1 THEN ' ,; ' WHEN 2 THEN '' WHEN 3 THEN ';E11.' || event_id % 9 || '|z00' END AS list FROM events),
+ t AS (SELECT *, list_filter([upper(replace(trim(x), '.', '')) for x in regexp_split_to_array(list, '[,;|]')], lambda x: x <> '') AS codes FROM l)
+ SELECT event_id, list, codes[1] AS primary_code, CAST(coalesce(len(codes), 0) AS INT) AS tokens, CASE WHEN trim(coalesce(list, '')) <> '' AND codes[1] IS NULL THEN 'observe' ELSE 'pass' END AS verdict FROM t"""),
+    "dq_layout": (dq_layout, """WITH n AS (SELECT 'file' || n_regionkey AS subject, CASE n_nationkey WHEN 3 THEN 3 WHEN 5 THEN 1 END AS cells FROM nation), r AS (SELECT r_name AS subject, row_number() OVER (ORDER BY r_name DESC) AS found, row_number() OVER (ORDER BY r_regionkey) AS expected FROM region)
+ SELECT 'B-10' AS rule_id, subject, CAST(cells AS INT) AS cells, CAST(2 AS INT) AS expected, count(*) AS n_rows, 'block' AS action FROM n WHERE cells IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT 'B-01', subject, CAST(found AS INT), CAST(expected AS INT), CAST(1 AS BIGINT), 'warn' FROM r WHERE found <> expected"""),
     "dq_reconcile": (dq_reconcile, """WITH a AS (SELECT o_orderkey, CAST(1 AS BIGINT) AS n FROM orders), b AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT a.n AS x, b.n AS y FROM a FULL JOIN b USING (o_orderkey))
  SELECT CASE WHEN x IS NULL THEN 'right_only' WHEN y IS NULL THEN 'left_only' WHEN x <> y THEN 'differs' ELSE 'agrees' END AS status, count(*) AS n_orders, CAST(sum(coalesce(x, 0) - coalesce(y, 0)) AS BIGINT) AS delta FROM j GROUP BY 1"""),
     "dq_gaps": (dq_gaps, """WITH o AS (SELECT DISTINCT o_custkey AS member, date_trunc('month', o_orderdate) AS period FROM orders), s AS (SELECT member, count(*) AS have, date_diff('month', min(period), max(period)) + 1 AS span FROM o GROUP BY 1)

@@ -134,6 +134,26 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return out.fillna("") if len(groups) > 1 else out
 
 
+def cell_verdicts(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """``(rule_id, file, cells, expected, n_rows, action)``: B-10 blocks a file that has no header or whose rows differ from it in their number of cells, delimiters in quotes aside.
+
+    One row for each other number of cells. Blank lines do not count.
+    """
+    out = spark.createDataFrame([], "file string, cells int, expected int, n_rows long")
+    groups: dict[tuple, list[str]] = {}
+    for r in _files(spark, path, sep, encoding):
+        named = len(r.header) if any(c.strip() for c in r.header) else 0
+        groups.setdefault((r.charset, r.sep, r.broken, named), []).append(r.file)
+    for (charset, given, broken, expected), some in groups.items():
+        lines = _lines(spark, some).select("file", "block", "at", F.lit(given).alias("sep"), _decoded(charset).alias("value"))
+        rows = quoted.records(lines) if broken else lines
+        bare = F.regexp_replace("value", '"[^"]*"', "")
+        cells = (F.length(bare) - F.length(F.replace(bare, F.lit(given), F.lit(""))) + 1).alias("cells")
+        found = rows.where(F.trim("value") != "").groupBy("file", cells).agg(F.count("*").alias("n_rows")).where(F.col("cells") != expected)
+        out = out.unionByName(found.select("file", "cells", F.lit(expected).alias("expected"), "n_rows"))
+    return out.select(F.lit("B-10").alias("rule_id"), "file", "cells", "expected", "n_rows", F.lit("block").alias("action"))
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lines of JSON; lines that do not parse keep their text in ``_corrupt_record``."""
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).json(path)
