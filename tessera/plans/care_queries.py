@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.operators import admissions as A
 from tessera.operators import change as C
 from tessera.operators import claims as K
+from tessera.operators import crosswalk as W
 from tessera.operators import identity as I
 from tessera.operators import metrics as M
 from tessera.plans.core_queries import table
 from tessera.plans.rule_queries import MONTHS, SPANS, _spans
+from tessera.plans.scratch import shared_dir, written
 
 
 def _claims(spark, d):
@@ -383,6 +386,19 @@ def identity_links(spark, d):
     return links.join(times.withColumnRenamed("n", "n_a"), "a").join(times.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b", "score", "band")
 
 
+def identity_crosswalk(spark, d):
+    """Patients and their automatic links in three deliveries, the last of which withdraws some; keys as of the second and the last version."""
+    path = f"{shared_dir(spark)}/tessera/crosswalk-{uuid.uuid4().hex}"
+    p = _patients(spark, d)
+    found, _ = I.threshold_links(p, {"first": 2.0, "last": 2.0, "dob": 2.0, "phone": 1.0}, 0.9)
+    found = written(found.select("a", "b"), "links")
+    for i in range(2):
+        W.deliver(spark, path, p.where(F.col("id") % 2 == i).select("id"), found.where((F.col("a") % 4 >= 2) == F.lit(i == 1)))
+    W.deliver(spark, path, p.limit(0).select("id"), found.limit(0), found.where("a % 10 = 0"))
+    second, last = W.labels(spark, path, 2), W.labels(spark, path)
+    return second.withColumnRenamed("person_key", "key_2").join(last.withColumnRenamed("person_key", "key_3"), "id")
+
+
 def identity_impact(spark, d):
     """I6."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
@@ -456,5 +472,9 @@ QUERIES = {
     "identity_pairs": (identity_pairs, IDENTITY_PAIRS_SQL),
     "identity_people": (identity_people, None),
     "identity_links": (identity_links, LINKS_SQL),
+    "identity_crosswalk": (identity_crosswalk, f"""WITH RECURSIVE l AS MATERIALIZED (SELECT a, b FROM ({LINKS_SQL}) WHERE band = 'auto'),
+ e2 AS (SELECT a, b FROM l UNION SELECT b, a FROM l), e3 AS (SELECT a, b FROM l WHERE a % 10 <> 0 UNION SELECT b, a FROM l WHERE a % 10 <> 0), n AS (SELECT c_custkey AS id FROM customer),
+ r2 AS (SELECT id AS x, id AS y FROM n UNION SELECT x, b FROM r2 JOIN e2 ON y = a), r3 AS (SELECT id AS x, id AS y FROM n UNION SELECT x, b FROM r3 JOIN e3 ON y = a)
+ SELECT id, k2 AS key_2, k3 AS key_3 FROM n JOIN (SELECT x AS id, min(y) AS k2 FROM r2 GROUP BY 1) USING (id) JOIN (SELECT x AS id, min(y) AS k3 FROM r3 GROUP BY 1) USING (id)"""),
     "identity_impact": (identity_impact, IMPACT),
 }
