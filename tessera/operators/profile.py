@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ LABEL = ("zip", "postal", "phone", "mobile", "fax", "number", "code", "flag", "s
 PERIOD = ("month", "year", "period", "quarter", "yyyymm")
 SENTINELS = ("1900-01-01", "9999-12-31", "0000-00-00", "1900-01-01 00:00:00", "9999-12-31 00:00:00", "01/01/1900", "12/31/9999", "19000101", "99991231")
 ROLES = ("identifier", "date", "measure", "dimension", "technical", "unclassified")
+#: Sets of columns whose sketches are made in one pass, and a sketch's relative standard error.
+PER_PASS, ERROR = 64, 0.02
 TOP, SAMPLES, FEW, FEW_SHARE, PAIR_COLUMNS, PAIRS = 10, 5, 50, 0.05, 8, 3
 
 
@@ -117,16 +120,53 @@ def sample_values(rows: DataFrame, columns: list[str] | None = None, k: int = SA
     return first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
+def _unique(rows: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, int], n: int, enough: int | None = None) -> list[tuple[str, ...]]:
+    """Those of ``sets`` of columns in which no two of the ``n`` rows agree, in their order; the first ``enough``, if given.
+
+    Three sieves, each for what the one before lets through: columns whose distinct values cannot make ``n`` combinations; sketches of combinations, PER_PASS sets a
+    pass, which no row is multiplied for (a key is missed at an error of six standard deviations); then, set by set, an exact look for two rows that agree.
+    """
+    able = [c for c in sets if prod(distinct[x] for x in c) >= n]
+    named = lambda c: [F.col(f"`{x}`") for x in c]
+    out: list[tuple[str, ...]] = []
+    for at in range(0, len(able), PER_PASS):
+        some = able[at : at + PER_PASS]
+        told = rows.agg(*[F.approx_count_distinct(F.xxhash64(*named(c)), ERROR) for c in some]).first()
+        for c in (c for c, m in zip(some, told, strict=True) if m >= n * (1 - 6 * ERROR)):
+            if not rows.select(*named(c)).groupBy(*named(c)).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():
+                out.append(c)
+                if len(out) == enough:
+                    return out
+    return out
+
+
 def candidate_keys(rows: DataFrame, facts: DataFrame) -> list[tuple[str, ...]]:
-    """Complete and unique columns; only without any, the first pairs of complete columns that are unique, in one aggregate."""
+    """Complete and unique columns; only without any, the first pairs of complete columns that are unique."""
     told = facts.orderBy("position").select("column", "row_count", "null_count", "distinct_count").collect()
-    complete = [r.column for r in told if not r.null_count and r.row_count]
-    singles = [(r.column,) for r in told if r.row_count and not r.null_count and r.distinct_count == r.row_count]
-    pairs = list(combinations(complete[:PAIR_COLUMNS], 2))
+    complete = [r for r in told if not r.null_count and r.row_count]
+    singles = [(r.column,) for r in complete if r.distinct_count == r.row_count]
+    pairs = list(combinations([r.column for r in complete[:PAIR_COLUMNS]], 2))
     if singles or not pairs:
         return singles
-    counts = rows.agg(F.count("*"), *[F.count_distinct(F.struct(F.col(f"`{a}`"), F.col(f"`{b}`"))) for a, b in pairs]).first()
-    return [p for p, n in zip(pairs, counts[1:], strict=True) if n == counts[0]][:PAIRS]
+    return _unique(rows, pairs, {r.column: r.distinct_count for r in complete}, complete[0].row_count, PAIRS)
+
+
+def minimal_keys(rows: DataFrame, facts: DataFrame, largest: int = 3) -> list[tuple[str, ...]]:
+    """All sets of up to ``largest`` complete columns that are unique and have no unique part, level by level, over any number of columns.
+
+    A set is looked at only if none of its parts is a key, so a level's sets are those that the one below leaves. An empty table has no keys.
+    """
+    told = facts.orderBy("position").select("column", "row_count", "null_count", "distinct_count").collect()
+    complete = [r for r in told if not r.null_count and r.row_count]
+    if not complete:
+        return []
+    n, distinct = complete[0].row_count, {r.column: r.distinct_count for r in complete}
+    keys = [(c,) for c, m in distinct.items() if m == n]
+    for size in range(2, largest + 1):
+        left = [c for c in distinct if (c,) not in keys]
+        sets = [c for c in combinations(left, size) if not any(set(k) <= set(c) for k in keys)]
+        keys += _unique(rows, sets, distinct, n)
+    return keys
 
 
 def with_roles(facts: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:

@@ -436,6 +436,24 @@ def profile_keys(spark, d):
     return P.duplicate_rows(text).withColumn("n_keys", F.lit(len(keys)).cast("long"))
 
 
+KEY_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_partkey", "l_suppkey", "l_tax"]
+
+
+def profile_minimal(spark, d):
+    """every minimal key of up to three of eight columns of the line items."""
+    l = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("row_number"), *[F.col(c).cast("string").alias(c) for c in KEY_COLUMNS])
+    l = written(l, "keys")
+    keys = P.minimal_keys(l, written(P.column_facts(l), "facts"), 3)
+    return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "key string, n_columns int")
+
+
+def _minimal_sql() -> str:
+    from itertools import combinations
+
+    one = [f"SELECT {list(c)} AS k FROM lineitem HAVING count(DISTINCT ({', '.join(c)})) = count(*)" for n in (1, 2, 3) for c in combinations(KEY_COLUMNS, n)]
+    return f"WITH u AS ({' UNION ALL '.join(one)}) SELECT array_to_string(k, ',') AS key, CAST(len(k) AS INT) AS n_columns FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE len(v.k) < len(u.k) AND list_has_all(u.k, v.k))"
+
+
 def profile_files(spark, d):
     """coverage, columns by role, and whether the content address holds on a second run."""
     facts = _facts(spark, d)
@@ -526,6 +544,7 @@ QUERIES = {
     "profile_top": (profile_top, f"""WITH {WIDE}, n AS (SELECT "column", v AS value, count(*) AS n, min(row_number) AS f FROM cells WHERE v <> '' AND "column" <> 'member_id' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, f) AS rank FROM n) SELECT "column", CAST(rank AS INT) AS rank, value, n FROM r WHERE rank <= 10"""),
     "profile_samples": (profile_samples, f"""WITH {WIDE}, n AS (SELECT DISTINCT "column", v FROM cells WHERE v <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY v) AS r FROM n) SELECT "column", string_agg(v, '|' ORDER BY v) AS sample FROM r WHERE r <= 5 GROUP BY 1"""),
     "profile_keys": (profile_keys, "SELECT count(*) AS row_count, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS n_keys FROM lineitem"),
+    "profile_minimal": (profile_minimal, _minimal_sql()),
     "profile_files": (profile_files, f"""SELECT * FROM (VALUES ('role identifier', 'claim_id,member_id'), ('role date', 'service_date,claim_month'), ('role measure', 'allowed'), ('role dimension', 'status,priority,channel,urgent_flag'), ('role unclassified', 'spare')) t(fact, value), (SELECT true AS stable)
  UNION ALL SELECT 'coverage', strftime(min(o_orderdate), '%Y-%m-%d') || ' ' || strftime(max(o_orderdate), '%Y-%m-%d'), true FROM orders WHERE o_orderkey % 10 <> 0"""),
     "profile_batch": (profile_batch, f"""WITH {FEED}, w AS (SELECT * FROM feed ORDER BY row_number LIMIT 5000), n AS (SELECT (SELECT count(*) FROM feed) AS rows_in_batch, (SELECT count(*) FROM w) AS rows_profiled),
