@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a block, and of texts whose blocks are counted together.
-BLOCK, CHUNK = 1024, 4_000_000
+BLOCK, CHUNK = 1024, 1_000_000
 #: The marks before prefix, suffix and middle; in a hundred, texts from PLAIN on stay plain and those below SPM have the suffix first.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, SPM = 90, 20

@@ -108,15 +108,3 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one of the smallest id, whole rows as they are.
-
-    Rows of null id are kept: nothing tells them apart. Of rows that repeat a kept id, one stays.
-    """
-    found = groups(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
