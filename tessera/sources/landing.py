@@ -220,18 +220,30 @@ def batch_state(table: DataFrame) -> DataFrame:
     return table.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.sum(each).cast("string").alias("state"))
 
 
+def _listing(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Length and time of every data file below a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, tuple[int, int]] = {}
+    if files.exists(where):
+        found = files.listFiles(where, True)
+        while found.hasNext():
+            f = found.next()
+            name = f.getPath().toString()
+            if not f.getPath().getName().startswith(("_", ".")):
+                out[name] = f.getLen(), f.getModificationTime()
+    return out
+
+
 def append_checked(rows: DataFrame, path: str) -> int:
-    """``append``, then a second look: raises RuntimeError if any earlier batch is not what it was before."""
+    """``append``, then a second look at the files: raises RuntimeError if any that was there before is gone or is another now. No row of an earlier batch is read."""
     spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    before = written(batch_state(spark.read.parquet(path)), "batches") if there else None
+    before = _listing(spark, path)
     n = append(rows, path)
-    if before is not None:
-        after = batch_state(spark.read.parquet(path))
-        changed = before.join(after, ["batch_id", "n_rows", "state"], "left_anti").select("batch_id").limit(5).collect()
-        if changed:
-            raise RuntimeError(f"earlier batches changed: {[r.batch_id for r in changed]}")
+    after = _listing(spark, path)
+    changed = sorted({m[1] if (m := re.search(r"batch_id=([^/]+)/", f)) else f for f, told in before.items() if after.get(f) != told})
+    if changed:
+        raise RuntimeError(f"earlier batches changed: {changed[:5]}")
     return n
 
 
@@ -257,7 +269,9 @@ def refuse_bronze(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if any(part.lower().startswith("bronze") for part in path.rstrip("/").split("/")):
         raise ValueError(f"{path} is Bronze; its batches are never rewritten")
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Folders of promotions have commits, and no table right below.
+    if files.exists(where) and not files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "commits")):
         try:
             names = spark.read.parquet(path).columns
         except AnalysisException:  # a folder without a table

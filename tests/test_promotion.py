@@ -80,12 +80,21 @@ def test_bronze_is_refused(spark, rows, tmp_path):
         L.replace_batch(rows.withColumn("batch_id", F.lit("b1")), str(tmp_path / "landed"), "b1")
 
 
-def test_append_sees_that_earlier_batches_stay(spark, tmp_path):
+def test_append_sees_that_earlier_batches_stay(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "landed")
     batch = lambda b: L.bronze(spark.createDataFrame([(1, "a"), (2, "b")], "row_number long, v string"), "roster", b, "sys")
     assert L.append_checked(batch("b1"), path) == 2 and L.append_checked(batch("b2"), path) == 2
     state = {r.batch_id: (r.n_rows, r.state) for r in L.batch_state(spark.read.parquet(path)).collect()}
     assert state["b1"][0] == 2 and state["b1"] != state["b2"]
+    real = L.append
+
+    def careless(rows, to):
+        next((tmp_path / "landed" / "batch_id=b1").glob("*.parquet")).unlink()
+        return real(rows, to)
+
+    monkeypatch.setattr(L, "append", careless)
+    with pytest.raises(RuntimeError, match="b1"):
+        L.append_checked(batch("b3"), path)
 
 
 def test_tallies(rows):
