@@ -1,6 +1,10 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, mixture, packing.
 
 Each stage gets what the one before kept and returns the columns of documents, but for the last, whose rows are packed pieces.
+
+Nulls, empty and very long texts, repeated rows, ties and empty tables are what each stage's operator says of them: null and empty texts are scored like any other text
+(``quality.keep_good``), are one group, of which one document stays (``similar.keep_one``), lose nothing (``substrings.remove_repeats``), are never taken by a mixture, having no
+words (``mixing.training_order``), and are one end id in packing (``packing.pack``). An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
