@@ -26,8 +26,8 @@ LABEL = ("zip", "postal", "phone", "mobile", "fax", "number", "code", "flag", "s
 PERIOD = ("month", "year", "period", "quarter", "yyyymm")
 SENTINELS = ("1900-01-01", "9999-12-31", "0000-00-00", "1900-01-01 00:00:00", "9999-12-31 00:00:00", "01/01/1900", "12/31/9999", "19000101", "99991231")
 ROLES = ("identifier", "date", "measure", "dimension", "technical", "unclassified")
-#: Sets of columns whose sketches are made in one pass, and a sketch's relative standard error.
-PER_PASS, ERROR = 64, 0.02
+#: Sets of columns whose sketches are made in one pass, a sketch's relative standard error, and sets that are looked at exactly in one job.
+PER_PASS, ERROR, TOGETHER = 64, 0.02, 16
 TOP, SAMPLES, FEW, FEW_SHARE, PAIR_COLUMNS, PAIRS = 10, 5, 50, 0.05, 8, 3
 
 
@@ -124,19 +124,23 @@ def _unique(rows: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, in
     """Those of ``sets`` of columns in which no two of the ``n`` rows agree, in their order; the first ``enough``, if given.
 
     Three sieves, each for what the one before lets through: columns whose distinct values cannot make ``n`` combinations; sketches of combinations, PER_PASS sets a
-    pass, which no row is multiplied for (a key is missed at an error of six standard deviations); then, set by set, an exact look for two rows that agree.
+    pass, which no row is multiplied for (a key is missed at an error of six standard deviations); then an exact look for two rows that agree, by 128 bits of what they hold, TOGETHER sets a job.
     """
     able = [c for c in sets if prod(distinct[x] for x in c) >= n]
     named = lambda c: [F.col(f"`{x}`") for x in c]
-    out: list[tuple[str, ...]] = []
+    near: list[tuple[str, ...]] = []
     for at in range(0, len(able), PER_PASS):
         some = able[at : at + PER_PASS]
         told = rows.agg(*[F.approx_count_distinct(F.xxhash64(*named(c)), ERROR) for c in some]).first()
-        for c in (c for c, m in zip(some, told, strict=True) if m >= n * (1 - 6 * ERROR)):
-            if not rows.select(*named(c)).groupBy(*named(c)).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():
-                out.append(c)
-                if len(out) == enough:
-                    return out
+        near += [c for c, m in zip(some, told, strict=True) if m >= n * (1 - 6 * ERROR)]
+    out: list[tuple[str, ...]] = []
+    for at in range(0, len(near), TOGETHER):
+        some = near[at : at + TOGETHER]
+        each = [F.struct(F.lit(i).alias("i"), F.xxhash64(*named(c)).alias("h"), F.xxhash64(F.lit(7), *named(c)).alias("g")) for i, c in enumerate(some)]
+        again = rows.select(F.inline(F.array(*each))).groupBy("i", "h", "g").agg(F.count("*").alias("m")).where("m > 1").select("i").distinct().collect()
+        out += [c for i, c in enumerate(some) if i not in {r.i for r in again}]
+        if enough and len(out) >= enough:
+            return out[:enough]
     return out
 
 

@@ -12,7 +12,8 @@ from tessera.functions import scalars as S
 from tessera.operators import mapping as M
 from tessera.operators import profile as P
 from tessera.operators import sketches as K
-from tessera.plans.scratch import shared_dir, written
+from tessera.plans import scratch
+from tessera.plans.scratch import written
 from tessera.sources import landing as L
 
 CANONICAL = {"claim_header.source_system_id": "string", "claim_header.claim_number": "string", "claim_header.status": "string", "claim_header.service_date": "date", "claim_adjudication.allowed": "decimal", "claim_line.priority": "string", "claim_line.channel": "string"}
@@ -97,7 +98,7 @@ def promotion_adjudication(spark, d):
 
 def promotion_written(spark, d):
     """A batch promoted twice through staging, read back."""
-    path = f"{shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
     rows = feed(spark, d)
     M.promote(rows, SPEC, path, "b1")
     M.promote(rows, SPEC, path, "b1")
@@ -110,7 +111,7 @@ def promotion_written(spark, d):
 
 def _promoted(spark, d, spec=None, rows=None) -> str:
     """A batch promoted once; where to."""
-    path = f"{shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/silver-{uuid.uuid4().hex}"
     M.promote(feed(spark, d) if rows is None else rows, spec or SPEC, path, "b1", source_system="orders")
     return path
 
@@ -151,7 +152,7 @@ def promotion_wide(spark, d):
 
 def landing_append(spark, d):
     """Batches appended to Bronze one after another, the earlier ones unchanged."""
-    path = f"{shared_dir(spark)}/tessera/bronze-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/bronze-{uuid.uuid4().hex}"
     rows = L.numbered(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")), F.col("name"))
     written_ = {b: L.append_checked(L.bronze(rows.where(f"region {c}"), "nations", b, "sys"), path) for b, c in (("b1", "< 2"), ("b2", "= 2"), ("b3", "> 2"))}
     told = spark.createDataFrame(list(written_.items()), "batch_id string, n_written long")
@@ -195,7 +196,7 @@ def promotion_strict(spark, d):
     balance = F.when(k % 5 == 0, "123456789012345678.5").when(k % 7 == 0, "1.23456").otherwise(F.concat(k.cast("string"), F.lit(".2500")))
     cells = {"id": k.cast("string"), "balance": balance, "rank": F.when(k % 11 == 0, "abc").otherwise((k % 90).cast("string")), "level": F.when(k % 13 == 0, "").otherwise("7"), "seen": F.lit("2024/01/05")}
     raw = c.select(k.alias("row_number"), F.create_map(*[x for n, v in cells.items() for x in (F.lit(n), v)]).alias("raw_row"), F.sha2(k.cast("string"), 256).alias("record_hash"))
-    path = f"{shared_dir(spark)}/tessera/strict-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/strict-{uuid.uuid4().hex}"
     M.promote(raw, STRICT_SPEC, path, "b1", STRICT_TYPES)
     kept = M.published(spark, path, "members").select(F.col("source_system_id").alias("id"), F.lit("").alias("why"), F.col("balance").cast("string").alias("balance"), "rank", "level")
     held = M.published(spark, path, "quarantine").select(F.col("raw_row")["id"].alias("id"), F.array_join(F.array_sort(F.transform("reasons", lambda r: F.concat_ws(":", r["source"], r["outcome"], r["rule"]))), ",").alias("why"))
@@ -294,7 +295,7 @@ def landing_numbers(spark, d):
 
 def landing_csv(spark, d):
     """Customers written as a folder of piped files, landed again, appended as Bronze, and paged."""
-    base = f"{shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
+    base = f"{scratch.shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
     c = table(spark, d, "customer")
     c.select(F.concat(F.lit(" "), F.col("c_name")).alias(" name "), F.col("c_custkey").alias("id"), F.lit("").alias("blank"), F.col("c_mktsegment").alias("name")).write.csv(f"{base}/in", sep="|", header=True)
     rows = L.numbered(L.read_delimited(spark, f"{base}/in"))
@@ -305,7 +306,7 @@ def landing_csv(spark, d):
 
 def landed_text(spark, rows: DataFrame, header: str) -> str:
     """Folders of text files, one for each ``file`` of ``rows`` (file, line), each beginning with ``header``; the folder they are in."""
-    path = f"{shared_dir(spark)}/tessera/text-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/text-{uuid.uuid4().hex}"
     heads = rows.select("file").distinct().select("file", F.lit(header).alias("line"), F.lit(0).alias("nth"))
     every = heads.unionByName(rows.withColumn("nth", F.lit(1)))
     every.repartition("file").sortWithinPartitions("file", "nth", "line").select("file", "line").write.partitionBy("file").text(path)
@@ -315,7 +316,7 @@ def landed_text(spark, rows: DataFrame, header: str) -> str:
 def landing_mixed(spark, d):
     """One delivery of UTF-8 and Latin-1 files, with commas, pipes and semicolons, and with line breaks in quoted cells; numbered within each kind."""
     c, k = table(spark, d, "customer"), F.col("c_custkey")
-    base = f"{shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
+    base = f"{scratch.shared_dir(spark)}/tessera/landing-{uuid.uuid4().hex}"
     kinds = {
         "a": ({"sep": ","}, F.concat(F.lit("José "), F.col("c_name"))), "b": ({"sep": ",", "encoding": "ISO-8859-1"}, F.concat(F.lit("Zoë "), F.col("c_name"))),
         "c": ({"sep": "|"}, F.concat(F.lit("a,b "), F.col("c_name"))), "d": ({"sep": ";", "quoteAll": True}, F.concat(F.col("c_name"), F.lit("\n\nsays \"no\";"), F.col("c_mktsegment"))),
@@ -340,7 +341,7 @@ def landing_paths(spark, d):
 
 def landing_files(spark, d):
     """Of a folder of files, those whose content the manifest does not have, whatever they are called."""
-    base = f"{shared_dir(spark)}/tessera/files-{uuid.uuid4().hex}"
+    base = f"{scratch.shared_dir(spark)}/tessera/files-{uuid.uuid4().hex}"
     c = table(spark, d, "customer").select("c_mktsegment", F.concat_ws("|", "c_custkey", "c_name").alias("line"))
     c.repartition("c_mktsegment").sortWithinPartitions("line").write.partitionBy("c_mktsegment").text(f"{base}/first")
     segment = F.regexp_extract("path", "c_mktsegment=([^/]+)", 1).alias("segment")
@@ -351,7 +352,7 @@ def landing_files(spark, d):
 
 def ndjson(spark, d):
     """JSON properties of events as lines of a landed file, read with a schema; what does not parse is kept apart."""
-    path = f"{shared_dir(spark)}/tessera/lines-{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/tessera/lines-{uuid.uuid4().hex}"
     text = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
     table(spark, d, "events").select(text.alias("value")).write.text(path)
     got = written(L.read_ndjson(spark, path, T.StructType([T.StructField("k", T.IntegerType())])), "ndjson")
@@ -406,7 +407,7 @@ PROFILE_SQL = f"""WITH {WIDE} SELECT "column", row_count, null_count, round(null
 
 def profile_merged(spark, d):
     """F1 to F7 by batches: each is read once, for its state; the feed's profile is made of states, one of which was replaced."""
-    rows, path = _wide(spark, d), f"{shared_dir(spark)}/tessera/states-{uuid.uuid4().hex}"
+    rows, path = _wide(spark, d), f"{scratch.shared_dir(spark)}/tessera/states-{uuid.uuid4().hex}"
     parts = {f"b{i}": rows.where(F.pmod("row_number", F.lit(3)) == i) for i in range(3)}
     for batch, some in [("b1", rows.limit(0).union(parts["b2"])), *parts.items()]:
         K.recorded(some, path, batch)
