@@ -26,8 +26,10 @@ LABEL = ("zip", "postal", "phone", "mobile", "fax", "number", "code", "flag", "s
 PERIOD = ("month", "year", "period", "quarter", "yyyymm")
 SENTINELS = ("1900-01-01", "9999-12-31", "0000-00-00", "1900-01-01 00:00:00", "9999-12-31 00:00:00", "01/01/1900", "12/31/9999", "19000101", "99991231")
 ROLES = ("identifier", "date", "measure", "dimension", "technical", "unclassified")
-#: Sets of columns whose sketches are made in one pass, a sketch's relative standard error, and sets that are looked at exactly in one job.
-PER_PASS, ERROR, TOGETHER = 64, 0.02, 16
+#: Sets of columns whose sketches are made in one pass, a sketch's relative standard error, sets that are looked at exactly in one job, and rows of them a task holds.
+PER_PASS, ERROR, TOGETHER, PER_TASK = 64, 0.02, 16, 2_000_000
+#: One in how many of a set's values is looked at, look after look: what has repeats is mostly told by few of them, and only the rest is looked at whole.
+SHARES = (64, 8, 1)
 TOP, SAMPLES, FEW, FEW_SHARE, PAIR_COLUMNS, PAIRS = 10, 5, 50, 0.05, 8, 3
 
 
@@ -124,7 +126,7 @@ def _unique(rows: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, in
     """Those of ``sets`` of columns in which no two of the ``n`` rows agree, in their order; the first ``enough``, if given.
 
     Three sieves, each for what the one before lets through: columns whose distinct values cannot make ``n`` combinations; sketches of combinations, PER_PASS sets a
-    pass, which no row is multiplied for (a key is missed at an error of six standard deviations); then an exact look for two rows that agree, by 128 bits of what they hold, TOGETHER sets a job.
+    pass, which no row is multiplied for (a key is missed at an error of six standard deviations); then an exact look for two rows that agree, by 128 bits of what they hold, TOGETHER sets a job, first among a share of the values, last among all.
     """
     able = [c for c in sets if prod(distinct[x] for x in c) >= n]
     named = lambda c: [F.col(f"`{x}`") for x in c]
@@ -136,14 +138,28 @@ def _unique(rows: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, in
     out: list[tuple[str, ...]] = []
     for at in range(0, len(near), TOGETHER):
         some = near[at : at + TOGETHER]
-        each = [F.struct(F.lit(i).alias("i"), F.xxhash64(*named(c)).alias("h"), F.xxhash64(F.lit(7), *named(c)).alias("g")) for i, c in enumerate(some)]
-        again = rows.select(F.inline(F.array(*each))).groupBy("i", "h", "g").agg(F.count("*").alias("m")).where("m > 1").select("i").distinct().collect()
-        out += [c for i, c in enumerate(some) if i not in {r.i for r in again}]
+        for share in SHARES:
+            some = _standing(rows, some, n, share) if some else some
+        out += some
         if enough and len(out) >= enough:
             return out[:enough]
     return out
 
 
+def _standing(rows: DataFrame, sets: list[tuple[str, ...]], n: int, share: int) -> list[tuple[str, ...]]:
+    """Those of ``sets`` in which no two rows agree among one in ``share`` of what a set's rows hold; rows that agree hash alike, so they are looked at together or not at all.
+
+    Partitions follow the rows, as rows of a key do not combine before the shuffle.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(sets) // share // PER_TASK)
+    hashed = [F.xxhash64(*[F.col(f"`{x}`") for x in c]) for c in sets]
+    each = [F.struct(F.lit(i).alias("i"), h.alias("h"), F.xxhash64(F.lit(7), *[F.col(f"`{x}`") for x in c]).alias("g")) for i, (c, h) in enumerate(zip(sets, hashed, strict=True))]
+    picked = [F.when(F.pmod(h, F.lit(share)) == 0, s) for h, s in zip(hashed, each, strict=True)]
+    looked = rows.select(F.explode(F.array_compact(F.array(*picked))).alias("s")).select("s.*").repartition(parts, "i", "h", "g")
+    again = {r.i for r in looked.groupBy("i", "h", "g").agg(F.count("*").alias("m")).where("m > 1").select("i").distinct().collect()}
+    return [c for i, c in enumerate(sets) if i not in again]
+
+
 def candidate_keys(rows: DataFrame, facts: DataFrame) -> list[tuple[str, ...]]:
     """Complete and unique columns; only without any, the first pairs of complete columns that are unique."""
     told = facts.orderBy("position").select("column", "row_count", "null_count", "distinct_count").collect()
