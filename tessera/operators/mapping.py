@@ -153,26 +153,29 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def _staged(i: int, f: Field, kind: str) -> list[dict[str, Column]]:
     """One field's columns, stage by stage: raw value (given), mapped value, moved and cast values, what the contract's type makes of it, then outcome and what it carries.
 
-    Each stage reads the columns of the one before, so nothing is computed twice and every stage stays generated code.
+    Each stage reads the columns of the one before, so nothing is computed twice and every stage stays generated code. What a field does not ask for has no column.
     """
-    raw, value, moved, cast = F.get("_raw", F.lit(i)), *(F.col(f"_{n}{i}") for n in ("val", "mov", "cast"))
-    unmapped = F.lit(False)
-    mapped = raw
+    raw, no = F.get("_raw", F.lit(i)), F.lit(False)
+    col = lambda n: F.col(f"_{n}{i}")
+    value = col("val") if f.value_map else raw
+    moved = col("mov") if f.op else value
+    cast = col("cast") if f.cast != "string" else moved
+    first = {f"_non{i}": blank(raw)}
     if f.value_map:
         pairs = F.create_map(*[F.lit(x) for kv in f.value_map.items() for x in kv])
         known = F.try_element_at(pairs, raw)
-        mapped = F.coalesce(known, raw)
+        first[f"_val{i}"] = F.coalesce(known, raw)
         if f.on_unmapped in ("quarantine", "null"):
-            unmapped = known.isNull()
-    first = {f"_val{i}": mapped, f"_non{i}": blank(raw), f"_odd{i}": unmapped}
-    second = {f"_mov{i}": TRANSFORMS[f.op][0](value, **f.args) if f.op else value}
-    third = {f"_cast{i}": CASTS[f.cast](moved)}
-    missing, odd = F.col(f"_non{i}"), F.col(f"_odd{i}")
+            first[f"_odd{i}"] = known.isNull()
+    second = {f"_mov{i}": TRANSFORMS[f.op][0](value, **f.args)} if f.op else {}
+    third = {f"_cast{i}": CASTS[f.cast](moved)} if f.cast != "string" else {}
+    missing, odd = col("non"), col("odd") if f"_odd{i}" in first else no
     when_missing = {"reject": ("rejected", "on_null", "source is empty and the field rejects the row"), "default": ("defaulted", None, f"source is empty; default '{f.default}' applied")}.get(f.on_null, ("null", None, "source is empty; null allowed through"))
-    none, final, strict = F.lit(None).cast("string"), F.col(f"_fin{i}"), F.col(f"_bad{i}")
+    loose = isinstance(TYPES.get(kind, T.StringType()), T.StringType)
+    none, final, strict = F.lit(None).cast("string"), col("fin"), no if loose else col("bad")
     chain = lambda a, b, c, d, e, unfit: F.when(strict, unfit).when(missing, a).when(odd, b).when(moved.isNull(), c).when(cast.isNull(), d).otherwise(e)
     given = F.when(missing, F.lit(f.default).cast("string")).when(odd, none).otherwise(cast)
-    between = {f"_fin{i}": given, f"_bad{i}": given.isNotNull() & ~_fits(given, kind)}
+    between = {f"_fin{i}": given} | ({} if loose else {f"_bad{i}": given.isNotNull() & ~_fits(given, kind)})
     strange = F.concat(F.lit("'"), raw, F.lit("' is not in the value map"))
     fourth = {
         f"_out{i}": chain(F.lit(when_missing[0]), F.lit("null" if f.on_unmapped == "null" else "quarantined"), F.lit("failure"), F.lit("failure"), F.lit("ok"), F.lit("failure")),
@@ -192,22 +195,51 @@ def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row", types: dict[str,
     Every stage hands the raw values on through a lambda, which keeps its projection out of whole-stage code: fused, all
     fields of a spec are one method too large for the JVM to compile, while a projection's own code is split into small ones.
     """
+    out = _judged(rows, spec, raw, types)
+    out = out.select(*rows.columns, F.array(*_told(spec)).alias("fields"), "outcome")
+    stops = F.filter("fields", lambda x: x["outcome"].isin(*BLOCKING))
+    return out.withColumn("reasons", F.when(F.col("outcome") == "ok", F.slice("fields", 1, 0)).otherwise(stops))
+
+
+def _told(spec: Spec) -> list[Column]:
+    """Each field of ``_judged`` rows as a struct."""
+    told = []
+    for i, f in enumerate(spec.fields):
+        parts = {"source": F.lit(f.source), "target": F.lit(f.target), "source_value": F.get("_raw", F.lit(i)), "mapped_value": F.col(f"_to{i}"), "outcome": F.col(f"_out{i}"), "reason": F.col(f"_why{i}"), "rule": F.col(f"_rule{i}")}
+        told.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return told
+
+
+def _judged(rows: DataFrame, spec: Spec, raw: str, types: dict[str, str] | None) -> DataFrame:
+    """``rows`` with the columns of ``_staged`` and the row's ``outcome``."""
     kind = dict(rows.dtypes)[raw]
     get = lambda s: F.try_element_at(F.col(raw), F.lit(s)) if kind.startswith("map") else F.col(f"{raw}.{s}")
     apart = F.transform("_raw", lambda x: x).alias("_raw")
     out = rows.select(*rows.columns, F.array(*[get(f.source) for f in spec.fields]).cast("array<string>").alias("_raw"))
+    held = list(rows.columns)
     for stage in zip(*[_staged(i, f, (types or {}).get(f.target, "string")) for i, f in enumerate(spec.fields)], strict=True):
-        held = [c for c in out.columns if c != "_raw"]
-        out = out.select(*held, apart, *[c.alias(n) for columns in stage for n, c in columns.items()])
-    told = []
-    for i, f in enumerate(spec.fields):
-        parts = {"source": F.lit(f.source), "target": F.lit(f.target), "source_value": F.get("_raw", F.lit(i)), "mapped_value": F.col(f"_to{i}"), "outcome": F.col(f"_out{i}"), "reason": F.col(f"_why{i}"), "rule": F.col(f"_rule{i}")}
-        told.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
+        fresh = {n: c for columns in stage for n, c in columns.items()}
+        if fresh:
+            out = out.select(*held, apart, *[c.alias(n) for n, c in fresh.items()])
+            held += fresh
     any_ = lambda o: reduce(lambda a, b: a | b, [F.col(f"_out{i}") == o for i in range(len(spec.fields))], F.lit(False))
     outcome = F.when(any_("rejected"), "rejected").when(any_("failure"), "failure").when(any_("quarantined"), "quarantined").otherwise("ok")
-    out = out.select(*rows.columns, F.array(*told).alias("fields"), outcome.alias("outcome"))
-    stops = F.filter("fields", lambda x: x["outcome"].isin(*BLOCKING))
-    return out.withColumn("reasons", F.when(F.col("outcome") == "ok", F.slice("fields", 1, 0)).otherwise(stops))
+    return out.withColumn("outcome", outcome)
+
+
+def _compact(rows: DataFrame, spec: Spec, types: dict[str, str], seen: Observation, raw: str = "raw_row") -> DataFrame:
+    """What a promotion's sinks read of evaluated rows: a column ``_to0``, ``_to1`` ... a field, so that each entity reads its own alone; what came in, and why, of rows that are stopped only. Balanced into ``seen`` on the way."""
+    ok, primary = F.col("outcome") == "ok", primary_entity(spec)
+    out = _judged(rows, spec, raw, types)
+    counted = list(entities(spec))
+    full = lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_to{i}"), F.lit("")) != "" for i, f in enumerate(spec.fields) if f.target.startswith(f"{t}.") and (t == primary or f.target != f"{t}.{MEMBER_KEY}")], F.lit(False))
+    stopped = [F.when(~ok, F.col(c)).alias(c) for c in rows.columns if c != "row_number"]
+    reasons = F.when(~ok, F.filter(F.array(*_told(spec)), lambda x: x["outcome"].isin(*BLOCKING))).alias("reasons")
+    out = out.select("row_number", *stopped, *[f"_to{i}" for i in range(len(spec.fields))], "outcome", reasons, *[(ok & full(t)).alias(f"_has{j}") for j, t in enumerate(counted)])
+    holds = reduce(lambda a, b: a | b, [F.col(f"_has{j}") for j in range(len(counted))])
+    told = {"records_in": F.count(F.lit(1)), "records_out": F.count_if(holds), "quarantined": F.count_if(~ok), "drops": F.count_if(ok & ~holds)}
+    told |= {f"to_{t}": F.count_if(F.col(f"_has{j}")) for j, t in enumerate(counted)}
+    return out.observe(seen, *[c.alias(n) for n, c in told.items()]).drop(*[f"_has{j}" for j in range(len(counted))])
 
 
 def outcome_counts(evaluated: DataFrame) -> DataFrame:
@@ -243,7 +275,8 @@ def entity_rows(evaluated: DataFrame, spec: Spec, table: str) -> DataFrame:
     """One entity's rows: its fields of every row that may be written, empty records left out, the member key handed down."""
     names, primary = entities(spec)[table], primary_entity(spec)
     at = {f.target: i for i, f in enumerate(spec.fields)}
-    value = lambda t: F.get("fields", F.lit(at[t]))["mapped_value"] if t in at else F.lit(None).cast("string")
+    mapped = lambda i: F.col(f"_to{i}") if "fields" not in evaluated.columns else F.get("fields", F.lit(i))["mapped_value"]
+    value = lambda t: mapped(at[t]) if t in at else F.lit(None).cast("string")
     told = [n for n in names if table == primary or n != MEMBER_KEY]
     some = reduce(lambda a, b: a | b, [F.coalesce(value(f"{table}.{n}"), F.lit("")) != "" for n in told], F.lit(False))
     columns = {n: value(f"{table}.{n}") for n in names}
@@ -275,15 +308,6 @@ def balance(evaluated: DataFrame, spec: Spec) -> DataFrame:
     return out.withColumn("balanced", F.expr("records_in = records_out + quarantined + drops"))
 
 
-def _expected(spec: Spec) -> dict[str, Column]:
-    """For each entity, how many rows it should get, from the outcomes alone; beside them the balance. One pass over evaluated rows."""
-    primary, ok = primary_entity(spec), F.col("outcome") == "ok"
-    filled = lambda t: F.exists("fields", lambda f: (F.coalesce(f["mapped_value"], F.lit("")) != "") & f["target"].startswith(f"{t}.") & (F.lit(t == primary) | (f["target"] != f"{t}.{MEMBER_KEY}")))
-    holds = reduce(lambda a, b: a | b, [filled(t) for t in entities(spec)])
-    told = {"records_in": F.count("*"), "records_out": F.count_if(ok & holds), "quarantined": F.count_if(~ok), "drops": F.count_if(ok & ~holds)}
-    return told | {f"to_{t}": F.count_if(ok & filled(t)) for t in entities(spec)}
-
-
 def entity_contract(spec: Spec, table: str, canonical: dict[str, str] | None = None) -> T.StructType:
     """An entity's schema: the row's number, its fields by canonical type (else by their cast), the member key, audit columns."""
     told = kinds(spec, canonical)
@@ -307,8 +331,7 @@ def promote(bronze_rows: DataFrame, spec: Spec, path: str, batch_id: str, canoni
     spark, version = bronze_rows.sparkSession, uuid.uuid4().hex
     refuse_bronze(spark, path)
     seen = Observation()
-    told = [c.alias(n) for n, c in _expected(spec).items()]
-    done = written(evaluate(bronze_rows, spec, types=kinds(spec, canonical)).observe(seen, *told), "evaluated")
+    done = written(_compact(bronze_rows, spec, kinds(spec, canonical), seen), "evaluated")
     total = {k: seen.get[k] for k in ("records_in", "records_out", "quarantined", "drops")}
     total["balanced"] = total["records_in"] == total["records_out"] + total["quarantined"] + total["drops"]
     if not total["balanced"]:
@@ -321,7 +344,8 @@ def promote(bronze_rows: DataFrame, spec: Spec, path: str, batch_id: str, canoni
         counts[table] = spark.read.parquet(f"{path}/{table}/{version}").count()
         if counts[table] != seen.get[f"to_{table}"]:
             raise RuntimeError(f"{table}: {counts[table]} rows staged, {seen.get[f'to_{table}']} expected; nothing is published")
-    quarantine(done).withColumn("batch_id", F.lit(batch_id)).drop("fields").write.parquet(f"{path}/quarantine/{version}")
+    held = [c for c in bronze_rows.columns if c != "batch_id"]
+    quarantine(done).select(*held, "outcome", "reasons", F.lit(batch_id).alias("batch_id")).write.parquet(f"{path}/quarantine/{version}")
     dropped(done)
     commit = spark.createDataFrame([(batch_id, version, fingerprint(spec), time.time_ns())], _COMMIT)
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")

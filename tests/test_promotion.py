@@ -140,3 +140,20 @@ def test_normalisations(spark):
     assert one(S.any_date(lit("1980"))) == dt.datetime(1980, 1, 1) and one(S.any_date(lit("20240229153045123"))).microsecond == 123000
     assert float(one(S.amount(lit("($1,234.50)")))) == -1234.5 and one(S.flag(lit(" "))) is None and one(S.null_tokens(lit("n/a"))) is None
     assert one(S.code_list(lit("e11.9, ;I10"))) == ["E119", "I10"] and one(S.zip_parts(lit("12207-1234"))).zip4 == "1234"
+
+
+def test_what_promotion_writes_once_is_flat(spark, rows, tmp_path, monkeypatch):
+    seen, real = [], M.written
+
+    def kept(df, label):
+        out = real(df, label)
+        seen.append([r.asDict() for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(M, "written", kept)
+    M.promote(rows, SPEC, str(tmp_path), "b1")
+    (told,) = seen
+    assert {r["row_number"]: (r["raw_row"] is None, r["reasons"] is None) for r in told} == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (True, True)}
+    assert "fields" not in told[0] and {f"_to{i}" for i in range(len(SPEC.fields))} < set(told[0])
+    held = {r.row_number: r.raw_row for r in M.published(spark, str(tmp_path), "quarantine").collect()}
+    assert held == {i: dict(zip(NAMES, ROSTER[i - 1], strict=True)) for i in (2, 3, 4)}
