@@ -8,13 +8,15 @@ from math import prod
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import text_shape
 from tessera.plans.scratch import written
 
 #: What a column's text looks like.
 INT, DECIMAL, CODE = r"^[+-]?\d+$", r"^[+-]?\d*\.\d+$", r"^[A-Z0-9][A-Z0-9._-]{0,15}$"
 DATE = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{8})$"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}"
+#: Days that could be: ISO, with or without a time of day, dense, and month first.
+_M, _D = "(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])"
+ISO_DAY, DENSE_DAY, OTHER_DAYS = rf"^\d{{4}}-{_M}-{_D}(\z|[ T]\d{{1,2}}:\d{{2}})", rf"^\d{{4}}{_M}{_D}\z", tuple(rf"^(0?[1-9]|1[0-2]){x}(0?[1-9]|[12]\d|3[01]){x}\d{{4}}\z" for x in "/-")
 BOOL = ("true", "false", "t", "f", "yes", "no", "y", "n", "0", "1")
 #: Names that hint at protected data and at roles, and placeholders for an unknown date or number.
 PHI = ("name", "dob", "birth", "ssn", "mrn", "member_id", "memberid", "patient", "address", "addr", "street", "city", "zip", "postal", "phone", "email", "gender", "sex", "race", "ethnicity", "subscriber", "death", "deceased")
@@ -34,9 +36,9 @@ TOP, SAMPLES, FEW, FEW_SHARE, PAIR_COLUMNS, PAIRS = 10, 5, 50, 0.05, 8, 3
 
 
 def unpivoted(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(row_number, position, column, value)``: one row a cell, in one narrow pass."""
+    """``(row_number, position, column, phi, value)``: one row a cell, in one narrow pass; ``phi`` is told of a column's name, not of its cells."""
     names = columns or [c for c in rows.columns if c != "row_number"]
-    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("value")) for i, c in enumerate(names)]
+    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), is_phi(F.lit(c)).alias("phi"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("value")) for i, c in enumerate(names)]
     return rows.select("row_number", F.inline(F.array(*cells)))
 
 
@@ -49,30 +51,44 @@ def is_sentinel(v: Column) -> Column:
 
 
 def iso_date(v: Column) -> Column:
-    text = F.when(F.trim(v).rlike(TIMESTAMP), F.left(F.trim(v), F.lit(10))).otherwise(F.trim(v))
-    first, *rest = [F.to_date(F.when(text.rlike(text_shape(f)), F.try_to_timestamp(text, F.lit(f)))) for f in ("yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy", "yyyyMMdd")]
-    return F.coalesce(first, *rest)
+    """The day of a text ``yyyy-MM-dd``, ``M/d/yyyy``, ``M-d-yyyy`` or ``yyyyMMdd``, or of an ISO timestamp; else null.
+
+    Only what its length and one match let through is put in ISO order and cast: parsers by pattern, and failing ones above all, cost many times as much.
+    """
+    t = F.trim(v)
+    text = F.when(t.rlike(ISO_DAY), F.left(t, F.lit(10))).when(t.rlike(DENSE_DAY), F.regexp_replace(t, r"^(.{4})(..)(..)", "$1-$2-$3")).otherwise(F.regexp_replace(t, r"^(\d+).(\d+).(\d+)", "$3-$1-$2"))
+    size = F.octet_length(t)
+    return F.when((size.between(8, 10) | (size >= 15)) & t.rlike("|".join((ISO_DAY, DENSE_DAY, *OTHER_DAYS))), text).try_cast("date")
 
 
 def _has(column: Column, words: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.split(F.lower(column), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in words]))
 
 
-def measures(v: Column, n: Column) -> list[Column]:
-    """What is known of a column from values ``v`` that occur ``n`` times: sums and extremes, which parts of a column add up to."""
-    some = v != ""
-    total = lambda c: F.sum(F.when(some & c, n).otherwise(0))
-    numeric = v.rlike(INT) | v.rlike(DECIMAL)
-    real = some & ~is_sentinel(v)
-    number = F.when(real & numeric, v.try_cast("double"))
-    by = F.struct(number.alias("x"), v.alias("v"))
-    date = F.when(real, iso_date(v))
+def looked_at(cells: DataFrame) -> DataFrame:
+    """``cells`` with all that ``measures`` takes of a ``value``, each told once a cell: in the aggregates every sum and extreme would tell it anew.
+
+    Lengths stand before matches where they settle most values. ``$`` also matches before a line's end of up to three bytes.
+    """
+    v, size = F.col("value"), F.octet_length("value")
+    t = F.trim(v)
+    start = t.startswith("0") | t.startswith("1") | t.startswith("9")
+    told = cells.withColumns({
+        "some": v != "", "int": v.rlike(INT), "decimal": v.contains(".") & v.rlike(DECIMAL), "dated": size.between(8, 13) & v.rlike(DATE), "stamp": (size >= 15) & v.rlike(TIMESTAMP),
+        "bool": (size <= 5) & F.lower(v).isin(*BOOL), "code": (size <= 19) & v.rlike(CODE), "sentinel": start & is_sentinel(v),
+    })
+    real = F.col("some") & ~F.col("sentinel")
+    return told.withColumns({"number": F.when(real & (F.col("int") | F.col("decimal")), v.try_cast("double")), "day": F.when(real, iso_date(v))})
+
+
+def measures(n: Column) -> list[Column]:
+    """What is known of a column from cells that were ``looked_at`` and occur ``n`` times: sums and extremes, which parts of a column add up to."""
+    total = lambda c: F.sum(F.when(F.col("some") & F.col(c), n).otherwise(0))
+    by = F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("x"), F.col("value").alias("v")))
     return [
-        F.sum(n).alias("row_count"), F.sum(F.when(~some, n).otherwise(0)).alias("null_count"),
-        total(v.rlike(INT)).alias("ints"), total(v.rlike(DECIMAL)).alias("decimals"), total(v.rlike(DATE)).alias("dates"),
-        total(v.rlike(TIMESTAMP)).alias("timestamps"), total(F.lower(v).isin(*BOOL)).alias("bools"), total(v.rlike(CODE)).alias("codes"),
-        total(is_sentinel(v)).alias("sentinel_count"), F.min(F.when(number.isNotNull(), by)).alias("low"), F.max(F.when(number.isNotNull(), by)).alias("high"),
-        F.min(date).alias("from"), F.max(date).alias("to"),
+        F.sum(n).alias("row_count"), F.sum(F.when(~F.col("some"), n).otherwise(0)).alias("null_count"), total("int").alias("ints"), total("decimal").alias("decimals"), total("dated").alias("dates"),
+        total("stamp").alias("timestamps"), total("bool").alias("bools"), total("code").alias("codes"), total("sentinel").alias("sentinel_count"),
+        F.min(by).alias("low"), F.max(by).alias("high"), F.min("day").alias("from"), F.max("day").alias("to"),
     ]
 
 
@@ -83,8 +99,7 @@ def column_facts(rows: DataFrame, columns: list[str] | None = None) -> DataFrame
     all tasks; facts are then sums over distinct values. Ties of top values go to the first seen.
     """
     values = unpivoted(rows, columns).groupBy("position", "column", "value").agg(F.count("*").alias("n"), F.min("row_number").alias("first"))
-    v = F.col("value")
-    return finished(values.groupBy("position", "column").agg(*measures(v, F.col("n")), F.count_if(v != "").alias("distinct_count")))
+    return finished(looked_at(values).groupBy("position", "column").agg(*measures(F.col("n")), F.count_if("some").alias("distinct_count")))
 
 
 def finished(facts: DataFrame) -> DataFrame:
@@ -110,7 +125,7 @@ def finished(facts: DataFrame) -> DataFrame:
 
 def top_values(rows: DataFrame, columns: list[str] | None = None, k: int = TOP) -> DataFrame:
     """``(column, rank, value, n)``: the k most frequent values of each column that is not protected."""
-    values = unpivoted(rows, columns).where("value <> ''").where(~is_phi(F.col("column"))).groupBy("column", "value").agg(F.count("*").alias("n"), F.min("row_number").alias("first"))
+    values = unpivoted(rows, columns).where("value <> '' and not phi").groupBy("column", "value").agg(F.count("*").alias("n"), F.min("row_number").alias("first"))
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), "first")
     return values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", "rank", "value", "n")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.profile import DECIMAL, INT, finished, is_phi, is_sentinel, measures, unpivoted
+from tessera.operators.profile import finished, looked_at, measures, unpivoted
 
 #: Registers of the distinct counter (log 2), slots of the frequent values, and the size of the quantile sketch.
 LG_K, ITEMS, KLL = 12, 1024, 200
@@ -24,14 +24,9 @@ def profile_state(rows: DataFrame, columns: list[str] | None = None) -> DataFram
 
     ``rows`` as in ``column_facts``. Protected columns have no frequent values and no quantiles. An empty batch gives no row.
     """
-    v = F.col("value")
-    some = v != ""
-    shown = some & ~is_phi(F.col("column"))
-    number = F.when(shown & ~is_sentinel(v) & (v.rlike(INT) | v.rlike(DECIMAL)), v.try_cast("double"))
-    cells = unpivoted(rows, columns).withColumns({"some": F.when(some, v), "shown": F.when(shown, v), "number": number})
-    return cells.groupBy("position", "column").agg(
-        *measures(v, F.lit(1).cast("long")), F.hll_sketch_agg("some", LG_K).alias("distinct"),
-        F.expr(f"approx_top_k_accumulate(shown, {ITEMS})").alias("frequent"), F.kll_sketch_agg_double("number", KLL).alias("quantiles"),
+    return looked_at(unpivoted(rows, columns)).groupBy("position", "column").agg(
+        *measures(F.lit(1).cast("long")), F.hll_sketch_agg(F.when(F.col("some"), F.col("value")), LG_K).alias("distinct"),
+        F.expr(f"approx_top_k_accumulate(if(some and not phi, value, null), {ITEMS})").alias("frequent"), F.kll_sketch_agg_double(F.when(~F.col("phi"), F.col("number")), KLL).alias("quantiles"),
     )
 
 
