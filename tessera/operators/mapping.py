@@ -194,8 +194,11 @@ def evaluate(rows: DataFrame, spec: Spec, raw: str = "raw_row", types: dict[str,
 
     Every stage hands the raw values on through a lambda, which keeps its projection out of whole-stage code: fused, all
     fields of a spec are one method too large for the JVM to compile, while a projection's own code is split into small ones.
+
+    The rows are counted behind the stages (``evaluated-...``, for a listener), as no filter may pass a count: a reader's filter
+    on ``outcome`` or ``fields`` would otherwise be put below all stages, each column of theirs written out wherever it is read.
     """
-    out = _judged(rows, spec, raw, types)
+    out = _judged(rows, spec, raw, types).observe(f"evaluated-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n_rows"))
     out = out.select(*rows.columns, F.array(*_told(spec)).alias("fields"), "outcome")
     stops = F.filter("fields", lambda x: x["outcome"].isin(*BLOCKING))
     return out.withColumn("reasons", F.when(F.col("outcome") == "ok", F.slice("fields", 1, 0)).otherwise(stops))
