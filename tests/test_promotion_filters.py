@@ -20,6 +20,10 @@ def test_what_an_entity_leaves_out_is_told_by_outcomes(spark, sf):
     assert 0 < longest_filter(Q.promotion_adjudication(spark, sf)) < 5000
 
 
+def test_quarantine_is_told_by_outcomes(spark, sf):
+    assert 0 < longest_filter(Q.promotion_quarantine(spark, sf)) < 5000
+
+
 def test_filtered_rows_are_those_of_all(spark, sf):
     done = Q.evaluated(spark, sf)
     every = {r.row_number: r for r in done.select("row_number", "outcome", "fields").collect()}
