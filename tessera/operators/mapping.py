@@ -251,14 +251,14 @@ def outcome_counts(evaluated: DataFrame) -> DataFrame:
 
 def tallies(evaluated: DataFrame) -> DataFrame:
     """``(tally, name, n)``: failures by ``source:rule``, targets without a usable value, sources with trouble; one pass."""
-    each = evaluated.select(F.explode("fields").alias("f")).select("f.*")
-    stops = F.col("outcome").isin(*BLOCKING)
-    kinds = F.array_compact(F.array(
-        F.when(stops & F.col("rule").isNotNull(), F.struct(F.lit("failure").alias("tally"), F.concat_ws(":", "source", "rule").alias("name"))),
-        F.when(F.col("mapped_value").isNull(), F.struct(F.lit("null_or_invalid").alias("tally"), F.col("target").alias("name"))),
-        F.when(stops, F.struct(F.lit("affected").alias("tally"), F.col("source").alias("name"))),
-    ))
-    return each.select(F.explode(kinds).alias("k")).groupBy("k.tally", "k.name").agg(F.count("*").alias("n"))
+    stops = lambda f: f["outcome"].isin(*BLOCKING)
+    kinds = lambda f: F.array(
+        F.when(stops(f) & f["rule"].isNotNull(), F.struct(F.lit("failure").alias("tally"), F.concat_ws(":", f["source"], f["rule"]).alias("name"))),
+        F.when(f["mapped_value"].isNull(), F.struct(F.lit("null_or_invalid").alias("tally"), f["target"].alias("name"))),
+        F.when(stops(f), F.struct(F.lit("affected").alias("tally"), f["source"].alias("name"))),
+    )
+    each = evaluated.select(F.explode(F.array_compact(F.flatten(F.transform("fields", kinds)))).alias("k"))
+    return each.groupBy("k.tally", "k.name").agg(F.count("*").alias("n"))
 
 
 def entities(spec: Spec) -> dict[str, list[str]]:

@@ -1,5 +1,7 @@
 """Filters of those who read evaluated rows stay above the stages that evaluate them."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tessera.operators import mapping as M
@@ -24,6 +26,21 @@ def test_quarantine_is_told_by_outcomes(spark, sf):
     assert 0 < longest_filter(Q.promotion_quarantine(spark, sf)) < 5000
 
 
+def test_tallies_ask_no_more_than_their_fields(spark, sf):
+    """An explode of a column first asks whether it holds anything: that, too, was put below the stages."""
+    assert longest_filter(Q.promotion_tallies(spark, sf)) < 1000
+
+
+def test_tallies_count_each_field(spark, sf):
+    done = Q.evaluated(spark, sf)
+    want = Counter()
+    for r in done.select("fields").collect():
+        for f in r.fields:
+            stops = f.outcome in M.BLOCKING
+            want.update([("failure", f"{f.source}:{f.rule}")] * (stops and f.rule is not None) + [("null_or_invalid", f.target)] * (f.mapped_value is None) + [("affected", f.source)] * stops)
+    assert {(r.tally, r["name"]): r.n for r in M.tallies(done).collect()} == want
+
+
 def test_filtered_rows_are_those_of_all(spark, sf):
     done = Q.evaluated(spark, sf)
     every = {r.row_number: r for r in done.select("row_number", "outcome", "fields").collect()}
